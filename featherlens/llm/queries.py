@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, shard, simhash, warc
+from . import decontaminate, mix, shard, simhash, topk, warc
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -32,6 +40,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_shard": op3_shard,
         "op6_decontaminate": op6_decontaminate,
+        "op7_topk": op7_topk,
+        "op8_mix": op8_mix,
         "op9_warc": op9_warc,
     }
 
@@ -55,6 +65,49 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+OP7_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _shared(level: str, rows: str, parents: str, child: str) -> str:
+    """Water-filling of one level: rows has cap, weight and parent_budget."""
+    by = f"PARTITION BY {parents}" if parents else ""
+    order = f"{by} ORDER BY cap / nullif(CAST(weight AS DOUBLE), 0) ASC NULLS LAST, {child}"
+    return f"""
+{level}_a AS (SELECT *, CAST(parent_budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS l,
+  CAST(sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS r FROM ({rows})),
+{level}_b AS (SELECT *, coalesce(cap * r <= weight * l, cap = 0) AS is_full FROM {level}_a),
+{level}_c AS (SELECT *, max(CASE WHEN NOT is_full THEN {{'q': l / nullif(r, 0), 'l': l, 'r': r}} END) OVER ({by}) AS top FROM {level}_b),
+{level} AS (SELECT * EXCLUDE (l, r, is_full, top), CASE WHEN is_full THEN cap ELSE coalesce(CAST(floor(CAST(weight AS DOUBLE) * top.l / nullif(top.r, 0)) AS BIGINT), 0) END AS budget FROM {level}_c)"""
+
+
+def _weights(column: str, weights: dict[str, int]) -> str:
+    return f"CAST(CASE {column} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())} ELSE {mix.OTHER_WEIGHT} END AS BIGINT)"
+
+
+OP8_SQL = rf"""
+WITH n AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '(none)') AS id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS tokens,
+    coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER), 0) % 3 AS m FROM documents),
+d AS (SELECT *, CASE m WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'web' END AS domain FROM n),
+leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {mix.MAX_EPOCHS} AS BIGINT) AS cap FROM d GROUP BY ALL),
+total AS (SELECT CAST(floor(sum(tokens) * {mix.BUDGET_TENTHS} / 10) AS BIGINT) AS b FROM leaf),
+{_shared("l1", f"SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {_weights('domain', mix.DOMAIN_WEIGHTS)} AS weight, any_value(b) AS parent_budget FROM leaf, total GROUP BY domain", "", "domain")},
+{_shared("l2", f"SELECT * FROM (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, {_weights('lang', mix.LANG_WEIGHTS)} AS weight FROM leaf GROUP BY domain, lang) JOIN (SELECT domain, budget AS parent_budget FROM l1) USING (domain)", "domain", "lang")},
+{_shared("l3", "SELECT *, CAST(1 AS BIGINT) AS weight FROM leaf JOIN (SELECT domain, lang, budget AS parent_budget FROM l2) USING (domain, lang)", "domain, lang", "source")},
+plan AS (SELECT domain, lang, source, tokens AS supply, budget, CAST(coalesce(budget // nullif(tokens, 0), 0) AS INTEGER) AS epochs FROM l3),
+k AS (SELECT d.*, budget, epochs, budget - epochs * supply AS remainder, md5('{mix.SEED}|' || epochs || '|' || id) AS key FROM d JOIN plan USING (domain, lang, source)),
+o AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) - sum(tokens) OVER (PARTITION BY domain, lang, source, key) AS earlier FROM k)
+SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(0, epochs + CASE WHEN earlier < remainder THEN 1 ELSE 0 END)) AS INTEGER) AS epoch, budget AS leaf_budget FROM o
+"""
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 q AS (SELECT page_id, body, strlen(body) AS n, min(page_id) OVER (PARTITION BY body) AS first FROM p)
@@ -66,4 +119,4 @@ FROM q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_topk": OP7_SQL, "op8_mix": OP8_SQL, "op9_warc": OP9_SQL}
