@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mix, shard, simhash, topk, warc
+from . import decontaminate, lm, mix, shard, simhash, topk, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op3_shard": op3_shard,
+        "op4_lm": op4_lm,
         "op6_decontaminate": op6_decontaminate,
         "op7_topk": op7_topk,
         "op8_mix": op8_mix,
