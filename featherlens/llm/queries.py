@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, mix, quality, shard, simhash, topk, toxicity, warc
+from . import chat, decontaminate, lm, mix, quality, shard, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_shard": op3_shard,
         "op4_lm": op4_lm,
+        "op5_chat": op5_chat,
         "op6_decontaminate": op6_decontaminate,
         "op7_topk": op7_topk,
         "op8_mix": op8_mix,
