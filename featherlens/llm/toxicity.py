@@ -7,12 +7,13 @@ is cut into windows of WINDOW words; each is compressed with a dictionary of ord
 The ordinary dictionary is zstandard's own training on windows of ordinary labelled texts. The toxic one holds, before the
 same ordinary background, the words and stems that distinguish toxic labelled texts: those in at least half toxic texts
 whose log-likelihood ratio exceeds what the best of as many chance words would reach. With the background in common, a
-window's two lengths differ only by what the toxic words save. A logistic calibration, fitted on labelled texts that the
+window's two lengths differ only by what the toxic words save. A logistic calibration, fitted on labelled texts that their
 dictionaries haven't seen, turns a text's differences (largest, means of the largest, mean, share of toxic windows,
-length) into a score; its threshold is 0.5.
+length) into a score; its threshold is 0.5. For that, each half of the sample is measured by dictionaries of the other;
+texts are scored by dictionaries of the whole sample.
 
-Both halves come from a bounded sample of labelled texts. Nothing but the text goes into a score. Null and empty texts
-have one empty window. With fewer than two labels of a kind the score is the share of label 1 among all labels (0.5
+Both halves come from a bounded sample of labelled texts, of which copies and near copies are left out. Nothing but the text goes into a score. Null and empty texts
+have one empty window. With fewer than four labels of a kind the score is the share of label 1 among all labels (0.5
 without any).
 """
 
@@ -36,9 +37,14 @@ from .labelled import labelled_sample
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents of label 0 and 1 in the sample.
 PER_CLASS = (5000, 3000)
-WINDOW, STEM, CODE = 12, 5, 8
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 16384
+WINDOW, STEM = 10, 5
+#: Bytes of a stem's and of a word's hash in a code.
+STEM_BYTES, WORD_BYTES = 8, 4
+CODE = STEM_BYTES + WORD_BYTES
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 24576
 FIT_WINDOWS = 40_000
+#: Words of a shingle, and bands of minimum hashes that tell copies in the sample.
+SHINGLE, BANDS, BAND = 5, 6, 3
 #: Codes that a worker remembers.
 MEMORY = 300_000
 #: Differences from this many bytes on count as toxic windows.
@@ -52,12 +58,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def stem_code(stem: bytes) -> bytes:
-    return xxhash.xxh64_digest(stem)[:5]
+    return xxhash.xxh64_digest(stem)[:STEM_BYTES]
 
 
 class _Codes(dict):
     def __missing__(self, word: bytes) -> bytes:
-        code = stem_code(word[:STEM]) + xxhash.xxh64_digest(word)[:3]
+        code = stem_code(word[:STEM]) + xxhash.xxh64_digest(word)[:WORD_BYTES]
         if len(self) < MEMORY:
             self[word] = code
         return code
@@ -68,6 +74,26 @@ def windows_of(text: bytes, codes: _Codes) -> list[bytes]:
     return [all_codes[i : i + WINDOW * CODE] for i in range(0, len(all_codes), WINDOW * CODE)] or [b""]
 
 
+def unalike(texts: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+    """Without copies and near copies of texts before: those that share a band of minimum hashes of word shingles.
+
+    A text that is copied often would else make all its words look like marks of its label.
+    """
+    rng = np.random.default_rng(12)
+    factors = rng.integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) | np.uint64(1)
+    seen: set[bytes] = set()
+    kept = []
+    for text, y in texts:
+        words = words_of(text)
+        grams = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+        h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+        keys = {bytes([b]) + ((h[:, None] * factors[b]) >> np.uint64(20)).min(0).tobytes() for b in range(BANDS)}
+        if not keys & seen:
+            kept.append((text, y))
+        seen |= keys
+    return kept
+
+
 class Distance:
     """Differences of a text's windows under two dictionaries."""
 
@@ -82,7 +108,7 @@ class Distance:
         self.__init__(*state)
 
     def _compressor(self, content: bytes):
-        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=17, hash_log=16, chain_log=16, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
         held = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
@@ -119,7 +145,7 @@ def toxic_content(texts: list[tuple[bytes, int]]) -> bytes:
         gain = k * math.log(q / share) + ((m - k) * math.log((1 - q) / (1 - share)) if m > k else 0)
         if gain > math.log(len(hits)) + 2:
             found.append((gain, unit))
-    code = lambda u: stem_code(u[1:]) if u[:1] == b" " else stem_code(u[:STEM]) + xxhash.xxh64_digest(u)[:3]
+    code = lambda u: stem_code(u[1:]) if u[:1] == b" " else stem_code(u[:STEM]) + xxhash.xxh64_digest(u)[:WORD_BYTES]
     return b"".join(code(u) for _, u in sorted(found))[-TOXIC_BYTES:]
 
 
@@ -138,13 +164,15 @@ class Model:
     def __init__(self, sample: list[tuple[bytes, int]], counts: dict[int, int]) -> None:
         total = sum(counts.values())
         self.prior = counts.get(1, 0) / total if total else 0.5
-        fit, held = sample[::2], sample[1::2]
-        self.distance = Distance(ordinary_content(fit), toxic_content(fit))
-        y = np.array([y for _, y in held], np.float64)
+        sample = unalike(sample)
         self.weights = None
-        if min((y == 0).sum(), (y == 1).sum()) < 2:
+        y = np.array([y for half in (0, 1) for _, y in sample[half::2]], np.float64)
+        if min((y == 0).sum(), (y == 1).sum()) < 4:
             return
-        x = np.array([self.distance.features(t) for t, _ in held])
+        # each half is calibrated on the other half's dictionaries; scoring uses those of both
+        of = lambda texts: Distance(ordinary_content(texts), toxic_content(texts))
+        x = np.array([f for half in (0, 1) for d in (of(sample[1 - half :: 2]),) for f in (d.features(t) for t, _ in sample[half::2])])
+        self.distance = of(sample)
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
         x = self._design(x)
         each = np.array([(y == 0).mean(), (y == 1).mean()])
