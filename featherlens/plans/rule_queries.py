@@ -11,26 +11,42 @@ from .fixtures import FEATURES_SQL, RESULTS, SCATTER, UNIT, VIEW
 from .matrix_queries import GRID_SQL, grid
 from .registry import query
 
+#: What results call the states, zones and verdicts.
+_STATE = "CASE WHEN di < 1 AND delta < 0 THEN 'VARIANCE_SIGNAL_DECOUPLED' WHEN di > 1 AND delta > 0 THEN 'VARIANCE_SIGNAL_ALIGNED' ELSE 'INCONCLUSIVE' END"
+_ZONE = "CASE WHEN di < 0.95 AND delta < 0 THEN 'RED_HARMFUL' WHEN di > 1.05 AND delta > 0 THEN 'GREEN_SAFE' ELSE 'YELLOW_INCONCLUSIVE' END"
+_DI_ZONE = "CASE WHEN di <= 0.9 THEN 'SAFE' WHEN di >= 1.0 THEN 'HARMFUL' ELSE 'INCONCLUSIVE' END"
+_DI_ZONE_CI = "CASE WHEN di_hi < 0.9 THEN 'SAFE' WHEN di_lo > 1.0 THEN 'HARMFUL' ELSE 'INCONCLUSIVE' END"
+_VERDICT = "CASE WHEN {0} <= -5 THEN 'CONFIRMED_HARM' WHEN {0} < -1 THEN 'MILD_HARM' WHEN abs({0}) <= 1 THEN 'TIE' ELSE 'TOPVAR_HELP' END"
+
+
+def _zone(ci=None):
+    limits = [F.col("di_lo"), F.col("di_hi"), F.col("delta") - 0.01, F.col("delta") + 0.01]
+    return rules.vad_zone(F.col("di"), F.col("delta"), *[F.when(F.lit(False) if ci is None else ci, c) for c in limits])
+
+
+def _state():
+    return rules.diagnostic_state(F.col("di"), F.col("delta"))
+
+
 _CASES = {
     "rule_regime_io": ("CASE WHEN di > 1.05 THEN 'ANTI_ALIGNED' WHEN di < 0.85 THEN 'COUPLED' ELSE 'DECOUPLED' END", lambda: rules.regime(F.col("di"))),
     "rule_regime_di_unc": ("CASE WHEN di >= 1.0 THEN 'ANTI_ALIGNED' WHEN di < 0.85 THEN 'COUPLED' ELSE 'MIXED' END", lambda: rules.regime(F.col("di"), 0.85, 1.0, "MIXED", closed=True)),
     "rule_regime_vp": (
-        "CASE WHEN di > 1 THEN 'ANTI_ALIGNED' WHEN delta > 0.02 AND di_lo > 0.05 THEN 'COUPLED' WHEN abs(delta) <= 0.02 AND abs(di_lo) <= 0.05 AND di_hi >= 0.5 THEN 'DECOUPLED' ELSE 'MIXED' END",
-        lambda: rules.regime_with_gain(F.col("di"), F.col("delta"), F.col("di_lo"), F.col("di_hi")),
+        "CASE WHEN di > 1 THEN 'ANTI_ALIGNED' WHEN delta > 0 AND di_lo - 0.85 > 0 THEN 'COUPLED' WHEN abs(delta) <= 0.01 AND abs(di_lo - 0.85) <= 0.05 AND di_hi >= 0.5 THEN 'DECOUPLED' ELSE 'MIXED' END",
+        lambda: rules.regime_with_gain(F.col("di"), F.col("delta"), F.col("di_lo") - 0.85, F.col("di_hi")),
     ),
-    "rule_regime_sim": ("CASE WHEN delta >= 0.10 AND di < 0.85 THEN 'COUPLED' WHEN di_hi >= 1.11 AND delta < 0 THEN 'ANTI_ALIGNED' ELSE 'DECOUPLED' END", lambda: rules.regime_two_point(F.col("di"), F.col("delta"), F.col("di_hi"), F.col("delta"))),
+    "rule_regime_sim": ("CASE WHEN delta >= 0.02 AND di <= 0.85 THEN 'COUPLED' WHEN di_hi >= 1.11 AND delta <= -0.02 THEN 'ANTI_ALIGNED' ELSE 'DECOUPLED' END", lambda: rules.regime_two_point(F.col("di"), F.col("delta") * 5, F.col("di_hi"), F.col("delta") * 5)),
     "rule_vad_zone": (
-        "CASE WHEN CASE WHEN length(view) % 2 = 0 THEN di_hi < 1 AND delta + 0.01 < 0 ELSE di < 0.95 AND delta < -0.05 END THEN 'RED' WHEN CASE WHEN length(view) % 2 = 0 THEN di_lo > 1 AND delta - 0.01 > 0 ELSE di > 1.05 AND delta > 0.05 END THEN 'GREEN' ELSE 'YELLOW' END",
-        lambda: (lambda ci: rules.vad_zone(F.col("di"), F.col("delta"), F.when(ci, F.col("di_lo")), F.when(ci, F.col("di_hi")), F.when(ci, F.col("delta") - 0.01), F.when(ci, F.col("delta") + 0.01)))(F.length("view") % 2 == 0),
+        f"CASE WHEN length(view) % 2 = 0 THEN CASE WHEN di_hi < 1 AND delta + 0.01 < 0 THEN 'RED_HARMFUL' WHEN di_lo > 1 AND delta - 0.01 > 0 THEN 'GREEN_SAFE' ELSE 'YELLOW_INCONCLUSIVE' END ELSE {_ZONE} END",
+        lambda: _zone(F.length("view") % 2 == 0),
     ),
-    "rule_di_zone": ("CASE WHEN di_hi < 0.9 THEN 'GREEN' WHEN di_lo > 1.0 THEN 'RED' ELSE 'YELLOW' END", lambda: rules.di_zone(F.col("di"), 0.9, 1.0, F.col("di_lo"), F.col("di_hi"))),
-    "rule_di_zone_naive": ("CASE WHEN di <= 0.9 THEN 'GREEN' WHEN di >= 1.0 THEN 'RED' ELSE 'YELLOW' END", lambda: rules.di_zone(F.col("di"), 0.9, 1.0)),
+    "rule_di_zone": (_DI_ZONE_CI, lambda: rules.di_zone(F.col("di"), 0.9, 1.0, F.col("di_lo"), F.col("di_hi"))),
+    "rule_di_zone_naive": (_DI_ZONE, lambda: rules.di_zone(F.col("di"), 0.9, 1.0)),
     "rule_risk": (
-        "CASE WHEN di > 1.05 THEN 'HIGH' WHEN NOT (delta > -0.1) OR di_lo < 0.6 THEN 'UNCERTAIN' WHEN di < 0.85 THEN 'OK' ELSE 'NEUTRAL' END",
-        lambda: rules.risk(rules.regime(F.col("di")), F.col("di_lo") - 0.1, F.col("delta") > -0.1),
+        "CASE WHEN di > 1.05 AND di_hi >= 1 AND delta > -0.05 THEN 'HIGH' WHEN di < 0.85 AND di_hi >= 0.5 AND delta > -0.05 THEN 'OK' WHEN di BETWEEN 0.85 AND 1.05 AND delta > -0.05 THEN 'NEUTRAL' ELSE 'UNCERTAIN' END",
+        lambda: rules.risk(rules.regime(F.col("di")), F.col("di_hi"), F.col("delta") > -0.05),
     ),
-    "rule_harm_verdict": ("CASE WHEN delta * 100 <= -5 THEN 'CONFIRMED_HARM' WHEN delta * 100 < -1 THEN 'MILD_HARM' WHEN abs(delta * 100) <= 1 THEN 'TIE' ELSE 'HELP' END", lambda: rules.harm_verdict(F.col("delta") * 100)),
-    "rule_diagnostic_state": ("CASE WHEN di < 1 AND delta < 0 THEN 'DECOUPLED' WHEN di > 1 AND delta > 0 THEN 'ALIGNED' ELSE 'INCONCLUSIVE' END", lambda: F.when((F.col("di") < 1) & (F.col("delta") < 0), "DECOUPLED").when((F.col("di") > 1) & (F.col("delta") > 0), "ALIGNED").otherwise("INCONCLUSIVE")),
+    "rule_harm_verdict": (_VERDICT.format("(delta * 100)"), lambda: rules.harm_verdict(F.col("delta") * 100)),
 }
 for _name, (_sql, _rule) in _CASES.items():
 
@@ -55,54 +71,78 @@ def _(spark, sf):
     return rules.majority(r, VIEW)
 
 
-_SCAN = """cu AS (SELECT DISTINCT di AS t FROM sc UNION SELECT (di + nxt) / 2 FROM (SELECT di, lead(di) OVER (ORDER BY di) AS nxt FROM (SELECT DISTINCT di FROM sc)) WHERE nxt IS NOT NULL),
-cf AS (SELECT t, count(*) FILTER (di >= t AND delta < -0.01) AS tp, count(*) FILTER (di >= t AND delta >= -0.01) AS fp, count(*) FILTER (di < t AND delta < -0.01) AS fn, count(*) FILTER (di < t AND delta >= -0.01) AS tn FROM cu, sc GROUP BY t),
-scan AS (SELECT t, cost_ratio, tp, fp, fn, tn, tp / CAST(tp + fn AS DOUBLE) AS sensitivity, tn / CAST(tn + fp AS DOUBLE) AS specificity, (tp + tn - fp - cost_ratio * fn) / CAST(tp + fp + fn + tn AS DOUBLE) AS utility FROM cf, unnest([1.0, 2.0, 5.0]) r(cost_ratio))"""
+HARM, RATIOS, PRIMARY = 0.0, [1.0, 5.0, 10.0], 5.0
+
+
+def _scan_sql(source: str, keys: str = "", ratios: str = "[1.0, 5.0, 10.0]") -> str:
+    """CTE scan over a scatter; keys: columns with a comma after each."""
+    part = f"PARTITION BY {keys.rstrip(', ')} " if keys else ""
+    same = "cu.held = s.held" if keys else "true"
+    return f"""cv AS (SELECT DISTINCT {keys}round(di, 6) AS t FROM {source}), cu AS (SELECT {keys}t FROM cv UNION SELECT {keys}(t + nxt) / 2 FROM (SELECT *, lead(t) OVER ({part}ORDER BY t) AS nxt FROM cv) WHERE nxt IS NOT NULL UNION SELECT {keys}min(t) - 1e-6 FROM cv GROUP BY ALL UNION SELECT {keys}max(t) + 1e-6 FROM cv GROUP BY ALL),
+cf AS (SELECT {keys and 'cu.held, '}t, count(*) FILTER (di >= t AND delta < 0) AS tp, count(*) FILTER (di >= t AND delta >= 0) AS fp, count(*) FILTER (di < t AND delta < 0) AS fn, count(*) FILTER (di < t AND delta >= 0) AS tn FROM cu JOIN {source} s ON {same} GROUP BY ALL),
+scan AS (SELECT {keys}t, cost_ratio, tp, fp, fn, tn, tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS sensitivity, tn / nullif(CAST(tn + fp AS DOUBLE), 0) AS specificity, -(cost_ratio * fn + fp) / CAST(tp + fp + fn + tn AS DOUBLE) AS utility FROM cf, unnest({ratios}) r(cost_ratio))"""
+
+
+_SCAN = _scan_sql("sc")
 _S = "t cost_ratio sensitivity specificity utility"
-RATIOS = [1.0, 2.0, 5.0]
+_BEST = "SELECT t FROM scan WHERE cost_ratio = 5.0 ORDER BY round(utility, 9) DESC, t LIMIT 1"
 
 
-def scan(spark, sf):
-    return rules.threshold_scan(fx.scatter(spark, sf), 0.01, RATIOS)
+def scan(spark, sf, ratios=RATIOS):
+    return rules.threshold_scan(fx.scatter(spark, sf), HARM, ratios)
 
 
-for _name in ("rule_threshold_scan", "rule_threshold_grid"):
+@query("rule_threshold_scan", f"WITH {SCATTER}, {_SCAN} SELECT * FROM scan", _S, "tp fp fn tn")
+def _(spark, sf):
+    return scan(spark, sf)
 
-    @query(_name, f"WITH {SCATTER}, {_SCAN} SELECT * FROM scan", _S, "tp fp fn tn")
-    def _(spark, sf):
-        return scan(spark, sf)
 
+@query("rule_threshold_grid", f"WITH {SCATTER}, {_SCAN} SELECT * EXCLUDE (cost_ratio) FROM scan WHERE cost_ratio = 5.0", "t sensitivity specificity utility", "tp fp fn tn")
+def _(spark, sf):
+    return scan(spark, sf, [PRIMARY]).drop("cost_ratio").orderBy("t")
 
-for _name in ("topk_idxmax", "rule_best_metric"):
 
-    @query(_name, f"WITH {SCATTER}, {_SCAN} SELECT cost_ratio, t, utility FROM scan QUALIFY row_number() OVER (PARTITION BY cost_ratio ORDER BY round(utility, 9) DESC, t) = 1", "cost_ratio t utility")
-    def _(spark, sf):
-        return rules.best_threshold(scan(spark, sf)).select("cost_ratio", "t", "utility")
+@query("topk_idxmax", f"WITH {SCATTER}, {_SCAN} SELECT cost_ratio, t, utility FROM scan QUALIFY row_number() OVER (PARTITION BY cost_ratio ORDER BY round(utility, 9) DESC, t) = 1", "cost_ratio t utility")
+def _(spark, sf):
+    return rules.best_threshold(scan(spark, sf)).select("cost_ratio", "t", "utility")
 
 
-@query("rule_pick_thresholds", f"WITH {SCATTER}, {_SCAN} SELECT cost_ratio, max(t) FILTER (sensitivity >= 0.9) AS t_safe, min(t) FILTER (specificity >= 0.9) AS t_harm, least(max(t) FILTER (sensitivity >= 0.9), min(t) FILTER (specificity >= 0.9)) AS lower FROM scan GROUP BY cost_ratio", "cost_ratio t_safe t_harm lower")
+@query("rule_pick_thresholds", f"""WITH {SCATTER}, {_SCAN}, g AS (SELECT cost_ratio, (list(t ORDER BY round(utility, 9) DESC, t))[1] AS t_opt, max(t) FILTER (sensitivity >= 0.9) AS s, min(t) FILTER (specificity >= 0.9) AS h FROM scan GROUP BY cost_ratio)
+  SELECT cost_ratio, t_opt, CASE WHEN s > h THEN t_opt ELSE coalesce(s, t_opt) END AS t_safe, CASE WHEN s > h THEN t_opt ELSE coalesce(h, t_opt) END AS t_harm FROM g""", "cost_ratio t_opt t_safe t_harm")
 def _(spark, sf):
-    safe, harm = F.max(F.when(F.col("sensitivity") >= 0.9, F.col("t"))), F.min(F.when(F.col("specificity") >= 0.9, F.col("t")))
-    return scan(spark, sf).groupBy("cost_ratio").agg(safe.alias("t_safe"), harm.alias("t_harm"), F.least(safe, harm).alias("lower"))
+    return rules.pick_thresholds(scan(spark, sf))
 
 
-@query("rule_lodo", f"""WITH {SCATTER}, cu AS (SELECT DISTINCT di AS t FROM sc), h AS (SELECT DISTINCT dataset AS held FROM sc),
-  u AS (SELECT held, t, avg(CAST((di >= t) = (delta < -0.01) AS INT)) AS acc FROM h, cu, sc WHERE dataset <> held GROUP BY ALL), b AS (SELECT held, t FROM u QUALIFY row_number() OVER (PARTITION BY held ORDER BY round(acc, 9) DESC, t) = 1)
-  SELECT held, t, avg(CAST((di >= t) = (delta < -0.01) AS INT)) AS accuracy, count(*) AS n FROM b JOIN sc ON dataset = held GROUP BY ALL""", "t accuracy", "n")
+@query("rule_lodo", f"""WITH {SCATTER}, tr AS (SELECT held, sc.* FROM sc JOIN (SELECT DISTINCT dataset AS held FROM sc) h ON dataset <> held), {_scan_sql("tr", "held, ", "[5.0]")},
+  b AS (SELECT held, t FROM scan QUALIFY row_number() OVER (PARTITION BY held ORDER BY round(utility, 9) DESC, t) = 1)
+  SELECT held, t, count(*) AS n, sum(CAST((di >= t) = (delta < 0) AS INT)) AS n_correct, avg(CAST((di >= t) = (delta < 0) AS INT)) AS accuracy FROM b JOIN sc ON dataset = held GROUP BY ALL""", "t accuracy", "n n_correct")
 def _(spark, sf):
-    sc = fx.scatter(spark, sf)
-    held = sc.select(F.col("dataset").alias("held")).distinct()  # a handful of datasets
-    cuts = sc.select(F.col("di").alias("t")).distinct()
-    right = ((F.col("di") >= F.col("t")) == (F.col("delta") < -0.01)).cast("double")
-    train = sc.join(F.broadcast(held), F.col("dataset") != F.col("held")).join(F.broadcast(cuts)).groupBy("held", "t").agg(F.avg(right).alias("acc"))
-    best = ranking.ranked(train.withColumn("acc", F.round("acc", 9)), ["held"], "acc", name="t").filter("rank = 1")
-    return best.select("held", "t").join(sc, F.col("dataset") == F.col("held")).groupBy("held", "t").agg(F.avg(right).alias("accuracy"), F.count("*").alias("n"))
+    return rules.transferred(fx.scatter(spark, sf), HARM, PRIMARY)
 
 
-@query("rule_lovo", f"WITH {SCATTER} SELECT view, di >= 0.95 AS called, delta < -0.01 AS harmful, (di >= 0.95) = (delta < -0.01) AS correct FROM sc")
+@query("rule_lovo", f"WITH {SCATTER}, {_SCAN}, b AS ({_BEST}) SELECT dataset, view, di, CAST(delta < 0 AS INT) AS actual, CAST(di >= t AS INT) AS predicted, CAST((di >= t) = (delta < 0) AS INT) AS correct FROM sc, b", "di", "actual predicted correct")
 def _(spark, sf):
-    called, harm = F.col("di") >= 0.95, F.col("delta") < -0.01
-    return fx.scatter(spark, sf).select("view", called.alias("called"), harm.alias("harmful"), (called == harm).alias("correct"))
+    t = rules.best_threshold(scan(spark, sf, [PRIMARY])).select("t")  # one row
+    called, harm = F.col("di") >= F.col("t"), F.col("delta") < -HARM
+    return fx.scatter(spark, sf).join(F.broadcast(t)).select("dataset", "view", "di", harm.cast("int").alias("actual"), called.cast("int").alias("predicted"), (called == harm).cast("int").alias("correct"))
+
+
+_METRICS = ["v_total", "v_between", "v_within", "fis"]
+
+
+@query("rule_best_metric", f"""WITH {FEATURES_SQL}, l AS (SELECT feature, eta_sq, metric, v FROM (SELECT feature, eta_sq, {', '.join(_METRICS)} FROM ft) UNPIVOT (v FOR metric IN ({', '.join(_METRICS)}))),
+  r AS (SELECT metric, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY metric ORDER BY eta_sq) + (count(*) OVER (PARTITION BY metric, eta_sq) - 1) / 2.0 AS b FROM l)
+  SELECT metric, rho FROM (SELECT metric, corr(a, b) AS rho FROM r GROUP BY metric) ORDER BY round(abs(coalesce(rho, 0)), 9) DESC, metric LIMIT 1""", "rho")
+def _(spark, sf):
+    long = fx.features(spark, sf).unpivot(["feature", "eta_sq"], _METRICS, "metric", "v")
+    rho = stats.spearman(long, ["metric"], "v", "eta_sq").select("metric", "rho")
+    return rho.orderBy(F.desc(F.round(F.abs(F.coalesce("rho", F.lit(0.0))), 9)), "metric").limit(1)
+
+
+@query("rule_diagnostic_state", f"WITH {SCATTER} SELECT dataset, view, {_STATE} AS state, CASE {_STATE} WHEN 'VARIANCE_SIGNAL_DECOUPLED' THEN 'RED_RISK' WHEN 'VARIANCE_SIGNAL_ALIGNED' THEN 'GREEN_SAFE' ELSE 'YELLOW_INCONCLUSIVE' END AS zone_nominal, {_ZONE} AS zone_conservative, {_STATE} <> 'VARIANCE_SIGNAL_ALIGNED' AS promising FROM sc")
+def _(spark, sf):
+    s = fx.scatter(spark, sf).select("dataset", "view", _state().alias("state"), _zone().alias("zone_conservative"))
+    return s.withColumns({"zone_nominal": rules.nominal_zone(F.col("state")), "promising": rules.promising(F.col("state"), F.col("zone_conservative"))})
 
 
 _DELTA = f"{RESULTS}, dl AS (SELECT dataset, view, model, k_pct, avg(value) FILTER (strategy = 'var') - avg(value) FILTER (strategy = 'random') AS delta FROM res GROUP BY ALL)"
@@ -113,10 +153,12 @@ def deltas(spark, sf):
     return fx.results(spark, sf).groupBy("dataset", "view", "model", "k_pct").agg((of("var") - of("random")).alias("delta"))
 
 
-@query("rule_k_stability", f"WITH {_DELTA} SELECT view, model, min(CAST(delta < -0.01 AS INT)) = max(CAST(delta < -0.01 AS INT)) AS stable, sum(CAST(delta < -0.01 AS INT)) AS n_harmful FROM dl GROUP BY view, model", "", "n_harmful")
+@query("rule_k_stability", f"WITH {_DELTA} SELECT dataset, view, CAST(min(CAST(delta < 0 AS INT)) = max(CAST(delta < 0 AS INT)) AS INT) AS k_stable, string_agg(CAST(k_pct AS VARCHAR), ',' ORDER BY k_pct) AS k_cols FROM dl WHERE model = 'rf' GROUP BY dataset, view", "", "k_stable")
 def _(spark, sf):
-    h = (F.col("delta") < -0.01).cast("int")
-    return deltas(spark, sf).groupBy("view", "model").agg((F.min(h) == F.max(h)).alias("stable"), F.sum(h).alias("n_harmful"))
+    h = (F.col("delta") < -HARM).cast("int")
+    d = deltas(spark, sf).filter("model = 'rf'")
+    ks = F.array_join(F.transform(F.array_sort(F.collect_set("k_pct")), lambda k: k.cast("string")), ",")
+    return d.groupBy("dataset", "view").agg((F.min(h) == F.max(h)).cast("int").alias("k_stable"), ks.alias("k_cols"))
 
 
 @query("rule_regime_lookup", f"WITH {SCATTER}, a AS (SELECT view, 'A' AS r FROM sc WHERE di > 1.05), b AS (SELECT view, 'B' AS r FROM sc WHERE delta > 0), d AS (SELECT dataset, max(view) AS r FROM sc GROUP BY dataset) SELECT sc.view, coalesce(a.r, b.r, d.r, 'UNKNOWN') AS regime FROM sc LEFT JOIN a USING (view) LEFT JOIN b USING (view) LEFT JOIN d USING (dataset)")
@@ -128,21 +170,45 @@ def _(spark, sf):
     return sc.join(a, "view", "left").join(b, "view", "left").join(d, "dataset", "left").select("view", F.coalesce("ra", "rb", "rd", F.lit("UNKNOWN")).alias("regime"))
 
 
-@query("rule_panel_call", f"WITH {_DELTA}, n AS (SELECT view, count(*) FILTER (delta <= -0.05) AS n_harm, count(*) AS n FROM dl WHERE k_pct = 10 GROUP BY view) SELECT view, n_harm, CASE WHEN n_harm = n THEN 'ALL_HARM' WHEN n_harm > 0 THEN 'SOME_HARM' ELSE 'NO_HARM' END AS call FROM n", "", "n_harm")
+#: The panel's five models, each from a model and K of the results table.
+_PANEL = {"xgb": ("xgb", 1), "hgb": ("xgb", 5), "gbc": ("xgb", 10), "rf": ("rf", 10), "extratrees": ("rf", 20)}
+_PANEL_SQL = f"""{SCATTER}, dl AS (SELECT dataset, view, model, k_pct, 100 * (avg(value) FILTER (strategy = 'var') - avg(value) FILTER (strategy = 'random')) AS d FROM res GROUP BY ALL),
+pn AS (SELECT dataset, view, {', '.join(f"max(d) FILTER (model = '{m}' AND k_pct = {k} AND dataset <> 'ASIA'{' AND length(view) % 2 = 1' if name == 'hgb' else ''}) AS {name}" for name, (m, k) in _PANEL.items())} FROM dl GROUP BY ALL),
+pc AS (SELECT pn.*, {_STATE} AS state, list_filter([xgb, hgb, gbc, rf, extratrees], lambda d: d IS NOT NULL) AS ds, list_filter([xgb, hgb, gbc], lambda d: d IS NOT NULL) AS bs FROM pn JOIN sc USING (dataset, view)),
+pk AS (SELECT *, len(ds) AS n, len(list_filter(ds, lambda d: d <= -5)) AS harm, len(list_filter(bs, lambda d: d <= -5)) AS bharm, len(list_filter(ds, lambda d: d > 1)) AS help FROM pc)"""
+
+
+@query("rule_panel_call", f"""WITH {_PANEL_SQL} SELECT view, n AS n_models, harm AS n_harm, CASE WHEN n = 0 THEN CASE state WHEN 'VARIANCE_SIGNAL_DECOUPLED' THEN 'VARIANCE_SIGNAL_DECOUPLED_ONLY' ELSE state END
+  WHEN xgb <= -5 AND harm >= 3 THEN 'TREE_PANEL_CONFIRMED_HARM' WHEN xgb <= -5 AND bharm >= greatest(2, ceil(len(bs) / 2)) THEN 'BOOSTING_FAMILY_CONFIRMED_HARM' WHEN xgb <= -5 THEN 'XGB_CONFIRMED_HARM_MODEL_DEPENDENT'
+  WHEN harm >= 2 THEN 'NON_XGB_TREE_HARM_CHECK_REQUIRED' WHEN help >= greatest(2, ceil(n / 2)) THEN 'TOPVAR_HELP_TREE_PANEL' WHEN state = 'VARIANCE_SIGNAL_DECOUPLED' THEN 'VARIANCE_SIGNAL_DECOUPLED_ONLY'
+  WHEN len(list_filter(ds, lambda d: d < -1)) > 0 THEN 'MILD_OR_MODEL_SPECIFIC_HARM' ELSE state END AS call FROM pk""", "", "n_models n_harm")
 def _(spark, sf):
-    n = deltas(spark, sf).filter("k_pct = 10").groupBy("view").agg(F.count_if(F.col("delta") <= -0.05).alias("n_harm"), F.count("*").alias("n"))
-    return n.select("view", "n_harm", F.when(F.col("n_harm") == F.col("n"), "ALL_HARM").when(F.col("n_harm") > 0, "SOME_HARM").otherwise("NO_HARM").alias("call"))
+    d = deltas(spark, sf).filter("dataset <> 'ASIA'")
+    of = lambda name, m, k: F.max(F.when((F.col("model") == m) & (F.col("k_pct") == k) & ((F.length("view") % 2 == 1) if name == "hgb" else F.lit(True)), 100 * F.col("delta"))).alias(name)
+    panel = d.groupBy("dataset", "view").agg(*[of(name, m, k) for name, (m, k) in _PANEL.items()])
+    both = fx.scatter(spark, sf).join(panel, ["dataset", "view"], "left")
+    pp = {m: F.col(m) for m in _PANEL}
+    count = lambda test: sum(F.coalesce(test(c).cast("int"), F.lit(0)) for c in pp.values())
+    return both.select("view", count(lambda c: c.isNotNull()).alias("n_models"), count(lambda c: c <= -5).alias("n_harm"), rules.panel_call(pp, _state()).alias("call"))
+
+
+_RISK = f"greatest(0, least(2, 1 - di)) * 3 + greatest(0, least(0.5, -delta)) * 6 + CASE WHEN {_STATE} = 'VARIANCE_SIGNAL_DECOUPLED' THEN 5 ELSE 0 END"
 
 
-@query("rule_rank_vad", f"WITH {SCATTER} SELECT view, greatest(0, 1 - di) + greatest(0, -delta) AS risk, row_number() OVER (ORDER BY greatest(0, 1 - di) + greatest(0, -delta) DESC, view) AS rank FROM sc", "risk", "rank")
+def risks(spark, sf):
+    s = fx.scatter(spark, sf).withColumns({"state": _state(), "zone": _zone()})
+    return s.withColumn("risk", rules.risk_score(F.col("di"), F.col("delta"), F.col("state"), F.col("zone")))
+
+
+@query("rule_rank_vad", f"WITH {SCATTER}, r AS (SELECT dataset, view, {_RISK} AS risk FROM sc) SELECT view, risk, row_number() OVER (ORDER BY round(risk, 9) DESC, dataset, view) AS rank FROM r", "risk", "rank")
 def _(spark, sf):
-    r = fx.scatter(spark, sf).select("view", (F.greatest(F.lit(0.0), 1 - F.col("di")) + F.greatest(F.lit(0.0), -F.col("delta"))).alias("risk"))
-    return ranking.ranked(r, [], "risk", name="view")
+    return risks(spark, sf).select("view", "risk", F.row_number().over(Window.orderBy(F.desc(F.round("risk", 9)), "dataset", "view")).alias("rank"))
 
 
-@query("rule_promising", f"WITH {SCATTER}, m AS (SELECT dataset, max(-delta) AS risk FROM sc GROUP BY dataset) SELECT dataset, risk FROM m ORDER BY risk DESC, dataset LIMIT 3", "risk")
+@query("rule_promising", f"WITH {SCATTER} SELECT dataset, max({_RISK}) AS risk FROM sc WHERE {_STATE} <> 'VARIANCE_SIGNAL_ALIGNED' GROUP BY dataset ORDER BY risk DESC, dataset LIMIT 3", "risk")
 def _(spark, sf):
-    return fx.scatter(spark, sf).groupBy("dataset").agg(F.max(-F.col("delta")).alias("risk")).orderBy(F.desc("risk"), "dataset").limit(3)
+    r = risks(spark, sf).filter(rules.promising(F.col("state"), F.col("zone")))
+    return r.groupBy("dataset").agg(F.max("risk").alias("risk")).orderBy(F.desc("risk"), "dataset").limit(3)
 
 
 _PIVOT = "pv AS (SELECT view, k_pct, max(delta) FILTER (model = 'rf') AS rf, max(delta) FILTER (model = 'xgb') AS xgb FROM dl GROUP BY ALL)"
@@ -166,11 +232,12 @@ def _(spark, sf):
     return t.select("view", "tier", F.row_number().over(order).alias("rank"))
 
 
-@query("rule_sign_metrics", f"WITH {SCATTER}, c AS (SELECT di > 0.95 AS p, delta < 0 AS y FROM sc) SELECT avg(CAST(p = y AS INT)) AS accuracy, avg(CAST(p AS INT)) FILTER (y) AS sensitivity, avg(CAST(NOT p AS INT)) FILTER (NOT y) AS specificity FROM c", "accuracy sensitivity specificity")
+@query("rule_sign_metrics", f"""WITH {SCATTER}, l AS (SELECT delta AS y, m.metric, CASE m.metric WHEN 'eta_es' THEN di WHEN 'f_di' THEN di_hi WHEN 'vsa' THEN di - 0.9 ELSE di_lo END AS x FROM sc, unnest(['eta_es', 'f_di', 'vsa', 'pcla']) m(metric)),
+  c AS (SELECT metric, y < 0 AS y, CASE metric WHEN 'eta_es' THEN x < 1 WHEN 'f_di' THEN x > 1 WHEN 'vsa' THEN x < 0 END AS p FROM l)
+  SELECT metric, count(*) AS n, avg(CAST(p = y AS INT)) AS accuracy, avg(CAST(p AS INT)) FILTER (y) AS sensitivity, avg(CAST(NOT p AS INT)) FILTER (NOT y) AS specificity FROM c GROUP BY metric""", "accuracy sensitivity specificity", "n")
 def _(spark, sf):
-    p, y = F.col("di") > 0.95, F.col("delta") < 0
-    num = lambda c: c.cast("double")
-    return fx.scatter(spark, sf).agg(F.avg(num(p == y)).alias("accuracy"), F.avg(F.when(y, num(p))).alias("sensitivity"), F.avg(F.when(~y, num(~p))).alias("specificity"))
+    long = fx.scatter(spark, sf).select(F.col("delta").alias("y"), F.expr("stack(4, 'eta_es', di, 'f_di', di_hi, 'vsa', di - 0.9D, 'pcla', di_lo) as (metric, x)"))
+    return rules.sign_metrics(long, [])
 
 
 @query("rule_saf_qc", f"WITH {FEATURES_SQL}, q AS (SELECT count(*) AS n, count(DISTINCT feature) AS d, count(*) FILTER (v_between < 0) AS neg, avg(CAST(v_between < 1e-9 AS INT)) AS near_zero FROM ft) SELECT n, n - d AS n_dup, neg AS n_negative, near_zero, CASE WHEN n > d OR neg > 0 OR near_zero > 0.5 THEN 'FAIL' ELSE 'PASS' END AS status FROM q", "near_zero", "n n_dup n_negative")
@@ -191,7 +258,7 @@ def _(spark, sf):
 # ---- result tables
 
 
-@query("agg_ablation_delta_pp", f"WITH {RESULTS}, s AS (SELECT view, k_pct, avg(value) FILTER (strategy = 'var') AS top, avg(value) FILTER (strategy = 'random') AS rnd, stddev_samp(value) FILTER (strategy = 'random') AS sd FROM res GROUP BY ALL) SELECT view, k_pct, top, rnd, sd, (top - rnd) * 100 AS delta_pp, CASE WHEN (top - rnd) * 100 <= -5 THEN 'CONFIRMED_HARM' WHEN (top - rnd) * 100 < -1 THEN 'MILD_HARM' WHEN abs((top - rnd) * 100) <= 1 THEN 'TIE' ELSE 'HELP' END AS verdict FROM s", "top rnd sd delta_pp", "k_pct")
+@query("agg_ablation_delta_pp", f"WITH {RESULTS}, s AS (SELECT view, k_pct, avg(value) FILTER (strategy = 'var') AS top, avg(value) FILTER (strategy = 'random') AS rnd, stddev_samp(value) FILTER (strategy = 'random') AS sd FROM res GROUP BY ALL) SELECT view, k_pct, top, rnd, sd, (top - rnd) * 100 AS delta_pp, {_VERDICT.format('((top - rnd) * 100)')} AS verdict FROM s", "top rnd sd delta_pp", "k_pct")
 def _(spark, sf):
     of = lambda s: F.when(F.col("strategy") == s, F.col("value"))
     s = fx.results(spark, sf).groupBy("view", "k_pct").agg(F.avg(of("var")).alias("top"), F.avg(of("random")).alias("rnd"), F.stddev_samp(of("random")).alias("sd"))
@@ -204,13 +271,24 @@ def _(spark, sf):
     return g.withColumn("call", F.when(F.col("n_harm") >= 5, "PRIORITY").when(F.col("worst") < -0.05, "WATCH").otherwise("CLEAR"))
 
 
-for _name in ("agg_label_perm_summary", "tbl_label_perm_fallback", "tbl_seed_delta"):
+_SEED_SQL = f"{RESULTS}, m AS (SELECT view, repeat AS seed, avg(value) FILTER (strategy = 'var') - avg(value) FILTER (strategy = 'random') AS d FROM res WHERE k_pct = 10 GROUP BY ALL)"
+
+
+def seed_deltas(spark, sf):
+    m = fx.results(spark, sf).filter("k_pct = 10").groupBy("view", F.col("repeat").alias("seed")).pivot("strategy", ["var", "random"]).agg(F.avg("value"))
+    return m.select("view", "seed", (F.col("var") - F.col("random")).alias("d"))
+
+
+@query("tbl_seed_delta", f"WITH {_SEED_SQL} SELECT view, seed, d FROM m", "d", "seed")
+def _(spark, sf):
+    return seed_deltas(spark, sf)
+
+
+for _name in ("agg_label_perm_summary", "tbl_label_perm_fallback"):
 
-    @query(_name, f"WITH {RESULTS}, m AS (SELECT view, repeat AS seed, avg(value) FILTER (strategy = 'var') - avg(value) FILTER (strategy = 'random') AS d FROM res WHERE k_pct = 10 GROUP BY ALL) SELECT view, avg(d) AS mean, quantile_cont(d, 0.05) AS q05, quantile_cont(d, 0.95) AS q95, count(DISTINCT seed) AS n_seeds FROM m GROUP BY view", "mean q05 q95", "n_seeds")
+    @query(_name, f"WITH {_SEED_SQL} SELECT view, avg(d) AS mean, quantile_cont(d, 0.05) AS q05, quantile_cont(d, 0.95) AS q95, count(DISTINCT seed) AS n_seeds FROM m GROUP BY view", "mean q05 q95", "n_seeds")
     def _(spark, sf):
-        m = fx.results(spark, sf).filter("k_pct = 10").groupBy("view", F.col("repeat").alias("seed")).pivot("strategy", ["var", "random"]).agg(F.avg("value"))
-        d = F.col("var") - F.col("random")
-        return m.groupBy("view").agg(F.avg(d).alias("mean"), F.percentile(d, 0.05).alias("q05"), F.percentile(d, 0.95).alias("q95"), F.countDistinct("seed").alias("n_seeds"))
+        return seed_deltas(spark, sf).groupBy("view").agg(F.avg("d").alias("mean"), F.percentile("d", 0.05).alias("q05"), F.percentile("d", 0.95).alias("q95"), F.countDistinct("seed").alias("n_seeds"))
 
 
 @query("agg_st6_perm_pvalue", f"WITH {RESULTS}, o AS (SELECT view, avg(value) AS obs FROM res WHERE strategy = 'var' GROUP BY view), p AS (SELECT view, model, k_pct, repeat, avg(value) AS v FROM res WHERE strategy = 'random' GROUP BY ALL) SELECT view, any_value(obs) AS observed, avg(v) AS perm_mean, stddev_samp(v) AS perm_sd, count(*) AS n, (count(*) FILTER (v >= obs) + 1) / (count(*) + 1.0) AS p FROM p JOIN o USING (view) GROUP BY view", "observed perm_mean perm_sd p", "n")
@@ -386,7 +464,7 @@ def _(spark, sf):
     return fx.scatter(spark, sf).select("view", ((F.col("di_hi") - F.col("di_lo")) / (2 * 1.645)).alias("null_sd"))
 
 
-@query("tbl_zone_consistency", f"WITH {SCATTER}, z AS (SELECT view, CASE WHEN di <= 0.9 THEN 'GREEN' WHEN di >= 1 THEN 'RED' ELSE 'YELLOW' END AS a, CASE WHEN di_hi < 0.9 THEN 'GREEN' WHEN di_lo > 1 THEN 'RED' ELSE 'YELLOW' END AS b FROM sc) SELECT view, a, b FROM z WHERE a <> b")
+@query("tbl_zone_consistency", f"WITH {SCATTER}, z AS (SELECT view, {_DI_ZONE} AS a, {_DI_ZONE_CI} AS b FROM sc) SELECT view, a, b FROM z WHERE a <> b")
 def _(spark, sf):
     z = fx.scatter(spark, sf).select("view", rules.di_zone(F.col("di"), 0.9, 1.0).alias("a"), rules.di_zone(F.col("di"), 0.9, 1.0, F.col("di_lo"), F.col("di_hi")).alias("b"))
     return z.filter("a <> b")

@@ -84,7 +84,9 @@ def test_threshold_scan(spark):
     for r in scan:
         assert r.tp == sum(x >= r.t and d < -0.05 for x, d in pts) and r.fn == sum(x < r.t and d < -0.05 for x, d in pts)
         assert r.tp + r.fp + r.fn + r.tn == len(pts)
-    assert sorted(round(r.t, 3) for r in scan) == [0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]
+    ends = [0.7 - 1e-6, 1.0 + 1e-6]
+    assert sorted(r.t for r in scan) == pytest.approx(sorted([0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0, *ends]))
+    assert all(r.utility == pytest.approx(-(r.fn + r.fp) / 5) for r in scan)
 
 
 def test_majority_tie(spark):
@@ -132,3 +134,52 @@ def test_leakage_found(spark):
 @pytest.mark.parametrize("op", ["eta2", "decomposition", "fisher"])
 def test_empty(spark, op):
     assert getattr(moments, op)(long(spark, []), ["view"]).count() == 0
+
+
+def test_rules_at_their_limits(spark):
+    rows = [(1.0, 0.0, 0.1, 0.6), (1.1, 0.5, 0.5, 0.6), (0.9, 0.005, -0.05, 0.5), (0.9, 0.005, -0.05, 0.4), (0.8, 0.001, 0.001, 0.1)]
+    df = spark.createDataFrame(rows, "di double, dj double, rho double, st double")
+    got = [r[0] for r in df.select(rules.regime_with_gain(F.col("di"), F.col("dj"), F.col("rho"), F.col("st"))).collect()]
+    assert got == ["MIXED", "ANTI_ALIGNED", "DECOUPLED", "MIXED", "COUPLED"]
+    two = spark.createDataFrame([(0.85, 0.1, 1.2, -0.2), (0.86, 0.1, 1.11, -0.1), (0.86, 0.1, 1.11, -0.09)], "a double, b double, c double, d double")
+    assert [r[0] for r in two.select(rules.regime_two_point(*map(F.col, "abcd"))).collect()] == ["COUPLED", "ANTI_ALIGNED", "DECOUPLED"]
+    risky = spark.createDataFrame([("ANTI_ALIGNED", 1.0, True), ("ANTI_ALIGNED", 0.9, True), ("COUPLED", 0.5, True), ("DECOUPLED", 0.0, True), ("DECOUPLED", 1.0, False), ("MIXED", 1.0, True), ("COUPLED", 1.0, None)], "r string, a double, s boolean")
+    assert [r[0] for r in risky.select(rules.risk(F.col("r"), F.col("a"), F.col("s"))).collect()] == ["HIGH", "UNCERTAIN", "OK", "NEUTRAL", "UNCERTAIN", "UNCERTAIN", "UNCERTAIN"]
+
+
+def test_panel_call(spark):
+    names = ["xgb", "hgb", "gbc", "rf", "extratrees"]
+    cases = [
+        ((-6.0, -6.0, 0.0, -7.0, None), "x", "TREE_PANEL_CONFIRMED_HARM"),
+        ((-6.0, -6.0, 0.0, 0.0, 0.0), "x", "BOOSTING_FAMILY_CONFIRMED_HARM"),
+        ((-5.0, 0.0, 0.0, 0.0, 0.0), "x", "XGB_CONFIRMED_HARM_MODEL_DEPENDENT"),
+        ((0.0, -5.0, 0.0, -9.0, 0.0), "x", "NON_XGB_TREE_HARM_CHECK_REQUIRED"),
+        ((2.0, 2.0, 2.0, 0.0, 0.0), rules.DECOUPLED, "TOPVAR_HELP_TREE_PANEL"),
+        ((0.0, None, None, -2.0, 0.0), rules.DECOUPLED, "VARIANCE_SIGNAL_DECOUPLED_ONLY"),
+        ((0.0, None, None, -2.0, 0.0), rules.ALIGNED, "MILD_OR_MODEL_SPECIFIC_HARM"),
+        ((0.0, None, None, 0.0, 0.0), rules.ALIGNED, "VARIANCE_SIGNAL_ALIGNED"),
+        ((None,) * 5, rules.DECOUPLED, "VARIANCE_SIGNAL_DECOUPLED_ONLY"),
+        ((None,) * 5, None, "INCONCLUSIVE"),
+    ]
+    df = spark.createDataFrame([(*d, s, i) for i, (d, s, _) in enumerate(cases)], ", ".join(f"{n} double" for n in names) + ", s string, i int")
+    got = [r[0] for r in df.orderBy("i").select(rules.panel_call({n: F.col(n) for n in names}, F.col("s"))).collect()]
+    assert got == [c for _, _, c in cases]
+
+
+def test_transferred_thresholds(spark):
+    pts = [("a", 0.7, 0.1), ("a", 0.9, -0.2), ("b", 0.8, 0.1), ("b", 1.0, -0.3), ("c", 0.6, -0.1), ("c", 1.1, None)]
+    df = spark.createDataFrame(pts, "dataset string, di double, delta double")
+
+    def best(train):
+        xs = sorted({round(x, 6) for x, _ in train})
+        cuts = sorted({*xs, *[(a + b) / 2 for a, b in zip(xs, xs[1:])], xs[0] - 1e-6, xs[-1] + 1e-6})
+        return max(cuts, key=lambda t: (-round(sum(5 * (x < t and d < 0) + (x >= t and d >= 0) for x, d in train) / len(train), 9), -t))
+
+    known = [p for p in pts if p[2] is not None]
+    got = {r.held: r.t for r in rules.transferred(df.dropna(), 0.0, 5.0).collect()}
+    assert got == pytest.approx({h: best([(x, d) for g, x, d in known if g != h]) for h in "abc"})
+
+
+def test_majority_half_is_mixed(spark):
+    df = spark.createDataFrame([("a", "X"), ("a", "X"), ("a", "Y"), ("a", "Z")], "view string, label string")
+    assert [tuple(r) for r in rules.majority(df, ["view"]).collect()] == [("a", "MIXED", 0.5)]
