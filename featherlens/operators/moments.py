@@ -38,7 +38,8 @@ def eta2(values: DataFrame, keys: list[str], weights: str = "rows") -> DataFrame
     """v_total, v_between, v_within, eta_sq by keys and feature.
 
     Everything follows from class moments, so the matrix is aggregated once: total variance is the pooled second moment.
-    weights: 'rows' counts missing values in the class weights, 'observed' doesn't.
+    weights: 'rows' counts missing values in the class weights, 'observed' doesn't. A feature without any value has
+    NULL moments and an eta_sq of 0.
     """
     c = class_moments(values, keys)
     by = [*keys, "feature"]
@@ -46,12 +47,14 @@ def eta2(values: DataFrame, keys: list[str], weights: str = "rows") -> DataFrame
     overall = c.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(w).alias("weight"), (F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("mean"))
     j = c.join(overall.withColumnsRenamed({"n": "n_all"}), by)
     gap = (F.col("mu") - F.col("mean")) ** 2
-    out = j.groupBy(*by).agg(
-        (F.sum(F.col("n") * (F.col("var_pop") + gap)) / F.first("n_all")).alias("v_total"),
-        F.sum(w / F.col("weight") * gap).alias("v_between"),
-        F.sum(w / F.col("weight") * F.col("var_pop")).alias("v_within"),
-    )
-    return out.withColumn("eta_sq", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v_between") / (F.col("v_total") + EPS))))
+    share = F.try_divide(w, F.col("weight"))
+    parts = {
+        "v_total": F.try_divide(F.sum(F.col("n") * (F.col("var_pop") + gap)), F.first("n_all")),
+        "v_between": F.sum(share * gap),
+        "v_within": F.sum(share * F.col("var_pop")),
+    }
+    out = j.groupBy(*by).agg(*[c.alias(n) for n, c in parts.items()])
+    return out.withColumn("eta_sq", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("v_between") / (F.col("v_total") + EPS), F.lit(0.0)))))
 
 
 def decomposition(values: DataFrame, keys: list[str]) -> DataFrame:

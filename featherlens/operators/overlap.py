@@ -44,9 +44,9 @@ def di(j: Column, q: Column) -> Column:
 
 
 def di_stable(j: Column, q: Column) -> Column:
-    """The same without cancellation: (1 - J) / (1 - J_rand)."""
+    """The same without cancellation: (1 - J) / (1 - J_rand); 0, not 1, where nothing is left to gain."""
     r = j_rand(q)
-    return F.when(1 - r <= 0, 1.0).otherwise((1 - j) / (1 - r))
+    return F.when(1 - r <= 0, 0.0).otherwise((1 - j) / (1 - r))
 
 
 def k_grid(joined: DataFrame, keys: list[str], v_rank: str, p_rank: str, k_pcts: list[int], k_rule: str = "floor", q_rule: str = "nominal", empty: float | None = 1.0) -> DataFrame:
@@ -58,10 +58,16 @@ def k_grid(joined: DataFrame, keys: list[str], v_rank: str, p_rank: str, k_pcts:
     q = F.col("k_pct") / 100.0 if q_rule == "nominal" else F.col("k_n") / F.col("n")
     j, q = F.col("j_obs"), F.col("q")
     return out.withColumn("q", F.col("k_pct") / 100.0 if q_rule == "nominal" else F.col("k_n") / F.col("n")).withColumns(
-        {"j_rand": j_rand(q), "delta_j": delta_j(j, q), "tilde_j": j_tilde(j, q), "di": di_stable(j, q)}
+        {"j_rand": j_rand(q), "delta_j": delta_j(j, q), "tilde_j": j_tilde(j, q), "di": di(j, q)}
     )
 
 
+def f_di(joined: DataFrame, keys: list[str], v_rank: str, p_rank: str, k_pct: int) -> DataFrame:
+    """keys, f_di: DI with the realised share; 0 if all features are in, NULL for fewer than three."""
+    g = k_grid(joined, keys, v_rank, p_rank, [k_pct], q_rule="realised")
+    return g.select(*keys, F.when(F.col("n") < 3, None).when(F.col("k_n") >= F.col("n"), 0.0).otherwise(F.col("di")).alias("f_di"))
+
+
 def trapezoid(curve: DataFrame, keys: list[str], x: str, y: str, out: str = "auc") -> DataFrame:
     """Area under y over x by neighbours; NULL for fewer than two points."""
     w = Window.partitionBy(*keys).orderBy(x)

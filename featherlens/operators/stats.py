@@ -25,12 +25,12 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str, method: str = "av
 
 
 def vsa(features: DataFrame, keys: list[str], k_pct: int, k_rule: str = "floor") -> DataFrame:
-    """Mann-Whitney AUROC of eta_sq, top-K by variance against the rest, less one half; 0 if no rest is left."""
+    """Mann-Whitney AUROC of eta_sq, top-K by variance against the rest, less one half; 0 if no rest is left, NULL for fewer than three features."""
     n = F.count("*").over(Window.partitionBy(*keys))
     rows = features.withColumns({"_top": rank_column(keys, "v_total") <= k_count(n, F.lit(k_pct), k_rule), "_r": rank_column(keys, "eta_sq", "average", descending=False)})
     n1, n0 = F.count_if("_top"), F.count_if(~F.col("_top"))
     u = F.sum(F.when(F.col("_top"), F.col("_r"))) - n1 * (n1 + 1) / 2
-    return rows.groupBy(*keys).agg(F.when(n0 == 0, 0.0).otherwise(F.try_divide(u, n1 * n0) - 0.5).alias("vsa"))
+    return rows.groupBy(*keys).agg(F.when(n1 + n0 < 3, None).when(n0 == 0, 0.0).otherwise(F.try_divide(u, n1 * n0) - 0.5).alias("vsa"))
 
 
 def eta_enrichment(features: DataFrame, keys: list[str], k_pct: int, k_rule: str = "floor", eps: float = 1e-12) -> DataFrame:

@@ -40,7 +40,7 @@ def _(spark, sf):
 def _(spark, sf):
     data, names = _data(spark, sf)
     model = learn.RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(data)
-    return learn.mean_abs_shap(model, data.filter("sample_id % 10 = 0") if data.count() > 500 else data, names)
+    return learn.mean_abs_shap(model, data, names)
 
 
 @query("ml_ablation_view")

@@ -345,10 +345,12 @@ def _(spark, sf):
     return folds.confusion_metrics(predictions(spark, sf), ["group_id"]).select("group_id", "balanced_accuracy")
 
 
-@query("ml_auroc_guard", f"WITH {EMB}, r AS (SELECT feature, group_id, label = 0 AS f, rank() OVER (PARTITION BY feature, group_id ORDER BY x) + (count(*) OVER (PARTITION BY feature, group_id, x) - 1) / 2.0 AS k FROM emb WHERE sample_id < 40), s AS (SELECT feature, group_id, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n0, sum(k) FILTER (f) AS w FROM r GROUP BY ALL) SELECT feature, group_id, CASE WHEN n1 = 0 OR n0 = 0 THEN NULL ELSE (w - n1 * (n1 + 1) / 2.0) / (n1 * n0) END AS auroc FROM s", "auroc")
+@query("ml_auroc_guard", f"WITH {EMB}, r AS (SELECT feature, group_id, label = 0 AS f, rank() OVER (PARTITION BY feature, group_id ORDER BY x) + (count(*) OVER (PARTITION BY feature, group_id, x) - 1) / 2.0 AS k FROM (SELECT * REPLACE (sample_id // 5 AS group_id) FROM emb)), s AS (SELECT feature, group_id, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n0, sum(k) FILTER (f) AS w FROM r GROUP BY ALL) SELECT feature, group_id, CASE WHEN n1 = 0 OR n0 = 0 THEN NULL ELSE (w - n1 * (n1 + 1) / 2.0) / (n1 * n0) END AS auroc_or_null, coalesce(auroc_or_null, 0.5) AS auroc FROM s", "auroc auroc_or_null")
 def _(spark, sf):
-    rows = fx.emb(spark, sf).filter("sample_id < 40").select("feature", "group_id", "x", (F.col("label") == 0).alias("f"))
-    return stats.mann_whitney(rows, ["feature", "group_id"], "x", "f").select("feature", "group_id", "auroc")
+    # groups of five samples: many hold one class only, which has no AUROC
+    rows = fx.emb(spark, sf).select("feature", F.floor(F.col("sample_id") / 5).alias("group_id"), "x", (F.col("label") == 0).alias("f"))
+    u = stats.mann_whitney(rows, ["feature", "group_id"], "x", "f")
+    return u.select("feature", "group_id", F.coalesce("auroc", F.lit(0.5)).alias("auroc"), F.col("auroc").alias("auroc_or_null"))
 
 
 @query("mat_ari_nmi", f"""WITH {SAMPLES}, pr AS (SELECT label AS a, (label + CASE WHEN sample_id % 4 = 0 THEN 1 ELSE 0 END) % 10 AS b FROM samples), c AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM pr GROUP BY ALL),
@@ -379,7 +381,7 @@ def vad_long(spark, sf):
     ranks = ranking.ranked(ranking.ranked(ft, keys, "v_total", out="v_rank"), keys, "eta_sq", out="eta_rank")
     out = stats.eta_enrichment(ft, keys, 10).select(*keys, "eta_es").join(stats.vsa(ft, keys, 10), keys)
     out = out.join(stats.spearman(ft, keys, "v_total", "eta_sq").select(*keys, F.col("rho").alias("alpha_prime")), keys)
-    return out.join(overlap.k_grid(ranks, keys, "v_rank", "eta_rank", [10], q_rule="realised").select(*keys, F.col("di").alias("f_di")), keys)
+    return out.join(overlap.f_di(ranks, keys, "v_rank", "eta_rank", 10), keys)
 
 
 for _name in ("agg_vad_bundle", "agg_vad_fold_metrics"):

@@ -183,3 +183,19 @@ def test_transferred_thresholds(spark):
 def test_majority_half_is_mixed(spark):
     df = spark.createDataFrame([("a", "X"), ("a", "X"), ("a", "Y"), ("a", "Z")], "view string, label string")
     assert [tuple(r) for r in rules.majority(df, ["view"]).collect()] == [("a", "MIXED", 0.5)]
+
+
+def test_feature_without_values(spark):
+    rows = [(i, "none", None, i % 2) for i in range(4)] + [(i, "some", float(i), i % 2) for i in range(4)]
+    got = {r.feature: r for r in moments.eta2(long(spark, rows), ["view"]).collect()}
+    assert (got["none"].v_total, got["none"].v_between, got["none"].eta_sq) == (None, None, 0.0)
+    assert got["some"].eta_sq == pytest.approx(0.2)
+
+
+def test_index_of_all_features(spark):
+    rows = [("v", f"f{i}", i, 4 - i) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "view string, feature string, a long, b long")
+    grid = {r.k_pct: r.di for r in overlap.k_grid(df, ["view"], "a", "b", [34, 100]).collect()}
+    assert grid[100] == 1.0 and grid[34] > 1  # nothing left to gain is not below chance
+    assert overlap.f_di(df, ["view"], "a", "b", 100).first().f_di == 0.0
+    assert overlap.f_di(df.limit(2), ["view"], "a", "b", 10).first().f_di is None
