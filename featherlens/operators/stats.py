@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import normal_two_sided, student_two_sided
 from .ranking import k_count, rank_column
 
 
@@ -24,6 +25,14 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str, method: str = "av
     return ranks.groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col("_a"), F.col("_b")).alias("rho"))
 
 
+def spearman_p(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, n, rho, p: two-sided by Student's t with n - 2 degrees; 0 for a perfect order, NULL for fewer than three rows."""
+    r = spearman(rows, keys, a, b)
+    rho, df = F.col("rho"), F.col("n") - 2
+    t = rho * F.sqrt(F.try_divide(df, F.greatest(1 - rho * rho, F.lit(0.0))))
+    return r.withColumn("p", F.when(F.abs(rho) >= 1 - 1e-15, 0.0).otherwise(student_two_sided(t, df)))
+
+
 def vsa(features: DataFrame, keys: list[str], k_pct: int, k_rule: str = "floor") -> DataFrame:
     """Mann-Whitney AUROC of eta_sq, top-K by variance against the rest, less one half; 0 if no rest is left, NULL for fewer than three features."""
     n = F.count("*").over(Window.partitionBy(*keys))
@@ -129,3 +138,31 @@ def mann_whitney(rows: DataFrame, keys: list[str], x: str, flag: str) -> DataFra
     u = F.sum(F.when(F.col(flag), F.col("_r"))) - n1 * (n1 + 1) / 2
     z = F.try_divide(u - n1 * n0 / 2, F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12))
     return r.groupBy(*keys).agg(u.alias("u"), F.try_divide(u, n1 * n0).alias("auroc"), z.alias("z"))
+
+
+def mann_whitney_p(rows: DataFrame, keys: list[str], x: str, flag: str) -> DataFrame:
+    """keys, u, auroc, p: two-sided normal approximation with corrections for ties and continuity; NULL for an empty side."""
+    u = mann_whitney(rows, keys, x, flag).select(*keys, "u", "auroc")
+    # ties: sum of t**3 - t over the values, from counts of each value
+    same = rows.groupBy(*keys, x).agg(F.count("*").cast("double").alias("t"), F.count_if(flag).alias("f"))
+    ties = same.groupBy(*keys).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("_ties"), F.sum("t").alias("_n"), F.sum("f").cast("double").alias("_n1"))
+    n, n1 = F.col("_n"), F.col("_n1")
+    n0 = n - n1
+    variance = n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1)))
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - n1 * n0 / 2) - 0.5, F.lit(0.0)), F.sqrt(variance))
+    return u.join(ties, keys).select(*keys, "u", "auroc", normal_two_sided(F.when((n1 > 0) & (n0 > 0), z)).alias("p"))
+
+
+def class_robustness(values: DataFrame, keys: list[str], a, b) -> DataFrame:
+    """Of classes a and b of each feature: medians, 10 and 90 % quantiles, rank test, and the largest distance from the own
+    class's mean in mean class deviations."""
+    two = values.filter(F.col("label").isin(a, b) & F.col("x").isNotNull()).withColumn("_b", F.col("label") == b)
+    by = [*keys, "feature"]
+    far = F.abs(F.col("x") - F.avg("x").over(Window.partitionBy(*by, "label")))
+    xa, xb = F.when(~F.col("_b"), F.col("x")), F.when(F.col("_b"), F.col("x"))
+    q = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
+    sd = (F.stddev_samp(xa) + F.stddev_samp(xb)) / 2
+    s = two.withColumn("_far", far).groupBy(*by).agg(F.percentile(xa, q).alias("qa"), F.percentile(xb, q).alias("qb"), (F.max("_far") / F.nullif(sd, F.lit(0.0))).alias("outlier_score"))
+    names = {"q10": 0, "median": 1, "q90": 2}
+    cols = [F.col(f"q{side}")[i].alias(f"{n}_{side}") for side in "ab" for n, i in names.items()]
+    return s.select(*by, *cols, "outlier_score").join(mann_whitney_p(two, by, "x", "_b"), by)

@@ -103,3 +103,27 @@ def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert: of rows with the same keys the newest stays."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)), allowMissingColumns=True)
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_v")))).filter("_n = 1").drop("_n", "_v")
+
+
+def impute_by_policy(values: DataFrame, keys: list[str], policy: dict[str, str], default: str = "zero", limit: float = 0.3) -> DataFrame:
+    """Features with more than limit missing go; the rest is filled as the view's policy says: 'median', 'mean' or 'zero'."""
+    x = clean(F.col("x"))
+    f = values.groupBy(*keys, "feature").agg(F.avg(x.isNull().cast("double")).alias("_missing"), F.percentile(x, 0.5).alias("_median"), F.avg(x).alias("_mean"))
+    how = F.lit(default)
+    for view, method in sorted(policy.items()):
+        how = F.when(F.col("view") == view, method).otherwise(how)
+    fill = F.when(how == "median", F.col("_median")).when(how == "mean", F.col("_mean")).otherwise(0.0)
+    kept = f.filter(F.col("_missing") <= limit).select(*keys, "feature", F.coalesce(fill, F.lit(0.0)).alias("_fill"))
+    return values.join(kept, [*keys, "feature"]).withColumn("x", F.coalesce(x, "_fill")).drop("_fill")
+
+
+def m_values_where_shares(values: DataFrame, keys: list[str]) -> DataFrame:
+    """M-values for the matrices whose values all lie in 0..1; others as they are."""
+    ends = values.groupBy(*keys).agg(((F.min("x") >= 0) & (F.max("x") <= 1)).alias("_share"))  # one row a matrix
+    return values.join(ends, keys).withColumn("x", F.when(F.col("_share"), m_value(F.col("x"))).otherwise(F.col("x"))).drop("_share")
+
+
+def projected(df: DataFrame, columns: list[str], least: int) -> DataFrame:
+    """Those of columns that df has; no rows if they are fewer than least."""
+    have = [c for c in columns if c in df.columns]
+    return df.select(*have) if len(have) >= least else df.select(*have).limit(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, learn, ranking, simulate
+from ..operators import folds, learn, ranking, simulate, stats
 from ..streaming import moments as running
 from . import fixtures as fx
 from .registry import query
@@ -26,10 +26,25 @@ def _oof(name, learner):
         return folds.confusion_metrics(rows, ["repeat"])
 
 
-for _name, _learner in (("ml_baselines", "logistic"), ("ml_oof", "dummy"), ("ml_rf", "rf"), ("ml_linearsvc", "linear_svc"), ("ml_xgb", "gbt")):
+for _name, _learner in (("ml_baselines", "logistic"), ("ml_dummy", "dummy"), ("ml_rf", "rf"), ("ml_linearsvc", "linear_svc"), ("ml_xgb", "gbt")):
     _oof(_name, _learner)
 
 
+@query("ml_oof")
+def _(spark, sf):
+    return learn.out_of_fold(_data(spark, sf)[0], folds.stratified(fx.samples(spark, sf), 2, 2, 9), "logistic")
+
+
+@query("stat_spearman_p")
+def _(spark, sf):
+    return stats.spearman_p(fx.features(spark, sf), fx.VIEW, "v_total", "eta_sq")
+
+
+@query("stat_mann_whitney_p")
+def _(spark, sf):
+    return stats.class_robustness(fx.emb(spark, sf), fx.VIEW, 0, 1)
+
+
 @query("ml_tree_driver")
 def _(spark, sf):
     data, names = _data(spark, sf)

@@ -470,14 +470,7 @@ def _(spark, sf):
     return z.filter("a <> b")
 
 
-for _name in ("tbl_validate_claims", "agg_count_views", "tbl_supp_values"):
-
-    @query(_name, f"WITH {SCATTER} SELECT count(*) AS n_views, count(*) FILTER (di > 1.05) AS n_anti, count(*) FILTER (di < 0.85) AS n_coupled, min(di) AS di_min, max(di) AS di_max, abs(min(delta) - -0.1) <= 0.15 AS worst_close FROM sc", "di_min di_max", "n_views n_anti n_coupled")
-    def _(spark, sf):
-        return fx.scatter(spark, sf).agg(F.count("*").alias("n_views"), F.count_if(F.col("di") > 1.05).alias("n_anti"), F.count_if(F.col("di") < 0.85).alias("n_coupled"), F.min("di").alias("di_min"), F.max("di").alias("di_max"), (F.abs(F.min("delta") - -0.1) <= 0.15).alias("worst_close"))
-
-
-for _name in ("tbl_cross_table", "tbl_view_consistency", "set_except", "join_feature_set_equality"):
+for _name in ("set_except", "join_feature_set_equality"):
 
     @query(_name, "SELECT name, side FROM (SELECT n_name AS name, 'left_only' AS side FROM nation WHERE n_nationkey % 3 <> 0 EXCEPT SELECT n_name, 'left_only' FROM nation WHERE n_nationkey % 2 = 0) UNION ALL (SELECT n_name, 'right_only' FROM nation WHERE n_nationkey % 2 = 0 EXCEPT SELECT n_name, 'right_only' FROM nation WHERE n_nationkey % 3 <> 0)")
     def _(spark, sf):
@@ -492,8 +485,10 @@ def _(spark, sf):
     return fx.table(spark, sf, "nation").select("n_name", resample.unit(F.col("n_name")).alias("u"))
 
 
-@query("stat_fit_band", f"WITH {SCATTER} SELECT dataset, regr_slope(delta, di) AS slope, regr_intercept(delta, di) AS intercept, corr(di, delta) AS r FROM sc GROUP BY dataset", "slope intercept r")
-def _(spark, sf):
-    s = fx.scatter(spark, sf)
-    fit = s.groupBy("dataset").agg(*stats.ols(F.col("di"), F.col("delta"))[1:3], stats.pearson(F.col("di"), F.col("delta")).alias("r"))
-    return fit
+_DRAWN = "concat_ws('|', 6, draw, i)"
+_BOOT_FIT = f"nb AS (SELECT *, row_number() OVER (ORDER BY view) AS i, count(*) OVER () AS m FROM sc), bt AS (SELECT draw, CAST(floor(({UNIT.format(_DRAWN)}) * m) + 1 AS INT) AS i FROM nb, range(0, 500) t(draw)), bf AS (SELECT draw, regr_intercept(delta, di) AS a, regr_slope(delta, di) AS b FROM bt JOIN nb USING (i) GROUP BY draw)"
+
+
+def boot_lines(scatter):
+    """intercept and slope of 500 bootstrap draws of the scatter."""
+    return resample.bootstrap(scatter, [], 500, 6, "view").groupBy("draw").agg(*stats.ols(F.col("di"), F.col("delta"))[1:3])

@@ -178,14 +178,6 @@ for _name in ("proj_split_key", "proj_vp_filename", "scan_glob_union_with_filena
         return path.select("n_nationkey", part(1).alias("dataset"), part(2).alias("view"))
 
 
-for _name in ("scan_discover_vp_records", "fn_categorical_top", "agg_kind_inference"):
-
-    @query(_name, "SELECT p_type AS level, count(*) AS n, count(DISTINCT p_brand) AS n_brands FROM part GROUP BY p_type ORDER BY n DESC, level LIMIT 5", "", "n n_brands")
-    def _(spark, sf):
-        g = fx.table(spark, sf, "part").groupBy(F.col("p_type").alias("level")).agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("n_brands"))
-        return g.orderBy(F.desc("n"), "level").limit(5)
-
-
 @query("scan_di_values", f"WITH {SCATTER}, a AS (SELECT view, di AS a FROM sc WHERE di > 1), b AS (SELECT view, di_lo AS b FROM sc WHERE delta > 0) SELECT sc.view, coalesce(a, b, di_hi) AS di FROM sc LEFT JOIN a USING (view) LEFT JOIN b USING (view)", "di")
 def _(spark, sf):
     s = fx.scatter(spark, sf)
@@ -324,7 +316,7 @@ def _(spark, sf):
 _COLS = ["p_size", "p_retailprice"]
 
 
-for _name in ("agg_profile_columns", "scan_chunked_stream", "tbl_schema_audit"):
+for _name in ("agg_profile_columns", "scan_chunked_stream"):
 
     @query(_name, " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n, count({c}) AS n_present, count(DISTINCT {c}) AS n_distinct, min({c}) AS lo, max({c}) AS hi, avg({c}) AS mean, stddev_samp({c}) AS sd, quantile_cont({c}, 0.5) AS median FROM part" for c in _COLS), "lo hi mean sd median", "n n_present n_distinct")
     def _(spark, sf):

@@ -103,3 +103,11 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.format("binaryFile").load(path)
     head = F.lower(F.decode(F.substring("content", 1, 512), "ISO-8859-1"))
     return f.select("path", "length", F.sha2("content", 256).alias("sha256"), (F.hex(F.substring("content", 1, 2)) == "1F8B").alias("is_gzip"), (head.contains("<html") | head.contains("accessdenied")).alias("looks_like_error"))
+
+
+def magic_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """path, is_gzip, looks_like_html of each file, from its first bytes."""
+    head = F.col("content").substr(1, 512)
+    text = F.lower(head.cast("string"))
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", (F.hex(F.col("content").substr(1, 2)) == "1F8B").alias("is_gzip"), (text.contains("<html") | text.contains("<!doctype")).alias("looks_like_html"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +39,12 @@ def remaining(work: DataFrame, done_path: str, keys: list[str]) -> DataFrame:
     """The units of work that have no output yet."""
     spark = work.sparkSession
     return work.join(spark.read.parquet(done_path).select(*keys).distinct(), keys, "left_anti") if exists(spark, done_path) else work
+
+
+def workspace(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that driver and executors share; a temporary one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="featherlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
