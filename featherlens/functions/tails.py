@@ -41,6 +41,10 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, part, 1 - part)))
 
 
+def normal_tails(z: np.ndarray) -> np.ndarray:
+    return _erfc(np.abs(z) / math.sqrt(2)).astype(np.float64)
+
+
 def student_two_sided(t: Column, df: Column) -> Column:
     """P(|T| >= |t|) with df degrees of freedom; NULL without either or for no degrees."""
 
@@ -59,7 +63,7 @@ def normal_two_sided(z: Column) -> Column:
     @F.pandas_udf("double")
     def tail(z: pd.Series) -> pd.Series:
         ok = z.notna().to_numpy()
-        p = _erfc(np.abs(np.where(ok, z, 0.0)) / math.sqrt(2)).astype(np.float64)
+        p = normal_tails(np.where(ok, z, 0.0).astype(np.float64))
         return pd.Series(np.where(ok, p, np.nan)).replace({np.nan: None}).astype("Float64")
 
     return tail(z.cast("double"))
