@@ -23,14 +23,21 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder once and reads it back, so that lineage ends here and nothing is computed twice."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Deletes what cut() wrote for df, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

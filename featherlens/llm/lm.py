@@ -14,7 +14,9 @@ once; each distinct training word counts once, as spelling matters for rare word
 Words. The spelled probability is interpolated with the word's share of all training words and its share in its class,
 by weights for each class that are refined by leave-one-out expectation maximisation over all training words. The class
 of a word is the most likely of CLASSES word mixtures given the words before it in the text (languages and topics, in
-effect); the mixtures only choose a context and are fitted on a bounded sample of about SAMPLE training documents.
+effect). The mixtures only choose a context; they are fitted on all training documents of any length, each pass summing
+words by class over all of them. They know the CLASS_WORDS best spread words that are in two training documents or more,
+as the table is broadcast.
 
 So a corpus is first reduced to (class, word, count), by a combine in each task and a shuffle; that table grows with the
 corpus and holds every word of every document. The tables of slots, weights and the last stage are of fixed size and
@@ -38,11 +40,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, raw_bytes
-from .labelled import MAX_FIT_BYTES
+from .common import crc_mod, cut, drop_cut, raw_bytes
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
@@ -51,8 +53,13 @@ ORDERS = (2, 3, 5)
 N_CTX = len(ORDERS) + 1
 #: Most frequent words that are broadcast to score texts.
 HEAD = 200_000
-#: Word mixtures that serve as context, the words they know, and the training documents they are fitted on.
-CLASSES, CLASS_WORDS, SAMPLE, EM_STEPS = 8, 3000, 4000, 5
+#: Word mixtures that serve as context, the most words they know (best spread first), and steps of the interpolation.
+CLASSES, CLASS_WORDS, EM_STEPS = 8, 200_000, 5
+#: Documents that a word must be in to tell classes apart (one alone links no documents), and what its count in one stops at.
+LEAST_SPREAD, MOST = 2, 20
+LOG1P = np.log1p(np.arange(MOST + 1))
+#: Words of documents that a task of a pass reads.
+PASS_WORDS = 3_000_000
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 250_000
 CHUNK = 1 << 16
@@ -233,44 +240,176 @@ class Mixer:
         return np.concatenate(out) if out else np.zeros(0)
 
 
+class Pack:
+    """Word numbers and counts of some documents, each with a known word at least."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
+        """ids, counts: of all documents after one another; sizes: words of each; keys: a hash of each."""
+        self.ids, self.whole, self.counts, self.sizes, self.keys = ids, counts, counts.astype(np.float64), sizes, keys
+        self.starts = np.cumsum(sizes) - sizes
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each document, from a value of each of its words."""
+        return np.add.reduceat(x, self.starts)
+
+    def profile(self, idf: np.ndarray) -> np.ndarray:
+        """Weights of the words, of length one in each document."""
+        v = LOG1P[self.whole] * idf[self.ids]
+        return v / np.repeat(np.maximum(np.sqrt(self.sums(v * v)), 1e-9), self.sizes)
+
+    def likeness(self, v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        # a class at a time: its column stays in the cache
+        return np.stack([self.sums(np.ascontiguousarray(c)[self.ids] * v) for c in centres.T], 1)
+
+    def by_class(self, share: np.ndarray, x: np.ndarray, n_words: int) -> np.ndarray:
+        """(n_words + 1, CLASSES) sums of x over the words' documents; the last row has the documents' shares."""
+        out = np.empty((n_words + 1, CLASSES))
+        for k in range(CLASSES):
+            out[:-1, k] = np.bincount(self.ids, np.repeat(share[:, k], self.sizes) * x, n_words)
+        out[-1] = share.sum(0)
+        return out
+
+
+def seed_of(pack: Pack, idf: np.ndarray, centres: np.ndarray | None, step: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(key, ids, profile) of the document that comes first in a race whose speeds are squared distances to the centres."""
+    v = pack.profile(idf)
+    far = np.ones(len(pack.sizes)) if centres is None else np.maximum(1 - pack.likeness(v, centres).max(1), 0) ** 2 + 1e-12
+    with np.errstate(over="ignore"):
+        h = mixed_hashes(pack.keys.view(np.uint64) + np.uint64(step + 1) * np.uint64(_R))
+    key = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / far
+    i = int(key.argmin())
+    at = slice(pack.starts[i], pack.starts[i] + pack.sizes[i])
+    return float(key[i]), pack.ids[at], v[at]
+
+
+def nearest_sums(pack: Pack, idf: np.ndarray, centres: np.ndarray, counts: bool) -> np.ndarray:
+    """Sums of the profiles, or else of the counts, of the documents nearest to each centre."""
+    v = pack.profile(idf)
+    share = np.eye(CLASSES)[pack.likeness(v, centres).argmax(1)]
+    return pack.by_class(share, pack.counts if counts else v, len(idf))
+
+
+def mixture_sums(pack: Pack, words: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Sums of the counts by the documents' shares of the classes."""
+    logit = pack.likeness(pack.counts, words) + prior
+    share = np.exp(logit - logit.max(1, keepdims=True))
+    return pack.by_class(share / share.sum(1, keepdims=True), pack.counts, len(words))
+
+
+class LocalDocs:
+    """Documents in one pack; DocsOfTasks has the same passes over many."""
+
+    def __init__(self, pack: Pack) -> None:
+        self.pack = pack
+
+    def first(self, *args) -> tuple[np.ndarray, np.ndarray]:
+        return seed_of(self.pack, *args)[1:]
+
+    def total(self, f, *args) -> np.ndarray:
+        return f(self.pack, *args)
+
+
+class DocsOfTasks:
+    """(key, ids, counts) rows; each pass reads all of them once."""
+
+    def __init__(self, packed: DataFrame) -> None:
+        self.packed = packed
+
+    def first(self, idf: np.ndarray, centres: np.ndarray | None, step: int) -> tuple[np.ndarray, np.ndarray]:
+        shared = self.packed.sparkSession.sparkContext.broadcast((idf, centres))
+
+        def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = min((seed_of(p, *shared.value, step) for p in packs(batches)), key=lambda x: x[0], default=None)
+            if best is not None:
+                yield _batch([(best[0], best[1].tolist(), best[2].tolist())], [("key", pa.float64()), ("ids", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
+
+        r = self.packed.mapInArrow(seeds, "key double, ids array<int>, v array<double>").orderBy("key").limit(1).first()
+        shared.destroy()
+        return np.array(r.ids, np.int32), np.array(r.v)
+
+    def total(self, f, *args) -> np.ndarray:
+        shared = self.packed.sparkSession.sparkContext.broadcast(args)
+        names = [f"s{k}" for k in range(CLASSES)]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for p in packs(batches):
+                part = f(p, *shared.value)
+                sums = part if sums is None else sums + part
+            if sums is not None:
+                at = np.flatnonzero(sums.any(1))
+                for a in range(0, len(at), 100_000):
+                    i = at[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *(pa.array(sums[i, k]) for k in range(CLASSES))], ["i", *names])
+
+        rows = self.packed.mapInArrow(add, "i int, " + ", ".join(f"{n} double" for n in names))
+        got = rows.groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most CLASS_WORDS + 1 rows
+        shared.destroy()
+        out = np.zeros((len(args[0]) + 1, CLASSES))
+        out[got["i"].to_numpy()] = np.stack([got[n].to_numpy() for n in names], 1)
+        return out
+
+
+#: Words of documents that are worked on at once.
+PACK = 500_000
+
+
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pack]:
+    for batch in batches:
+        keys, (ids, counts) = batch.column(0).to_numpy(), (batch.column(i) for i in (1, 2))
+        offsets = ids.offsets.to_numpy()
+        a = 0
+        while a < len(keys):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PACK, "right")) - 1)
+            at = slice(offsets[a] - offsets[0], offsets[b] - offsets[0])
+            yield Pack(ids.flatten().to_numpy()[at], counts.flatten().to_numpy()[at], np.diff(offsets[a : b + 1]), keys[a:b])
+            a = b
+
+
 class Classes:
     """Word mixtures; class of each word from those before it."""
 
     def __init__(self, texts: list[Counter]) -> None:
-        """texts: the words of each sample document."""
+        """texts: the words of each training document."""
         spread = Counter(w for t in texts for w in t)
-        known = sorted(spread, key=lambda w: (-spread[w], w))[:CLASS_WORDS]
+        known = sorted((w for w in spread if spread[w] >= LEAST_SPREAD), key=lambda w: (-spread[w], w))[:CLASS_WORDS]
+        number = {w: i for i, w in enumerate(known)}
+        rows = [r for t in texts if (r := [(number[w], min(c, MOST)) for w, c in t.items() if w in number])]
+        flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
+        pack = Pack(flat[:, 0], flat[:, 1], np.fromiter(map(len, rows), np.int64, len(rows)), np.arange(len(rows)))
+        self.fit(known, np.array([spread[w] for w in known], np.float64), len(rows), LocalDocs(pack))
+
+    @classmethod
+    def of(cls, known: list[bytes], spread: np.ndarray, n_docs: int, docs: DocsOfTasks) -> Classes:
+        out = cls.__new__(cls)
+        out.fit(known, spread, n_docs, docs)
+        return out
+
+    def fit(self, known: list[bytes], spread: np.ndarray, n_docs: int, docs) -> None:
+        """Spherical k-means of word profiles, then expectation maximisation of the mixture; n_docs have a known word."""
         self.number = {w: i for i, w in enumerate(known)}
-        n = np.zeros((len(texts), len(known) + 1))
-        for row, t in enumerate(texts):
-            for w, c in t.items():
-                if w in self.number:
-                    n[row, self.number[w]] = c
-        n = np.minimum(n, 20)
-        full = n[n[:, :-1].sum(1) >= 30]
-        if len(full) < 2 * CLASSES:
-            full = np.ones((2 * CLASSES, n.shape[1]))
-        # spherical k-means of word profiles, then expectation maximisation of the mixture
-        unit = np.log1p(full[:, :-1]) * np.log(len(full) / (1 + (full[:, :-1] > 0).sum(0)) + 1)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-        rng = np.random.default_rng(4)
-        centres = unit[:1]
-        while len(centres) < CLASSES:
-            far = np.maximum(1 - (unit @ centres.T).max(1), 0) ** 2 + 1e-12
-            centres = np.concatenate([centres, unit[[rng.choice(len(unit), p=far / far.sum())]]])
-        for _ in range(10):
-            share = np.eye(CLASSES)[(unit @ centres.T).argmax(1)]
-            centres = share.T @ unit
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-        for _ in range(10):
-            words = share.T @ full + 0.02
-            words = np.log(words / words.sum(1, keepdims=True))
-            prior = np.log(share.sum(0) + 1.0)
-            logit = full @ words.T + prior
-            share = np.exp(logit - logit.max(1, keepdims=True))
-            share /= share.sum(1, keepdims=True)
-        words[:, -1] = 0.0  # words the mixtures don't know
-        self.evidence = np.ascontiguousarray((words - words.mean(0)).T, np.float32)
+        self.evidence = np.zeros((len(known) + 1, CLASSES), np.float32)  # the last for words the mixtures don't know
+        self.prior = np.zeros(CLASSES, np.float32)
+        if not n_docs:
+            return
+        idf = np.log(n_docs / (1 + spread) + 1)
+        centres = None
+        for step in range(CLASSES):
+            ids, v = docs.first(idf, centres, step)
+            new = np.zeros((len(known), 1))
+            new[ids, 0] = v
+            centres = new if centres is None else np.concatenate([centres, new], 1)
+        for _ in range(9):
+            centres = docs.total(nearest_sums, idf, centres, False)[:-1]
+            centres /= np.maximum(np.linalg.norm(centres, axis=0), 1e-9)
+        sums = docs.total(nearest_sums, idf, centres, True)
+        for step in range(10):
+            if step:
+                sums = docs.total(mixture_sums, words, prior)
+            words = sums[:-1] + 0.02
+            words = np.log(words / words.sum(0))
+            prior = np.log(sums[-1] + 1.0)
+        self.evidence[:-1] = words - words.mean(1, keepdims=True)
         self.prior = (prior - prior.mean()).astype(np.float32)
 
     def runs(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
@@ -290,11 +429,43 @@ def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
 
 
 def fit_classes(docs: DataFrame) -> Classes:
-    """On about SAMPLE training documents of at most MAX_FIT_BYTES chosen by the hash of their id and text."""
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / max(1, n))))
-    texts = [Counter(words_of(r.text.encode())) for r in docs.filter(part & ~F.col("held_out") & (F.octet_length("text") <= MAX_FIT_BYTES)).select("text").toLocalIterator()]
-    return Classes(texts)
+    """On all training documents, whatever their length: their distinct words are written once, then numbered."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = raw_bytes(batch.column(1))
+            for a in range(0, len(texts), 500):
+                found = [Counter(words_of(t)) for t in texts[a : a + 500]]
+                offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                words = pa.array([w for c in found for w in c], pa.binary())
+                counts = pa.array(np.minimum(np.fromiter((n for c in found for n in c.values()), np.int64, len(words)), MOST).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, counts)], ["key", "ws", "ns"])
+
+    keyed = docs.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    bags = cut(keyed.mapInArrow(count, "key long, ws array<binary>, ns array<int>"), "bags", "zstd")
+    spread = bags.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("d")).filter(F.col("d") >= LEAST_SPREAD)
+    top = spread.orderBy(F.desc("d"), "w").limit(CLASS_WORDS).toArrow()
+    known = top["w"].to_pylist()
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value, pa.binary())
+        for batch in batches:
+            ws, ns = batch.column(1), batch.column(2)
+            ids = pc.index_in(ws.flatten(), names)
+            real = ids.is_valid()
+            upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+            offsets = pa.array(upto[ws.offsets.to_numpy() - ws.offsets[0].as_py()].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x.filter(real)) for x in (ids, ns.flatten())]
+            some = pa.array(np.diff(offsets.to_numpy()) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "ids", "ns"]).filter(some)
+
+    packed = cut(bags.mapInArrow(number, "key long, ids array<int>, ns array<int>"), "packed")
+    drop_cut(bags)
+    size = packed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("words")).first()
+    # few large tasks: each hands on a row of every word
+    few = packed.coalesce(1 + size.words // PASS_WORDS)
+    return Classes.of(known, top["d"].to_numpy().astype(np.float64), size.docs, DocsOfTasks(few))
 
 
 def count_words(docs: DataFrame, classes) -> DataFrame:

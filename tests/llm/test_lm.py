@@ -81,3 +81,27 @@ def test_no_training_rows_and_empty(spark):
     r = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and r.score < 0
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_classes_learn_from_all_training_documents(spark):
+    """A language in few and very long texts has its words known, whatever the number of other documents."""
+    rng = random.Random(5)
+    usual = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choice(usual) for _ in range(4)), False) for i in range(9000)]
+    docs += [(10_000 + i, " ".join(f"rare{rng.randrange(40)}" for _ in range(12_000)), False) for i in range(3)]
+    docs += [(20_000 + i, "hidden words", True) for i in range(3)]
+    c = lm.fit_classes(spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").repartition(4))
+    assert {b"rare1", b"rare39", b"w1"} <= set(c.number) and b"hidden" not in c.number
+    last = lambda w: list(c.runs(w))[-1][0]
+    assert last([b"rare1", b"rare2"] * 10) != last([b"w1", b"w2"] * 10)
+
+
+def test_passes_over_tasks_equal_one_pack(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice("ab" if i % 2 else "cd") + str(rng.randrange(9)) for _ in range(20)), False) for i in range(60)]
+    c = lm.fit_classes(spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").repartition(3))
+    local = lm.Classes([Counter(t.encode().split()) for _, t, _ in docs])
+    assert c.number == local.number and c.evidence.shape == local.evidence.shape
+    for words in ([b"a1", b"b2", b"a3"], [b"c1", b"d2"]):
+        ours, theirs = ([k for k, *_ in m.runs(words * 5)][-1] for m in (c, local))
+        assert all([k for k, *_ in m.runs([w for w in words * 5][::-1])][-1] == x for m, x in ((c, ours), (local, theirs)))
