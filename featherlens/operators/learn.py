@@ -16,18 +16,26 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from . import folds as fold_ops
 from . import moments, ranking, stats
 
-#: name -> (seed) -> estimator over features, label, weight.
-LEARNERS: dict[str, Callable[[int], Estimator]] = {
-    "rf": lambda seed: RandomForestClassifier(numTrees=50, maxDepth=6, featureSubsetStrategy="sqrt", seed=seed, weightCol="weight"),
-    "gbt": lambda seed: OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=seed)),
-    "logistic": lambda seed: LogisticRegression(maxIter=20, regParam=0.01, weightCol="weight"),
-    "linear_svc": lambda seed: OneVsRest(classifier=LinearSVC(maxIter=5, regParam=0.01, standardization=True)),
+#: The reference's sizes and iteration limits; depth 30 is the most that Spark's trees take, where the reference has no limit.
+SIZES = {
+    "rf": {"numTrees": 600, "maxDepth": 30},
+    "gbt": {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+    "logistic": {"maxIter": 2000},
+    "linear_svc": {"maxIter": 5000},
+}
+#: name -> (seed, sizes other than SIZES) -> estimator over features, label, weight.
+LEARNERS: dict[str, Callable[..., Estimator]] = {
+    "rf": lambda seed, **sizes: RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed, weightCol="weight", **(SIZES["rf"] | sizes)),
+    "gbt": lambda seed, **sizes: OneVsRest(classifier=GBTClassifier(seed=seed, **(SIZES["gbt"] | sizes))),
+    "logistic": lambda seed, **sizes: LogisticRegression(regParam=0.01, weightCol="weight", **(SIZES["logistic"] | sizes)),
+    "linear_svc": lambda seed, **sizes: OneVsRest(classifier=LinearSVC(regParam=0.01, standardization=True, **(SIZES["linear_svc"] | sizes))),
 }
 
 
@@ -45,14 +53,14 @@ def weighted(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(w), "label")
 
 
-def out_of_fold(data: DataFrame, fold_rows: DataFrame, learner: str, seed: int = 0) -> DataFrame:
-    """sample_id, repeat, y, p: each sample predicted by a model that hasn't seen its fold."""
+def out_of_fold(data: DataFrame, fold_rows: DataFrame, learner: str, seed: int = 0, **sizes) -> DataFrame:
+    """sample_id, repeat, y, p: each sample predicted by a model that hasn't seen its fold; sizes as in SIZES."""
     pairs = sorted(tuple(r) for r in fold_rows.select("repeat", "fold").distinct().collect())
     joined = data.join(fold_rows.select("sample_id", "repeat", "fold"), "sample_id").cache()
     out = None
     for repeat, fold in pairs:
         mine = joined.filter(F.col("repeat") == repeat)
-        model = LEARNERS[learner](seed + 1000 * repeat).fit(weighted(mine.filter(F.col("fold") != fold)))
+        model = LEARNERS[learner](seed + 1000 * repeat, **sizes).fit(weighted(mine.filter(F.col("fold") != fold)))
         p = model.transform(mine.filter(F.col("fold") == fold)).select("sample_id", "repeat", F.col("label").alias("y"), F.col("prediction").alias("p"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -82,24 +90,22 @@ def importances(data: DataFrame, names: list[str], learner: str = "rf", seed: in
 
 
 def tree_arrays(model) -> list[tuple[np.ndarray, ...]]:
-    """For each tree (feature or -1, threshold, left, right, class distribution, weight) of its nodes."""
+    """For each tree (feature or -1, threshold, left, right, class distribution, weight) of its nodes, from the saved model."""
+    spark = SparkSession.getActiveSession()
+    path = sinks.workspace(spark, "forest")
+    model.save(path)
+    trees: dict[int, list] = {}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        trees.setdefault(r.treeID, []).append(r.nodeData)
     out = []
-    for tree in model.trees:
-        rows: list[list] = []
-
-        def walk(node, rows=rows) -> int:
-            at = len(rows)
-            stats_ = np.array([float(v) for v in node.impurityStats().stats()])
-            rows.append([-1, 0.0, -1, -1, stats_ / max(stats_.sum(), 1e-12), stats_.sum()])
-            if node.subtreeDepth() > 0:
-                split = node.split()
-                rows[at][0], rows[at][1] = split.featureIndex(), split.threshold()
-                rows[at][2] = walk(node.leftChild())
-                rows[at][3] = walk(node.rightChild())
-            return at
-
-        walk(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") and tree._java_obj else tree._call_java("rootNode"))
-        out.append((np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.stack([r[4] for r in rows]), np.array([r[5] for r in rows])))
+    for _, nodes in sorted(trees.items()):
+        nodes.sort(key=lambda n: n.id)  # numbered from the root, 0
+        inner = [n.leftChild >= 0 for n in nodes]
+        stats_ = np.array([n.impurityStats for n in nodes])
+        weight = stats_.sum(1)
+        feature = np.array([n.split.featureIndex if i else -1 for n, i in zip(nodes, inner, strict=True)])
+        threshold = np.array([n.split.leftCategoriesOrThreshold[0] if i else 0.0 for n, i in zip(nodes, inner, strict=True)])
+        out.append((feature, threshold, np.array([n.leftChild for n in nodes]), np.array([n.rightChild for n in nodes]), stats_ / np.maximum(weight, 1e-12)[:, None], weight))
     return out
 
 
@@ -154,6 +160,36 @@ def tree_shap(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
     return phi
 
 
+def tree_shaps(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """tree_shap of many samples: (samples, features, classes).
+
+    A leaf gives feature i of its path (one - zero) times the integral over u in (0, 1) of the other features' product of
+    zero * (1 - u) + one * u, a polynomial that Gauss-Legendre nodes integrate exactly.
+    """
+    feature, threshold, left, right, value, weight = tree
+    phi = np.zeros((*x.shape, value.shape[1]))
+
+    def visit(node: int, path: dict[int, tuple[float, np.ndarray]]) -> None:
+        if feature[node] < 0:
+            if path:
+                at, zero, one = list(path), np.array([z for z, _ in path.values()])[:, None], np.array([o for _, o in path.values()], float)
+                u, w = np.polynomial.legendre.leggauss((len(at) + 1) // 2)
+                u, w = (u[:, None, None] + 1) / 2, w / 2
+                factors = zero * (1 - u) + one * u
+                share = np.tensordot(w, factors.prod(1, keepdims=True) / factors, 1) * (one - zero)
+                phi[:, at] += share.T[:, :, None] * value[node]
+            return
+        f = feature[node]
+        goes = x[:, f] <= threshold[node]
+        zero, one = path.get(f, (1.0, np.ones(len(x), bool)))
+        for child, side in ((left[node], goes), (right[node], ~goes)):
+            if weight[child] > 0:
+                visit(child, path | {f: (zero * weight[child] / weight[node], one & side)})
+
+    visit(0, {})
+    return phi
+
+
 def mean_abs_shap(model, data: DataFrame, names: list[str]) -> DataFrame:
     """feature, mean_abs_shap of a forest over data, classes averaged; samples in parallel, sums combined."""
     trees = data.sparkSession.sparkContext.broadcast(tree_arrays(model))
@@ -161,16 +197,23 @@ def mean_abs_shap(model, data: DataFrame, names: list[str]) -> DataFrame:
     def explain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(len(names)), 0
         for frame in frames:
-            for x in frame["x"]:
-                phi = sum(tree_shap(t, np.asarray(x)) for t in trees.value) / len(trees.value)
-                total += np.abs(phi).mean(1)
-                n += 1
+            for a in range(0, len(frame), 500):
+                x = np.stack(frame["x"].iloc[a : a + 500].to_list())
+                phi = sum(tree_shaps(t, x) for t in trees.value) / len(trees.value)
+                total += np.abs(phi).mean(2).sum(0)
+                n += len(x)
         yield pd.DataFrame({"feature": names, "total": total, "n": n})
 
     parts = data.select(vector_to_array("features").alias("x")).mapInPandas(explain, "feature string, total double, n long")
     return parts.groupBy("feature").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_abs_shap"))
 
 
+def forest_shap(data: DataFrame, names: list[str], seed: int = 0, **sizes) -> DataFrame:
+    """feature, mean_abs_shap of the forest that "rf" trains on data."""
+    data = data.cache()
+    return mean_abs_shap(LEARNERS["rf"](seed, **sizes).fit(weighted(data)), data, names)
+
+
 # ---- feature subset ablation
 
 

@@ -48,14 +48,13 @@ def _(spark, sf):
 @query("ml_tree_driver")
 def _(spark, sf):
     data, names = _data(spark, sf)
-    return ranking.ranked(learn.importances(data, names), [], "p_score")
+    return ranking.ranked(learn.forest_shap(data, names).withColumnRenamed("mean_abs_shap", "p_score"), [], "p_score")
 
 
 @query("ml_tree_shap")
 def _(spark, sf):
     data, names = _data(spark, sf)
-    model = learn.RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(data)
-    return learn.mean_abs_shap(model, data, names)
+    return learn.forest_shap(data, names)
 
 
 @query("ml_ablation_view")

@@ -119,3 +119,32 @@ def test_projection(spark, separable):
     assert learn.top_loadings(data, names, 1, 1).first().feature == "a"
     r = learn.pca_alignment(data, 2).first()
     assert 0 < r.pcla <= 1
+
+
+def test_learners_have_the_reference_sizes():
+    get = lambda name, **sizes: learn.LEARNERS[name](1, **sizes)
+    assert (get("rf").getNumTrees(), get("rf").getMaxDepth()) == (600, 30)
+    g = get("gbt").getClassifier()
+    assert (g.getMaxIter(), g.getMaxDepth(), g.getStepSize(), g.getSubsamplingRate()) == (400, 6, 0.05, 0.8)
+    assert get("logistic").getMaxIter() == 2000 and get("linear_svc").getClassifier().getMaxIter() == 5000
+    assert get("rf", numTrees=3).getNumTrees() == 3
+
+
+def test_shap_explains_the_trained_forest(spark, separable, monkeypatch):
+    data, names = learn.vectors(separable)
+    model = learn.LEARNERS["rf"](4, numTrees=3).fit(learn.weighted(data))
+    x = np.random.default_rng(1).normal(1, 2, (7, 3))
+    for tree in learn.tree_arrays(model):
+        assert learn.tree_shaps(tree, x) == pytest.approx(np.stack([learn.tree_shap(tree, row) for row in x]), abs=1e-9)
+    seen = []
+    monkeypatch.setattr(learn, "mean_abs_shap", lambda model, data, names: seen.append(model))
+    learn.forest_shap(data, names, 4, numTrees=3)
+    assert seen[0].getNumTrees == 3 and seen[0].getOrDefault("maxDepth") == 30
+
+
+def test_small_learners_predict(spark, separable):
+    data, _ = learn.vectors(separable)
+    f = folds.stratified(separable.select("sample_id", "label").distinct(), 2, 1, 1)
+    for learner, sizes in (("gbt", {"maxIter": 3}), ("rf", {"numTrees": 5}), ("linear_svc", {"maxIter": 20})):
+        got = folds.confusion_metrics(learn.out_of_fold(data.cache(), f, learner, **sizes), ["repeat"]).first()
+        assert got.balanced_accuracy > 0.8
