@@ -165,7 +165,12 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash."""
+    return rooted_duplicates(docs, id_col, text_col).drop("root")
+
+
+def rooted_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates and root, the fingerprint that names the component.
 
     A null or empty text has no words and fingerprint zero, which links like any other. component_id is the smallest
     non-null id reachable; rows with a null id take part and get the id of their component (null if it has none).
@@ -177,18 +182,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = cut(fingerprint_components(distinct.select("fp")), "roots")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.join(ids, "root").select("fp", "component_id")
+    of_fp = rooted.join(ids, "root").select("fp", "component_id", "root")
     out = marked.join(of_fp, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keeps one document of each component: the row with the smallest id (ties: the smallest text hash, one copy of it)."""
-    found = near_duplicates(docs)
-    # all fingerprints of a component share its smallest id; a component of null ids only is known by its fingerprint
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    found = rooted_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m")
     row = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), h.cast("string"))
-    keep = found.groupBy(group.alias("g")).agg(first).select(row(F.col("m.doc_id"), F.col("m.text_hash")).alias("__row"))
+    keep = found.groupBy("root").agg(first).select(row(F.col("m.doc_id"), F.col("m.text_hash")).alias("__row"))
     rows = docs.withColumn("__row", row(F.col("doc_id"), F.xxhash64("text")))
     return rows.join(keep.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

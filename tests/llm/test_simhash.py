@@ -91,3 +91,14 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_dropping_goes_by_component_not_by_id(spark):
+    """Repeated ids with unlike texts stay; near copies without any id leave one."""
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join(words), " ".join([*words, "tail"])]
+    assert 0 < bin((simhash.fingerprint(near[0].encode()) ^ simhash.fingerprint(near[1].encode())) & (2**64 - 1)).count("1") <= simhash.MAX_BITS
+    docs = [(1, "one quite short text about apples"), (1, "another thing altogether on rivers and boats"), (None, near[0]), (None, near[1])]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [r.text for r in got if r.doc_id is None][0] in near and len(got) == 3
+    assert {r.text for r in got if r.doc_id == 1} == {t for d, t in docs if d == 1}
