@@ -19,6 +19,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By op2's rule: fingerprints of 4-word shingles that differ in at most 4 of 64 bits, linked to components.
+
+    Of pairs at a Jaccard similarity of 0.8, 0.9 and 0.95 it links 3 %, 15 % and 65 % (see the README).
+    """
     return simhash.drop_near_duplicates(docs)
 
 
