@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; without one, a temporary folder if the master is local, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="featherlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -55,6 +57,14 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
-def with_defaults(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, whatever others there are."""
-    return df.select(*names)
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """df's column names, safe to select by."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]

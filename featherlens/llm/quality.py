@@ -3,8 +3,8 @@
 A text's terms are trigrams of character classes (upper and lower case, digits, blanks, line ends, kinds of punctuation,
 other symbols, non-ASCII), which don't hang on a language's words, and graded terms for its shape: share of distinct
 words and lines, of words that repeat the one before, of capitals, symbols and line ends, and length. Their weights (damped
-frequency times inverse document frequency) of a bounded sample of labelled documents are reduced by a truncated singular
-value decomposition. The sample's unit vectors are broadcast; every document's cosines with all of them are computed in
+frequency times inverse document frequency) of a bounded sample of labelled documents, long and short alike, are counted
+where the texts are and reduced by a truncated singular value decomposition. The sample's unit vectors are broadcast; every document's cosines with all of them are computed in
 blocks, exactly, and its NEIGHBOURS nearest vote with their similarity to the POWER times their class's weight (which
 undoes the sample's class balance). Score: the share of label 1 in the vote.
 
@@ -14,6 +14,7 @@ similar, the score is the share of label 1 among all labels (0.5 without any).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, raw_bytes
-from .labelled import labelled_sample
+from .common import crc_mod, free_name, quoted, raw_bytes
+from .labelled import labelled_sample, measured
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled documents of label 0 and 1 in the sample.
@@ -41,6 +42,7 @@ TRIGRAMS = KINDS**3
 GRADES = np.linspace(0, 1, 9)
 SHAPES = 8
 SHAPE_WEIGHT = 0.6
+TERMS = TRIGRAMS + SHAPES * len(GRADES)
 
 
 def shape(text: bytes, kinds: np.ndarray) -> list[float]:
@@ -55,7 +57,7 @@ def shape(text: bytes, kinds: np.ndarray) -> list[float]:
 
 def terms(text: bytes) -> np.ndarray:
     """Raw term weights of one text."""
-    out = np.zeros(TRIGRAMS + SHAPES * len(GRADES), np.float32)
+    out = np.zeros(TERMS, np.float32)
     if not text:
         return out
     kinds = _CLASS[np.frombuffer(text, np.uint8)]
@@ -70,14 +72,19 @@ def terms(text: bytes) -> np.ndarray:
     return out
 
 
+def packed_terms(text: bytes) -> bytes:
+    return zlib.compress(terms(text).tobytes(), 1)
+
+
 class Neighbours:
     """Latent-semantic vectors of labelled texts."""
 
     def __init__(self, sample: list[tuple[bytes, int]], counts: dict[int, int]) -> None:
+        """sample: (packed terms, label) of each text."""
         total = sum(counts.values())
         self.prior = counts.get(1, 0) / total if total else 0.5
         self.labels = np.array([y for _, y in sample], np.int64)
-        m = np.stack([terms(t) for t, _ in sample]) if sample else np.zeros((0, TRIGRAMS + SHAPES * len(GRADES)), np.float32)
+        m = np.frombuffer(b"".join(zlib.decompress(t) for t, _ in sample), np.float32).reshape(len(sample), TERMS).copy()
         self.idf = np.log((1 + len(m)) / (1 + (m > 0).sum(0))).astype(np.float32) + 0.1
         self.idf[TRIGRAMS:] = 1
         w = self.weighted(m)
@@ -118,11 +125,12 @@ class Neighbours:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
-    return Neighbours(*labelled_sample(docs, labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT), "quality", PER_CLASS))
+    sample, counts = labelled_sample(docs, labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT), "quality", PER_CLASS)
+    return Neighbours(measured(sample, packed_terms), counts)
 
 
-def scored(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """docs with __score; learn_from: where the labelled rows' texts are (docs by default)."""
+def scored(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, name: str = "__score") -> DataFrame:
+    """docs with their score; learn_from: where the labelled rows' texts are (docs by default)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if learn_from is None else learn_from, labels))
 
     @F.arrow_udf(T.DoubleType())
@@ -130,7 +138,7 @@ def scored(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
         for column in texts:
             yield pa.array(model.value.scores(raw_bytes(column)))
 
-    return docs.withColumn("__score", score.asNondeterministic()("text"))
+    return docs.withColumn(name, score.asNondeterministic()("text"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -141,4 +149,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """The documents that aren't rejected, with their columns."""
-    return scored(docs, labels, learn_from).filter("__score >= 0.5").select(*docs.columns)
+    name = free_name(docs, "score")
+    return scored(docs, labels, learn_from, name).filter(F.col(name) >= 0.5).select(*quoted(docs))

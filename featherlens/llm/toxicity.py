@@ -1,24 +1,32 @@
-"""Toxicity by compression distance: two zstandard dictionaries, compared window by window.
-
-Words (lower-cased, ASCII letters, digits and non-ASCII bytes) are written as CODE bytes: a hash of the first STEM bytes
-and a hash of the word, so that a match in compression means the same word or the same stem, whatever its length. A text
-is cut into windows of WINDOW words; each is compressed with a dictionary of ordinary text and with one of toxic text.
-
-The ordinary dictionary is zstandard's own training on windows of ordinary labelled texts. The toxic one holds, before the
-same ordinary background, the words and stems that distinguish toxic labelled texts: those in at least half toxic texts
-whose log-likelihood ratio exceeds what the best of as many chance words would reach. With the background in common, a
-window's two lengths differ only by what the toxic words save. A logistic calibration, fitted on labelled texts that their
-dictionaries haven't seen, turns a text's differences (largest, means of the largest, mean, share of toxic windows,
-length) into a score; its threshold is 0.5. For that, each half of the sample is measured by dictionaries of the other;
-texts are scored by dictionaries of the whole sample.
-
-Both halves come from a bounded sample of labelled texts, of which copies and near copies are left out. Nothing but the text goes into a score. Null and empty texts
-have one empty window. With fewer than four labels of a kind the score is the share of label 1 among all labels (0.5
-without any).
+"""Toxicity by compression distance: two trained zstandard dictionaries, compared window by window.
+
+A text's words (lower-cased, ASCII letters, digits and non-ASCII bytes) go in windows of WINDOW; a window is the distinct
+words among them, each written as a hash of CODE bytes. So a match in compression means a common word, not common
+syllables, and is as long for a short word as for a long one.
+
+Both dictionaries are zstandard's own training (train_dictionary), loaded with their entropy tables: one on windows of
+ordinary labelled texts, one on windows of toxic labelled texts. Labels mark texts and not windows, and most of a toxic
+text is ordinary; therefore the toxic windows are cleaned before training: only words stay that at least LEAST toxic texts
+of the sample hold and that are CLEAN times as frequent among ordinary texts at most. Copies and near copies in the sample
+are left out, or all words of a copied text would look toxic.
+
+Each window is compressed with both dictionaries. What it saves against its plain length under the toxic dictionary, and
+how that compares with the ordinary one, are a text's measures: largest savings, means, the share of windows over the
+threshold MARKED, number of windows. A logistic calibration fitted on labelled texts turns them into a score, whose
+threshold is 0.5. Each half of the sample is measured with dictionaries of the other half, so no text is measured with a
+dictionary that has seen it; texts are scored with dictionaries of the whole sample.
+
+The sample of labelled texts is bounded by PER_CLASS; a text of any length may be in it. Whole texts are measured and told
+from copies where they are. For training the dictionaries a text gives at most TEXT_WINDOWS windows, spread evenly
+over all of it, so that what the driver holds is bounded.
+
+Nothing but the text goes into a score. Null and empty texts have one empty window. With fewer than four labels of a kind
+the score is the share of label 1 among all labels (0.5 without any).
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -31,71 +39,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, raw_bytes
-from .labelled import labelled_sample
+from .common import crc_mod, cut, free_name, raw_bytes
+from .labelled import labelled_sample, measured
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents of label 0 and 1 in the sample.
 PER_CLASS = (5000, 3000)
-WINDOW, STEM = 10, 5
-#: Bytes of a stem's and of a word's hash in a code.
-STEM_BYTES, WORD_BYTES = 8, 4
-CODE = STEM_BYTES + WORD_BYTES
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 24576
-FIT_WINDOWS = 40_000
+WINDOW, CODE = 10, 16
+#: Windows of a text that dictionaries are trained on.
+TEXT_WINDOWS = 256
+#: Toxic texts that hold a word, and its share of ordinary texts over its share of toxic ones, for it to stay.
+LEAST, CLEAN = 2, 0.1
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
+#: Segment and word length of the dictionaries' training.
+SEGMENT, GRAM = 32, 8
 #: Words of a shingle, and bands of minimum hashes that tell copies in the sample.
 SHINGLE, BANDS, BAND = 5, 6, 3
 #: Codes that a worker remembers.
 MEMORY = 300_000
-#: Differences from this many bytes on count as toxic windows.
+#: Savings from this many bytes on count as toxic windows.
 MARKED = 3
 _KEEP = set(b"abcdefghijklmnopqrstuvwxyz0123456789") | set(range(128, 256))
 _TABLE = bytes(c if c in _KEEP else 0x20 for c in bytes(range(256)).lower())
+_FACTORS = np.random.default_rng(12).integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) | np.uint64(1)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def stem_code(stem: bytes) -> bytes:
-    return xxhash.xxh64_digest(stem)[:STEM_BYTES]
+def windows_of(text: bytes) -> list[list[bytes]]:
+    """Distinct words of each run of WINDOW words; one empty window if there are none."""
+    words = words_of(text)
+    return [list(dict.fromkeys(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)] or [[]]
 
 
 class _Codes(dict):
     def __missing__(self, word: bytes) -> bytes:
-        code = stem_code(word[:STEM]) + xxhash.xxh64_digest(word)[:WORD_BYTES]
+        code = xxhash.xxh3_128_digest(word)[:CODE]
         if len(self) < MEMORY:
             self[word] = code
         return code
 
+    def of(self, window: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, window))
 
-def windows_of(text: bytes, codes: _Codes) -> list[bytes]:
-    all_codes = b"".join(map(codes.__getitem__, words_of(text)))
-    return [all_codes[i : i + WINDOW * CODE] for i in range(0, len(all_codes), WINDOW * CODE)] or [b""]
 
+def bands(text: bytes) -> list[str]:
+    """Minimum hashes of the word shingles; texts that share one are copies or near copies."""
+    words = words_of(text)
+    grams = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+    return [f"{b}:" + ((h[:, None] * _FACTORS[b]) >> np.uint64(20)).min(0).tobytes().hex() for b in range(BANDS)]
 
-def unalike(texts: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
-    """Without copies and near copies of texts before: those that share a band of minimum hashes of word shingles.
 
-    A text that is copied often would else make all its words look like marks of its label.
-    """
-    rng = np.random.default_rng(12)
-    factors = rng.integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) | np.uint64(1)
-    seen: set[bytes] = set()
-    kept = []
-    for text, y in texts:
-        words = words_of(text)
-        grams = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-        h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
-        keys = {bytes([b]) + ((h[:, None] * factors[b]) >> np.uint64(20)).min(0).tobytes() for b in range(BANDS)}
-        if not keys & seen:
-            kept.append((text, y))
-        seen |= keys
-    return kept
+def training_windows(text: bytes) -> list[list[bytes]]:
+    windows = windows_of(text)
+    if len(windows) <= TEXT_WINDOWS:
+        return windows
+    return [windows[i * len(windows) // TEXT_WINDOWS] for i in range(TEXT_WINDOWS)]
+
+
+def _outline(text: bytes) -> bytes:
+    return json.dumps([bands(text), [b" ".join(w).decode("latin1") for w in training_windows(text)]]).encode()
+
+
+def unalike(outlines: list[tuple[bytes, int]]) -> list[tuple[list[list[bytes]] | None, int]]:
+    """(windows, label) of each outline; None as windows if the text is a copy or near copy of one before."""
+    seen: set[str] = set()
+    out = []
+    for outline, y in outlines:
+        keys, windows = json.loads(outline)
+        out.append((None if seen.intersection(keys) else [w.encode("latin1").split(b" ") if w else [] for w in windows], y))
+        seen.update(keys)
+    return out
 
 
 class Distance:
-    """Differences of a text's windows under two dictionaries."""
+    """What a text's windows save under two dictionaries."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
         self.ordinary, self.toxic = ordinary, toxic
@@ -109,70 +130,62 @@ class Distance:
 
     def _compressor(self, content: bytes):
         params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=17, hash_log=16, chain_log=16, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
-        held = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        if not content:
+            return zstandard.ZstdCompressor(compression_params=params).compress
+        held = zstandard.ZstdCompressionDict(content)
         held.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
 
-    def features(self, text: bytes) -> list[float]:
+    def savings(self, windows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that each window is shorter than uncompressed, under the ordinary and the toxic dictionary."""
         if self.compressors is None:
-            self.compressors = self._compressor(self.ordinary), self._compressor(self.toxic + self.ordinary)
+            self.compressors = self._compressor(self.ordinary), self._compressor(self.toxic)
             self.codes = _Codes()
-        a, b = self.compressors
-        windows = windows_of(text, self.codes)
-        d = np.fromiter(map(len, map(a, windows)), np.int64, len(windows)) - np.fromiter(map(len, map(b, windows)), np.int64, len(windows))
-        top = np.sort(d)[::-1][:3]
-        share = (d >= MARKED).mean()
-        return [top[0], top[:2].mean(), top.mean(), np.maximum(d, 0).mean(), share, math.sqrt(share), math.log1p(len(windows)), (d >= MARKED).sum() ** 0.5]
-
-
-def toxic_content(texts: list[tuple[bytes, int]]) -> bytes:
-    """Codes of the words and stems that distinguish label 1, the strongest last."""
-    hits, rest, n = Counter(), Counter(), [0, 0]
-    for text, y in texts:
-        words = set(words_of(text))
-        units = words | {b" " + w[:STEM] for w in words}
-        (hits if y else rest).update(units)
+            # a window of a single word that no dictionary knows costs this much more than its length
+            strange = self.codes.of([b"\x00"])
+            self.frame = [len(c(strange)) - len(strange) for c in self.compressors]
+        coded = list(map(self.codes.of, windows))
+        plain = np.fromiter(map(len, coded), np.int64, len(coded))
+        return tuple(np.maximum(plain + f - np.fromiter(map(len, map(c, coded)), np.int64, len(coded)), 0) for c, f in zip(self.compressors, self.frame, strict=True))
+
+    def features(self, text: bytes) -> list[float]:
+        ordinary, toxic = self.savings(windows_of(text))
+        top, marked = np.sort(toxic)[::-1][:3], toxic >= MARKED
+        share = marked.mean()
+        return [top[0], top[:2].mean(), top.mean(), toxic.mean(), share, math.sqrt(share), math.log1p(len(toxic)), marked.sum() ** 0.5, ordinary.mean(), (toxic - ordinary).max()]
+
+
+def trained(windows: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of the windows, as large as they allow."""
+    windows = [w for w in windows if len(w) >= GRAM]
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, windows, k=SEGMENT, d=GRAM).as_bytes()
+        except zstandard.ZstdError:  # too little to fill that size
+            size //= 2
+    return b""
+
+
+def dictionaries(texts: list[tuple[list[list[bytes]], int]]) -> Distance:
+    """Of the windows of ordinary texts and the cleaned windows of toxic texts."""
+    held, n = (Counter(), Counter()), [0, 0]
+    for windows, y in texts:
+        held[y].update({w for window in windows for w in window})
         n[y] += 1
-    share = n[1] / max(1, sum(n))
-    if not 0 < share < 1:
-        return b""
-    found = []
-    for unit, k in hits.items():
-        m = k + rest[unit]
-        q = k / m
-        if k < 3 or q < max(share, 0.5):
-            continue
-        gain = k * math.log(q / share) + ((m - k) * math.log((1 - q) / (1 - share)) if m > k else 0)
-        if gain > math.log(len(hits)) + 2:
-            found.append((gain, unit))
-    code = lambda u: stem_code(u[1:]) if u[:1] == b" " else stem_code(u[:STEM]) + xxhash.xxh64_digest(u)[:WORD_BYTES]
-    return b"".join(code(u) for _, u in sorted(found))[-TOXIC_BYTES:]
-
-
-def ordinary_content(texts: list[tuple[bytes, int]]) -> bytes:
+    stays = {w for w, k in held[1].items() if k >= LEAST and held[0][w] * n[1] < CLEAN * k * n[0]}
     codes = _Codes()
-    windows = [w for text, y in texts if not y for w in windows_of(text, codes)]
-    if len(windows) > FIT_WINDOWS:
-        windows = [windows[i] for i in np.random.default_rng(6).permutation(len(windows))[:FIT_WINDOWS]]
-    try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, [w for w in windows if len(w) >= 16], k=48, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
-        return b"".join(windows)[-ORDINARY_BYTES:]
+    toxic = [codes.of([w for w in window if w in stays]) for windows, y in texts if y for window in windows]
+    ordinary = [codes.of(window) for windows, y in texts if not y for window in windows]
+    return Distance(trained(ordinary, ORDINARY_BYTES), trained(toxic, TOXIC_BYTES))
 
 
 class Model:
-    def __init__(self, sample: list[tuple[bytes, int]], counts: dict[int, int]) -> None:
-        total = sum(counts.values())
-        self.prior = counts.get(1, 0) / total if total else 0.5
-        sample = unalike(sample)
-        self.weights = None
-        y = np.array([y for half in (0, 1) for _, y in sample[half::2]], np.float64)
-        if min((y == 0).sum(), (y == 1).sum()) < 4:
-            return
-        # each half is calibrated on the other half's dictionaries; scoring uses those of both
-        of = lambda texts: Distance(ordinary_content(texts), toxic_content(texts))
-        x = np.array([f for half in (0, 1) for d in (of(sample[1 - half :: 2]),) for f in (d.features(t) for t, _ in sample[half::2])])
-        self.distance = of(sample)
+    def __init__(self, prior: float) -> None:
+        self.prior, self.weights = prior, None
+
+    def calibrate(self, distance: Distance, x: np.ndarray, y: np.ndarray) -> None:
+        """Fits the logistic weights of measures x and labels y; texts are scored with distance."""
+        self.distance = distance
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
         x = self._design(x)
         each = np.array([(y == 0).mean(), (y == 1).mean()])
@@ -197,11 +210,26 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return Model(*labelled_sample(docs, labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT), "toxic", PER_CLASS))
-
-
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with __score."""
+    sample, counts = labelled_sample(docs, labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT), "toxic", PER_CLASS)
+    sample = cut(sample, "labelled")  # read twice: outlines, then measures
+    total = sum(counts.values())
+    model = Model(counts.get(1, 0) / total if total else 0.5)
+    outlines = unalike(measured(sample, _outline))
+    kept = [i for i, (windows, _) in enumerate(outlines) if windows is not None]
+    y = np.array([outlines[i][1] for i in kept], np.float64)
+    if min((y == 0).sum(), (y == 1).sum()) < 4:
+        return model
+    halves = kept[0::2], kept[1::2]
+    of_half = [dictionaries([outlines[i] for i in half]) for half in halves]
+    both = measured(sample, lambda text: np.array([d.features(text) for d in of_half]).tobytes())
+    # a text is measured with the other half's dictionaries
+    x = {i: np.frombuffer(both[i][0]).reshape(2, -1)[1 - h] for h, half in enumerate(halves) for i in half}
+    model.calibrate(dictionaries([outlines[i] for i in kept]), np.stack([x[i] for i in kept]), y)
+    return model
+
+
+def scored(docs: DataFrame, labels: DataFrame, name: str | None = None) -> DataFrame:
+    """docs with their score, as __score or the given name."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.arrow_udf(T.DoubleType())
@@ -209,10 +237,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for column in texts:
             yield pa.array(model.value.scores(raw_bytes(column)), pa.float64())
 
-    return docs.withColumn("__score", score.asNondeterministic()("text"))
+    return docs.withColumn(name or free_name(docs, "score"), score.asNondeterministic()("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    out = scored(docs.select("doc_id", "text"), labels)
+    out = scored(docs.select("doc_id", "text"), labels, "__score")
     return out.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))

@@ -1,8 +1,11 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from featherlens.llm import quality, toxicity
 from featherlens.llm.labelled import labelled_sample
@@ -63,21 +66,82 @@ def test_sample_is_bounded(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got, counts = labelled_sample(d, lab, "toxic", (50, 20))
-    assert counts == {0: 360, 1: 120} and 25 <= sum(y == 0 for _, y in got) <= 80 and 6 <= sum(y == 1 for _, y in got) <= 40
-
-
-def test_cosines_are_exact():
-    docs, _ = made(120)
-    m = quality.Neighbours([(t.encode(), i % 2) for i, (_, t) in enumerate(docs)], {0: 60, 1: 60})
-    q = docs[7][1].encode() + b" more"
-    v = m.unit(m.weighted(quality.terms(q)[None]) @ m.axes)[0]
-    sims = sorted(((float(v @ u), y) for u, y in zip(m.vectors, m.labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
-    w = [(max(s, 0) ** quality.POWER, y) for s, y in sims]
-    assert m.scores([q])[0] == pytest.approx(sum(a for a, y in w if y) / sum(a for a, _ in w), rel=1e-4)
-
-
-def test_windows_are_compared():
-    fit = [(f"ordinary text number {i} about rivers and stones and more".encode(), 0) for i in range(200)] + [(f"text number {i} you dunce about rivers".encode(), 1) for i in range(60)]
-    dist = toxicity.Distance(toxicity.ordinary_content(fit), toxicity.toxic_content(fit))
-    assert toxicity.stem_code(b"dunce") in dist.toxic and toxicity.stem_code(b"river") not in dist.toxic
-    assert dist.features(b"rivers and stones you DUNCE!")[0] >= 3 > dist.features(b"rivers and stones and more")[0]
+    got = got.collect()
+    assert counts == {0: 360, 1: 120} and 25 <= sum(r.y == 0 for r in got) <= 80 and 6 <= sum(r.y == 1 for r in got) <= 40
+
+
+@pytest.mark.parametrize(("run", "column"), [(quality.quality, 1), (toxicity.toxicity, 2)])
+def test_long_texts_are_learned_from(spark, run, column):
+    """All texts of label 1 are far longer than those of label 0 and share nothing with them."""
+    rng = random.Random(4)
+    strange = ["zork", "blip", "quux", "frob"] if column == 2 else ["@@@", "%%", "$$$$", "##"]
+    docs = [(i, " ".join(rng.choice(WORDS) for _ in range(30))) for i in range(300)]
+    docs += [(1000 + i, " ".join(rng.choice(WORDS if k % 5 else strange) for k in range(16_000))) for i in range(20)]
+    assert min(len(t) for d, t in docs if d >= 1000) > 1 << 16
+    labels = [(d, int(d >= 1000), int(d >= 1000)) for d, _ in docs]
+    got = run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(r.predicted == (r.doc_id >= 1000) for r in got)
+
+
+def test_votes_equal_brute_force(spark):
+    docs, labels = made(300)
+    d, lab = spark.createDataFrame(docs + EDGES, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = quality.fit(d, lab)
+    for r, text in zip(quality.scored(d, lab).collect(), [t for _, t in docs + EDGES], strict=True):
+        q = (text or "").encode()
+        v = m.unit(m.weighted(quality.terms(q)[None]) @ m.axes)[0]
+        sims = sorted(((float(v @ u), i) for i, u in enumerate(m.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        w = [(max(s, 0) ** quality.POWER * m.votes[i], m.labels[i]) for s, i in sims]
+        total = sum(a for a, _ in w)
+        assert r["__score"] == pytest.approx(sum(a for a, y in w if y) / total if total > 1e-12 else m.prior, rel=1e-3, abs=1e-4)
+
+
+def test_compression_equals_brute_force(spark):
+    """The query's scores from the fitted dictionaries and weights, window by window in plain steps."""
+    docs, labels = made(300)
+    d, lab = spark.createDataFrame(docs + EDGES, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = toxicity.fit(d, lab)
+    dist = m.distance
+
+    def saved(content, window):
+        size = lambda w: len(dist._compressor(content)(w))
+        strange = xxhash.xxh3_128_digest(b"\x00")
+        return max(0, len(window) + size(strange) - len(strange) - size(window))
+
+    def brute(text):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower())
+        windows = [words[i : i + 10] for i in range(0, len(words), 10)] or [[]]
+        windows = [b"".join(xxhash.xxh3_128_digest(w) for n, w in enumerate(ws) if w not in ws[:n]) for ws in windows]
+        o, t = ([saved(c, w) for w in windows] for c in (dist.ordinary, dist.toxic))
+        top, n, k = sorted(t, reverse=True)[:3], len(t), sum(x >= 3 for x in t)
+        x = [top[0], np.mean(top[:2]), np.mean(top), np.mean(t), k / n, (k / n) ** 0.5, math.log(1 + n), k**0.5, np.mean(o), max(a - b for a, b in zip(t, o, strict=True))]
+        z = [(a - b) / c for a, b, c in zip(x, m.mean, m.scale, strict=True)]
+        z += [z[0] * z[6], z[4] * z[6], 1.0]
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(z, m.weights, strict=True))))))
+
+    short = {(i, t): brute(t) for i, t in docs + EDGES if len(t or "") < 10_000}
+    for r in toxicity.scored(d, lab).collect():
+        if (r.doc_id, r.text) in short:
+            assert r["__score"] == pytest.approx(short[r.doc_id, r.text], rel=1e-9)
+
+
+def test_dictionaries_are_trained_on_what_tells_texts_apart():
+    fit = [(f"ordinary text number {i} about rivers and stones and more", 0) for i in range(200)] + [(f"text number {i} you dunce about rivers", 1) for i in range(60)]
+    d = toxicity.dictionaries([(toxicity.training_windows(t.encode()), y) for t, y in fit])
+    assert d.ordinary[:4] == d.toxic[:4] == b"\x37\xa4\x30\xec"  # full dictionaries with entropy tables
+    toxic = lambda t: int(d.savings(toxicity.windows_of(t))[1].max())
+    assert toxic(b"rivers and stones you DUNCE!") >= toxicity.MARKED > toxic(b"rivers and stones and more")
+
+
+def test_training_windows_span_the_text():
+    text = b" ".join(b"w%d" % i for i in range(100_000))
+    windows = toxicity.training_windows(text)
+    assert len(windows) == toxicity.TEXT_WINDOWS and windows[0][0] == b"w0" and int(windows[-1][0][1:]) > 99_000
+
+
+def test_callers_columns_stay(spark):
+    docs, labels = made(200)
+    d = spark.createDataFrame([(*r, "mine", 7) for r in docs], "doc_id long, text string, __score string, `a.b` int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(d, lab)
+    assert kept.columns == d.columns and {(r["__score"], r["a.b"]) for r in kept.collect()} == {("mine", 7)}
