@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,8 @@ def free_name(df: DataFrame, stem: str) -> str:
 def quoted(df: DataFrame) -> list[str]:
     """df's column names, safe to select by."""
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which have no order to hash by."""
+    return F.xxhash64(*[name for name, field in zip(quoted(df), df.schema, strict=True) if "map<" not in field.dataType.simpleString()])

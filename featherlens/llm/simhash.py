@@ -7,13 +7,16 @@ six of 4096): two words with at most two errors between them always share one, b
 them. So the join keys are
 
 * segment i as it is with a codeword of segment j, for each ordered pair: about 6 x 5.3 rows, 33-34 bit keys;
-* decoded segments i and j against each pair of their codewords, for each unordered pair: 3 rows against 3 x 28.
+* decoded segments i and j against each pair of their codewords, for each unordered pair: 3 rows against 3 x 28. These
+  only serve two segments with one error each, which turns the parity of both: one side's key holds the two parities, the
+  other's their opposites, so keys have 26 bits.
 
-Every meeting is verified by counting the differing bits inside the join, so no link is lost and none is false.
+Every meeting is verified by counting the differing bits, so no link is lost and none is false.
 
-Large groups of near copies would make the join produce all their pairs. Therefore fingerprints are first linked to
-a few pivots of each segment bucket (linear work), contracted, and the main join only reports links between fingerprints
-that are not yet in one component.
+Large groups of near copies would meet in all their pairs. Therefore fingerprints are first linked to a few pivots of each
+segment bucket (linear work) and contracted. Then only keys under which more than one component meets are joined at all,
+and a key with many rows is joined by the highest bit in which two components' names differ, under which fingerprints of
+one component never meet.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, raw_bytes
+from .common import cut, quoted, raw_bytes, row_hash
 from .components import components
 
 SHINGLE = 4
@@ -37,6 +40,10 @@ MAX_BITS = 4
 #: (shift, bits) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PIVOTS = 4
+#: Fingerprints that one task expands to keys, about 150 rows each.
+EXPAND_ROWS = 20_000
+#: Meetings under one key from which on it is joined by differing bits; and keys that are broadcast.
+MANY, MAX_BROADCAST_KEYS = 4096, 500_000
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
 
@@ -112,13 +119,14 @@ def join_keys(fps: np.ndarray, golay: Golay, index: bool) -> tuple[np.ndarray, n
         rows.append(np.broadcast_to(at[:, None], real.shape)[real])
         keys.append(key[real])
     for family, (i, j) in enumerate(combinations(range(3), 2), 6):
+        parity = (np.bitwise_count(segs[i]) & 1) * 2 + (np.bitwise_count(segs[j]) & 1)
         if index:
             rows.append(at)
-            keys.append((family << 40) | (golay.decode(segs[i]) << 12) | golay.decode(segs[j]))
+            keys.append((family << 40) | (parity.astype(np.int64) << 24) | (golay.decode(segs[i]) << 12) | golay.decode(segs[j]))
         else:
             (fi, ri), (fj, rj) = sets[i], sets[j]
             real = ri[:, :, None] & rj[:, None, :]
-            key = (family << 40) | (fi[:, :, None] << 12) | fj[:, None, :]
+            key = (family << 40) | ((3 - parity.astype(np.int64)) << 24)[:, None, None] | (fi[:, :, None] << 12) | fj[:, None, :]
             rows.append(np.broadcast_to(at[:, None, None], real.shape)[real])
             keys.append(key[real])
     return np.concatenate(rows), np.concatenate(keys)
@@ -150,33 +158,51 @@ def pivot_links(fps: DataFrame) -> DataFrame:
     return keyed.join(pivots, "key").select("fp", F.explode(near).alias("v")).select(F.col("fp").alias("u"), "v").distinct()
 
 
+def meetings(nodes: DataFrame) -> DataFrame:
+    """Pairs (fa, ca, fb, cb) of different components of the written (fp, comp) that meet under a key, not yet verified."""
+    tasks = -(-nodes.count() // EXPAND_ROWS)
+    spread = nodes.repartition(max(1, tasks), "fp")
+    a = _side(spread, True).select("key", F.col("fp").alias("fa"), F.col("comp").alias("ca"))
+    b = _side(spread, False).select("key", F.col("fp").alias("fb"), F.col("comp").alias("cb"))
+    every = a.select("key", F.col("ca").alias("c"), F.lit(1).alias("a")).unionAll(b.select("key", F.col("cb").alias("c"), F.lit(0).alias("a")))
+    found = every.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
+    mixed = cut(found.filter("lo <> hi and na > 0 and nb > 0").select("key", (F.col("na") * F.col("nb") > MANY).alias("many")), "keys")
+    few = mixed.count() <= MAX_BROADCAST_KEYS
+    a, b = (x.join(F.broadcast(mixed) if few else mixed, "key") for x in (a, b))
+    plain = a.filter("not many").drop("many").join(b.filter("not many").drop("many"), "key").filter("ca <> cb")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("level")
+    above = lambda c: F.expr(f"if(level = 63, 0L, shiftrightunsigned({c}, level + 1))").alias("above")
+    bit = lambda c: F.expr(f"shiftrightunsigned({c}, level) & 1L")
+    ours = a.filter("many").select("key", "fa", "ca", levels).select("*", above("ca"), bit("ca").alias("bit"))
+    theirs = b.filter("many").select("key", "fb", "cb", levels).select("*", above("cb"), (1 - bit("cb")).alias("bit"))
+    by_bit = ours.join(theirs, ["key", "level", "above", "bit"])
+    return plain.select("fa", "ca", "fb", "cb").unionAll(by_bit.select("fa", "ca", "fb", "cb"))
+
+
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """Distinct (fp) -> (node, root): the components of at most MAX_BITS differing bits, nodes without a link left out."""
     first = components(pivot_links(fps))
     nodes = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
     nodes = cut(nodes.distinct(), "nodes")
-    a = _side(nodes, True).select("key", F.col("fp").alias("fa"), F.col("comp").alias("ca"))
-    b = _side(nodes, False).select("key", F.col("fp").alias("fb"), F.col("comp").alias("cb"))
-    apart = (F.col("fa") < F.col("fb")) & (F.col("ca") != F.col("cb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS)
-    links = a.join(b, (a["key"] == b["key"]) & apart).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
-    second = components(links)
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS
+    second = components(meetings(nodes).filter(near).select(F.col("ca").alias("u"), F.col("cb").alias("v")))
     top = second.select(F.col("node").alias("comp"), F.col("root").alias("top"))
     return nodes.join(top, "comp", "left").select(F.col("fp").alias("node"), F.coalesce("top", "comp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash."""
-    return rooted_duplicates(docs, id_col, text_col).drop("root")
+    return rooted_duplicates(docs.select(id_col, text_col), id_col, text_col).drop("root", "row_hash")
 
 
 def rooted_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_duplicates and root, the fingerprint that names the component.
+    """near_duplicates, root (the fingerprint that names the component) and row_hash (of all columns).
 
     A null or empty text has no words and fingerprint zero, which links like any other. component_id is the smallest
     non-null id reachable; rows with a null id take part and get the id of their component (null if it has none).
     Repeated rows each get their row. Other columns are ignored, whatever their names.
     """
-    marked = docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp"), F.xxhash64(text_col).alias("text_hash"))
+    marked = docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp"), F.xxhash64(text_col).alias("text_hash"), row_hash(docs).alias("row_hash"))
     marked = cut(marked, "fingerprints")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = cut(fingerprint_components(distinct.select("fp")), "roots")
@@ -184,14 +210,17 @@ def rooted_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = rooted.join(ids, "root").select("fp", "component_id", "root")
     out = marked.join(of_fp, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root", "row_hash")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keeps one document of each component: the row with the smallest id (ties: the smallest text hash, one copy of it)."""
+    """Keeps one document of each component: the row with the smallest id.
+
+    Ties: the smallest text hash, then the smallest hash of all columns; of rows equal in every column, one.
+    """
     found = rooted_duplicates(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m")
-    row = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), h.cast("string"))
-    keep = found.groupBy("root").agg(first).select(row(F.col("m.doc_id"), F.col("m.text_hash")).alias("__row"))
-    rows = docs.withColumn("__row", row(F.col("doc_id"), F.xxhash64("text")))
-    return rows.join(keep.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")).alias("m")
+    row = lambda i, t, r: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), t.cast("string"), r.cast("string"))
+    keep = found.groupBy("root").agg(first).select(row(F.col("m.doc_id"), F.col("m.text_hash"), F.col("m.row_hash")).alias("row"))
+    rows = docs.select(row(F.col("doc_id"), F.xxhash64("text"), row_hash(docs)).alias("row"), F.struct(*quoted(docs)).alias("doc"))
+    return rows.join(keep.distinct(), "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

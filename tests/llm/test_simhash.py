@@ -89,6 +89,48 @@ def test_against_brute_force(spark):
     assert ids == sorted({c for _, _, c in want if c is not None})
 
 
+def near_family(rng, n, bits):
+    base, out = rng.getrandbits(64), set()
+    while len(out) < n:
+        x = base
+        for b in rng.sample(range(64), bits):
+            x ^= 1 << b
+        out.add(x - (1 << 64) if x >> 63 else x)
+    return sorted(out)
+
+
+def test_members_of_one_component_never_meet(spark):
+    """2000 near copies are linked through pivots; the main join then compares none of their pairs."""
+    rng = random.Random(9)
+    family = near_family(rng, 2000, 2)
+    nodes = spark.createDataFrame([(x, family[0]) for x in family], "fp long, comp long")
+    assert simhash.meetings(nodes).count() == 0
+    roots = simhash.fingerprint_components(spark.createDataFrame([(x,) for x in family], "fp long")).collect()
+    assert len(roots) == 2000 and len({r.root for r in roots}) == 1
+
+
+def test_meetings_under_hot_keys(spark, monkeypatch):
+    """Two large components under common keys meet in all their pairs and only those, however the keys are joined."""
+    rng = random.Random(10)
+    family = near_family(rng, 120, 2)
+    nodes = spark.createDataFrame([(x, i % 2) for i, x in enumerate(family)], "fp long, comp long").cache()
+    pairs = lambda: {(r.fa, r.fb) for r in simhash.meetings(nodes).collect() if ((r.fa ^ r.fb) & (2**64 - 1)).bit_count() <= 4}
+    plain = pairs()
+    assert plain and simhash.meetings(nodes).filter("ca = cb").count() == 0
+    monkeypatch.setattr(simhash, "MANY", 0)
+    monkeypatch.setattr(simhash, "MAX_BROADCAST_KEYS", 0)
+    assert pairs() == plain
+    every = {frozenset((x, y)) for i, x in enumerate(family) for j, y in enumerate(family) if i % 2 != j % 2 and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
+    assert {frozenset(p) for p in plain} == every
+
+
+def test_ties_go_by_all_columns(spark):
+    rows = [(1, "same text here", c, c) for c in "cab"] + [(1, "same text here", "a", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string, root string")
+    got = {tuple(r) for n in (1, 4) for r in simhash.drop_near_duplicates(df.repartition(n, "__row")).collect()}
+    assert len(got) == 1 and simhash.drop_near_duplicates(df).columns == df.columns
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
