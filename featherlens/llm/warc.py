@@ -3,8 +3,14 @@
 Each task streams its rows into archives of its own (one gzip member a record, so any record can be read alone) in the
 shared folder, under a name no other attempt uses, and returns one index row a record: archive, offset, length, url,
 payload digest. The index is written as a table first; only records it lists count, so what a lost or repeated task left
-behind is never read. Readers sort the selected index rows by archive and offset, join neighbouring ranges into one read
-of bounded size, and parse the records.
+behind is never read. Readers sort the selected index rows by archive and offset, in tasks by the bytes that they stand for, join neighbouring
+ranges into one read of bounded size, and parse the records.
+
+Payloads aren't shuffled: repeated digests are found on narrow rows and broadcast up to MAX_BROADCAST_FIRSTS of them; beyond
+that pages are joined by id and digest, which no repeated payload makes hot.
+
+The shared folder may be on a local path or any store that pyarrow opens; s3a and s3n addresses are read as s3. For other
+schemes archives can't be written, and an error says so.
 
 Of the records with equal payloads (SHA-256) of at least MIN_DUPLICATE bytes, the one with the smallest page_id is a
 response and the others are revisits, which carry no payload. Rows that repeat the smallest page_id are all responses; a
@@ -31,6 +37,10 @@ ROLL_BYTES = 256 << 20
 #: Ranges at most this far apart are read at once, up to READ_BYTES.
 GAP_BYTES, READ_BYTES = 64 << 10, 4 << 20
 GZIP_LEVEL = 4
+#: Archive bytes that one task reads; small selections go to as many tasks as there are cores, if each gets SMALL_BYTES.
+TASK_BYTES, SMALL_BYTES = 64 << 20, 1 << 20
+#: Repeated digests that are broadcast, of about 100 bytes each.
+MAX_BROADCAST_FIRSTS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, archive string, offset long, length long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -80,12 +90,25 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
-def plan(pages: DataFrame) -> DataFrame:
-    """pages with __digest, __bytes, __first (null unless the payload repeats): what each record will be."""
+def plan(pages: DataFrame, max_broadcast: int | None = None) -> DataFrame:
+    """page_id, url, html, digest, bytes and first (null unless the payload repeats): what each record will be."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    again = rows.filter(F.col("bytes") >= MIN_DUPLICATE).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).filter("n > 1")
-    return rows.join(again.select("digest", "first"), "digest", "left")
+    narrow = rows.filter(F.col("bytes") >= MIN_DUPLICATE).select("page_id", "digest")
+    again = cut(narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).filter("n > 1").select("digest", "first"), "repeated")
+    if again.count() <= (MAX_BROADCAST_FIRSTS if max_broadcast is None else max_broadcast):
+        return rows.join(F.broadcast(again), "digest", "left")
+    marks = narrow.distinct().join(again, "digest").withColumnsRenamed({"page_id": "p", "digest": "d"})
+    return rows.join(marks, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+
+
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of an address in the shared folder."""
+    scheme, sep, rest = uri.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        raise RuntimeError(f"archives can't be opened under {uri}: {e}") from e
 
 
 def write(pages: DataFrame, root: str | None = None) -> DataFrame:
@@ -93,7 +116,7 @@ def write(pages: DataFrame, root: str | None = None) -> DataFrame:
     root = root or fresh_path(pages.sparkSession, "warc")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = store(root)
         out, name, at = None, "", 0
         for batch in batches:
             rows = []
@@ -153,7 +176,7 @@ def read(selected: DataFrame, payload: bool = False) -> DataFrame:
             if archive != opened:
                 if file is not None:
                     file.close()
-                fs, path = pafs.FileSystem.from_uri(archive)
+                fs, path = store(archive)
                 opened, file = archive, fs.open_input_file(path)
             data, out = file.read_at(stop - start, start), []
             for offset, length in members:
@@ -173,5 +196,7 @@ def read(selected: DataFrame, payload: bool = False) -> DataFrame:
         if file is not None:
             file.close()
 
-    ordered = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(-(-size // TASK_BYTES), min(selected.sparkSession.sparkContext.defaultParallelism, -(-size // SMALL_BYTES)), 1)
+    ordered = selected.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(load, RECORD + ", html string" * payload)

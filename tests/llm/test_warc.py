@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from featherlens.llm import warc
 
 
@@ -28,6 +30,19 @@ def test_round_trip(spark):
     assert sorted(r.page_id for r in some) == [3, 3, 10]
 
 
+def test_plan_without_broadcast(spark):
+    data = [(i % 9 if i % 7 else None, "u", ["x" * 200, "y" * 300, None, f"{i}" * 90][i % 4], i) for i in range(60)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string, n int")
+    rows = [sorted(map(str, warc.plan(df, bound).select("page_id", "html", "first").collect())) for bound in (1000, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) == 60
+
+
+def test_addresses(tmp_path):
+    assert warc.store(f"file://{tmp_path}")[1] == str(tmp_path)
+    with pytest.raises(RuntimeError, match="abc://"):
+        warc.store("abc://host/folder")
+
+
 def test_ranges_join():
     r = list(warc.ranges(iter([("a", 0, 10), ("a", 10, 10), ("a", 20 + warc.GAP_BYTES + 1, 5), ("b", 0, 1)])))
     assert [(x[0], x[1], x[2], len(x[3])) for x in r] == [("a", 0, 20, 2), ("a", 20 + warc.GAP_BYTES + 1, 25 + warc.GAP_BYTES + 1, 1), ("b", 0, 1, 1)]
