@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 from featherlens.llm import topk
 
@@ -32,5 +33,31 @@ def test_large_components(spark):
     assert sorted(map(tuple, topk.top_k(df, 3, 10).collect()), key=str) == brute(data, 3, 10)
 
 
+def exact(data, k, step):
+    """brute() for components of any size: floors and products in integers, scores held to 64 bits."""
+    ints = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in data]
+    out = []
+    for qi, qv in {(i, tuple(v)) for i, v in ints if i % step == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in ints if i != qi and len(v) == len(qv))
+        out += [(qi, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out, key=str)
+
+
+def test_any_finite_component(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    data += [(200 + i, [rng.choice([1e15, -1e15, 1e300, 1.7e308, -1.7e308, 2.0**52 + 1, 0.3, 1e-320]) for _ in range(4)]) for i in range(40)]
+    data += [(240, [1e15, 1.0, 0.0, -0.5]), (260, [1e5, 2e5, 3e5, 4e5])]
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, topk.top_k(df, 7, 20).collect()), key=str) == exact(data, 7, 20)
+
+
+def test_lengths_of_one_id_are_two_queries(spark):
+    data = [(10, [1.0, 2.0]), (10, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, 1, 10).collect())) == sorted(exact(data, 1, 10))
+
+
 def test_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
