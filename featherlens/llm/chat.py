@@ -3,18 +3,22 @@
 A transcript is rows (conv_id, turn, text) whose lines may or may not begin with a speaker marker. The states are ROLES.
 A line's emission has two independent parts: what marker it begins with (MARKER_HIT for the role's own, MARKER_MISS for
 another's, the rest for none; only lines that can open a turn carry one) and its length class, whose frequencies by role
-are counted on the training conversations. Within a row the role stays with probability STAY unless a marker opens a
-turn; between rows and at markers it moves by transition frequencies, and a conversation starts by start frequencies, both
-counted on the same rows (add-one). Viterbi's path gives every line its role; markers are cut off, adjacent lines of one
-role joined, and each turn rendered between marks.
+are counted on the training conversations. Within a row the role stays with probability STAY; at a marker within a row
+either that or a turn's change is as likely; between rows it moves by transition frequencies, and a conversation starts by
+start frequencies, both counted on the training conversations (add-one). Viterbi's path gives every line its role.
+
+A marker is a name with a colon, in brackets, or alone after three number signs; a bare word or letter on a line is text.
+It is cut off only where the path says that it opens a turn: on a row's first line if the line has the marker's role, on
+later lines if the path changes to the marker's role there. Any other such line is content ("A: " in a list, say) and stays
+as it is. Adjacent lines of one role are joined, and each turn is rendered between marks, so nothing but markers goes.
 
 A conversation may be far too long for one task. Rows are range-partitioned by (conv_id, turn), and each partition cuts its
-rows of a conversation into segments of at most SEGMENT_ROWS. A segment's best paths are found for every state before it
+rows of a conversation into segments of at most SEGMENT_ROWS rows and about SEGMENT_CHARS characters. A segment's best paths are found for every state before it
 and every last state; only these scores (12 numbers a segment) meet in one place, where the states at the boundaries are
 chosen, exactly as one pass over the whole conversation would. Ties go to the earlier role in ROLES.
 
 Null conv_ids are one conversation; null turns come first; null texts are empty (one empty line). Repeated rows each get
-their row, in the order of their text. Other columns are ignored.
+their row, in the order of their text. Other columns are ignored. conv_id and turn are taken as long integers.
 """
 
 from __future__ import annotations
@@ -37,20 +41,20 @@ MARKERS = {
     "assistant": ("Assistant: ", "AI: ", "A: ", "### Assistant\n"),
 }
 FOLDS, HELD_OUT = 5, 0
-SEGMENT_ROWS = 2000
+SEGMENT_ROWS, SEGMENT_CHARS = 2000, 1 << 22
 MARKER_HIT, MARKER_MISS = 0.7, 0.01
 STAY = 0.995
 #: Upper ends of the length classes of a line, in characters.
 LENGTHS = (40, 120, 250, 500)
 START = len(ROLES)
-_OPENING = re.compile(r"^(?:### )?\[?(system|user|human|q|assistant|ai|a)\]?(?::\s*|\s*$|(?<=\])\s*)", re.IGNORECASE)
+_OPENING = re.compile(r"###\s+(system|user|human|assistant)\s*$|\[(system|user|human|assistant)\]\s*|(system|user|human|q|assistant|ai|a):(?:\s+|$)", re.IGNORECASE)
 _SPEAKER = {"system": 0, "user": 1, "human": 1, "q": 1, "assistant": 2, "ai": 2, "a": 2}
 
 
 def marker(line: str) -> tuple[int | None, str]:
     """(role number, rest) of a line that begins with a speaker marker, else (None, line)."""
     m = _OPENING.match(line)
-    return (_SPEAKER[m[1].lower()], line[m.end() :]) if m else (None, line)
+    return (_SPEAKER[m[m.lastindex].lower()], line[m.end() :]) if m else (None, line)
 
 
 def length_class(n: int) -> int:
@@ -65,6 +69,7 @@ class Model:
         self.start, self.move, self.lengths = log(start), log(move), log(lengths)
         s = len(ROLES)
         self.stay = np.log(np.where(np.eye(s), STAY, (1 - STAY) / (s - 1)))
+        self.turn = np.logaddexp(self.stay, self.move) - np.log(2)  # at a marker within a row
         self.first = np.vstack([self.move, self.start])  # from each state, or from none
 
     def emission(self, line: str, opens: bool) -> tuple[np.ndarray, bool]:
@@ -83,7 +88,7 @@ class Model:
         for lines in rows:
             for i, line in enumerate(lines):
                 emit, marked = self.emission(line, i == 0)
-                step = self.move if i == 0 or marked else self.stay
+                step = self.move if i == 0 else self.turn if marked else self.stay
                 if score is None:
                     score = self.first + emit
                     continue
@@ -128,10 +133,13 @@ def render(lines: list[str], path: str) -> tuple[str, int]:
     """Canonical turns of a row's lines, and their number."""
     turns: list[tuple[str, list[str]]] = []
     for line, state in zip(lines, path, strict=True):
-        role, rest = marker(line)
-        if not turns or turns[-1][0] != state or role is not None:
+        new = not turns or turns[-1][0] != state
+        if new:
             turns.append((state, []))
-        if role is None or rest:
+        role, rest = marker(line)
+        if not new or role != int(state):
+            turns[-1][1].append(line)
+        elif rest:
             turns[-1][1].append(rest)
     return "".join(f"<|{ROLES[int(s)]}|>\n{chr(10).join(t)}\n<|end|>\n" for s, t in turns), len(turns)
 
@@ -155,13 +163,13 @@ def fit(rows: DataFrame) -> Model:
 
 
 def recover(transcripts: DataFrame, model: Model) -> DataFrame:
-    """conv_id, turn, role (of the row's first line), n_lines, n_turns, rendered."""
+    """conv_id, turn, held_out, role (of the row's first line), n_lines, n_turns, rendered."""
     shared = transcripts.sparkSession.sparkContext.broadcast(model)
-    limit = SEGMENT_ROWS
+    limit, most = SEGMENT_ROWS, SEGMENT_CHARS
     kinds = [("conv_id", pa.int64()), ("turn", pa.int64()), ("text", pa.string()), ("seg", pa.int64()), ("paths", pa.list_(pa.string())), ("scores", pa.list_(pa.float64()))]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, held, number = shared.value, [], None
+        m, held, number, chars = shared.value, [], None, 0
 
         def closed() -> pa.RecordBatch:
             score, paths = m.best_paths([(r[2] or "").split("\n") for r in held])
@@ -172,11 +180,12 @@ def recover(transcripts: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             for at, conv, turn, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and (held[0][0] != conv or len(held) >= limit):
+                if held and (held[0][0] != conv or len(held) >= limit or chars >= most):
                     yield closed()
                 if not held:
-                    number = at  # place in the global order
+                    number, chars = at, 0  # place in the global order
                 held.append((conv, turn, text))
+                chars += len(text or "")
         if held:
             yield closed()
 
@@ -208,7 +217,7 @@ def recover(transcripts: DataFrame, model: Model) -> DataFrame:
     out = done.join(picks, "seg").withColumn("path", F.element_at("paths", F.col("pick") + 1))
     out = out.withColumn("r", rendered.asNondeterministic()("text", "path"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.substring("path", 1, 1).cast("int") + 1)
-    return out.select("conv_id", "turn", role.alias("role"), "r.n_lines", "r.n_turns", "r.rendered")
+    return out.select("conv_id", "turn", (crc_mod("conv_id", FOLDS) == HELD_OUT).alias("held_out"), role.alias("role"), "r.n_lines", "r.n_turns", "r.rendered")
 
 
 def as_transcript(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -14,7 +15,7 @@ def brute(model, rows):
             if score is None:
                 score = model.start + emit
                 continue
-            o = score[:, None] + (model.move if i == 0 or marked else model.stay)
+            o = score[:, None] + (model.move if i == 0 else model.turn if marked else model.stay)
             back.append(o.argmax(0))
             score = o.max(0) + emit
     path = [int(score.argmax())]
@@ -52,7 +53,7 @@ def test_segments_equal_one_pass(spark, monkeypatch):
         path, at = brute(model, lines), 0
         for r, x in zip(part, lines, strict=True):
             text, n = chat.render(x, "".join(map(str, path[at : at + len(x)])))
-            want.append((conv, r.turn, chat.ROLES[path[at]], len(x), n, text))
+            want.append((conv, r.turn, zlib.crc32(("" if conv is None else str(conv)).encode()) % 5 == 0, chat.ROLES[path[at]], len(x), n, text))
             at += len(x)
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     truth = {(c, t): role for c, t, role, _ in rows}
@@ -64,8 +65,32 @@ def test_segments_equal_one_pass(spark, monkeypatch):
 def test_markers():
     assert chat.marker("Human: hi") == (1, "hi") and chat.marker("### Assistant") == (2, "") and chat.marker("[system] be nice") == (0, "be nice")
     assert chat.marker("A quiet day") == (None, "A quiet day") and chat.marker("") == (None, "")
+    for content in ("A", "AI", "q", "user", "Human", "system", "a]", "[a]", "### A", "A quiet day: here", "users: many"):
+        assert chat.marker(content) == (None, content)
+    assert chat.marker("A:") == (2, "") and chat.marker("AI: yes") == (2, "yes") and chat.marker("### user ") == (1, "")
     assert chat.render(["User: a", "b", "AI: c"], "112") == ("<|user|>\na\nb\n<|end|>\n<|assistant|>\nc\n<|end|>\n", 2)
 
 
 def test_empty(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_nothing_but_markers_goes(spark):
+    assert chat.render(["Blood type:", "A", "that is all"], "222") == ("<|assistant|>\nBlood type:\nA\nthat is all\n<|end|>\n", 1)
+    # a list item with a letter, and a quoted marker of another role, are content where the role doesn't change
+    assert chat.render(["Options:", "A: red", "Q: why", "User: said so"], "2222")[0] == "<|assistant|>\nOptions:\nA: red\nQ: why\nUser: said so\n<|end|>\n"
+    assert chat.render(["User: a"], "2")[0] == "<|assistant|>\nUser: a\n<|end|>\n"
+    rows = conversations()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    listed = [(900, 0, "user", "which one?"), (900, 1, "assistant", "Assistant: these\nA: red paint\nA: blue paint\nA\nAI\n" + "word " * 60)]
+    got = {r.turn: r.rendered for r in chat.recover(spark.createDataFrame(listed, df.schema), chat.fit(df)).collect()}
+    assert got[1].startswith("<|assistant|>\nthese\nA: red paint\nA: blue paint\nA\nAI\nword")
+
+
+def test_segments_are_bounded_in_characters(spark, monkeypatch):
+    rows = conversations()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model, raw = chat.fit(df), chat.as_transcript(df)
+    want = sorted(map(str, chat.recover(raw, model).collect()))
+    monkeypatch.setattr(chat, "SEGMENT_CHARS", 50)
+    assert sorted(map(str, chat.recover(raw, model).collect())) == want
