@@ -3,9 +3,10 @@
 Items become windows of WINDOW normalised words (a shorter item is one window). While the benchmark's text is at most
 MAX_BROADCAST_BYTES, its windows are broadcast as a hash set and every document is scanned once, without a shuffle: words
 map to vocabulary numbers, a window whose words are all known is looked up by rolling hash, and hits are verified by
-their exact words. A larger benchmark takes another way with the same result: the windows of both sides meet in a join.
+their exact words. A larger benchmark takes another way with the same result: the windows of both sides meet in a join by
+their digest, on salted keys, and the meetings are verified by their exact words too.
 
-Rows with a null or empty text have no words. Items whose id or text is null take no part; items without words have no
+Rows with a null or empty text have no words. Callers' columns stay as they are, whatever their names. Items whose id or text is null take no part; items without words have no
 window. Repeated items count once by id.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, raw_bytes
+from .common import cut, free_name, quoted, raw_bytes
 
 WINDOW = 13
 #: Broadcast bound for the benchmark's texts; its windows take about ten times as much in a worker.
 MAX_BROADCAST_BYTES = 16 << 20
+#: Copies of a benchmark window in the join, so that a passage of very many documents is no hot key.
+SALTS = 8
 #: A document is contaminated if at least one word in SHARE is hit.
 SHARE = 20
 
@@ -134,7 +138,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
 
 
-def _by_broadcast(docs: DataFrame, items: DataFrame, clean: bool) -> DataFrame:
+def _by_broadcast(docs: DataFrame, items: DataFrame, clean: bool, name: str) -> DataFrame:
     # bounded: the caller has checked the size of the texts
     windows = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.item_id, r.text.encode()) for r in items.toLocalIterator()]))
 
@@ -148,7 +152,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, clean: bool) -> DataFrame:
                 rows.append(judged(text, len(words), *known.spans(words), clean))
             yield pa.array(rows, RESULT_ARROW)
 
-    return docs.withColumn("__hit", judge.asNondeterministic()("text"))
+    return docs.withColumn(name, judge.asNondeterministic()("text"))
 
 
 RESULT_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("clean_text", pa.string())])
@@ -159,59 +163,77 @@ def _digest(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(joined) + xxhash.xxh64_digest(joined, 7)
 
 
-def _by_join(docs: DataFrame, items: DataFrame, clean: bool) -> DataFrame:
-    """For a benchmark of any size: windows of both sides meet by a 192-bit digest of their words."""
+def _by_join(docs: DataFrame, items: DataFrame, clean: bool, name: str) -> DataFrame:
+    """For a benchmark of any size: windows of both sides meet by a 192-bit digest of their words, then are verified.
+
+    A window is one row of its own side, with its words, however many items hold it; the items join the distinct windows of
+    each document afterwards. Each window has SALTS copies for the documents' rows to choose from by their place.
+    """
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(_digest(list(w)), item, len(w)) for item, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True) for w in windows_of(words_of(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in ((0, pa.binary()), (1, pa.string()), (2, pa.int32()))], ["key", "item_id", "size"])
+            out = [(_digest(list(w)), item, len(w), b" ".join(w)) for item, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True) for w in windows_of(words_of(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in ((0, pa.binary()), (1, pa.string()), (2, pa.int32()), (3, pa.binary()))], ["key", "item_id", "size", "win"])
 
-    rows = cut(docs.withColumn("__row", F.expr("uuid()")), "rows")
-    theirs = cut(items.mapInArrow(item_windows, "key binary, item_id string, size int").distinct(), "windows")
+    rows = cut(docs.select(F.expr("uuid()").alias("row"), "text", F.struct(*quoted(docs)).alias("doc")), "rows")
+    theirs = cut(items.mapInArrow(item_windows, "key binary, item_id string, size int, win binary").distinct(), "windows")
     sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most WINDOW values
+    # two texts with one digest are two rows, and only the one with the document's words survives
+    windows = theirs.select("key", "size", "win").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
-                words = words_of(text)
+                words, start = words_of(text), zlib.crc32(row.encode())
                 for size in sizes:
                     n = len(words) - size + 1
                     for a in range(0, max(0, n), 50_000):
                         at = range(a, min(n, a + 50_000))
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(at)), pa.array([_digest(words[i : i + size]) for i in at]), pa.array(at, pa.int64()), pa.array([size] * len(at), pa.int32())], ["__row", "key", "at", "size"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([row] * len(at)), pa.array([_digest(words[i : i + size]) for i in at]), pa.array(at, pa.int64()), pa.array([start + i for i in at], pa.int64())],
+                            ["row", "key", "at", "turn"],
+                        )
 
-    ours = rows.select("__row", "text").mapInArrow(doc_windows, "__row string, key binary, at long, size int")
-    hits = ours.join(theirs.drop("size"), "key").groupBy("__row").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.collect_set("item_id").alias("met"))
+    ours = rows.select("row", "text").mapInArrow(doc_windows, "row string, key binary, at long, turn long").withColumn("salt", F.pmod("turn", F.lit(SALTS)).cast("int")).drop("turn")
+    met = cut(ours.join(windows, ["key", "salt"]).select("row", "key", "at", "size", "win"), "met")
+    spans = met.groupBy("row").agg(F.collect_list(F.struct("at", "size", "win")).alias("spans"))
+    of_row = met.select("row", "key", "win").distinct().join(theirs.select("key", "win", "item_id"), ["key", "win"])
+    items_of = of_row.groupBy("row").agg(F.collect_set(F.struct("win", "item_id")).alias("items"))
 
     @F.arrow_udf(RESULT)
-    def judge(texts: pa.Array, spans: pa.Array, met: pa.Array) -> pa.Array:
+    def judge(texts: pa.Array, spans: pa.Array, items: pa.Array) -> pa.Array:
         out = []
-        for text, s, m in zip(raw_bytes(texts), spans.to_pylist(), met.to_pylist(), strict=True):
-            out.append(judged(text, len(words_of(text)), [(x["at"], x["size"]) for x in s or ()], set(m or ()), clean))
+        for text, s, m in zip(raw_bytes(texts), spans.to_pylist(), items.to_pylist(), strict=True):
+            words = words_of(text)
+            real = [x for x in s or () if b" ".join(words[x["at"] : x["at"] + x["size"]]) == x["win"]]
+            seen = {x["win"] for x in real}
+            out.append(judged(text, len(words), [(x["at"], x["size"]) for x in real], {x["item_id"] for x in m or () if x["win"] in seen}, clean))
         return pa.array(out, RESULT_ARROW)
 
-    return rows.join(hits.withColumnsRenamed({"spans": "__spans", "met": "__met"}), "__row", "left").withColumn("__hit", judge.asNondeterministic()("text", "__spans", "__met")).drop("__row", "__spans", "__met")
+    joined = rows.join(spans, "row", "left").join(items_of, "row", "left")
+    return joined.select("doc", judge.asNondeterministic()("text", "spans", "items").alias("hit")).select("doc.*", F.col("hit").alias(name))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, clean: bool = False, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """docs with a struct column __hit (see RESULT); clean: also the text without its hit spans, where there are any."""
+def scan(docs: DataFrame, benchmark: DataFrame, clean: bool = False, max_bytes: int = MAX_BROADCAST_BYTES, name: str | None = None) -> DataFrame:
+    """docs with a struct column __hit, or the given name (see RESULT); clean: also the text without its hit spans."""
     items = _items(benchmark)
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
-    return (_by_broadcast if size <= max_bytes else _by_join)(docs, items, clean)
+    return (_by_broadcast if size <= max_bytes else _by_join)(docs, items, clean, name or free_name(docs, "hit"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return scan(docs.select("doc_id", "text"), benchmark, **options).select("doc_id", *[f"__hit.{f.name}" for f in RESULT.fields[:-1]])
+    return scan(docs.select("doc_id", "text"), benchmark, name="hit", **options).select("doc_id", *[f"hit.{f.name}" for f in RESULT.fields[:-1]])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    return scan(docs, benchmark, **options).filter("not __hit.contaminated").select(*docs.columns)
+    name = free_name(docs, "hit")
+    return scan(docs, benchmark, name=name, **options).filter(~F.col(name)["contaminated"]).select(*quoted(docs))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """All documents, hit spans cut out of their text."""
-    out = scan(docs, benchmark, clean=True, **options)
-    return out.withColumn("text", F.coalesce("__hit.clean_text", "text")).select(*docs.columns)
+    name = free_name(docs, "hit")
+    out = scan(docs, benchmark, clean=True, name=name, **options)
+    return out.withColumn("text", F.coalesce(F.col(name)["clean_text"], "text")).select(*quoted(docs))

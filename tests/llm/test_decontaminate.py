@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from featherlens.llm import decontaminate
 
 PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,14 +59,28 @@ def test_against_brute_force(spark):
     for bound in (1 << 20, 0):
         got = decontaminate.contamination(d, b, max_bytes=bound)
         assert sorted(map(tuple, got.collect()), key=str) == want
-    kept = decontaminate.drop_contaminated(d, b)
-    assert kept.columns == d.columns and kept.count() == sum(not r[-1] for r in want)
-    cleaned = decontaminate.remove_spans(d, b)
-    assert cleaned.columns == d.columns and cleaned.count() == len(docs)
+    wide = d.withColumns({"__hit": F.lit("mine"), "row": F.lit(4), "spans": F.lit(5)})
+    texts = []
+    for bound in (1 << 20, 0):
+        kept = decontaminate.drop_contaminated(wide, b, max_bytes=bound)
+        assert kept.columns == wide.columns and kept.count() == sum(not r[-1] for r in want)
+        cleaned = decontaminate.remove_spans(wide, b, max_bytes=bound)
+        assert cleaned.columns == wide.columns and {r["__hit"] for r in cleaned.collect()} == {"mine"}
+        texts.append(sorted(str(r.text) for r in cleaned.collect()))
+    assert len(texts[0]) == len(docs) and texts[0] == texts[1]
     one = spark.createDataFrame([(1, "Keep, this! " + bench[1][1] + " And THIS.")], "doc_id long, text string")
     assert decontaminate.remove_spans(one, b).first().text == "Keep, this!  And THIS."
 
 
+def test_digests_are_verified(spark, monkeypatch):
+    """With digests that all collide, the words still decide."""
+    monkeypatch.setattr(decontaminate, "_digest", lambda words: b"same")
+    docs, bench = data()
+    docs = [r for r in docs if len(r[1] or "") < 2000]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), max_bytes=0)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, bench)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
