@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted
 
 SEED = 17
 MAX_EPOCHS = 2
@@ -51,7 +51,7 @@ def token_count(text: Column) -> Column:
 
 
 def _leaves(docs: DataFrame) -> DataFrame:
-    """docs with __domain, __lang, __source and __id."""
+    """docs (of doc_id, lang, source and others) with __domain, __lang, __source and __id."""
     out = docs.withColumns({"__lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")), "__source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)"))})
     return out.withColumn("__domain", domain_of(F.col("__source")))
 
@@ -80,8 +80,9 @@ def share(children: DataFrame, parents: list[str], child: str) -> DataFrame:
 def allocate(leaves: DataFrame) -> DataFrame:
     """(domain, lang, source, tokens) -> with budget, epochs (whole ones) and remainder."""
     caps = leaves.withColumn("cap", F.col("tokens") * MAX_EPOCHS)
-    total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * BUDGET_TENTHS / 10).cast("long")
     domains = caps.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    # a window over the domains, which are a handful
+    total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * BUDGET_TENTHS / 10).cast("long")
     domains = domains.withColumns({"parent_budget": total, "weight": _weight("domain", DOMAIN_WEIGHTS)})
     domains = share(domains, [], "domain").select("domain", F.col("budget").alias("parent_budget"))
     langs = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("weight", _weight("lang", LANG_WEIGHTS)).join(domains, "domain")
@@ -103,7 +104,7 @@ def _join_small(rows: DataFrame, small: DataFrame, n: int, how: str) -> DataFram
 def leaf_plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The narrow rows (leaf, id, doc_id, tokens), the leaves' plan with last_key, and the number of leaves."""
     named = [F.col(f"__{c}").alias(c) for c in LEAF]
-    narrow = cut(_leaves(docs).select(*named, F.col("__id").alias("id"), "doc_id", token_count(F.col("text")).alias("n")), "narrow")
+    narrow = cut(_leaves(docs.select("doc_id", "lang", "source", "text")).select(*named, F.col("__id").alias("id"), "doc_id", token_count(F.col("text")).alias("n")), "narrow")
     plan = cut(allocate(narrow.groupBy(*LEAF).agg(F.sum("n").alias("tokens"))), "plan")
     count = plan.count()
     keyed = _join_small(narrow, plan.filter("remainder > 0"), count, "inner").withColumn("key", order_key(F.col("id"), F.col("epochs")))
@@ -137,9 +138,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The selected copies with the documents' own columns."""
     _, plan, count = leaf_plan(docs)
-    mark = plan.select(*[F.col(c).alias(f"__{c}") for c in LEAF], F.col("epochs").alias("__e"), F.col("last_key").alias("__k"))
-    rows = _leaves(docs).join(F.broadcast(mark) if count <= MAX_BROADCAST_LEAVES else mark, [f"__{c}" for c in LEAF])
-    partial = F.coalesce(order_key(F.col("__id"), F.col("__e")) <= F.col("__k"), F.lit(False))
-    times = F.col("__e") + partial.cast("int")
-    rows = rows.withColumn("__times", times).filter("__times > 0")
-    return rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    whole = F.struct(*quoted(docs)).alias("doc")
+    rows = _leaves(docs.select("doc_id", "lang", "source", whole)).select(*[F.col(f"__{c}").alias(c) for c in LEAF], F.col("__id").alias("id"), "doc")
+    rows = _join_small(rows, plan.select(*LEAF, "epochs", "last_key"), count, "inner")
+    return rows.select(F.explode(_epochs()).alias("epoch"), "doc").select("doc.*")

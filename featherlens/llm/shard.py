@@ -1,7 +1,7 @@
 """Reproducible shuffle and sharding: a Feistel permutation of global row numbers.
 
-Rows are numbered 0..N-1 in the order of (id, text checksum, text hash), so the numbers depend on the rows alone and not
-on how files or partitions hold them. A keyed Feistel network permutes the smallest even-bit power of two that holds N;
+Rows are numbered 0..N-1 in the order of (id, text checksum, text hash, hash of all columns), so the numbers depend on the
+rows alone and not on how files or partitions hold them; only rows equal in every column are interchangeable. A keyed Feistel network permutes the smallest even-bit power of two that holds N;
 cycle walking repeats it until the number is below N, which makes it a permutation of exactly 0..N-1. The shard is the
 permuted number modulo the shard count and the slot the quotient: counts differ by one at most, slots have no gaps, and
 both can be computed from a row number without any table.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, quoted, row_hash
 
 SHARDS = 8
 KEY = 20_240_229
@@ -66,14 +66,9 @@ def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return out.withColumn("__n", F.col("__offset") + local).drop("__part", "__offset", "__at"), total
 
 
-def sharded(rows: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
-    """rows with __crc (unsigned checksum of the text), __shard and __slot; null texts count as empty, null ids come first.
-
-    text_col None: rows bring __crc and __hash themselves.
-    """
-    if text_col:
-        rows = rows.withColumns({"__crc": F.crc32(F.coalesce(F.col(text_col), F.lit(""))), "__hash": F.xxhash64(text_col)})
-    out, total = numbered(rows, [id_col, "__crc", "__hash"])
+def sharded(rows: DataFrame, order: list[str], shards: int = SHARDS, key: int = KEY) -> DataFrame:
+    """rows, numbered in the given order, with their __shard and __slot; nulls come first."""
+    out, total = numbered(rows, order)
 
     @F.arrow_udf(T.LongType())
     def place(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -81,14 +76,14 @@ def sharded(rows: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str =
             yield pa.array(permute(n.to_numpy(zero_copy_only=False), total, key))
 
     out = out.withColumn("__p", place.asNondeterministic()("__n"))
-    return out.withColumns({"__shard": (F.col("__p") % shards).cast("int"), "__slot": F.floor(F.col("__p") / shards).cast("long")}).drop("__n", "__p", "__hash")
+    return out.withColumns({"__shard": (F.col("__p") % shards).cast("int"), "__slot": F.floor(F.col("__p") / shards).cast("long")}).drop("__n", "__p")
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("__crc"), F.xxhash64("text").alias("__hash"))
-    out = sharded(cut(narrow, "narrow"), shards, text_col=None)
+    out = sharded(cut(narrow, "narrow"), ["doc_id", "__crc", "__hash"], shards)
     return out.select(
         "doc_id", "size", F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
@@ -96,5 +91,7 @@ def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs' columns and their shard and slot (columns of those names are replaced), for a writer to partition by shard."""
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    return sharded(docs.select(*keep), shards).select(*keep, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    text = F.coalesce("text", F.lit(""))
+    kept = docs.drop("shard", "slot")
+    rows = kept.select(F.col("doc_id").alias("__id"), F.crc32(text).alias("__crc"), F.xxhash64("text").alias("__hash"), row_hash(kept).alias("__all"), F.struct(*quoted(kept)).alias("__doc"))
+    return sharded(rows, ["__id", "__crc", "__hash", "__all"], shards).select("__doc.*", F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))

@@ -23,6 +23,12 @@ def test_against_sql(spark):
     assert {r.doc_id: r.n for r in wide.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == counts
 
 
+def test_callers_columns_stay(spark):
+    df = spark.createDataFrame([(i, "a b", "en", "s1", i, "x") for i in range(40)], "doc_id long, text string, lang string, source string, __times int, __epoch string").withColumnRenamed("__epoch", "id")
+    got = mix.mix(df)
+    assert got.columns == df.columns and all(r["__times"] == r.doc_id and r.id == "x" for r in got.collect())
+
+
 def test_budgets(spark):
     leaves = [("web", "en", "a", 100), ("web", "en", "b", 1000), ("web", "de", "a", 10), ("books", "en", "a", 5000), ("code", "en", "z", 0)]
     rows = {(r.domain, r.lang, r.source): r for r in mix.allocate(spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")).collect()}

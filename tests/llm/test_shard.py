@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from featherlens.llm import shard
 
@@ -47,5 +48,13 @@ def test_digest(spark):
     assert wide.columns == ["doc_id", "text", "shard", "slot"] and {r.doc_id: (r.shard, r.slot) for r in wide.collect()} == got
 
 
+def test_rows_that_differ_elsewhere_keep_their_shards(spark):
+    data = [(i % 3, "t", f"x{i}", 1, 2) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, __crc string, __n int, __shard int")
+    want = sorted(map(tuple, shard.shard_documents(df).collect()))
+    assert sorted(map(tuple, shard.shard_documents(df.orderBy(F.desc("__crc")).repartition(3)).collect())) == want
+    assert shard.shard_documents(df).columns == [*df.columns, "shard", "slot"]
+
+
 def test_empty(spark):
     assert shard.shard_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
