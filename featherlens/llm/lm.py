@@ -1,631 +1,761 @@
-"""A language model by logistic context mixing, trained on all training documents, and a unigram baseline.
-
-A text is its lower-cased words and one end; each word is coded given its class, a context drawn from the words before it.
-
-Spelling. A word is coded byte by byte, most significant bit first, with a closing blank (the end is a line feed). Each
-bit is predicted by several hashed contexts: the last 2, 3 and 5 bytes and the whole word so far, each with the bits of
-the byte known already. A predictor is a pair of counts in a table of 2**SLOT_BITS slots; its input to the mixer is the
-logit of its estimate. The mixer is a logistic unit whose weights are chosen by a gate (how often the whole-word and the
-3-byte context were seen, and which bit it is) and learned online: the weights move after every batch of bits, each bit
-predicted without its own occurrence. A last adaptive stage maps (partial byte, mixed logit) to the frequency seen there
-and is averaged with the mix. Contexts start at the word's first byte, so a word costs the same everywhere and is coded
-once; each distinct training word counts once, as spelling matters for rare words.
-
-Words. The spelled probability is interpolated with the word's share of all training words and its share in its class,
-by weights for each class that are refined by leave-one-out expectation maximisation over all training words. The class
-of a word is the most likely of CLASSES word mixtures given the words before it in the text (languages and topics, in
-effect). The mixtures only choose a context; they are fitted on all training documents of any length, each pass summing
-words by class over all of them. They know the CLASS_WORDS best spread words that are in two training documents or more,
-as the table is broadcast.
-
-So a corpus is first reduced to (class, word, count), by a combine in each task and a shuffle; that table grows with the
-corpus and holds every word of every document. The tables of slots, weights and the last stage are of fixed size and
-summed over all its partitions (weights: averaged by bits). Texts are scored by their words: the HEAD most frequent ones
-from a broadcast of that size, all others by a join of the documents' remaining words with the word table. Every text is
-read whole.
-
-All parts are probabilities: the bits of all words and the end sum to at most one, so does their interpolation, and the
-text's log10 probability and its bits per byte follow.
+"""A language model by online logistic context mixing, trained on all training documents, and a unigram baseline.
+
+A text is its lower-cased words and one end. Each token is coded bit by bit along its path in a Huffman tree over the HEAD
+most frequent training words (seen twice at least), the end, and an escape; a word that the tree doesn't know is the escape
+and then its bytes, bit by bit, and a closing blank. Bits of words are predicted by contexts that reach across words, each
+with the bits of the word known already:
+
+* none: what the training words' counts say, discounted by DISCOUNT for the escape;
+* the text's kind so far: the CLASSES group that most of the last RECENT frequent words belong to (in effect, its language).
+  Groups are found among the TOP most frequent words from how often each follows the other;
+* the word before, in hashed slots;
+* the word that followed when the two words before stood last in this text (a match), and how well that has held of late.
+
+Bits of bytes are predicted by the last 1, 2, 3, 4 and 6 bytes of the word, each with the text's kind, in hashed slots.
+Their counts are of the words outside the tree, and once of each word in it in the kind that has it most.
+
+A predictor is a pair of counts, and its input to the mixer the logit of its estimate. The mixer is a logistic unit whose
+weights are chosen by a gate (how often the contexts were seen, and the match's state or the bit's number) and learned
+online: they move after every batch of bits, each bit predicted without its own occurrence. A last adaptive stage maps
+(place in the code, mixed logit) to the frequency seen there and is averaged with the mix.
+
+An unknown word's bytes are interpolated with its share among the counts of all words outside the tree, by Good-Turing's
+estimate of how many of them will have been seen. That word table is distributed, holds every word of every document and
+grows with the corpus; texts' rare words are joined with it.
+
+All tables are sums of whole numbers over all training documents, and weights are learned in blocks of documents that are
+made by a hash and read in its order; the blocks' weights are averaged in whole numbers too. So no score depends on files,
+partitions or the order of rows, and equal texts have equal scores. Slots are as many as the corpus asks for, up to
+2**MAX_SLOT_BITS a table, as tables are broadcast; beyond that contexts share slots, and the weights, learned on the very
+same slots, rely on them as far as they still tell.
+
+Each text is read whole; contexts start anew every PIECE words. A bit's two probabilities sum to one, so those of all texts
+sum to at most one, and the text's log10 probability and its bits per byte follow.
 
 Null and empty texts are an end alone. Repeated rows each get their row; null ids count as the empty text for the split.
-With no training documents N = V = 0 and only spelling is left, its predictors at one half.
+doc_id is taken as a long integer. With no training documents N = V = 0 and only an untrained model is left.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import partial
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, drop_cut, raw_bytes
+from .common import crc_mod, cut, raw_bytes
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
-SLOT_BITS = 19
-ORDERS = (2, 3, 5)
-N_CTX = len(ORDERS) + 1
-#: Most frequent words that are broadcast to score texts.
-HEAD = 200_000
-#: Word mixtures that serve as context, the most words they know (best spread first), and steps of the interpolation.
-CLASSES, CLASS_WORDS, EM_STEPS = 8, 200_000, 5
-#: Documents that a word must be in to tell classes apart (one alone links no documents), and what its count in one stops at.
-LEAST_SPREAD, MOST = 2, 20
-LOG1P = np.log1p(np.arange(MOST + 1))
-#: Words of documents that a task of a pass reads.
-PASS_WORDS = 3_000_000
+#: Words in the tree, at most; words among which kinds of text are told apart; kinds; words that tell a text's kind.
+HEAD, TOP, CLASSES, RECENT = 1 << 18, 256, 16, 64
+DISCOUNT = 0.6
+#: Distance (one less the cosine) from which on a word begins a kind of its own.
+APART = 0.5
+ORDERS = (1, 2, 3, 4, 6)
+MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 20
+#: Words of documents that are worked on at once, longest stretch of one document, words of a block, of a counting task.
+CHUNK, PIECE, BLOCK, TASK = 1 << 15, 1 << 18, 1 << 20, 1 << 22
 #: Distinct words that a task counts before it hands them on.
-FLUSH = 250_000
-CHUNK = 1 << 16
-PRIOR = 0.08
-RATE, STEP_BITS = 0.02, 30
-APM_BUCKETS = 33
+FLUSH = 400_000
+#: Stretches that a table is handed on in.
+PARTS = 64
+PRIOR = 0.25
+RATE, STEP_BITS = 0.006, 30
+#: Mixed logits lie between -LIMIT and LIMIT, in so many buckets.
+LIMIT, BUCKETS = 12, 49
 LEVELS = np.array([0.5, 1.5, 3.5, 15.5, 255.5])
 N_LEVELS = len(LEVELS) + 1
 #: Level of a count, counts from the last one on alike.
 LEVEL_OF = np.searchsorted(LEVELS, np.arange(258)).astype(np.int8)
-GATES = N_LEVELS * N_LEVELS * 8
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+MATCHES = 4
+#: One occurrence of a zero and of a one.
+OWN = np.array([1, 1j], np.complex64)
+FIXED = 1 << 20
+_STIR = np.uint64(0x9FB21C651E98DF25)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def coded(word: bytes) -> bytes:
-    return END if word == END else word + b" "
-
-
-def chunks(words: list[bytes]) -> Iterator[list[bytes]]:
-    """Runs of words of about CHUNK bytes."""
-    sizes = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    a = 0
-    while a < len(words):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK)))
-        yield words[a:b]
-        a = b
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
-def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, number of the word of each byte, N_CTX context hashes of each byte)."""
-    parts = [coded(w) for w in words]
-    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    word = np.repeat(np.arange(len(parts)), sizes)
-    start = (np.cumsum(sizes) - sizes)[word]
-    at = np.arange(len(b))
-    pos = at - start
-    hashes = np.zeros((N_CTX, len(b)), np.uint64)
+def stirred(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = np.zeros(len(b), np.uint64)
-        for back in range(1, max(ORDERS) + 1):
-            prev = np.zeros(len(b), np.uint64)
-            prev[back:] = b[:-back] + np.uint64(1)
-            prev[pos < back] = 0
-            h = h * np.uint64(0x2545F4914F6CDD1D) + prev
-            if back in ORDERS:
-                hashes[ORDERS.index(back)] = h
-        # hash of the word so far: running sum of b * r**place, divided by r**start
-        powers = np.multiply.accumulate(np.concatenate(([1], np.full(len(b), _R, np.uint64))).astype(np.uint64))
-        inverse = np.multiply.accumulate(np.concatenate(([1], np.full(len(b), _R_INV, np.uint64))).astype(np.uint64))
-        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * powers[:-1], dtype=np.uint64)))
-        hashes[-1] = (upto[at] - upto[start]) * inverse[start] + pos.astype(np.uint64)
-    return b, word, mixed_hashes(hashes)
-
-
-def mixed_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The hashes with all bits stirred, once a byte."""
-    x = hashes * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(29)
+        x = x * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(29)
     return x
 
 
-def slots(hashes: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """(N_CTX, n) slots of the stirred contexts with the bits known so far."""
-    x = (hashes ^ (node * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9FB21C651E98DF25)
-    x >>= np.uint64(64 - SLOT_BITS)
-    x += (np.arange(N_CTX, dtype=np.uint64) << np.uint64(SLOT_BITS))[:, None]
-    return x.view(np.int64)
-
-
-def bits(b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bit number, partial byte with a leading one, bit) for the eight bits of each byte."""
-    for k in range(8):
-        yield k, (b >> np.uint64(8 - k)) | np.uint64(1 << k), (b >> np.uint64(7 - k)) & np.uint64(1)
-
-
-def count_slots(words: list[bytes], table: np.ndarray) -> None:
-    """Adds the words' bits to table (slots, 2)."""
-    flat = table.reshape(-1)
-    for some in chunks(words):
-        b, _, hashes = contexts(some)
-        for _, node, bit in bits(b):
-            at = (2 * slots(hashes, node) + bit.astype(np.int64)).ravel()
-            np.add.at(flat, at, np.ones(len(at), flat.dtype))
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+class Tree:
+    """Huffman codes of the symbols 0..n-1 by weight: nodes and bits of each symbol's path, by depth."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        n = len(weights)
+        self.size = max(1, n - 1)
+        up, side = np.full(2 * n, -1, np.int64), np.zeros(2 * n, np.uint8)
+        heap = [(float(w), i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        inner = n
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i], up[j], side[j] = inner, inner, 1
+            heapq.heappush(heap, (a + b, inner))
+            inner += 1
+        paths, at = [], np.arange(n)
+        while (up[at] >= 0).any():
+            real = up[at] >= 0
+            paths.append((np.where(real, up[at] - n, -1), np.where(real, side[at], 0)))
+            at = np.where(real, up[at], at)
+        self.length = sum(((node >= 0).astype(np.int64) for node, _ in paths), np.zeros(n, np.int64))
+        deep = int(self.length.max(initial=0))
+        #: (depth, symbol): the node before the bit of that depth, -1 beyond the path; and the bit
+        self.node, self.bit = np.full((deep, n), -1, np.int32), np.zeros((deep, n), np.int8)
+        for k, (node, bit) in enumerate(paths):  # k steps above the leaf
+            real = np.flatnonzero(node >= 0)
+            self.node[self.length[real] - 1 - k, real] = node[real]
+            self.bit[self.length[real] - 1 - k, real] = bit[real]
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """(node, 2): weight of the symbols below each node's two sides."""
+        out = np.zeros((self.size, 2))
+        for node, bit in zip(self.node, self.bit, strict=True):
+            real = node >= 0
+            np.add.at(out, (node[real], bit[real]), weights[real])
+        return out
 
 
 class Mixer:
-    """Predictors, gated weights and the last stage."""
-
-    def __init__(self, table: np.ndarray) -> None:
-        self.zeros, self.ones = (np.ascontiguousarray(table[:, i], np.float32) for i in (0, 1))
-        self.logits = np.log((table[:, 1] + PRIOR) / (table[:, 0] + PRIOR)).astype(np.float32)
-        self.levels = LEVEL_OF[np.minimum(table.sum(1), 257).astype(np.int64)]
-        self.weights = np.full((GATES, N_CTX + 1), 0.35)
-        self.weights[:, -1] = 0.0
-        self.seen = np.zeros(GATES)
-        p = sigmoid((np.arange(APM_BUCKETS) - APM_BUCKETS // 2) / 2)
-        #: (partial byte, bucket, zeros and ones), begun with what the logit says
-        self.apm = np.broadcast_to(np.stack([1 - p, p], -1) * 4, (256, APM_BUCKETS, 2)).copy()
-        self.share = None  # of ones, once the stage is learned
-
-    def inputs(self, k: int, hashes: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits (N_CTX + 1, n) and gates (n); bit: leave this occurrence out."""
-        at = slots(hashes, node)
-        x = np.empty((N_CTX + 1, at.shape[1]), np.float32)
-        x[-1] = 0.3
-        if bit is None:
-            x[:-1] = self.logits[at]
-            whole, three = self.levels[at[-1]], self.levels[at[1]]
-        else:
-            one = bit.astype(np.float32)
-            zeros = np.maximum(self.zeros[at] - (1 - one), 0)
-            ones = np.maximum(self.ones[at] - one, 0)
-            whole, three = (LEVEL_OF[np.minimum(zeros[c] + ones[c], 257).astype(np.int64)] for c in (-1, 1))
-            zeros += np.float32(PRIOR)
-            ones += np.float32(PRIOR)
-            ones /= zeros
-            np.log(ones, out=x[:-1])
-        return x, (whole.astype(np.int64) * N_LEVELS + three) * 8 + k
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Gated weights and the last stage, over n inputs and a constant."""
+
+    def __init__(self, gates: int, inputs: int, cells: int, start: float) -> None:
+        self.weights = np.full((inputs + 1, gates), start)
+        self.weights[-1] = 0
+        self.seen = np.zeros(gates, np.int64)
+        self.counts = np.zeros((cells, BUCKETS, 2), np.int64)
+        p = sigmoid((np.arange(BUCKETS) - BUCKETS // 2) * LIMIT * 2 / (BUCKETS - 1))
+        self.begun = np.stack([1 - p, p], -1) * 4  # what the logit says
+        self.share = None
+
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         w = self.weights.astype(np.float32)
-        out = w[:, 0][gate] * x[0]
-        for i in range(1, N_CTX + 1):
-            out += w[:, i][gate] * x[i]
-        return np.clip(out, -16, 16)
+        out = w[-1][gate] * np.float32(0.3)
+        for row, value in zip(w, x, strict=False):
+            out += row[gate] * value
+        return np.clip(out, -LIMIT, LIMIT, out=out)
 
     @staticmethod
     def bucket(logit: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(logit * 2).astype(np.int64) + APM_BUCKETS // 2, 0, APM_BUCKETS - 1)
+        return np.rint(logit * ((BUCKETS - 1) / 2 / LIMIT)).astype(np.int32) + BUCKETS // 2
 
-    def refined(self, node: np.ndarray, logit: np.ndarray) -> np.ndarray:
-        """Probability of a one."""
+    def probability(self, cell: np.ndarray | int, logit: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Of the bits that came."""
         if self.share is None:
-            self.share = self.apm[..., 1] / self.apm.sum(-1)
-        return 0.5 * sigmoid(logit) + 0.5 * self.share.ravel()[node.astype(np.int64) * APM_BUCKETS + self.bucket(logit)]
-
-    def learn(self, words: list[bytes]) -> None:
-        """One pass over the words: a step of the weights for each bit number of each chunk."""
-        for some in chunks(words):
-            b, _, hashes = contexts(some)
-            for k, node, bit in bits(b):
-                x, gate = self.inputs(k, hashes, node, bit)
-                logit = self.mixed(x, gate)
-                err = bit.astype(np.float32) - sigmoid(logit)
-                mass = np.bincount(gate, minlength=GATES)
-                self.share = None
-                # as long a step as that many single ones, up to STEP_BITS
-                rate = RATE * np.minimum(mass, STEP_BITS) / np.maximum(mass, 1)
-                for i in range(N_CTX + 1):
-                    self.weights[:, i] += rate * np.bincount(gate, err * x[i], GATES)
-                self.seen += mass
-                at = (node.astype(np.int64) * APM_BUCKETS + self.bucket(logit)) * 2 + bit.astype(np.int64)
-                self.apm += np.bincount(at, minlength=self.apm.size).reshape(self.apm.shape)
-
-    def log10(self, words: list[bytes], leave_out: bool = False) -> np.ndarray:
-        """log10 probability of each word; leave_out: as if its own bits hadn't been counted."""
-        out = []
-        for some in chunks(words):
-            b, word, hashes = contexts(some)
-            total = np.zeros(len(b))
-            for k, node, bit in bits(b):
-                x, gate = self.inputs(k, hashes, node, bit if leave_out else None)
-                p = self.refined(node, self.mixed(x, gate))
-                total += np.log(np.where(bit.astype(bool), p, 1 - p))
-            out.append(np.bincount(word, total, len(some)) / math.log(10))
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-class Pack:
-    """Word numbers and counts of some documents, each with a known word at least."""
-
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
-        """ids, counts: of all documents after one another; sizes: words of each; keys: a hash of each."""
-        self.ids, self.whole, self.counts, self.sizes, self.keys = ids, counts, counts.astype(np.float64), sizes, keys
-        self.starts = np.cumsum(sizes) - sizes
-
-    def sums(self, x: np.ndarray) -> np.ndarray:
-        """Of each document, from a value of each of its words."""
-        return np.add.reduceat(x, self.starts)
-
-    def profile(self, idf: np.ndarray) -> np.ndarray:
-        """Weights of the words, of length one in each document."""
-        v = LOG1P[self.whole] * idf[self.ids]
-        return v / np.repeat(np.maximum(np.sqrt(self.sums(v * v)), 1e-9), self.sizes)
-
-    def likeness(self, v: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        # a class at a time: its column stays in the cache
-        return np.stack([self.sums(np.ascontiguousarray(c)[self.ids] * v) for c in centres.T], 1)
-
-    def by_class(self, share: np.ndarray, x: np.ndarray, n_words: int) -> np.ndarray:
-        """(n_words + 1, CLASSES) sums of x over the words' documents; the last row has the documents' shares."""
-        out = np.empty((n_words + 1, CLASSES))
+            c = self.counts + self.begun
+            self.share = (0.5 * c / c.sum(-1, keepdims=True)).ravel()
+        p = self.share[(cell * BUCKETS + self.bucket(logit)) * 2 + bit]
+        return p + 0.5 * sigmoid(np.where(bit, logit, -logit))
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, cell: np.ndarray | int, bit: np.ndarray) -> None:
+        logit = self.mixed(x, gate)
+        err = bit - sigmoid(logit)
+        gates = len(self.seen)
+        mass = np.bincount(gate, minlength=gates)
+        # as long a step as that many single ones, up to STEP_BITS
+        rate = RATE * np.minimum(mass, STEP_BITS) / np.maximum(mass, 1)
+        for i, value in enumerate(x):
+            self.weights[i] += rate * np.bincount(gate, err * value, gates)
+        self.weights[-1] += rate * np.bincount(gate, err * np.float32(0.3), gates)
+        self.seen += mass
+        at = (cell * BUCKETS + self.bucket(logit)) * 2 + bit
+        self.counts += np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
+
+    def packed(self) -> np.ndarray:
+        """Whole numbers whose sums over blocks merged() takes."""
+        return np.concatenate([(np.rint(self.weights * FIXED).astype(np.int64) * self.seen).ravel(), self.seen, self.counts.ravel()])
+
+    def merged(self, sums: np.ndarray) -> None:
+        n = self.weights.size
+        self.seen = sums[n : n + len(self.seen)]
+        known = self.seen > 0
+        self.weights[:, known] = sums[:n].reshape(self.weights.shape)[:, known] / self.seen[known] / FIXED
+        self.counts = sums[n + len(self.seen) :].reshape(self.counts.shape)
+        self.share = None
+
+
+class Counts:
+    """Pairs of counts of one table, and what they say with and without one occurrence of a bit."""
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        """pairs: (slots, 2)."""
+        self.pairs = np.ascontiguousarray(pairs, np.float32)
+        self.logits = None
+
+    def __getstate__(self):
+        return {"pairs": self.pairs, "logits": None}
+
+    def inputs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, level)."""
+        if self.logits is None:
+            self.logits = np.log((self.pairs[:, 1] + np.float32(PRIOR)) / (self.pairs[:, 0] + np.float32(PRIOR)))
+            self.levels = LEVEL_OF[np.minimum(self.pairs.sum(1), 257).astype(np.int64)]
+        return self.logits[at], self.levels[at]
+
+    def others(self, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same less one of each bit; own: (1 - bit, bit) as one complex number."""
+        rest = self.pairs.view(np.complex64).ravel()[at]  # both counts at once
+        rest -= own
+        zeros, ones = np.maximum(rest.real, 0), np.maximum(rest.imag, 0)
+        level = LEVEL_OF[np.minimum(zeros + ones, 257).astype(np.int16)]
+        ones += np.float32(PRIOR)
+        zeros += np.float32(PRIOR)
+        ones /= zeros
+        return np.log(ones, out=ones), level
+
+
+class Layout:
+    """What texts are coded with, and where its counts lie in one flat table: words by kind, words by word before, bytes."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, outside: int, singles: int, pairs: int, n_words: int) -> None:
+        """words, counts: the head, END among it; outside: training tokens of other words; singles, pairs: words seen once, twice."""
+        self.words, self.escape, self.outside = words, len(words), outside
+        self.number = {w: i for i, w in enumerate(words)}
+        weights = np.append(np.maximum(counts - DISCOUNT, 0), outside + DISCOUNT * max(1, len(words)))
+        self.tree = Tree(np.maximum(weights, 1e-3))
+        self.node_counts = self.tree.counts(weights)
+        seen = max(outside - singles, 2 * pairs)
+        self.known_share = min(0.95, max(0.01, seen / max(1, seen + singles)))
+        bits = lambda n: min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, int(n).bit_length()))
+        self.word_bits = min(MAX_SLOT_BITS, bits(n_words)) + 1
+        self.byte_bits = bits(8 * (outside + 1))
+        self.kinds = np.full(len(words) + 1, CLASSES, np.int64)
+        self.starts = np.cumsum([0, (CLASSES + 1) * self.tree.size, 1 << self.word_bits, len(ORDERS) << self.byte_bits])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "number"}
+
+    def __setstate__(self, state) -> None:
+        self.__dict__.update(state)
+        self.number = {w: i for i, w in enumerate(self.words)}
+
+    @property
+    def slots(self) -> int:
+        return int(self.starts[-1])
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, words, repeat(self.escape)), np.int32, len(words))
+
+    def kinds_before(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Kind of the text before each token, CLASSES if no frequent word is near; start: place of its text's first token."""
+        kind, n = self.kinds[ids], len(ids)
+        at = np.arange(n)
+        since = np.maximum(start, at - RECENT)
+        best, out = np.zeros(n, np.int32), np.full(n, CLASSES, np.int64)
         for k in range(CLASSES):
-            out[:-1, k] = np.bincount(self.ids, np.repeat(share[:, k], self.sizes) * x, n_words)
-        out[-1] = share.sum(0)
+            upto = np.zeros(n + 1, np.int32)
+            np.cumsum(kind == k, out=upto[1:])
+            held = upto[at] - upto[since]
+            more = held > best
+            out[more] = k
+            best = np.maximum(best, held)
         return out
 
 
-def seed_of(pack: Pack, idf: np.ndarray, centres: np.ndarray | None, step: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """(key, ids, profile) of the document that comes first in a race whose speeds are squared distances to the centres."""
-    v = pack.profile(idf)
-    far = np.ones(len(pack.sizes)) if centres is None else np.maximum(1 - pack.likeness(v, centres).max(1), 0) ** 2 + 1e-12
-    with np.errstate(over="ignore"):
-        h = mixed_hashes(pack.keys.view(np.uint64) + np.uint64(step + 1) * np.uint64(_R))
-    key = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / far
-    i = int(key.argmin())
-    at = slice(pack.starts[i], pack.starts[i] + pack.sizes[i])
-    return float(key[i]), pack.ids[at], v[at]
-
-
-def nearest_sums(pack: Pack, idf: np.ndarray, centres: np.ndarray, counts: bool) -> np.ndarray:
-    """Sums of the profiles, or else of the counts, of the documents nearest to each centre."""
-    v = pack.profile(idf)
-    share = np.eye(CLASSES)[pack.likeness(v, centres).argmax(1)]
-    return pack.by_class(share, pack.counts if counts else v, len(idf))
-
-
-def mixture_sums(pack: Pack, words: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Sums of the counts by the documents' shares of the classes."""
-    logit = pack.likeness(pack.counts, words) + prior
-    share = np.exp(logit - logit.max(1, keepdims=True))
-    return pack.by_class(share / share.sum(1, keepdims=True), pack.counts, len(words))
-
-
-class LocalDocs:
-    """Documents in one pack; DocsOfTasks has the same passes over many."""
-
-    def __init__(self, pack: Pack) -> None:
-        self.pack = pack
-
-    def first(self, *args) -> tuple[np.ndarray, np.ndarray]:
-        return seed_of(self.pack, *args)[1:]
-
-    def total(self, f, *args) -> np.ndarray:
-        return f(self.pack, *args)
-
-
-class DocsOfTasks:
-    """(key, ids, counts) rows; each pass reads all of them once."""
+def matches(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the one that followed the two tokens before it when they stood last in its text, and a state.
 
-    def __init__(self, packed: DataFrame) -> None:
-        self.packed = packed
-
-    def first(self, idf: np.ndarray, centres: np.ndarray | None, step: int) -> tuple[np.ndarray, np.ndarray]:
-        shared = self.packed.sparkSession.sparkContext.broadcast((idf, centres))
-
-        def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = min((seed_of(p, *shared.value, step) for p in packs(batches)), key=lambda x: x[0], default=None)
-            if best is not None:
-                yield _batch([(best[0], best[1].tolist(), best[2].tolist())], [("key", pa.float64()), ("ids", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
-
-        r = self.packed.mapInArrow(seeds, "key double, ids array<int>, v array<double>").orderBy("key").limit(1).first()
-        shared.destroy()
-        return np.array(r.ids, np.int32), np.array(r.v)
-
-    def total(self, f, *args) -> np.ndarray:
-        shared = self.packed.sparkSession.sparkContext.broadcast(args)
-        names = [f"s{k}" for k in range(CLASSES)]
+    States: 0 there is none, 1 there is one, 2 it was right for the last token, 3 for the last two.
+    """
+    n = len(ids)
+    at = np.arange(n)
+    real = np.flatnonzero(at - start >= 2)
+    text = start[real].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        key = (ids[real - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[real - 2].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + text
+    order = np.argsort(stirred(key), kind="stable")
+    now, before = real[order[1:]], real[order[:-1]]
+    same = (ids[now - 1] == ids[before - 1]) & (ids[now - 2] == ids[before - 2]) & (start[now] == start[before])
+    guess = np.full(n, -1, np.int64)
+    guess[now[same]] = ids[before[same]]
+    right = np.concatenate([[False, False], guess == ids])
+    state = np.where(guess >= 0, 1 + right[1:-1] + (right[1:-1] & right[:-2]), 0)
+    return guess, state
+
+
+class Stretch:
+    """Tokens of whole texts (or pieces of long ones), in the order of their code lengths, longest first."""
+
+    def __init__(self, layout: Layout, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """sizes: tokens of each piece."""
+        self.layout, self.n = layout, len(ids)
+        first = np.cumsum(sizes) - sizes
+        start = np.repeat(first, sizes)
+        self.kind = layout.kinds_before(ids, start)
+        guess, state = matches(ids, start)
+        before = np.concatenate([[0], ids[:-1].astype(np.int64) + 1])
+        before[first] = 0
+        self.order = np.argsort(-layout.tree.length[ids], kind="stable")
+        pick = lambda x: np.ascontiguousarray(x[self.order])
+        self.ids, self.kinds, self.guess, self.state = pick(ids), pick(self.kind), pick(guess), pick(state)
+        self.before = stirred(pick(before).astype(np.uint64))
+        lengths = layout.tree.length[self.ids]
+        self.active = np.searchsorted(-lengths, -np.arange(len(layout.tree.node)) - 1, "right")
+
+    def steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(depth, tokens that have a bit there, their nodes, bits and places by kind and by word before)."""
+        tree = self.layout.tree
+        for depth, n in enumerate(self.active.tolist()):
+            if not n:
+                return
+            node, bit = tree.node[depth][self.ids[:n]].astype(np.int64), tree.bit[depth][self.ids[:n]]
+            with np.errstate(over="ignore"):
+                slot = ((self.before[:n] ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * _STIR) >> np.uint64(64 - self.layout.word_bits)
+            yield depth, n, node, bit, self.kinds[:n] * tree.size + node, slot.astype(np.int64)
+
+    def matched(self, depth: int, n: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the match says of the bit (2, -2, or 0), and its state (0 if it says nothing)."""
+        tree, guess = self.layout.tree, self.guess[:n]
+        alive = (guess >= 0) & (tree.node[depth][guess] == node)
+        return np.where(alive, tree.bit[depth][guess] * np.float32(4) - 2, np.float32(0)), np.where(alive, self.state[:n], 0)
+
+
+def byte_contexts(layout: Layout, words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with closing blanks, number of the word of each, hashes of its contexts)."""
+    parts = [w + b" " for w in words]
+    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    word = np.repeat(np.arange(len(parts)), sizes)
+    pos = np.arange(len(b)) - (np.cumsum(sizes) - sizes)[word]
+    hashes = np.zeros((len(ORDERS), len(b)), np.uint64)
+    with np.errstate(over="ignore"):
+        h = kinds[word].astype(np.uint64) + np.uint64(1)
+        for back in range(1, max(ORDERS) + 1):
+            prev = np.zeros(len(b), np.uint64)
+            prev[back:] = b[:-back] + np.uint64(1)
+            prev[pos < back] = 0
+            h = h * np.uint64(0x2545F4914F6CDD1D) + prev
+            if back in ORDERS:
+                hashes[ORDERS.index(back)] = h
+    return b.astype(np.int64), word, stirred(hashes)
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = None
-            for p in packs(batches):
-                part = f(p, *shared.value)
-                sums = part if sums is None else sums + part
-            if sums is not None:
-                at = np.flatnonzero(sums.any(1))
-                for a in range(0, len(at), 100_000):
-                    i = at[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *(pa.array(sums[i, k]) for k in range(CLASSES))], ["i", *names])
 
-        rows = self.packed.mapInArrow(add, "i int, " + ", ".join(f"{n} double" for n in names))
-        got = rows.groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most CLASS_WORDS + 1 rows
-        shared.destroy()
-        out = np.zeros((len(args[0]) + 1, CLASSES))
-        out[got["i"].to_numpy()] = np.stack([got[n].to_numpy() for n in names], 1)
+def byte_steps(layout: Layout, b: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bit number, partial bytes with a leading one, bits, slots by context) for the eight bits of each byte."""
+    offsets = (np.arange(len(ORDERS), dtype=np.int64) << layout.byte_bits)[:, None]
+    for k in range(8):
+        node, bit = (b >> (8 - k)) | (1 << k), (b >> (7 - k)) & 1
+        with np.errstate(over="ignore"):
+            x = ((hashes ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * _STIR) >> np.uint64(64 - layout.byte_bits)
+        yield k, node, bit, x.astype(np.int64) + offsets
+
+
+def count_stretch(layout: Layout, stretch: Stretch, tails: list[bytes], tail_kinds: np.ndarray, flat: np.ndarray) -> None:
+    """Adds all bits to the flat table of (slots, 2)."""
+    a, b, c = (int(x) for x in layout.starts[:3])
+    for _, _, _, bit, by_kind, by_word in stretch.steps():
+        once = np.ones(len(bit), flat.dtype)
+        np.add.at(flat, 2 * (a + by_kind) + bit, once)
+        np.add.at(flat, 2 * (b + by_word) + bit, once)
+    if tails:
+        text, _, hashes = byte_contexts(layout, tails, tail_kinds)
+        for _, _, bit, at in byte_steps(layout, text, hashes):
+            np.add.at(flat, (2 * (c + at) + bit).ravel(), np.ones(at.size, flat.dtype))
+
+
+def count_head(layout: Layout, flat: np.ndarray) -> None:
+    """Adds the bytes of the tree's words once, in the kind that has each most; flat: counts (slots, 2) of the texts."""
+    tree, symbol = layout.tree, np.arange(layout.escape)
+    last = tree.length[: layout.escape] - 1
+    if not len(symbol) or last.min() < 0:
+        return
+    node, bit = tree.node[last, symbol], tree.bit[last, symbol]
+    held = np.stack([flat[k * tree.size + node, bit] for k in range(CLASSES)])
+    kinds = np.where(held.max(0) > 0, held.argmax(0), CLASSES)
+    for a in range(0, len(symbol), CHUNK):
+        text, _, hashes = byte_contexts(layout, layout.words[a : a + CHUNK], kinds[a : a + CHUNK])
+        for _, _, bit, at in byte_steps(layout, text, hashes):
+            at = (2 * (int(layout.starts[2]) + at) + bit).ravel()
+            np.add.at(flat.reshape(-1), at, np.ones(len(at), flat.dtype))
+
+
+class Model:
+    """Counts, weights and last stages for a layout."""
+
+    def beginner(self) -> Model:
+        """With the same counts, nothing learned."""
+        out = Model.__new__(Model)
+        out.__dict__.update(self.__dict__)
+        out.start()
         return out
 
-
-#: Words of documents that are worked on at once.
-PACK = 500_000
-
-
-def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pack]:
-    for batch in batches:
-        keys, (ids, counts) = batch.column(0).to_numpy(), (batch.column(i) for i in (1, 2))
-        offsets = ids.offsets.to_numpy()
-        a = 0
-        while a < len(keys):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PACK, "right")) - 1)
-            at = slice(offsets[a] - offsets[0], offsets[b] - offsets[0])
-            yield Pack(ids.flatten().to_numpy()[at], counts.flatten().to_numpy()[at], np.diff(offsets[a : b + 1]), keys[a:b])
-            a = b
-
-
-class Classes:
-    """Word mixtures; class of each word from those before it."""
-
-    def __init__(self, texts: list[Counter]) -> None:
-        """texts: the words of each training document."""
-        spread = Counter(w for t in texts for w in t)
-        known = sorted((w for w in spread if spread[w] >= LEAST_SPREAD), key=lambda w: (-spread[w], w))[:CLASS_WORDS]
-        number = {w: i for i, w in enumerate(known)}
-        rows = [r for t in texts if (r := [(number[w], min(c, MOST)) for w, c in t.items() if w in number])]
-        flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
-        pack = Pack(flat[:, 0], flat[:, 1], np.fromiter(map(len, rows), np.int64, len(rows)), np.arange(len(rows)))
-        self.fit(known, np.array([spread[w] for w in known], np.float64), len(rows), LocalDocs(pack))
-
-    @classmethod
-    def of(cls, known: list[bytes], spread: np.ndarray, n_docs: int, docs: DocsOfTasks) -> Classes:
-        out = cls.__new__(cls)
-        out.fit(known, spread, n_docs, docs)
+    def start(self) -> None:
+        self.words = Mixer(N_LEVELS * N_LEVELS * MATCHES, 4, max(1, len(self.layout.tree.node)), 0.33)
+        self.bytes = Mixer(N_LEVELS * N_LEVELS * 8, len(ORDERS), 256, 0.3)
+
+    def __init__(self, layout: Layout, flat: np.ndarray) -> None:
+        """flat: counts (slots, 2)."""
+        self.layout = layout
+        parts = np.split(flat.reshape(-1, 2), layout.starts[1:-1])
+        self.plain, self.by_kind, self.by_word, self.by_bytes = Counts(layout.node_counts), *map(Counts, parts)
+        self.start()
+
+    def word_inputs(self, stretch: Stretch, depth: int, n: int, node, bit, by_kind, by_word, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        look = partial(Counts.others, own=OWN[bit]) if leave_out else Counts.inputs
+        x0, _ = look(self.plain, node)
+        x1, level1 = look(self.by_kind, by_kind)
+        x2, level2 = look(self.by_word, by_word)
+        match, state = stretch.matched(depth, n, node)
+        gate = level1.astype(np.int32)
+        gate *= N_LEVELS
+        gate += level2
+        gate *= MATCHES
+        gate += state
+        return [x0, x1, x2, match], gate
+
+    def byte_inputs(self, k: int, bit, at, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        look = partial(Counts.others, own=OWN[bit]) if leave_out else Counts.inputs
+        x, levels = zip(*(look(self.by_bytes, a) for a in at), strict=True)
+        return list(x), (levels[-1].astype(np.int32) * N_LEVELS + levels[1]) * 8 + k
+
+    def learn(self, stretch: Stretch, tails: list[bytes], tail_kinds: np.ndarray) -> None:
+        """One pass: a step of the weights for each depth or bit number."""
+        for depth, n, node, bit, by_kind, by_word in stretch.steps():
+            x, gate = self.word_inputs(stretch, depth, n, node, bit, by_kind, by_word, True)
+            self.words.learn(x, gate, depth, bit)
+        if tails:
+            text, _, hashes = byte_contexts(self.layout, tails, tail_kinds)
+            for k, node, bit, at in byte_steps(self.layout, text, hashes):
+                x, gate = self.byte_inputs(k, bit, at, True)
+                self.bytes.learn(x, gate, node, bit)
+
+    def word_logs(self, stretch: Stretch) -> np.ndarray:
+        """log10 probability of each token's code, in the order of the texts."""
+        total, part = np.zeros(stretch.n), np.ones(stretch.n)
+        for depth, n, node, bit, by_kind, by_word in stretch.steps():
+            x, gate = self.word_inputs(stretch, depth, n, node, bit, by_kind, by_word, False)
+            part[:n] *= self.words.probability(depth, self.words.mixed(x, gate), bit)
+            if depth % 16 == 15:  # long before it is too small for a double
+                total += np.log10(part)
+                part[:] = 1
+        out = np.empty(stretch.n)
+        out[stretch.order] = total + np.log10(part)
         return out
 
-    def fit(self, known: list[bytes], spread: np.ndarray, n_docs: int, docs) -> None:
-        """Spherical k-means of word profiles, then expectation maximisation of the mixture; n_docs have a known word."""
-        self.number = {w: i for i, w in enumerate(known)}
-        self.evidence = np.zeros((len(known) + 1, CLASSES), np.float32)  # the last for words the mixtures don't know
-        self.prior = np.zeros(CLASSES, np.float32)
-        if not n_docs:
-            return
-        idf = np.log(n_docs / (1 + spread) + 1)
-        centres = None
-        for step in range(CLASSES):
-            ids, v = docs.first(idf, centres, step)
-            new = np.zeros((len(known), 1))
-            new[ids, 0] = v
-            centres = new if centres is None else np.concatenate([centres, new], 1)
-        for _ in range(9):
-            centres = docs.total(nearest_sums, idf, centres, False)[:-1]
-            centres /= np.maximum(np.linalg.norm(centres, axis=0), 1e-9)
-        sums = docs.total(nearest_sums, idf, centres, True)
-        for step in range(10):
-            if step:
-                sums = docs.total(mixture_sums, words, prior)
-            words = sums[:-1] + 0.02
-            words = np.log(words / words.sum(0))
-            prior = np.log(sums[-1] + 1.0)
-        self.evidence[:-1] = words - words.mean(1, keepdims=True)
-        self.prior = (prior - prior.mean()).astype(np.float32)
-
-    def runs(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(class, first, stop) of the words and the end after them."""
-        ids = np.fromiter(map(self.number.get, words, repeat(len(self.evidence) - 1)), np.int64, len(words))
-        score = np.empty((len(words) + 1, CLASSES), np.float32)
-        score[0] = 0
-        np.cumsum(self.evidence[ids], axis=0, out=score[1:])
-        best = (score + self.prior).argmax(1)
-        cuts = np.flatnonzero(np.diff(best)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(best)], strict=True):
-            yield int(best[a]), a, b
-
-
-def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
-
-
-def fit_classes(docs: DataFrame) -> Classes:
-    """On all training documents, whatever their length: their distinct words are written once, then numbered."""
+    def byte_logs(self, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
+        """log10 probability of each word's bytes and closing blank."""
+        text, word, hashes = byte_contexts(self.layout, words, kinds)
+        total = np.ones(len(text))
+        for k, node, bit, at in byte_steps(self.layout, text, hashes):
+            x, gate = self.byte_inputs(k, bit, at, False)
+            total *= self.bytes.probability(node, self.bytes.mixed(x, gate), bit)
+        return np.bincount(word, np.log10(total), len(words))
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.words.packed(), self.bytes.packed()])
+
+    def merged(self, sums: np.ndarray) -> None:
+        n = len(self.words.packed())
+        self.words.merged(sums[:n])
+        self.bytes.merged(sums[n:])
+
+
+def find_kinds(follows: np.ndarray) -> np.ndarray:
+    """Groups (0..CLASSES-1) of words from (i, j) counts of j being the next frequent word after i.
+
+    Spherical k-means of what each word's neighbours are beyond chance (positive log ratios), words weighted by the root of
+    their counts, begun with the most frequent word and then whatever is farthest from all centres.
+    """
+    both = follows + follows.T + 0.0
+    n, counts = len(both), (follows + follows.T).sum(1)
+    if not both.any():
+        return np.zeros(n, np.int64)
+    chance = np.outer(counts, counts) / counts.sum()
+    v = np.log(np.maximum((both + 0.1) / (chance + 0.1), 1))
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    weight = np.sqrt(counts)
+    centres = [int(counts.argmax())]
+    while len(centres) < CLASSES:
+        away = 1 - (v @ v[centres].T).max(1)
+        if not ((away > APART) & (counts > 0)).any():
+            break
+        centres.append(int(np.where(away > APART, weight * away**2, 0).round(9).argmax()))
+    c = v[centres]
+    for _ in range(20):
+        near = (v @ c.T).round(9).argmax(1)
+        c = np.stack([(v * weight[:, None])[near == k].sum(0) if (near == k).any() else c[k] for k in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return near
+
+
+class Texts:
+    """Encoded texts: tokens, sizes of their pieces, words outside the tree in order."""
+
+    def __init__(self, layout: Layout, ids: list[np.ndarray], tails: list[list[bytes]]) -> None:
+        cuts = [[min(PIECE, len(i) - a) for a in range(0, len(i), PIECE)] for i in ids]
+        flat = np.concatenate(ids)
+        self.stretch = Stretch(layout, flat, np.array([s for c in cuts for s in c], np.int64))
+        self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.tails = [w for t in tails for w in t]
+        self.tail_kinds = self.stretch.kind[flat == layout.escape]
+        self.text_of_tail = np.repeat(np.arange(len(ids)), [len(t) for t in tails])
+
+
+def texts_of(layout: Layout, rows: Iterator[tuple[np.ndarray, list[bytes]]]) -> Iterator[Texts]:
+    """About CHUNK tokens at once, by the order of the texts alone."""
+    ids, tails, n = [], [], 0
+    for i, t in rows:
+        ids.append(i)
+        tails.append(t)
+        n += len(i)
+        if n >= CHUNK:
+            yield Texts(layout, ids, tails)
+            ids, tails, n = [], [], 0
+    if ids:
+        yield Texts(layout, ids, tails)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    flat = column.values.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _encoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    yield from zip(_lists(batch.column("ids")), batch.column("tails").to_pylist(), strict=True)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(w, t, n): word, its occurrences in training documents and in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = raw_bytes(batch.column(1))
-            for a in range(0, len(texts), 500):
-                found = [Counter(words_of(t)) for t in texts[a : a + 500]]
-                offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-                words = pa.array([w for c in found for w in c], pa.binary())
-                counts = pa.array(np.minimum(np.fromiter((n for c in found for n in c.values()), np.int64, len(words)), MOST).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, counts)], ["key", "ws", "ns"])
-
-    keyed = docs.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    bags = cut(keyed.mapInArrow(count, "key long, ws array<binary>, ns array<int>"), "bags", "zstd")
-    spread = bags.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("d")).filter(F.col("d") >= LEAST_SPREAD)
-    top = spread.orderBy(F.desc("d"), "w").limit(CLASS_WORDS).toArrow()
-    known = top["w"].to_pylist()
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(shared.value, pa.binary())
-        for batch in batches:
-            ws, ns = batch.column(1), batch.column(2)
-            ids = pc.index_in(ws.flatten(), names)
-            real = ids.is_valid()
-            upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-            offsets = pa.array(upto[ws.offsets.to_numpy() - ws.offsets[0].as_py()].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, x.filter(real)) for x in (ids, ns.flatten())]
-            some = pa.array(np.diff(offsets.to_numpy()) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["key", "ids", "ns"]).filter(some)
-
-    packed = cut(bags.mapInArrow(number, "key long, ids array<int>, ns array<int>"), "packed")
-    drop_cut(bags)
-    size = packed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("words")).first()
-    # few large tasks: each hands on a row of every word
-    few = packed.coalesce(1 + size.words // PASS_WORDS)
-    return Classes.of(known, top["d"].to_numpy().astype(np.float64), size.docs, DocsOfTasks(few))
-
-
-def count_words(docs: DataFrame, classes) -> DataFrame:
-    """(k, w, t, n): class, word, its occurrences in training documents and in all."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = classes.value
-        counts = [[Counter() for _ in range(CLASSES)] for _ in range(2)]
+        counts = (Counter(), Counter())
 
         def flush() -> Iterator[pa.RecordBatch]:
             for held in (0, 1):
-                for k in range(CLASSES):
-                    c = counts[held][k]
-                    if c:
-                        n = np.fromiter(c.values(), np.int64, len(c))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(list(c), pa.binary()), pa.array(n * (1 - held)), pa.array(n)], ["k", "w", "t", "n"])
-                        c.clear()
+                c = counts[held]
+                if c:
+                    n = np.fromiter(c.values(), np.int64, len(c))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(n * (1 - held)), pa.array(n)], ["w", "t", "n"])
+                    c.clear()
 
         for batch in batches:
             for held, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
-                words = words_of(text)
-                words.append(END)
-                for k, a, b in known.runs(words[:-1]):
-                    counts[held][k].update(words[a:b])
-                if sum(len(c) for side in counts for c in side) > FLUSH:
+                counts[held].update(words_of(text))
+                counts[held][END] += 1
+                if len(counts[0]) + len(counts[1]) > FLUSH:
                     yield from flush()
         yield from flush()
 
-    rows = docs.select("held_out", "text").mapInArrow(count, "k int, w binary, t long, n long")
-    return cut(rows.groupBy("k", "w").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "pairs")
+    rows = docs.select("held_out", "text").mapInArrow(count, "w binary, t long, n long")
+    return cut(rows.groupBy("w").agg(F.sum("t").alias("c"), F.sum("n").alias("n")), "words")
 
 
-def train_mixer(words: DataFrame) -> Mixer:
-    """On every word (w, c) with c > 0, each once."""
-    kept = words.filter("c > 0").select("w")
-    size = N_CTX << SLOT_BITS
+def make_layout(words: DataFrame) -> tuple[Layout, np.ndarray, dict[str, int]]:
+    """The layout, its kinds not yet known, the counts of its words, and totals N and V."""
+    t = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
+    ).first()
+    top = words.filter((F.col("c") > 1) | ((F.col("w") == F.lit(END)) & (F.col("c") > 0))).orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
+    names, counts = top["w"].to_pylist(), top["c"].to_numpy().astype(np.float64)
+    return Layout(names, counts, int(t.n - counts.sum()), t.n1, t.n2, t.n), counts, {"n": t.n, "v": t.v}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((size, 2), np.float32)
-        for batch in batches:
-            count_slots(batch.column(0).to_pylist(), table)
-        at = np.flatnonzero(table.sum(1))
-        for a in range(0, len(at), 100_000):
-            part = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(table[part, i].astype(np.int32)) for i in (0, 1))], ["slot", "a", "b"])
-
-    sums = kept.mapInArrow(count, "slot int, a int, b int").groupBy("slot").agg(F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b"))
-    got = sums.toArrow()  # at most N_CTX << SLOT_BITS rows of 12 bytes
-    table = np.zeros((size, 2), np.float32)
-    table[got["slot"].to_numpy()] = np.stack([got["a"].to_numpy(), got["b"].to_numpy()], 1)
-    shared = kept.sparkSession.sparkContext.broadcast(table)
-    first = Mixer(np.zeros((1, 2), np.float32))
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(shared.value)
-        for batch in batches:
-            mixer.learn(batch.column(0).to_pylist())
-        flat = np.concatenate([(mixer.weights * mixer.seen[:, None]).ravel(), mixer.seen, (mixer.apm - first.apm).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "x"])
 
-    got = kept.mapInArrow(learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    flat = np.zeros(GATES * (N_CTX + 2) + first.apm.size)
-    flat[got["i"].to_numpy()] = got["x"].to_numpy()
-    mixer = Mixer(table)
-    a, b = GATES * (N_CTX + 1), GATES * (N_CTX + 2)
-    mixer.seen = flat[a:b]
-    known = mixer.seen > 0
-    mixer.weights[known] = flat[:a].reshape(GATES, -1)[known] / mixer.seen[known, None]
-    mixer.apm = first.apm + flat[b:].reshape(first.apm.shape)
-    return mixer
+ENCODED = "row long, h long, doc_id long, held_out boolean, size long, base double, ids array<int>, tails array<binary>"
 
 
-def spelled(words: DataFrame, mixer) -> DataFrame:
-    """(w, c, s, s0): log10 of the spelled probability, and as if the word hadn't been counted."""
+def encode(docs: DataFrame, layout, counts: np.ndarray) -> DataFrame:
+    """Documents as numbers of words; h: a hash that deals and orders them."""
+    logs = np.append(np.log10(counts + 1.0), 0.0)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = mixer.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = layout.value
+        for batch in batches:
+            texts = raw_bytes(batch.column("text"))
+            for a in range(0, len(texts), 500):
+                ids, tails, base, size = [], [], [], []
+                for text in texts[a : a + 500]:
+                    words = words_of(text)
+                    words.append(END)
+                    i = known.ids(words)
+                    ids.append(i)
+                    tails.append([words[j] for j in np.flatnonzero(i == known.escape).tolist()])
+                    base.append(float(logs[i].sum()))
+                    size.append(len(text))
+                some = batch.slice(a, 500)
+                offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("row", "h", "doc_id", "held_out")), pa.array(size, pa.int64()), pa.array(base), lists, pa.array(tails, pa.list_(pa.binary()))], ["row", "h", "doc_id", "held_out", "size", "base", "ids", "tails"])
+
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
+    return cut(keyed.mapInArrow(run, ENCODED), "encoded", "zstd")
+
+
+def _summed(rows: DataFrame, tasks: int) -> DataFrame:
+    """(part, data) of (part, task, data): packed arrays added up, in two steps so that no group grows with the tasks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = 0
+        for data in table["data"].to_pylist():
+            total = total + np.frombuffer(zstandard.decompress(data), np.int64)
+        return pa.table({"part": table["part"][:1], "task": table["task"][:1], "data": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+    kind = "part int, task int, data binary"
+    groups = max(1, math.isqrt(tasks))
+    some = rows.withColumn("task", F.col("task") % groups).groupBy("part", "task").applyInArrow(add, kind)
+    return some.groupBy("part").applyInArrow(add, kind).select("part", "data")
+
+
+def count_contexts(training: DataFrame, layout, tasks: int) -> np.ndarray:
+    """Counts of all contexts in the training documents: (slots, 2)."""
+    size = 2 * layout.value.slots
+    step = -(-size // PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, flat = layout.value, np.zeros(size, np.int32)
+        for texts in texts_of(known, (r for b in batches for r in _encoded(b))):
+            count_stretch(known, texts.stretch, texts.tails, texts.tail_kinds, flat)
+        task = TaskContext.get().partitionId()
+        parts = [zstandard.compress(flat[a : a + step].astype(np.int64).tobytes(), 1) for a in range(0, size, step)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["part", "task", "data"])
+
+    rows = training.select("ids", "tails").coalesce(tasks).mapInArrow(run, "part int, task int, data binary")
+    out = np.zeros(size, np.int32)
+    for r in _summed(rows, tasks).toArrow().to_pylist():  # PARTS rows of a table of bounded size
+        x = np.frombuffer(zstandard.decompress(r["data"]), np.int64)
+        out[r["part"] * step : r["part"] * step + len(x)] = np.minimum(x, 1 << 24)  # as much as the counts' floats hold
+    return out.reshape(-1, 2)
+
+
+def count_follows(training: DataFrame, n: int, end: int, tasks: int) -> np.ndarray:
+    """(n, n): how often each of the n most frequent words is the next of them after each; none across the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n * n, np.int64)
         for batch in batches:
-            w, c = batch.column("w").to_pylist(), batch.column("c").to_numpy()
-            s = m.log10(w)
-            s0 = s.copy()
-            known = np.flatnonzero(c == 1)  # others' leave-one-out share doesn't hang on their spelling
-            s0[known] = m.log10([w[i] for i in known], True)
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array(s), pa.array(s0)], ["w", "c", "s", "s0"])
-
-    return words.select("w", "c").mapInArrow(score, "w binary, c long, s double, s0 double")
-
-
-def word_scores(pairs: DataFrame, words: DataFrame, mixer) -> tuple[DataFrame, int, int]:
-    """((k, w, n, c, lp), N, V): log10 probability of every word in every class it occurs in."""
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    by_class = {r.k: r.t for r in pairs.groupBy("k").agg(F.sum("t").alias("t")).collect()}  # CLASSES rows at most
-    size = lambda k: F.element_at(F.create_map(*[F.lit(x) for i in range(CLASSES) for x in (i, float(max(1, by_class.get(i) or 0)))]), k)
-    n = float(max(1, total.n))
-    rows = cut(pairs.join(spelled(words, mixer), "w").withColumn("size", size(F.col("k"))), "scored")
-    share = {k: (0.6, 0.3, 0.1) for k in range(CLASSES)}
-
-    def weights(i: int):
-        return F.element_at(F.create_map(*[F.lit(x) for k in range(CLASSES) for x in (k, share[k][i])]), F.col("k"))
-
-    for _ in range(EM_STEPS):
-        a = weights(0) * (F.col("t") - 1) / F.greatest(F.lit(1.0), F.col("size") - 1)
-        b = weights(1) * (F.col("c") - 1) / F.lit(max(1.0, n - 1))
-        s = weights(2) * F.pow(F.lit(10.0), F.col("s0"))
-        r = rows.filter("t > 0").select("k", "t", a.alias("a"), b.alias("b"), s.alias("s")).withColumn("all", F.col("a") + F.col("b") + F.col("s") + F.lit(1e-300))
-        sums = r.groupBy("k").agg(*[F.sum(F.col("t") * F.col(x) / F.col("all")).alias(x) for x in "abs"], F.sum("t").alias("t"))
-        for x in sums.collect():
-            part = [max(v, 0.5) for v in (x.a, x.b, x.s)]
-            share[x.k] = tuple(v / sum(part) for v in part)
-    counted = weights(0) * F.col("t") / F.col("size") + weights(1) * F.col("c") / F.lit(n)
-    lp = F.when(F.col("c") > 0, F.log10(counted + weights(2) * F.pow(F.lit(10.0), F.col("s")))).otherwise(F.log10(weights(2)) + F.col("s"))
-    return rows.select("k", "w", "n", "c", lp.alias("lp")), total.n, total.v
+            flat = batch.column(0).flatten().to_numpy().astype(np.int64)
+            flat = flat[(flat < n) | (flat == end)]
+            pairs = (flat[:-1] != end) & (flat[1:] != end)
+            sums += np.bincount((flat[:-1] * n + flat[1:])[pairs], minlength=n * n)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["i", "x"])
+
+    got = training.select("ids").coalesce(tasks).mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # at most TOP squared rows
+    out = np.zeros(n * n)
+    out[got["i"].to_numpy()] = got["x"].to_numpy()
+    return out.reshape(n, n)
+
+
+def learn_weights(training: DataFrame, model, blocks: int) -> np.ndarray:
+    """Sums over blocks of what their learners arrive at; each begins anew and reads its documents by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b, row) for batch in batches for b, row in zip(batch.column("block").to_pylist(), _encoded(batch), strict=True))
+        total = 0
+        for _, block in groupby(rows, key=itemgetter(0)):
+            learner = model.value.beginner()
+            for texts in texts_of(learner.layout, (row for _, row in block)):
+                learner.learn(texts.stretch, texts.tails, texts.tail_kinds)
+            total = total + learner.packed()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.atleast_1d(total)[at], pa.int64())], ["i", "x"])
+
+    dealt = training.select(F.pmod("h", F.lit(blocks)).alias("block"), "h", "ids", "tails").repartition("block").sortWithinPartitions("block", "h")
+    got = dealt.mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # a row a weight or cell
+    out = np.zeros(len(model.value.packed()), np.int64)
+    out[got["i"].to_numpy()] = got["x"].to_numpy()
+    return out
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, dict[str, int]]:
+    """Encoded documents, word table, model and totals, of docs (doc_id, text, held_out)."""
+    spark = docs.sparkSession
+    words = count_words(docs)
+    layout, counts, totals = make_layout(words)
+    encoded = encode(docs, spark.sparkContext.broadcast(layout), counts)
+    training = encoded.filter("not held_out")
+    tasks = 1 + totals["n"] // TASK
+    top = min(TOP, layout.escape)
+    if top:
+        layout.kinds[:top] = find_kinds(count_follows(training, top, layout.number.get(END, -1), tasks))
+        layout.kinds[layout.number[END]] = CLASSES
+    shared = spark.sparkContext.broadcast(layout)
+    table = count_contexts(training, shared, tasks)
+    count_head(layout, table)
+    model = Model(layout, table)
+    model.merged(learn_weights(training, spark.sparkContext.broadcast(model), 1 + totals["n"] // BLOCK))
+    return encoded, words, model, totals
+
+
+_TAIL = pa.list_(pa.struct([("w", pa.binary()), ("s", pa.float64()), ("m", pa.int64())]))
+SCORED = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("size", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("tail", _TAIL)]
+
+
+def tree_scores(texts: Texts, model: Model) -> tuple[np.ndarray, list[list[dict]]]:
+    """Of each text the log10 probability of its codes, and its other words with their kind's spelling and their number."""
+    ends = np.cumsum(texts.sizes)
+    logs = np.concatenate([[0.0], np.cumsum(model.word_logs(texts.stretch))])
+    tails = [[] for _ in texts.sizes]
+    found = Counter(zip(texts.text_of_tail.tolist(), texts.tail_kinds.tolist(), texts.tails, strict=True))
+    number = {x: i for i, x in enumerate(dict.fromkeys((k, w) for _, k, w in found))}
+    if number:
+        spelled = model.byte_logs([w for _, w in number], np.array([k for k, _ in number], np.int64))
+        for (i, k, w), m in found.items():
+            tails[i].append({"w": w, "s": float(spelled[number[k, w]]), "m": m})
+    return logs[ends] - logs[ends - texts.sizes], tails
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
-    classes = spark.sparkContext.broadcast(fit_classes(docs))
-    pairs = count_words(docs, classes)
-    words = cut(pairs.groupBy("w").agg(F.sum("t").alias("c")), "words")
-    mixer = spark.sparkContext.broadcast(train_mixer(words))
-    scores, n, v = word_scores(pairs, words, mixer)
-    scores = cut(scores, "words")
-    top = scores.orderBy(F.desc("n"), "k", "w").limit(HEAD).toArrow()
-    numbers = [{} for _ in range(CLASSES)]
-    for i, (k, w) in enumerate(zip(top["k"].to_pylist(), top["w"].to_pylist(), strict=True)):
-        numbers[k][w] = i
-    c = top["c"].to_numpy()
-    head = spark.sparkContext.broadcast((numbers, c > 0, np.log10(c + 1.0), top["lp"].to_numpy()))
+    encoded, words, fitted, totals = fit(docs)
+    n, v = totals["n"], totals["v"]
+    model = spark.sparkContext.broadcast(fitted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_classes = classes.value
-        numbers, seen, logs, lps = head.value
+        known = model.value
         for batch in batches:
-            rows = []
-            for row, doc_id, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), raw_bytes(batch.column(3)), strict=True):
-                words = words_of(text)
-                words.append(END)
-                n_known, base, lp, tail = 0, 0.0, 0.0, []
-                for k, a, b in known_classes.runs(words[:-1]):
-                    run = words[a:b]
-                    at = np.fromiter(map(numbers[k].get, run, repeat(-1)), np.int64, len(run))
-                    rare = np.flatnonzero(at < 0)
-                    if len(rare):
-                        tail += [{"k": k, "w": w, "m": m} for w, m in Counter(map(run.__getitem__, rare.tolist())).items()]
-                        at = at[at >= 0]
-                    n_known, base, lp = n_known + int(seen[at].sum()), base + float(logs[at].sum()), lp + float(lps[at].sum())
-                rows.append((row, doc_id, held, len(words), len(text), n_known, base, lp, tail))
-            yield _batch(rows, SCORED)
-
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", "text")
-    done = cut(marked.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, size long, known long, base double, lp double, tail array<struct<k int, w binary, m long>>"), "texts")
-    rare = done.select("row", F.explode("tail").alias("x")).select("row", "x.k", "x.w", "x.m")
-    found = rare.join(scores.select("k", "w", "c", "lp"), ["k", "w"])
+            a, sizes = 0, np.diff(batch.column("ids").offsets.to_numpy())
+            upto = np.cumsum(sizes)
+            while a < len(sizes):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK)))
+                some = batch.slice(a, b - a)
+                rows = list(_encoded(some))
+                lp, tails = tree_scores(Texts(known.layout, [r[0] for r in rows], [r[1] for r in rows]), known)
+                outside = np.fromiter((len(r[1]) for r in rows), np.int64, len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(c) for c in ("row", "doc_id", "held_out")), pa.array(sizes[a:b].astype(np.int64)), some.column("size"), pa.array(sizes[a:b] - outside), some.column("base"), pa.array(lp), pa.array(tails, _TAIL)],
+                    [name for name, _ in SCORED],
+                )
+                a = b
+
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, size long, known long, base double, lp double, tail array<struct<w binary, s double, m long>>"
+    done = cut(encoded.mapInArrow(score, kinds), "texts", "zstd")
+    rare = done.select("row", F.explode("tail").alias("x")).select("row", "x.w", "x.s", "x.m")
+    found = rare.join(words.select("w", "c"), "w")
+    share, outside = fitted.layout.known_share, float(max(1, fitted.layout.outside))
+    counted = F.log10(F.col("c") * F.lit(share / outside) + F.pow(F.lit(10.0), F.col("s")) * F.lit(1 - share))
+    lp = F.when(F.col("c") > 0, counted).otherwise(F.col("s") + F.lit(math.log10(1 - share)))
     m = F.col("m")
-    extra = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, m).otherwise(0)).alias("known2"), F.sum(m * F.log10(F.col("c") + 1.0)).alias("base2"), F.sum(m * F.col("lp")).alias("lp2"))
+    extra = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, m).otherwise(0)).alias("known2"), F.sum(m * F.log10(F.col("c") + 1.0)).alias("base2"), F.sum(m * lp).alias("lp2"))
     out = done.drop("tail").join(extra, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    lp = plus("lp", "lp2")
+    score_of = plus("lp", "lp2")
     return out.select(
         "doc_id",
         "held_out",
@@ -633,10 +763,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
         plus("known", "known2").cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (plus("base", "base2") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        lp.alias("score"),
-        (-lp / math.log10(2) / F.greatest(F.col("size"), F.lit(1))).alias("bits_per_byte"),
+        score_of.alias("score"),
+        (-score_of / math.log10(2) / F.greatest(F.col("size"), F.lit(1))).alias("bits_per_byte"),
     )
-
-
-_TAIL = pa.list_(pa.struct([("k", pa.int32()), ("w", pa.binary()), ("m", pa.int64())]))
-SCORED = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("size", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("tail", _TAIL)]

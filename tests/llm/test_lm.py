@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from featherlens.llm import lm
 
@@ -34,7 +35,6 @@ def corpus():
 
 
 def test_base_and_score(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD", 50)  # most words take the join
     monkeypatch.setattr(lm, "FLUSH", 40)
     docs = corpus()
     df = spark.createDataFrame([(*d, True, 1) for d in docs], "doc_id long, text string, held_out boolean, c int").repartition(4)
@@ -45,35 +45,173 @@ def test_base_and_score(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_spelling_is_a_distribution():
-    """All one-byte continuations and the close of a word have probabilities that sum to one."""
-    words = [b"alpha", b"beta", b"alp", b"gamma", b"\n"] * 3
-    table = np.zeros((lm.N_CTX << lm.SLOT_BITS, 2), np.float32)
-    lm.count_slots(words, table)
-    m = lm.Mixer(table)
-    m.learn(words)
-    total = 0.0
-    b, word, hashes = lm.contexts([b"alp"])
+def test_scores_depend_on_rows_alone(spark, monkeypatch):
+    """Whatever the partitions, files, blocks of work or order of rows; equal texts have equal scores."""
+    docs = [d for d in corpus() if len(d[1] or "") < 5000] + [(900 + 7 * i, "pa pan palo") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(lm, "BLOCK", 2000)
+    monkeypatch.setattr(lm, "TASK", 3000)
+    runs = []
+    for n in (1, 6):
+        got = lm.score_documents(df.repartition(n, "text").sortWithinPartitions("text", ascending=n > 1)).collect()
+        runs.append(sorted((str(r.doc_id), r.n_tokens, r.score) for r in got))
+    for a, b in zip(*runs, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+    assert len({round(r.score, 9) for r in got if r.doc_id is not None and r.doc_id >= 900}) == 1
+
+
+class Slow:
+    """The model in plain steps: dictionaries of counts by context, one bit after another."""
+
+    def __init__(self, model, texts):
+        """texts: the training texts' words."""
+        self.m, self.lay = model, model.layout
+        self.kind, self.word, self.byte = Counter(), Counter(), Counter()
+        for text in texts:
+            kinds = self.kinds(text)
+            for t, w in enumerate(text):
+                i = self.lay.number.get(w, self.lay.escape)
+                for depth, node, bit in self.path(i):
+                    self.kind[kinds[t], node, bit] += 1
+                    self.word[self.before(text, t), node, bit] += 1
+                if i == self.lay.escape:
+                    self.spell(w, kinds[t])
+        for i, w in enumerate(self.lay.words):
+            *_, (_, node, bit) = self.path(i)
+            held = [self.kind[k, node, bit] for k in range(lm.CLASSES)]
+            self.spell(w, held.index(max(held)) if max(held) else lm.CLASSES)
+
+    def path(self, i):
+        return [(d, int(self.lay.tree.node[d, i]), int(self.lay.tree.bit[d, i])) for d in range(self.lay.tree.length[i])]
+
+    def before(self, text, t):
+        return None if t == 0 else self.lay.number.get(text[t - 1], self.lay.escape)
+
+    def kinds(self, text):
+        of = [int(self.lay.kinds[self.lay.number.get(w, self.lay.escape)]) for w in text]
+        out = []
+        for t in range(len(text)):
+            held = [of[max(0, t - lm.RECENT) : t].count(k) for k in range(lm.CLASSES)]
+            out.append(held.index(max(held)) if max(held) else lm.CLASSES)
+        return out
+
+    def bits(self, w, kind):
+        w += b" "
+        for t, byte in enumerate(w):
+            for k in range(8):
+                node = (byte >> (8 - k)) | (1 << k)
+                # hashes of the contexts include the bytes that lie before the word's start as zeros
+                yield k, node, (byte >> (7 - k)) & 1, [(n, kind, w[max(0, t - n) : t], node) for n in lm.ORDERS]
+
+    def spell(self, w, kind):
+        for _, _, bit, contexts in self.bits(w, kind):
+            for c in contexts:
+                self.byte[c, bit] += 1
+
+    @staticmethod
+    def logit(zeros, ones):
+        return math.log((ones + lm.PRIOR) / (zeros + lm.PRIOR))
+
+    @staticmethod
+    def level(n):
+        return sum(n > x for x in lm.LEVELS)
+
+    @staticmethod
+    def chance(mixer, x, gate, cell, bit):
+        z = sum(float(w) * v for w, v in zip(mixer.weights[:, gate], [*x, 0.3], strict=True))
+        z = max(-lm.LIMIT, min(lm.LIMIT, z))
+        p = 1 / (1 + math.exp(-z))
+        c = mixer.counts[cell, round(z * (lm.BUCKETS - 1) / 2 / lm.LIMIT) + lm.BUCKETS // 2]
+        e = mixer.begun[round(z * (lm.BUCKETS - 1) / 2 / lm.LIMIT) + lm.BUCKETS // 2]
+        p = (p + (c[1] + e[1]) / (c.sum() + e.sum())) / 2
+        return p if bit else 1 - p
+
+    def score(self, text, counts):
+        total, kinds = 0.0, self.kinds(text)
+        ids = [self.lay.number.get(w, self.lay.escape) for w in text]
+        guesses = []
+        for t, w in enumerate(text):
+            same = [u for u in range(2, t) if ids[u - 2 : u] == ids[t - 2 : t]] if t > 1 else []
+            guess = ids[same[-1]] if same else None
+            state = 0 if guess is None else 1 + (guesses[-1] == ids[t - 1]) + (guesses[-2:] == ids[t - 2 : t])
+            guesses.append(guess)
+            for depth, node, bit in self.path(ids[t]):
+                kind = [self.kind[kinds[t], node, b] for b in (0, 1)]
+                word = [self.word[self.before(text, t), node, b] for b in (0, 1)]
+                said = [b for d, n, b in self.path(guess) if n == node] if guess is not None else []
+                x = [self.logit(*self.lay.node_counts[node]), self.logit(*kind), self.logit(*word), 4 * said[0] - 2 if said else 0]
+                gate = (self.level(sum(kind)) * lm.N_LEVELS + self.level(sum(word))) * lm.MATCHES + (state if said else 0)
+                total += math.log10(self.chance(self.m.words, x, gate, depth, bit))
+            if ids[t] == self.lay.escape:
+                s = 0.0
+                for k, node, bit, contexts in self.bits(w, kinds[t]):
+                    pairs = [[self.byte[c, b] for b in (0, 1)] for c in contexts]
+                    gate = (self.level(sum(pairs[-1])) * lm.N_LEVELS + self.level(sum(pairs[1]))) * 8 + k
+                    s += math.log10(self.chance(self.m.bytes, [self.logit(*p) for p in pairs], gate, node, bit))
+                share = self.lay.known_share
+                total += math.log10(share * counts[w] / max(1, self.lay.outside) + (1 - share) * 10**s)
+        return total
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MIN_SLOT_BITS", 20)  # so few contexts don't share slots
+    rng = random.Random(3)
+    langs = [["pa", "pan", "belo", "kin", "ken"], ["schä", "zöst", "züng", "schü"]]
+    docs = [(i, " ".join(rng.choice(langs[i % 2]) if rng.random() < 0.9 else f"x{rng.randrange(60)}" for _ in range(rng.randrange(3, 25)))) for i in range(60)]
+    docs += [(100, "one two one two one two three"), (101, ""), (102, None), (103, "pa pan belo kin pa pan belo kin pa pan belo Kin ken neverseen")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 5 == 3)
+    _, _, model, _ = lm.fit(df)
+    monkeypatch.setattr(lm, "crc_mod", lambda c, n: F.when(F.col(c) % 5 == 3, lm.HELD_OUT).otherwise(0))
+    text = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    training = [text(t) for d, t in docs if d % 5 != 3]
+    slow, counts = Slow(model, training), Counter(w for t in training for w in t)
+    got = {r.doc_id: r.score for r in lm.score_documents(df.drop("held_out")).collect()}
+    assert len(set(model.layout.kinds[: len(model.layout.words)])) > 2  # the languages, and the end's none
+    for d, t in docs:
+        assert got[d] == pytest.approx(slow.score(text(t), counts), rel=1e-4), t
+
+
+def test_bits_are_a_distribution():
+    """Over all words of the tree, and over all bytes in a place, probabilities sum to one."""
+    layout = lm.Layout([b"\n", b"alpha", b"beta", b"alp", b"gamma"], np.array([4.0, 9, 5, 3, 2]), 3, 3, 1, 30)
+    flat = np.zeros((layout.slots, 2), np.int32)
+    train = lm.Texts(layout, [layout.ids([b"alpha", b"beta", b"zeta", b"alp", b"\n"])] * 3, [[b"zeta"]] * 3)
+    lm.count_stretch(layout, train.stretch, train.tails, train.tail_kinds, flat.reshape(-1))
+    lm.count_head(layout, flat)
+    m = lm.Model(layout, flat)
+    m.learn(train.stretch, train.tails, train.tail_kinds)
+    logs = [m.word_logs(lm.Stretch(layout, np.array([1, 2, i], np.int32), np.array([3])))[2] for i in range(6)]
+    assert sum(10**x for x in logs) == pytest.approx(1)
+    kinds, total = np.array([lm.CLASSES]), 0.0
+    text, _, hashes = lm.byte_contexts(layout, [b"zet"], kinds)
     for byte in range(256):
         p = 1.0
-        for k, node, bit in lm.bits(np.full(len(b), byte, np.uint64)):
-            x, gate = m.inputs(k, hashes, node, None)
-            one = m.refined(node, m.mixed(x, gate))[2]
-            p *= one if bit[2] else 1 - one
+        for k, node, bit, at in lm.byte_steps(layout, np.full(len(text), byte), hashes):
+            x, gate = m.byte_inputs(k, bit, at, False)
+            p *= m.bytes.probability(node, m.bytes.mixed(x, gate), bit)[2]
         total += p
     assert total == pytest.approx(1)
-    likely, odd = m.log10([b"alpha", b"qzxjk"])
-    assert likely > odd and m.log10([b"alpha"], True)[0] <= likely
+    likely, odd = m.byte_logs([b"zeta", b"qqqq"], np.repeat(kinds, 2))
+    assert likely > odd
+
+
+def test_kinds_are_languages():
+    rng = np.random.default_rng(2)
+    follows = np.zeros((40, 40))
+    for lang in (0, 1, 2):
+        at = np.arange(lang, 39, 3)
+        follows[np.ix_(at, at)] = rng.integers(5, 9, (13, 13))
+    kinds = lm.find_kinds(follows)
+    assert all(len(set(kinds[lang:39:3])) == 1 for lang in (0, 1, 2)) and len(set(kinds[:3])) == 3
 
 
-def test_classes_see_only_earlier_words():
-    rng = random.Random(1)
-    texts = [Counter(rng.choice([b"la", b"le", b"un", b"de"] if i % 2 else [b"the", b"of", b"and"]) for _ in range(60)) for i in range(80)]
-    c = lm.Classes(texts)
-    a = [b"the"] * 5 + [b"la"] * 30
-    b = a[:20] + [b"of"] * 15
-    expand = lambda w: [k for k, x, y in c.runs(w) for _ in range(x, y)]
-    assert expand(a)[:21] == expand(b)[:21] and len(expand(a)) == len(a) + 1
+def test_long_texts_go_in_pieces(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 4)
+    layout = lm.Layout([b"\n", b"a", b"b"], np.array([2.0, 9, 5]), 0, 0, 0, 16)
+    ids = layout.ids([b"a", b"b", b"a", b"b", b"a", b"b", b"\n"])
+    texts = lm.Texts(layout, [ids], [[]])
+    begins = texts.stretch.before == lm.stirred(np.zeros(1, np.uint64))
+    assert texts.sizes.tolist() == [7] and sorted(texts.stretch.order[begins].tolist()) == [0, 4]
 
 
 def test_no_training_rows_and_empty(spark):
@@ -81,27 +219,3 @@ def test_no_training_rows_and_empty(spark):
     r = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and r.score < 0
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_classes_learn_from_all_training_documents(spark):
-    """A language in few and very long texts has its words known, whatever the number of other documents."""
-    rng = random.Random(5)
-    usual = [f"w{i}" for i in range(40)]
-    docs = [(i, " ".join(rng.choice(usual) for _ in range(4)), False) for i in range(9000)]
-    docs += [(10_000 + i, " ".join(f"rare{rng.randrange(40)}" for _ in range(12_000)), False) for i in range(3)]
-    docs += [(20_000 + i, "hidden words", True) for i in range(3)]
-    c = lm.fit_classes(spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").repartition(4))
-    assert {b"rare1", b"rare39", b"w1"} <= set(c.number) and b"hidden" not in c.number
-    last = lambda w: list(c.runs(w))[-1][0]
-    assert last([b"rare1", b"rare2"] * 10) != last([b"w1", b"w2"] * 10)
-
-
-def test_passes_over_tasks_equal_one_pack(spark):
-    rng = random.Random(6)
-    docs = [(i, " ".join(rng.choice("ab" if i % 2 else "cd") + str(rng.randrange(9)) for _ in range(20)), False) for i in range(60)]
-    c = lm.fit_classes(spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").repartition(3))
-    local = lm.Classes([Counter(t.encode().split()) for _, t, _ in docs])
-    assert c.number == local.number and c.evidence.shape == local.evidence.shape
-    for words in ([b"a1", b"b2", b"a3"], [b"c1", b"d2"]):
-        ours, theirs = ([k for k, *_ in m.runs(words * 5)][-1] for m in (c, local))
-        assert all([k for k, *_ in m.runs([w for w in words * 5][::-1])][-1] == x for m, x in ((c, ours), (local, theirs)))
