@@ -60,8 +60,21 @@ def test_scores_depend_on_rows_alone(spark, monkeypatch):
     assert len({round(r.score, 9) for r in got if r.doc_id is not None and r.doc_id >= 900}) == 1
 
 
+M = (1 << 64) - 1
+
+
+def stir(x):
+    x = x * 0xFF51AFD7ED558CCD & M
+    x = (x ^ x >> 32) * 0xC4CEB9FE1A85EC53 & M
+    return x ^ x >> 29
+
+
+def slot(h, node, bits):
+    return ((h ^ (node * 0xD6E8FEB86659FD93 & M)) * 0x9FB21C651E98DF25 & M) >> (64 - bits)
+
+
 class Slow:
-    """The model in plain steps: dictionaries of counts by context, one bit after another."""
+    """The model in plain steps: dictionaries of counts by kind and slot, one bit after another."""
 
     def __init__(self, model, texts):
         """texts: the training texts' words."""
@@ -73,7 +86,7 @@ class Slow:
                 i = self.lay.number.get(w, self.lay.escape)
                 for depth, node, bit in self.path(i):
                     self.kind[kinds[t], node, bit] += 1
-                    self.word[self.before(text, t), node, bit] += 1
+                    self.word[self.before(text, t, node), bit] += 1
                 if i == self.lay.escape:
                     self.spell(w, kinds[t])
         for i, w in enumerate(self.lay.words):
@@ -84,8 +97,8 @@ class Slow:
     def path(self, i):
         return [(d, int(self.lay.tree.node[d, i]), int(self.lay.tree.bit[d, i])) for d in range(self.lay.tree.length[i])]
 
-    def before(self, text, t):
-        return None if t == 0 else self.lay.number.get(text[t - 1], self.lay.escape)
+    def before(self, text, t, node):
+        return slot(stir(self.lay.number.get(text[t - 1], self.lay.escape) + 1 if t else 0), node, self.lay.word_bits)
 
     def kinds(self, text):
         of = [int(self.lay.kinds[self.lay.number.get(w, self.lay.escape)]) for w in text]
@@ -100,8 +113,12 @@ class Slow:
         for t, byte in enumerate(w):
             for k in range(8):
                 node = (byte >> (8 - k)) | (1 << k)
-                # hashes of the contexts include the bytes that lie before the word's start as zeros
-                yield k, node, (byte >> (7 - k)) & 1, [(n, kind, w[max(0, t - n) : t], node) for n in lm.ORDERS]
+                contexts, h = [], kind + 1
+                for back in range(1, max(lm.ORDERS) + 1):
+                    h = (h * 0x2545F4914F6CDD1D + (w[t - back] + 1 if back <= t else 0)) & M
+                    if back in lm.ORDERS:
+                        contexts.append((back, slot(stir(h), node, self.lay.byte_bits)))
+                yield k, node, (byte >> (7 - k)) & 1, contexts
 
     def spell(self, w, kind):
         for _, _, bit, contexts in self.bits(w, kind):
@@ -137,7 +154,7 @@ class Slow:
             guesses.append(guess)
             for depth, node, bit in self.path(ids[t]):
                 kind = [self.kind[kinds[t], node, b] for b in (0, 1)]
-                word = [self.word[self.before(text, t), node, b] for b in (0, 1)]
+                word = [self.word[self.before(text, t, node), b] for b in (0, 1)]
                 said = [b for d, n, b in self.path(guess) if n == node] if guess is not None else []
                 x = [self.logit(*self.lay.node_counts[node]), self.logit(*kind), self.logit(*word), 4 * said[0] - 2 if said else 0]
                 gate = (self.level(sum(kind)) * lm.N_LEVELS + self.level(sum(word))) * lm.MATCHES + (state if said else 0)
@@ -154,7 +171,6 @@ class Slow:
 
 
 def test_score_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MIN_SLOT_BITS", 20)  # so few contexts don't share slots
     rng = random.Random(3)
     langs = [["pa", "pan", "belo", "kin", "ken"], ["schä", "zöst", "züng", "schü"]]
     docs = [(i, " ".join(rng.choice(langs[i % 2]) if rng.random() < 0.9 else f"x{rng.randrange(60)}" for _ in range(rng.randrange(3, 25)))) for i in range(60)]
