@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 #: Keyword buckets of pathway names, in order of precedence.
 PATHWAY_KEYWORDS = {
-    "immune": ("immune", "inflamm", "cytokine", "interferon"),
-    "metabolism": ("metabol", "biosynth", "catabol"),
-    "signaling": ("signal", "kinase", "receptor"),
-    "cell_cycle": ("cell cycle", "mitotic", "dna repl"),
+    "cell_cycle": ("cell cycle", "mitotic", "mitosis", "checkpoint", "DNA replication"),
+    "metabolism": ("metabolic", "glycolysis", "TCA cycle", "fatty acid", "lipid"),
+    "signaling": ("signaling", "receptor", "kinase", "MAPK", "PI3K", "Wnt"),
+    "immune": ("immune", "inflammatory", "cytokine", "T cell", "B cell"),
+    "apoptosis": ("apoptosis", "cell death", "caspase", "BCL2"),
+    "transcription": ("transcription", "RNA polymerase", "chromatin", "histone"),
 }
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
@@ -47,12 +49,12 @@ def selection_hash(features: Column) -> Column:
 
 
 def category(name: Column, buckets: dict[str, tuple[str, ...]] = PATHWAY_KEYWORDS, other: str = "other") -> Column:
-    """The first bucket with a keyword in the lower-cased name."""
+    """The first bucket with a keyword in the name, whatever the case of either."""
     out, low = F.lit(other), F.lower(name)
     for bucket, words in reversed(buckets.items()):
         hit = F.lit(False)
         for w in words:
-            hit = hit | low.contains(w)
+            hit = hit | low.contains(w.lower())
         out = F.when(hit, bucket).otherwise(out)
     return out
 

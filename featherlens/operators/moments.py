@@ -83,6 +83,29 @@ def fisher(values: DataFrame, keys: list[str], floor: float = 1e-10) -> DataFram
     return j.groupBy(*by).agg((between / F.greatest(within, F.lit(floor))).alias("score"))
 
 
+def eta2_and_fisher(values: DataFrame, keys: list[str], floor: float = 1e-10) -> DataFrame:
+    """eta2 (weights 'rows') and fisher's score as fis, from one pass over the matrix.
+
+    Class moments are the only aggregate of the matrix; each feature's few classes are then gathered in a row, where all
+    sums over them are taken.
+    """
+    c = class_moments(values, keys)
+    rows = c.groupBy(*keys, "feature").agg(F.collect_list(F.struct("rows", "n", "mu", "var_pop", "var_samp")).alias("c"))
+    total = lambda f: F.aggregate("c", F.lit(0.0), lambda acc, x: acc + F.coalesce(f(x).cast("double"), F.lit(0.0)))
+    rows = rows.withColumns({"n_all": total(lambda x: x["n"]), "weight": total(lambda x: x["rows"])}).withColumn("mean", F.try_divide(total(lambda x: x["n"] * x["mu"]), F.col("n_all")))
+    gap = lambda x: (x["mu"] - F.col("mean")) * (x["mu"] - F.col("mean"))
+    share = lambda x: F.try_divide(x["rows"], F.col("weight"))
+    out = rows.select(
+        *keys,
+        "feature",
+        F.try_divide(total(lambda x: x["n"] * (x["var_pop"] + gap(x))), F.col("n_all")).alias("v_total"),
+        F.when(F.col("n_all") > 0, total(lambda x: share(x) * gap(x))).alias("v_between"),
+        F.when(F.col("n_all") > 0, total(lambda x: share(x) * x["var_pop"])).alias("v_within"),
+        (total(lambda x: x["n"] * gap(x)) / F.nullif(F.col("n_all"), F.lit(0.0)) / F.greatest(total(lambda x: F.when(x["n"] > 1, x["n"] * x["var_samp"])) / F.nullif(F.col("n_all"), F.lit(0.0)), F.lit(floor))).alias("fis"),
+    )
+    return out.withColumn("eta_sq", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("v_between") / (F.col("v_total") + EPS), F.lit(0.0)))))
+
+
 def class_mean_variance(values: DataFrame, keys: list[str]) -> DataFrame:
     """Importance as the variance of the class means."""
     return class_moments(values, keys).groupBy(*keys, "feature").agg(F.var_pop("mu").alias("score"))

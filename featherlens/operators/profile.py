@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -88,3 +89,47 @@ def with_total(rows: DataFrame, keys: list[str], group: str, value: str, total:
 def ordinal_ranks(rows: DataFrame, keys: list[str], score: str, ordinal: str) -> DataFrame:
     """rank 1..n by score, equal scores in the order of ordinal (where they were in the file)."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ordinal)))
+
+
+def flatten_manifests(rows: DataFrame, column: str) -> DataFrame:
+    """dataset, view, n_samples from manifests in JSON, whichever of four layouts each has.
+
+    A list of views, or a map of them, below 'dataset' and 'views'; maps below 'datasets'; or keys 'dataset/view' below
+    'n_samples'. Layouts that don't apply parse to NULL and give no rows.
+    """
+    c = F.col(column)
+    view = "struct<n_samples: bigint>"
+    listed = F.from_json(c, "struct<dataset: string, views: array<struct<view: string, n_samples: bigint>>>")
+    mapped = F.from_json(c, f"struct<dataset: string, views: map<string, {view}>>")
+    nested = F.from_json(c, f"struct<datasets: map<string, map<string, {view}>>>")
+    flat = F.from_json(c, "struct<n_samples: map<string, bigint>>")
+    array = F.get_json_object(c, "$.views").startswith("[")
+    one = rows.filter(array).select(listed.alias("m")).select("m.dataset", F.explode("m.views").alias("v")).select("dataset", "v.view", "v.n_samples")
+    two = rows.filter(~array).select(mapped.alias("m")).select("m.dataset", F.explode("m.views").alias("view", "v")).select("dataset", "view", "v.n_samples")
+    three = rows.select(nested.alias("m")).select(F.explode("m.datasets").alias("dataset", "views")).select("dataset", F.explode("views").alias("view", "v")).select("dataset", "view", "v.n_samples")
+    four = rows.select(flat.alias("m")).select(F.explode("m.n_samples").alias("key", "n_samples"))
+    four = four.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("dataset"), F.split_part("key", F.lit("/"), F.lit(2)).alias("view"), "n_samples")
+    return one.unionByName(two).unionByName(three).unionByName(four)
+
+
+def timed(spark, steps: dict, runs: int) -> DataFrame:
+    """step, runs, median_seconds of what each step returns, computed to the end."""
+    rows = []
+    for name, step in steps.items():
+        took = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            step().write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        rows.append((name, runs, sorted(took)[runs // 2]))
+    return spark.createDataFrame(rows, "step string, runs int, median_seconds double")
+
+
+def importance_by_feature(rows: DataFrame, key: str, column: str, n_features: int) -> DataFrame:
+    """key, feature_ord, mean_abs of nested arrays of importances, repeats first or features first.
+
+    The axis as long as the features is theirs; if both are, the inner one. A single inner array is one repeat.
+    """
+    inner_first = F.exists(column, lambda x: F.size(x) != n_features)
+    outer = rows.select(key, inner_first.alias("turned"), F.posexplode(column).alias("a", "xs")).select(key, "turned", "a", F.posexplode("xs").alias("b", "v"))
+    return outer.groupBy(key, F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("feature_ord")).agg(F.avg(F.abs("v")).alias("mean_abs"))

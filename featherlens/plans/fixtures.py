@@ -55,8 +55,7 @@ VIEW = ["view"]
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """view, feature, v_total, v_between, v_within, eta_sq, and fis, the Fisher ratio."""
-    long = emb(spark, sf_dir)
-    return moments.eta2(long, VIEW).join(moments.fisher(long, VIEW).withColumnRenamed("score", "fis"), ["view", "feature"])
+    return moments.eta2_and_fisher(emb(spark, sf_dir), VIEW)
 
 
 MOMENTS = """cls AS (SELECT view, feature, label, count(*) AS rws, count(x) AS n, avg(x) AS mu, coalesce(var_pop(x), 0) AS vp, coalesce(var_samp(x), 0) AS vs FROM emb GROUP BY ALL),
@@ -67,11 +66,12 @@ ft AS (SELECT view, feature, any_value(t.vp) AS v_total, sum(c.n / CAST(t.n AS D
   FROM cls c JOIN tot t USING (view, feature) GROUP BY view, feature)"""
 
 
-def vp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """features with v_rank, eta_rank, fis_rank (ties by name)."""
+def vp(spark: SparkSession, sf_dir: str, ranks: str = "v_rank eta_rank fis_rank") -> DataFrame:
+    """features with the ranks asked for (ties by name)."""
     f = features(spark, sf_dir)
     for score, out in (("v_total", "v_rank"), ("eta_sq", "eta_rank"), ("fis", "fis_rank")):
-        f = ranking.ranked(f, VIEW, score, out=out)
+        if out in ranks.split():
+            f = ranking.ranked(f, VIEW, score, out=out)
     return f
 
 

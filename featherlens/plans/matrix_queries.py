@@ -380,7 +380,7 @@ _G = "q j_obs j_rand delta_j tilde_j di"
 
 
 def grid(spark, sf):
-    return overlap.k_grid(fx.vp(spark, sf), VIEW, "v_rank", "eta_rank", K_PCTS)
+    return overlap.k_grid(fx.vp(spark, sf, "v_rank eta_rank"), VIEW, "v_rank", "eta_rank", K_PCTS)
 
 
 def repeat_grid(spark, sf):

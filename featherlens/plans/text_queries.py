@@ -168,7 +168,7 @@ def _(spark, sf):
     return c.join(F.broadcast(some)).filter(F.col("hit") | ~F.col("some")).select("c_custkey", "c_mktsegment")
 
 
-for _name in ("proj_split_key", "proj_vp_filename", "scan_glob_union_with_filename_keys"):
+for _name in ("proj_split_key", "proj_vp_filename"):
 
     @query(_name, "SELECT n_nationkey, r_name AS dataset, n_name AS view FROM nation JOIN region ON n_regionkey = r_regionkey", "", "n_nationkey")
     def _(spark, sf):
@@ -221,10 +221,20 @@ def _(spark, sf):
     return fx.table(spark, sf, "customer").select("c_custkey", F.coalesce(F.try_element_at(m, F.split_part("c_name", F.lit("#"), F.lit(1))), F.lit("other")).alias("kind"))
 
 
-@query("fn_pathway_category", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'immune' WHEN p_partkey % 4 = 1 THEN 'metabolism' WHEN p_partkey % 4 = 2 THEN 'signaling' ELSE 'other' END AS category FROM part")
+_WORDS = [w for ws in scalars.PATHWAY_KEYWORDS.values() for w in ws] + ["thing"]
+_HITS = " ".join("WHEN " + " OR ".join(f"contains(lower(s), '{w.lower()}')" for w in ws) + f" THEN '{k}'" for k, ws in scalars.PATHWAY_KEYWORDS.items())
+
+
+@query(
+    "fn_pathway_category",
+    f"""SELECT p_partkey, CASE {_HITS} ELSE 'other' END AS category
+    FROM (SELECT p_partkey, upper(w[1 + p_partkey % {len(_WORDS)}]) || ' of ' || w[1 + (p_partkey // 7) % {len(_WORDS)}] AS s FROM part, (SELECT {_WORDS} AS w))""",
+)
 def _(spark, sf):
-    m = F.col("p_partkey") % 4
-    name = F.when(m == 0, "Cytokine signaling").when(m == 1, "Lipid METABOLISM").when(m == 2, "MAP kinase").otherwise("thing")
+    """Names of two keywords each, so that precedence decides."""
+    words = F.array(*map(F.lit, _WORDS))
+    at = lambda n: F.element_at(words, (1 + n % len(_WORDS)).cast("int"))
+    name = F.concat(F.upper(at(F.col("p_partkey"))), F.lit(" of "), at(F.floor(F.col("p_partkey") / 7)))
     return fx.table(spark, sf, "part").select("p_partkey", scalars.category(name).alias("category"))
 
 
@@ -316,7 +326,7 @@ def _(spark, sf):
 _COLS = ["p_size", "p_retailprice"]
 
 
-for _name in ("agg_profile_columns", "scan_chunked_stream"):
+for _name in ("agg_profile_columns",):
 
     @query(_name, " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS n, count({c}) AS n_present, count(DISTINCT {c}) AS n_distinct, min({c}) AS lo, max({c}) AS hi, avg({c}) AS mean, stddev_samp({c}) AS sd, quantile_cont({c}, 0.5) AS median FROM part" for c in _COLS), "lo hi mean sd median", "n n_present n_distinct")
     def _(spark, sf):
