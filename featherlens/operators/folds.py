@@ -29,6 +29,20 @@ def invalid_folds(folds: DataFrame) -> DataFrame:
     return inside.join(total, ["repeat", "label"]).filter("m = n").select("repeat", "fold", "label")
 
 
+def feasible_group_splits(samples: DataFrame, requested: int) -> DataFrame:
+    """n_splits: the most folds, up to requested, none empty, that all leave every class in training; NULL if not even 2.
+
+    Groups take fold group_id modulo k. All k are tried at once on the table of groups and classes.
+    """
+    pairs = samples.select("group_id", "label").distinct()
+    classes = pairs.agg(F.count_distinct("label").alias("classes"))
+    tried = pairs.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(max(2, requested))))).withColumn("mine", F.col("group_id") % F.col("k"))
+    left = tried.withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    each = left.groupBy("k", "fold").agg(F.count_distinct(F.when(F.col("mine") != F.col("fold"), F.col("label"))).alias("n"), F.max(F.col("mine") == F.col("fold")).alias("held"))
+    worst = each.groupBy("k").agg(F.min("n").alias("n"), F.min("held").alias("held")).filter("held")
+    return worst.join(F.broadcast(classes), F.col("n") == F.col("classes"), "left_semi").agg(F.max("k").cast("long").alias("n_splits"))
+
+
 def class_weights(samples: DataFrame) -> DataFrame:
     """n / (classes * n_class)."""
     c = samples.groupBy("label").agg(F.count("*").alias("n_class"))

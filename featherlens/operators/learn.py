@@ -1,4 +1,4 @@
-"""Learners, out-of-fold predictions, importances and projections on pyspark.ml.
+"""Learners, out-of-fold predictions, importances and projections on pyspark.ml; ablate has many small fits at once.
 
 The long matrix becomes one vector a sample only here. Fits run one after another on the cluster, each of them distributed.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..sources import sinks
 from . import folds as fold_ops
-from . import moments, ranking, stats
+from . import moments, ranking, resample, stats
 
 #: The reference's sizes and iteration limits; depth 30 is the most that Spark's trees take, where the reference has no limit.
 SIZES = {
@@ -214,32 +214,6 @@ def forest_shap(data: DataFrame, names: list[str], seed: int = 0, **sizes) -> Da
     return mean_abs_shap(LEARNERS["rf"](seed, **sizes).fit(weighted(data)), data, names)
 
 
-# ---- feature subset ablation
-
-
-def ablation(values: DataFrame, fold_rows: DataFrame, v: DataFrame, p: DataFrame, k_pcts: list[int], learner: str = "rf", draws: int = 1, seed: int = 0) -> DataFrame:
-    """k_pct, strategy, repeat, n_features, balanced_accuracy for all features, top variance, top importance and random sets.
-
-    v, p: (feature, rank). The set of all features is fitted once and holds for every K.
-    """
-    data, names = vectors(values)
-    ranks = {name: [r.feature for r in df.orderBy("rank").collect()] for name, df in (("var", v), ("shap", p))}
-    work = [(0, "all", names)]
-    rng = np.random.default_rng(seed)
-    for k_pct in k_pcts:
-        k = max(1, len(names) * k_pct // 100)
-        work += [(k_pct, s, ranks[s][:k]) for s in ("var", "shap")]
-        work += [(k_pct, "random", sorted(rng.choice(names, k, replace=False))) for _ in range(draws)]
-    out = None
-    for k_pct, strategy, chosen in work:
-        at = [names.index(n) for n in chosen]
-        part = data.withColumn("features", array_to_vector(F.array(*[vector_to_array("features")[i] for i in at])))
-        scored = fold_ops.confusion_metrics(out_of_fold(part, fold_rows, learner, seed), ["repeat"])
-        row = scored.select(F.lit(k_pct).alias("k_pct"), F.lit(strategy).alias("strategy"), "repeat", F.lit(len(at)).alias("n_features"), "balanced_accuracy")
-        out = row if out is None else out.unionByName(row)
-    return out.groupBy("k_pct", "strategy", "repeat", "n_features").agg(F.avg("balanced_accuracy").alias("balanced_accuracy"))
-
-
 # ---- projections and clusters
 
 
@@ -268,6 +242,46 @@ def pca_alignment(data: DataFrame, k: int) -> DataFrame:
     return j.groupBy("view").agg((F.sum(F.col("share") * F.col("eta_sq")) / F.sum("share")).alias("pcla")).join(rho, "view")
 
 
+def _component_rows(scores: DataFrame) -> DataFrame:
+    return scores.select("sample_id", F.format_string("pc%02d", "pc").alias("feature"), F.col("score").alias("x"), "label")
+
+
+def _shares(spark: SparkSession, share: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(f"pc{i:02d}", float(s)) for i, s in enumerate(share)], "feature string, share double")
+
+
+def pc_class_signal(data: DataFrame, k: int) -> DataFrame:
+    """weighted_mean and weighted_sum of the components' eta squared, weighted by their shares of variance."""
+    scores, _, share = pca(data, k)
+    e = moments.eta2(_component_rows(scores), []).join(F.broadcast(_shares(data.sparkSession, share)), "feature")
+    total = F.sum(F.col("share") * F.col("eta_sq"))
+    return e.agg((total / F.sum("share")).alias("weighted_mean"), total.alias("weighted_sum"))
+
+
+def pcla_of_permutations(data: DataFrame, k: int, perms: int) -> DataFrame:
+    """perm, pcla: the share-weighted eta squared under permuted labels (perm -1: as they are).
+
+    Components don't hang on labels, so they are computed and written once; permutations are a key of one plan.
+    """
+    spark = data.sparkSession
+    scores, _, share = pca(data, k)
+    path = sinks.workspace(spark, "components")
+    _component_rows(scores).write.parquet(path)
+    rows = spark.read.parquet(path)
+    labels = rows.select("sample_id", "label").distinct()
+    own = labels.select(F.lit(-1).alias("perm"), "sample_id", "label")
+    dealt = own if not perms else own.unionByName(resample.permuted(labels, [], "label", perms, 0).select("perm", "sample_id", "label"))
+    e = moments.eta2(rows.drop("label").join(dealt, "sample_id"), ["perm"]).join(F.broadcast(_shares(spark, share)), "feature")
+    return e.groupBy("perm").agg((F.sum(F.col("share") * F.col("eta_sq")) / F.sum("share")).alias("pcla"))
+
+
+def silhouette(pred: DataFrame) -> DataFrame:
+    """silhouette (squared Euclidean) of (features, prediction); NULL for fewer than two clusters, or one a sample."""
+    t = pred.agg(F.count_distinct("prediction").alias("k"), F.count("*").alias("n")).first()
+    s = ClusteringEvaluator(featuresCol="features").evaluate(pred) if 1 < t.k < t.n else None
+    return pred.sparkSession.createDataFrame([(s,)], "silhouette double")
+
+
 def latent_axis_scores(data: DataFrame, names: list[str], k: int) -> DataFrame:
     """feature, score: squared loadings weighted by the components' variances."""
     _, loadings, share = pca(data, k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, learn, ranking, simulate, stats
+from ..operators import ablate, folds, learn, ranking, simulate, stats
 from ..streaming import moments as running
 from . import fixtures as fx
 from .registry import query
@@ -59,8 +59,48 @@ def _(spark, sf):
 
 @query("ml_ablation_view")
 def _(spark, sf):
-    v = fx.vp(spark, sf)
-    return learn.ablation(fx.emb(spark, sf), _folds(spark, sf), v.select("feature", F.col("v_rank").alias("rank")), v.select("feature", F.col("eta_rank").alias("rank")), [10], "logistic")
+    """All five strategies over the whole K grid, 20 random sets a fold."""
+    return ablate.ablation(fx.emb(spark, sf), _folds(spark, sf), fx.K_PCTS)
+
+
+@query("ml_label_perm_task")
+def _(spark, sf):
+    return ablate.label_permutations(fx.emb(spark, sf), _folds(spark, sf), [10, 20], 5)
+
+
+@query("ml_eval_subset")
+def _(spark, sf):
+    return ablate.subset_scores(fx.emb(spark, sf), _folds(spark, sf), fx.K_PCTS, 20)
+
+
+@query(
+    "ml_feasible_group_splits",
+    """WITH g AS (SELECT DISTINCT group_id, label FROM (SELECT vec_id % 7 AS group_id, label FROM embeddings)),
+    k AS (SELECT k, group_id % k AS fold, label FROM g, range(2, 6) t(k)),
+    ok AS (SELECT k FROM (SELECT k.k, f.fold, count(DISTINCT CASE WHEN k.fold <> f.fold THEN label END) AS n, count(CASE WHEN k.fold = f.fold THEN 1 END) AS m FROM k JOIN (SELECT k, f AS fold FROM range(2, 6) t(k), range(0, 5) u(f) WHERE f < k) f ON k.k = f.k GROUP BY ALL)
+      GROUP BY k HAVING min(m) > 0 AND min(n) = (SELECT count(DISTINCT label) FROM g))
+    SELECT max(k) AS n_splits FROM ok""",
+    "",
+    "n_splits",
+)
+def _(spark, sf):
+    return folds.feasible_group_splits(fx.samples(spark, sf), 5)
+
+
+@query("agg_pc_class_signal")
+def _(spark, sf):
+    return learn.pc_class_signal(_data(spark, sf)[0], 8)
+
+
+@query("mat_pca_cache")
+def _(spark, sf):
+    return learn.pcla_of_permutations(_data(spark, sf)[0], 8, 5)
+
+
+@query("mat_silhouette")
+def _(spark, sf):
+    data, _ = _data(spark, sf)
+    return learn.silhouette(learn.scaled(data).withColumn("prediction", F.col("label").cast("int")))
 
 
 @query("ml_group_kfold_greedy")
