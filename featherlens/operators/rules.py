@@ -193,3 +193,45 @@ def transferred(scatter: DataFrame, harm: float, ratio: float, group: str = "dat
     right = ((F.col(x) >= F.col("t")) == (F.col(delta) < -harm)).cast("long")
     s = scatter.join(best, group).groupBy(F.col(group).alias("held"), "t").agg(F.count("*").alias("n"), F.sum(right).alias("n_correct"))
     return s.withColumn("accuracy", F.col("n_correct") / F.col("n"))
+
+
+#: Dead zone of signs, bounds of the categories, weights of the scores.
+HERO_EPS, HERO_GAP = 0.005, 0.02
+
+
+def hero_rank(rows: DataFrame) -> DataFrame:
+    """rows with agree, validated, tier, category, score and rank: which views make the strongest case.
+
+    rows: dataset, view; dvr_xgb, dvr_rf (variance minus random by model), dsv_xgb (importance minus variance), di,
+    perf_var, perf_random; dvr_lo, dvr_hi, dsv_lo, dsv_hi (limits under permuted labels); convergence. NULL means that a
+    part is missing, which never counts for a view. Tiers: models that agree in sign outside the dead zone, an effect
+    outside the permutation limits, and biology at hand; all three are HIGH, two of them MEDIUM.
+    """
+    col = F.col
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    outside = lambda x, lo, hi: yes(col(x) < col(lo)) | yes(col(x) > col(hi))
+    a, b = sign_eps(col("dvr_xgb"), HERO_EPS), sign_eps(col("dvr_rf"), HERO_EPS)
+    rows = rows.withColumns({"agree": yes((a != 0) & (a == b)), "validated": outside("dvr_xgb", "dvr_lo", "dvr_hi") | outside("dsv_xgb", "dsv_lo", "dsv_hi")})
+    held = col("agree").cast("int") + col("validated").cast("int") + col("convergence").isNotNull().cast("int")
+    dvr, dsv = col("dvr_xgb"), col("dsv_xgb")
+    category = F.when((dvr < -HERO_GAP) & (dsv > HERO_GAP), "ANTI_ALIGNED").when((dvr > HERO_GAP) & (F.abs(dsv) < HERO_GAP), "COUPLED").otherwise("MIXED")
+    plus = lambda c: F.greatest(F.lit(0.0), c)
+    anti = plus(-dvr) * 2.0 + plus(dsv) * 1.5 + F.coalesce(col("di"), F.lit(0.0)) * 0.2
+    coupled = plus(dvr) * 2.0 + plus(col("perf_var") - col("perf_random")) + plus(0.05 - F.abs(dsv)) * 0.5
+    rows = rows.withColumns({"tier": F.when(held == 3, "HIGH").when(held == 2, "MEDIUM").otherwise("LOW"), "category": category})
+    rows = rows.withColumn("score", F.when(col("category") == "ANTI_ALIGNED", anti).when(col("category") == "COUPLED", coupled).otherwise((anti + coupled) / 2))
+    order = Window.partitionBy("category").orderBy(F.desc(F.round("score", 9)), "dataset", "view")
+    return rows.withColumn("rank", F.row_number().over(order))
+
+
+def first_known(base: DataFrame, sources: list[tuple[str, DataFrame, list[str], str]], out: str, unknown: str = "UNKNOWN") -> DataFrame:
+    """base with out and out_source: the value of the first source, by precedence, that knows the row's key.
+
+    sources: (name, table, key columns, value column); a table has one row a key, NULL values count as not known.
+    """
+    names = []
+    for i, (_, table, keys, value) in enumerate(sources):
+        base = base.join(table.select(*keys, F.col(value).alias(f"_v{i}")), keys, "left")
+        names.append(f"_v{i}")
+    source = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(n)) for c, (n, *_) in zip(names, sources, strict=True)], F.lit("none"))
+    return base.withColumns({out: F.coalesce(*names, F.lit(unknown)), f"{out}_source": source}).drop(*names)

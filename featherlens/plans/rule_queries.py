@@ -161,13 +161,24 @@ def _(spark, sf):
     return d.groupBy("dataset", "view").agg((F.min(h) == F.max(h)).cast("int").alias("k_stable"), ks.alias("k_cols"))
 
 
-@query("rule_regime_lookup", f"WITH {SCATTER}, a AS (SELECT view, 'A' AS r FROM sc WHERE di > 1.05), b AS (SELECT view, 'B' AS r FROM sc WHERE delta > 0), d AS (SELECT dataset, max(view) AS r FROM sc GROUP BY dataset) SELECT sc.view, coalesce(a.r, b.r, d.r, 'UNKNOWN') AS regime FROM sc LEFT JOIN a USING (view) LEFT JOIN b USING (view) LEFT JOIN d USING (dataset)")
-def _(spark, sf):
+@query(
+    "rule_regime_lookup",
+    f"""WITH {SCATTER}, b AS (SELECT sc.*, k.k_pct FROM sc, (VALUES (5), (10)) k(k_pct)),
+    l AS (SELECT view, k_pct, CASE WHEN di > 1.1 AND k_pct = 10 THEN 'summary' WHEN di > 1.1 THEN 'nearest_k' WHEN delta > 0 THEN 'other_model' WHEN length(view) % 2 = 0 THEN 'di' WHEN dataset IN ('ASIA', 'EUROPE') THEN 'dataset' ELSE 'none' END AS regime_source, di, dataset FROM b)
+    SELECT view, k_pct, regime_source, CASE regime_source WHEN 'summary' THEN 'ANTI_ALIGNED' WHEN 'nearest_k' THEN 'ANTI_ALIGNED' WHEN 'other_model' THEN 'COUPLED' WHEN 'di' THEN CASE WHEN di > 1.05 THEN 'ANTI_ALIGNED' WHEN di < 0.85 THEN 'COUPLED' ELSE 'DECOUPLED' END WHEN 'dataset' THEN 'MIXED' ELSE 'UNKNOWN' END AS regime FROM l""",
+    "",
+    "k_pct",
+)
+def _(spark, sf):
+    """Five sources in order of precedence: the view's summary at K, at another K, another model's, its DI, its dataset's."""
     sc = fx.scatter(spark, sf)
-    a = sc.filter("di > 1.05").select("view", F.lit("A").alias("ra"))
-    b = sc.filter("delta > 0").select("view", F.lit("B").alias("rb"))
-    d = sc.groupBy("dataset").agg(F.max("view").alias("rd"))
-    return sc.join(a, "view", "left").join(b, "view", "left").join(d, "dataset", "left").select("view", F.coalesce("ra", "rb", "rd", F.lit("UNKNOWN")).alias("regime"))
+    base = sc.select("dataset", "view", F.explode(F.array(F.lit(5), F.lit(10))).alias("k_pct"))
+    summary = sc.filter("di > 1.1").select("view", F.lit(10).alias("k_pct"), F.lit("ANTI_ALIGNED").alias("r"))
+    other = sc.filter("delta > 0").select("view", F.lit("COUPLED").alias("r"))
+    by_di = sc.filter(F.length("view") % 2 == 0).select("view", rules.regime(F.col("di")).alias("r"))
+    by_dataset = sc.filter(F.col("dataset").isin("ASIA", "EUROPE")).select("dataset", F.lit("MIXED").alias("r")).distinct()
+    sources = [("summary", summary, ["view", "k_pct"], "r"), ("nearest_k", summary.drop("k_pct"), ["view"], "r"), ("other_model", other, ["view"], "r"), ("di", by_di, ["view"], "r"), ("dataset", by_dataset, ["dataset"], "r")]
+    return rules.first_known(base, sources, "regime").select("view", "k_pct", "regime", "regime_source")
 
 
 #: The panel's five models, each from a model and K of the results table.
@@ -224,12 +235,33 @@ def _(spark, sf):
     return by_model(spark, sf).withColumns({"same_sign": rules.sign_eps(rf, 0.0) == rules.sign_eps(xgb, 0.0), "both_hurt": (rf < 0) & (xgb < 0), "both_help": (rf > 0) & (xgb > 0)})
 
 
-@query("rule_hero_rank", f"WITH {_DELTA}, {_PIVOT}, t AS (SELECT view, rf, xgb, CASE WHEN rf < -0.02 AND xgb < -0.02 THEN 'HIGH' WHEN rf < -0.02 OR xgb < -0.02 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM pv WHERE k_pct = 10) SELECT view, tier, row_number() OVER (ORDER BY tier = 'HIGH' DESC, tier = 'MEDIUM' DESC, least(rf, xgb), view) AS rank FROM t", "", "rank")
-def _(spark, sf):
-    rf, xgb = rules.sign_eps(F.col("rf"), 0.02) < 0, rules.sign_eps(F.col("xgb"), 0.02) < 0
-    t = by_model(spark, sf).filter("k_pct = 10").withColumn("tier", F.when(rf & xgb, "HIGH").when(rf | xgb, "MEDIUM").otherwise("LOW"))
-    order = Window.orderBy(F.desc(F.col("tier") == "HIGH"), F.desc(F.col("tier") == "MEDIUM"), F.least("rf", "xgb"), "view")
-    return t.select("view", "tier", F.row_number().over(order).alias("rank"))
+_PERF = """pf AS (SELECT dataset, view, model, avg(value) FILTER (strategy = 'var') AS pv, avg(value) FILTER (strategy = 'random') AS pr, avg(value) FILTER (strategy = 'shap') AS ps FROM res WHERE k_pct = 10 GROUP BY ALL)"""
+
+
+@query(
+    "rule_hero_rank",
+    f"""WITH {SCATTER}, {_PERF},
+    h AS (SELECT x.dataset, x.view, x.pv - x.pr AS dvr, r.pv - r.pr AS rf, x.ps - x.pv AS dsv, x.pv, x.pr, di, CASE WHEN length(x.view) % 3 > 0 THEN di_hi END AS cr
+      FROM pf x JOIN pf r USING (dataset, view) JOIN sc USING (dataset, view) WHERE x.model = 'xgb' AND r.model = 'rf'),
+    t AS (SELECT *, abs(dvr) > 0.005 AND abs(rf) > 0.005 AND (dvr > 0) = (rf > 0) AS agree, CASE WHEN dataset = 'ASIA' THEN false ELSE abs(dvr) > 0.1 OR abs(dsv) > 0.15 END AS validated,
+      CASE WHEN dvr < -0.02 AND dsv > 0.02 THEN 'ANTI_ALIGNED' WHEN dvr > 0.02 AND abs(dsv) < 0.02 THEN 'COUPLED' ELSE 'MIXED' END AS category,
+      2 * greatest(0, -dvr) + 1.5 * greatest(0, dsv) + 0.2 * di AS sa, 3 * greatest(0, dvr) + 0.5 * greatest(0, 0.05 - abs(dsv)) AS sc_ FROM h),
+    u AS (SELECT *, CASE CAST(agree AS INT) + CAST(validated AS INT) + CAST(cr IS NOT NULL AS INT) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
+      CASE category WHEN 'ANTI_ALIGNED' THEN sa WHEN 'COUPLED' THEN sc_ ELSE (sa + sc_) / 2 END AS score FROM t)
+    SELECT view, agree, validated, tier, category, score, row_number() OVER (PARTITION BY category ORDER BY round(score, 9) DESC, dataset, view) AS rank FROM u""",
+    "score",
+    "rank",
+)
+def _(spark, sf):
+    """Limits under permutation are known outside one dataset, biology for some views."""
+    mean = lambda s: F.avg(F.when(F.col("strategy") == s, F.col("value")))
+    perf = fx.results(spark, sf).filter("k_pct = 10").groupBy("dataset", "view", "model").agg(mean("var").alias("pv"), mean("random").alias("pr"), mean("shap").alias("ps"))
+    x = perf.filter("model = 'xgb'").select("dataset", "view", (F.col("pv") - F.col("pr")).alias("dvr_xgb"), (F.col("ps") - F.col("pv")).alias("dsv_xgb"), F.col("pv").alias("perf_var"), F.col("pr").alias("perf_random"))
+    r = perf.filter("model = 'rf'").select("dataset", "view", (F.col("pv") - F.col("pr")).alias("dvr_rf"))
+    s = fx.scatter(spark, sf).select("dataset", "view", "di", F.when(F.length("view") % 3 > 0, F.col("di_hi")).alias("convergence"))
+    limit = lambda v: F.when(F.col("dataset") != "ASIA", F.lit(v))
+    rows = x.join(r, ["dataset", "view"]).join(s, ["dataset", "view"]).withColumns({"dvr_lo": limit(-0.1), "dvr_hi": limit(0.1), "dsv_lo": limit(-0.15), "dsv_hi": limit(0.15)})
+    return rules.hero_rank(rows).select("view", "agree", "validated", "tier", "category", "score", "rank")
 
 
 @query("rule_sign_metrics", f"""WITH {SCATTER}, l AS (SELECT delta AS y, m.metric, CASE m.metric WHEN 'eta_es' THEN di WHEN 'f_di' THEN di_hi WHEN 'vsa' THEN di - 0.9 ELSE di_lo END AS x FROM sc, unnest(['eta_es', 'f_di', 'vsa', 'pcla']) m(metric)),

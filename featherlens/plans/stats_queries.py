@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import folds, moments, overlap, ranking, resample, stats
+from ..operators import folds, moments, overlap, ranking, resample, rules, stats
 from . import fixtures as fx
 from .fixtures import EMB, FEATURES_SQL, K_PCTS, REPEATS_SQL, RESULTS, SAMPLES, SCATTER, UNIT, VIEW
 from .registry import query
@@ -372,23 +372,61 @@ vd AS (SELECT view, repeat, fold, avg(eta_sq) FILTER (vr <= 6) / (avg(eta_sq) +
 _V = "eta_es vsa alpha_prime f_di"
 
 
-def vad_long(spark, sf):
-    """One row a (view, repeat, fold); folds are keys, so all training splits share one plan."""
+def vad_features(spark, sf):
+    """Moments of all training splits, which are keys of one plan, and the same with ranks."""
     keys = ["view", "repeat", "fold"]
     f = fold_table(spark, sf).select("sample_id", "repeat", F.col("fold").alias("own"))
     train = fx.emb(spark, sf).join(f, "sample_id").withColumn("fold", F.explode(F.array(*map(F.lit, range(5))))).filter("own <> fold")
     ft = moments.eta2(train, keys)
-    ranks = ranking.ranked(ranking.ranked(ft, keys, "v_total", out="v_rank"), keys, "eta_sq", out="eta_rank")
+    return ft, ranking.ranked(ranking.ranked(ft, keys, "v_total", out="v_rank"), keys, "eta_sq", out="eta_rank")
+
+
+def vad_long(spark, sf):
+    """One row a (view, repeat, fold)."""
+    keys = ["view", "repeat", "fold"]
+    ft, ranks = vad_features(spark, sf)
     out = stats.eta_enrichment(ft, keys, 10).select(*keys, "eta_es").join(stats.vsa(ft, keys, 10), keys)
     out = out.join(stats.spearman(ft, keys, "v_total", "eta_sq").select(*keys, F.col("rho").alias("alpha_prime")), keys)
     return out.join(overlap.f_di(ranks, keys, "v_rank", "eta_rank", 10), keys)
 
 
-for _name in ("agg_vad_bundle", "agg_vad_fold_metrics"):
+@query("agg_vad_fold_metrics", f"WITH {EMB}, {_TRAIN} SELECT * FROM vd", _V, "repeat fold")
+def _(spark, sf):
+    return vad_long(spark, sf)
+
 
-    @query(_name, f"WITH {EMB}, {_TRAIN} SELECT * FROM vd", _V, "repeat fold")
-    def _(spark, sf):
-        return vad_long(spark, sf)
+def _at_k(k_pct: int, k: int) -> str:
+    return f"""SELECT view, repeat, fold, {k_pct} AS k_pct, avg(eta_sq) FILTER (vr <= {k}) / (avg(eta_sq) + 1e-12) AS eta_es, (sum(ek) FILTER (vr <= {k}) - {k * (k + 1) / 2}) / ({k}.0 * {64 - k}) - 0.5 AS vsa, corr(vk, ek) AS alpha_prime,
+  (1 - count(*) FILTER (vr <= {k} AND er <= {k}) / CAST(count(*) FILTER (vr <= {k} OR er <= {k}) AS DOUBLE)) / (1 - ({k} / 64.0) / (2 - {k} / 64.0)) AS f_di FROM tk GROUP BY ALL"""
+
+
+_ES, _VS = ("CASE WHEN eta_es_hi < 1 AND vsa_hi < 0 THEN 'RED_HARMFUL' WHEN eta_es_lo > 1 AND vsa_lo > 0 THEN 'GREEN_SAFE' ELSE 'YELLOW_INCONCLUSIVE' END", "CASE WHEN eta_es < 1 AND vsa < 0 THEN 'RED_RISK' WHEN eta_es > 1 AND vsa > 0 THEN 'GREEN_SAFE' ELSE 'YELLOW_INCONCLUSIVE' END")
+_MEANS = ", ".join(f"avg({c}) AS {c}, quantile_cont({c}, 0.025) AS {c}_lo, quantile_cont({c}, 0.975) AS {c}_hi" for c in _V.split())
+
+
+@query(
+    "agg_vad_bundle",
+    f"WITH {EMB}, {_TRAIN}, vk AS ({' UNION ALL '.join(_at_k(p, k) for p, k in ((1, 1), (5, 3), (10, 6), (20, 12)))}), s AS (SELECT view, k_pct, count(*) AS n_splits, {_MEANS} FROM vk GROUP BY ALL) SELECT *, {_VS} AS zone_nominal, {_ES} AS zone_conservative FROM s",
+    " ".join(f"{c}{e}" for c in _V.split() for e in ("", "_lo", "_hi")),
+    "k_pct n_splits",
+)
+def _(spark, sf):
+    """Every K of the grid over all training splits, its means and limits, and both zones."""
+    keys = ["view", "repeat", "fold"]
+    ft, ranks = vad_features(spark, sf)
+    every = None
+    for k_pct in K_PCTS:
+        at = stats.eta_enrichment(ft, keys, k_pct).select(*keys, "eta_es").join(stats.vsa(ft, keys, k_pct), keys).join(overlap.f_di(ranks, keys, "v_rank", "eta_rank", k_pct), keys).withColumn("k_pct", F.lit(k_pct))
+        every = at if every is None else every.unionByName(at)
+    every = every.join(stats.spearman(ft, keys, "v_total", "eta_sq").select(*keys, F.col("rho").alias("alpha_prime")), keys)
+    aggs = [F.count("*").alias("n_splits")]
+    for c in _V.split():
+        p = F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
+        aggs += [F.avg(c).alias(c), p[0].alias(f"{c}_lo"), p[1].alias(f"{c}_hi")]
+    out = every.groupBy("view", "k_pct").agg(*aggs)
+    limits = [F.col(c) for c in ("eta_es_lo", "eta_es_hi", "vsa_lo", "vsa_hi")]
+    state = rules.diagnostic_state(F.col("eta_es"), F.col("vsa"))
+    return out.withColumns({"zone_nominal": rules.nominal_zone(state), "zone_conservative": rules.vad_zone(F.col("eta_es"), F.col("vsa"), *limits)})
 
 
 @query("agg_vad_summary", f"WITH {EMB}, {_TRAIN} SELECT view, count(*) AS n, " + ", ".join(f"avg({c}) AS {c}_mean, quantile_cont({c}, 0.025) AS {c}_lo, quantile_cont({c}, 0.975) AS {c}_hi" for c in _V.split()) + " FROM vd GROUP BY view", " ".join(f"{c}_{s}" for c in _V.split() for s in ("mean", "lo", "hi")), "n")
