@@ -32,9 +32,9 @@ def tables(tmp_path_factory):
 def plain(rows, labels, bench):
     """The stages one by one, without Spark."""
     known = {d: q for d, q, _ in labels if zlib.crc32(str(d).encode()) % 3 != 1}
-    sample = sorted((r[0], (r[1] or "").encode(), known[r[0]]) for r in rows if r[0] in known)
+    sample = sorted((str(r[0]), (r[1] or "").encode(), known[r[0]]) for r in rows if r[0] in known)
     counts = {y: sum(q == y for q in known.values()) for y in (0, 1)}
-    model = quality.Neighbours([(t, y) for _, t, y in sample], counts)
+    model = quality.Neighbours([(quality.packed_terms(t), y) for _, t, y in sample], counts)
     rows = [r for r, s in zip(rows, model.scores([(r[1] or "").encode() for r in rows]), strict=True) if s >= 0.5]
     rows = [r for r, c in zip(rows, brute_components([(r[0], brute_fp(r[1])) for r in rows]), strict=True) if r[0] == c]
     bad = {r[0] for r in brute([r[:2] for r in rows], bench) if r[-1]}
