@@ -1,15 +1,15 @@
 """Near-duplicate detection: 64-bit SimHash fingerprints linked through Golay-code keys.
 
-A fingerprint is split into three segments. With at most four differing bits in all, the two segments that differ
-least hold at most two of them: either one is equal and the other has at most two errors, or both have one. A segment's
-keys are the codewords of the perfect (23, 12) Golay code that the segment and its one-bit neighbours decode to (one or
-six of 4096): two words with at most two errors between them always share one, because both reach the word between
-them. So the join keys are
+A fingerprint is split into three segments. A segment's keys are the codewords of the perfect (23, 12) Golay code that the
+segment and its one-bit neighbours decode to (one or six of 4096): two words with at most two errors between them always
+share one, because both reach the word between them. With at most four differing bits in all, either some segment is equal
+and another has at most two errors, or two segments have exactly one error each and the third at most two. So the join
+keys are
 
 * segment i as it is with a codeword of segment j, for each ordered pair: about 6 x 5.3 rows, 33-34 bit keys;
-* decoded segments i and j against each pair of their codewords, for each unordered pair: 3 rows against 3 x 28. These
-  only serve two segments with one error each, which turns the parity of both: one side's key holds the two parities, the
-  other's their opposites, so keys have 26 bits.
+* a half of segment i and a half of segment j, of which some are equal, with a codeword of the third segment: 12 x 5.3
+  rows. One error turns a segment's parity, so one side's key also holds the parities of i and j, the other's their
+  opposites: 35-36 bits.
 
 Every meeting is verified by counting the differing bits, so no link is lost and none is false.
 
@@ -22,7 +22,7 @@ one component never meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, permutations, repeat
+from itertools import combinations, permutations, product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,10 @@ SEED = 42
 MAX_BITS = 4
 #: (shift, bits) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+HALF_BITS = 11
+HALF = (1 << HALF_BITS) - 1
 PIVOTS = 4
-#: Fingerprints that one task expands to keys, about 150 rows each.
+#: Fingerprints that one task expands to keys, about 190 rows each.
 EXPAND_ROWS = 20_000
 #: Meetings under one key from which on it is joined by differing bits; and keys that are broadcast.
 MANY, MAX_BROADCAST_KEYS = 4096, 500_000
@@ -118,17 +120,17 @@ def join_keys(fps: np.ndarray, golay: Golay, index: bool) -> tuple[np.ndarray, n
         key = (family << 40) | (segs[i][:, None] << 12) | found
         rows.append(np.broadcast_to(at[:, None], real.shape)[real])
         keys.append(key[real])
-    for family, (i, j) in enumerate(combinations(range(3), 2), 6):
-        parity = (np.bitwise_count(segs[i]) & 1) * 2 + (np.bitwise_count(segs[j]) & 1)
-        if index:
-            rows.append(at)
-            keys.append((family << 40) | (parity.astype(np.int64) << 24) | (golay.decode(segs[i]) << 12) | golay.decode(segs[j]))
-        else:
-            (fi, ri), (fj, rj) = sets[i], sets[j]
-            real = ri[:, :, None] & rj[:, None, :]
-            key = (family << 40) | ((3 - parity.astype(np.int64)) << 24)[:, None, None] | (fi[:, :, None] << 12) | fj[:, None, :]
-            rows.append(np.broadcast_to(at[:, None, None], real.shape)[real])
-            keys.append(key[real])
+    family = 6
+    for k in range(3):
+        i, j = (x for x in range(3) if x != k)
+        found, real = sets[k]
+        parity = ((np.bitwise_count(segs[i]) & 1) * 2 + (np.bitwise_count(segs[j]) & 1)).astype(np.int64)
+        for low_i, low_j in product((True, False), repeat=2):
+            halves = [x & HALF if low else x >> HALF_BITS for x, low in ((segs[i], low_i), (segs[j], low_j))]
+            key = ((((parity if index else 3 - parity) << HALF_BITS) | halves[0]) << HALF_BITS) | halves[1]
+            rows.append(np.broadcast_to(at[:, None], real.shape)[real])
+            keys.append(((family << 40) | (key[:, None] << 12) | found)[real])
+            family += 1
     return np.concatenate(rows), np.concatenate(keys)
 
 
