@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 
 def rank_column(keys: list[str], score: str, tie: str = "name", name: str = "feature", descending: bool = True) -> Column:
     """tie: 'name' (1..n by name), 'min', 'dense', 'average'."""
@@ -28,6 +30,36 @@ def ranked(scores: DataFrame, keys: list[str], score: str, tie: str = "name", ou
     return scores.withColumn(out, rank_column(keys, score, tie, name, descending))
 
 
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """rows with their place, from 1, in a total order of the whole table, which no single task sorts.
+
+    A range shuffle sorts and is written; each partition numbers its own rows, and the partitions' offsets, a row each, are
+    broadcast.
+    """
+    spark = rows.sparkSession
+    path = sinks.workspace(spark, "ranged")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    ranged = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")
+
+
+def ranked_whole(scores: DataFrame, score: str, tie: str = "name", out: str = "rank", name: str = "feature", descending: bool = True) -> DataFrame:
+    """ranked() without keys, for tables of any size: ranks over the whole table by a range shuffle."""
+    order = F.desc(score) if descending else F.asc(score)
+    if tie == "name":
+        return numbered(scores, [order, F.asc(name)], out)
+    if tie not in ("min", "dense", "average"):
+        raise ValueError(f"unknown tie rule {tie!r}")
+    places = numbered(scores, [order, F.asc(name)], "_place").groupBy(score).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    if tie == "dense":
+        ranks = numbered(places, [order], "_rank").select(F.col(score).alias("_s"), "_rank")
+    else:
+        ranks = places.select(F.col(score).alias("_s"), (F.col("_first") + ((F.col("_n") - 1) / 2 if tie == "average" else F.lit(0))).alias("_rank"))
+    return scores.join(ranks, F.col(score).eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("_rank", out)
+
+
 def percentile_from_rank(keys: list[str], rank: str) -> Column:
     """1 for the first, 0 for the last of ranks 1..n; 1 when n is 1."""
     n = F.count("*").over(Window.partitionBy(*keys))

@@ -248,7 +248,7 @@ def _rank_query(name, tie, expr):
     @query(name, f"WITH {LINE}, c AS (SELECT l_partkey AS feature, count(*) AS score FROM lineitem GROUP BY l_partkey) SELECT feature, score, {expr} AS rank FROM c", *(("rank", "score") if tie == "average" else ("", "score rank")))
     def _(spark, sf):
         c = fx.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("feature")).agg(F.count("*").alias("score"))
-        out = ranking.ranked(c, [], "score", "name" if tie == "zero" else tie)
+        out = ranking.ranked_whole(c, "score", "name" if tie == "zero" else tie)
         return out.withColumn("rank", F.col("rank") - 1) if tie == "zero" else out
 
 
