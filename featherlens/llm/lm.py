@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, raw_bytes
+from .common import crc_mod, cut, drop_cut, raw_bytes
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
@@ -102,13 +102,20 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _squeezed(x: np.ndarray) -> tuple:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3), x.dtype.str, x.shape
+
+
+def _restored(data: bytes, dtype: str, shape: tuple) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype).reshape(shape).copy()
+
+
 class Tree:
     """Huffman codes of the symbols 0..n-1 by weight: nodes and bits of each symbol's path, by depth."""
 
     def __init__(self, weights: np.ndarray) -> None:
         n = len(weights)
-        self.size = max(1, n - 1)
-        up, side = np.full(2 * n, -1, np.int64), np.zeros(2 * n, np.uint8)
+        up, side = np.full(2 * n, -1, np.int32), np.zeros(2 * n, np.int8)
         heap = [(float(w), i) for i, w in enumerate(weights)]
         heapq.heapify(heap)
         inner = n
@@ -117,6 +124,18 @@ class Tree:
             up[i], up[j], side[j] = inner, inner, 1
             heapq.heappush(heap, (a + b, inner))
             inner += 1
+        self._walk(up, side)
+
+    def __getstate__(self):
+        return _squeezed(self.up), _squeezed(self.side)
+
+    def __setstate__(self, state) -> None:
+        self._walk(*(_restored(*x) for x in state))
+
+    def _walk(self, up: np.ndarray, side: np.ndarray) -> None:
+        """up, side: the node above each symbol and inner node (numbered from n on, -1 above the root), and which side it is."""
+        self.up, self.side, n = up, side, len(up) // 2
+        self.size = max(1, n - 1)
         paths, at = [], np.arange(n)
         while (up[at] >= 0).any():
             real = up[at] >= 0
@@ -207,7 +226,11 @@ class Counts:
         self.logits = None
 
     def __getstate__(self):
-        return {"pairs": self.pairs, "logits": None}
+        # most are small whole numbers, so the packed form that is broadcast is a tenth of the table
+        return _squeezed(self.pairs)
+
+    def __setstate__(self, state) -> None:
+        self.pairs, self.logits = _restored(*state), None
 
     def inputs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(logit, level)."""
@@ -683,21 +706,26 @@ def learn_weights(training: DataFrame, model, blocks: int) -> np.ndarray:
 
 def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, dict[str, int]]:
     """Encoded documents, word table, model and totals, of docs (doc_id, text, held_out)."""
-    spark = docs.sparkSession
+    share = docs.sparkSession.sparkContext.broadcast
     words = count_words(docs)
     layout, counts, totals = make_layout(words)
-    encoded = encode(docs, spark.sparkContext.broadcast(layout), counts)
+    shared = share(layout)
+    encoded = encode(docs, shared, counts)
+    shared.destroy()  # what it served is written
     training = encoded.filter("not held_out")
     tasks = 1 + totals["n"] // TASK
     top = min(TOP, layout.escape)
     if top:
         layout.kinds[:top] = find_kinds(count_follows(training, top, layout.number.get(END, -1), tasks))
         layout.kinds[layout.number[END]] = CLASSES
-    shared = spark.sparkContext.broadcast(layout)
+    shared = share(layout)
     table = count_contexts(training, shared, tasks)
+    shared.destroy()
     count_head(layout, table)
     model = Model(layout, table)
-    model.merged(learn_weights(training, spark.sparkContext.broadcast(model), 1 + totals["n"] // BLOCK))
+    shared = share(model)
+    model.merged(learn_weights(training, shared, 1 + totals["n"] // BLOCK))
+    shared.destroy()
     return encoded, words, model, totals
 
 
@@ -746,6 +774,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, size long, known long, base double, lp double, tail array<struct<w binary, s double, m long>>"
     done = cut(encoded.mapInArrow(score, kinds), "texts", "zstd")
+    model.destroy()
+    drop_cut(encoded)
     rare = done.select("row", F.explode("tail").alias("x")).select("row", "x.w", "x.s", "x.m")
     found = rare.join(words.select("w", "c"), "w")
     share, outside = fitted.layout.known_share, float(max(1, fitted.layout.outside))
