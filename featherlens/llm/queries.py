@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, lm, mix, quality, shard, simhash, topk, toxicity, warc
+from . import bandjoin, chat, decontaminate, lm, mix, quality, shard, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_bandjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bandjoin.band_join(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix": op8_mix,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op13_bandjoin": op13_bandjoin,
     }
 
 
@@ -137,6 +142,26 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(body) AS payload_dige
 FROM q
 """
 
+# CRC-32: 8 shifts a byte by the reflected polynomial 0xEDB88320
+OP13_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+l AS (
+  SELECT sale_id, line_no, item_id AS line_item_id, (2 * CAST(floor(100 * amount + 0.5) AS BIGINT) + quantity) // (2 * quantity) AS u, concat(sale_id, ',', line_no, ',', item_id) AS s
+  FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL AND amount IS NOT NULL),
+sums AS (
+  SELECT s, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT s FROM l), bits),
+i AS (SELECT item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items),
+pairs AS (
+  SELECT item_id, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, crc FROM i, l JOIN sums USING (s)
+  WHERE p IS NOT NULL AND u BETWEEN p - greatest(100, p // 999 + 1) AND p + greatest(100, p // 999 + 1) AND line_item_id <> item_id AND (abs(u - p) <= 100 OR 1000 * abs(u - p) <= greatest(u, p))),
+total AS (SELECT item_id, count(*) AS n_pairs, CAST(sum(gap) AS BIGINT) AS gap_sum, CAST(sum(crc) AS BIGINT) AS lines_crc FROM pairs GROUP BY item_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS r FROM pairs QUALIFY r <= 2)
+SELECT i.item_id, CAST(coalesce(r, 0) AS INTEGER) AS rank, gap, u, sale_id, CAST(line_no AS BIGINT) AS line_no, line_item_id,
+  coalesce(n_pairs, 0) AS n_pairs, coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN total USING (item_id) LEFT JOIN top USING (item_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_topk": OP7_SQL, "op8_mix": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_topk": OP7_SQL, "op8_mix": OP8_SQL, "op9_warc": OP9_SQL, "op13_bandjoin": OP13_SQL}
