@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bandjoin, chat, decontaminate, lm, mix, quality, shard, simhash, topk, toxicity, warc
+from . import bandjoin, chat, decontaminate, jaccard, lexical, lm, mix, quality, shard, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -51,6 +51,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_bandjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bandjoin.band_join(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"))
 
@@ -67,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix": op8_mix,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op11_lexical": op11_lexical,
+        "op12_jaccard": op12_jaccard,
         "op13_bandjoin": op13_bandjoin,
     }
 
@@ -142,6 +152,34 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(body) AS payload_dige
 FROM q
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS ws FROM documents),
+c AS (SELECT count(*) FILTER (len(ws) > 0) AS docs, CAST(sum(len(ws)) AS BIGINT) AS total FROM d),
+tf AS (SELECT k, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT k, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS t FROM d) GROUP BY k, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT DISTINCT q, item_id, t FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS t FROM benchmark)),
+s AS (
+  SELECT q, any_value(item_id) AS item_id, k, any_value(doc_id) AS doc_id,
+    CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN df USING (t) JOIN tf USING (t), c GROUP BY q, k),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(ws[i : i + 2], ' ') AS s FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+shared AS (SELECT a.k AS a, b.k AS b, count(*) AS met FROM s AS a JOIN s AS b USING (s) WHERE a.k <> b.k GROUP BY a.k, b.k),
+links AS (SELECT a, b FROM shared JOIN n AS x ON x.k = a JOIN n AS y ON y.k = b WHERE 100 * met >= 90 * (x.n + y.n - met)),
+reach AS (SELECT k, k AS other FROM w UNION SELECT reach.k, links.b FROM reach JOIN links ON reach.other = links.a),
+firsts AS (SELECT reach.k AS k, min(w.doc_id) AS component_id FROM reach JOIN w ON w.k = reach.other GROUP BY reach.k)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w JOIN firsts USING (k) LEFT JOIN n USING (k)
+"""
+
 # CRC-32: 8 shifts a byte by the reflected polynomial 0xEDB88320
 OP13_SQL = """
 WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))) AS t),
@@ -164,4 +202,4 @@ FROM i LEFT JOIN total USING (item_id) LEFT JOIN top USING (item_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_topk": OP7_SQL, "op8_mix": OP8_SQL, "op9_warc": OP9_SQL, "op13_bandjoin": OP13_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_topk": OP7_SQL, "op8_mix": OP8_SQL, "op9_warc": OP9_SQL, "op11_lexical": OP11_SQL, "op12_jaccard": OP12_SQL, "op13_bandjoin": OP13_SQL}
