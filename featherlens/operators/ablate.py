@@ -4,20 +4,23 @@ The matrix of a view has its size checked and is broadcast; each row of the work
 draw) that one task fits and scores. So thousands of fits are one job, and a lost executor repeats units, not the list. A
 matrix over MAX_CELLS raises an error; learn.out_of_fold fits such matrices one after another on the cluster.
 
-The learner is a softmax regression on standardised features with class weights n / (classes * n_class) and a ridge
-penalty, by accelerated gradient steps. Its Shapley values are exact: coefficient times distance from the training mean.
+Learners are named in LEARNERS: the boosters and forests of trees.py, a linear support vector classifier, and a softmax
+regression on standardised features with class weights n / (classes * n_class) and a ridge penalty, by accelerated gradient
+steps. The softmax's Shapley values are exact: coefficient times distance from the training mean.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linear, trees
+
 #: Cells of a matrix that is broadcast, 8 bytes each.
 MAX_CELLS = 20_000_000
 RIDGE, STEPS = 0.01, 150
@@ -60,7 +63,7 @@ class Softmax:
         ridge = RIDGE * np.append(np.ones(x.shape[1]), 0)[:, None]
         w = ahead = np.zeros((z.shape[1], len(classes)))
         for i in range(STEPS):
-            new = ahead - step * (z.T @ ((self._shares(z @ ahead) - hot) * weight[:, None]) + ridge * ahead)
+            new = ahead - step * (z.T @ ((trees.shares(z @ ahead) - hot) * weight[:, None]) + ridge * ahead)
             ahead = new + i / (i + 3) * (new - w)
             w = new
         self.w = w
@@ -68,11 +71,6 @@ class Softmax:
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale
 
-    @staticmethod
-    def _shares(s: np.ndarray) -> np.ndarray:
-        e = np.exp(s - s.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.classes[(self._scaled(x) @ self.w[:-1] + self.w[-1]).argmax(1)]
 
@@ -82,6 +80,20 @@ class Softmax:
         return np.abs(self._scaled(x)).mean(0) * np.abs(w).mean(1)
 
 
+#: name -> (x, y, classes, seed) -> something that can predict(x). The reference's sizes; xgb4, hgb, gbc, rf and extratrees are its panel.
+LEARNERS: dict[str, Callable] = {
+    "softmax": lambda x, y, classes, seed: Softmax(x, y, classes),
+    "linear_svc": lambda x, y, classes, seed: linear.LinearSvc(x, y, classes),
+    "xgb": lambda x, y, classes, seed: trees.boosted(x, y, classes, trees.BOOSTING["xgb"], seed),
+    "xgb4": lambda x, y, classes, seed: trees.boosted(x, y, classes, trees.BOOSTING["xgb4"], seed),
+    "hgb": lambda x, y, classes, seed: trees.boosted(x, y, classes, trees.BOOSTING["hgb"], seed),
+    "gbc": lambda x, y, classes, seed: trees.boosted(x, y, classes, trees.BOOSTING["gbc"], seed),
+    "rf": lambda x, y, classes, seed: trees.forest(x, y, classes, False, 500, seed),
+    "extratrees": lambda x, y, classes, seed: trees.forest(x, y, classes, True, 500, seed),
+}
+PANEL = ("xgb4", "hgb", "gbc", "rf", "extratrees")
+
+
 def balanced_accuracy(y: np.ndarray, p: np.ndarray) -> float:
     """Mean recall of the classes that occur."""
     return float(np.mean([(p[y == c] == c).mean() for c in np.unique(y)])) if len(y) else float("nan")
@@ -117,32 +129,69 @@ def permuted(y: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
     return y[order]
 
 
-def scores(values: DataFrame, folds: DataFrame, k_pcts: list[float], strategies: tuple[str, ...], draws: int, seed: int = 0, perms: tuple[int, ...] = (-1,), rule: str = "round", global_ranks: bool = True) -> DataFrame:
-    """perm, repeat, fold, k_pct, strategy, draw, n_features, balanced_accuracy of every unit.
+def shared_parts(values: DataFrame, folds: DataFrame) -> tuple[Matrix, dict[int, np.ndarray]]:
+    """The matrix, and of each repeat the samples' folds in its order (-1: none). folds: (repeat, sample_id, fold)."""
+    m, out = Matrix.of(values), {}
+    if (rows := folds.count()) > MAX_CELLS:
+        raise ValueError(f"{rows} rows of folds are too many to broadcast")
+    t = folds.select("repeat", "sample_id", "fold").toArrow()
+    repeat, sample, fold = (t[c].to_numpy() for c in ("repeat", "sample_id", "fold"))
+    for r in np.unique(repeat).tolist():
+        mine = repeat == r
+        at = np.searchsorted(m.ids, sample[mine])
+        known = (at < len(m.ids)) & (m.ids[np.minimum(at, len(m.ids) - 1)] == sample[mine]) if len(m.ids) else np.zeros(mine.sum(), bool)
+        out[r] = np.full(len(m.ids), -1)
+        out[r][at[known]] = fold[mine][known]
+    return m, out
+
+
+def spread(units: list[tuple], spark, schema: str) -> DataFrame:
+    """The work list over at most four tasks a core."""
+    return spark.createDataFrame(units, schema).repartition(max(1, min(len(units), 4 * spark.sparkContext.defaultParallelism)))
+
+
+def predictions(values: DataFrame, folds: DataFrame, learners: tuple[str, ...], seed: int = 0) -> DataFrame:
+    """learner, repeat, sample_id, y, p: each sample predicted by a model that hasn't seen its fold; a unit is a learner and a fold."""
+    spark = values.sparkSession
+    m, fold_of = shared_parts(values, folds)
+    shared = spark.sparkContext.broadcast((m, fold_of))
+    units = [(name, r, int(f)) for name in learners for r, of in fold_of.items() for f in np.unique(of[of >= 0])]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, of = shared.value
+        for batch in batches:
+            for name, r, f in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                train, test = (of[r] >= 0) & (of[r] != f), of[r] == f
+                model = LEARNERS[name](data.x[train], data.y[train], data.classes, seed + 1000 * r)
+                n = int(test.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([r] * n, pa.int32()), pa.array(data.ids[test], pa.int64()), pa.array(data.y[test], pa.float64()), pa.array(model.predict(data.x[test]), pa.float64())], ["learner", "repeat", "sample_id", "y", "p"])
+
+    return spread(units, spark, "learner string, repeat int, fold int").mapInArrow(fit, "learner string, repeat int, sample_id long, y double, p double")
+
+
+def scores(values: DataFrame, folds: DataFrame, k_pcts: list[float], strategies: tuple[str, ...], draws: int, seed: int = 0, perms: tuple[int, ...] = (-1,), rule: str = "round", global_ranks: bool = True, learners: tuple[str, ...] = ("softmax",)) -> DataFrame:
+    """learner, perm, repeat, fold, k_pct, strategy, draw, n_features, balanced_accuracy of every unit.
 
     folds: (repeat, sample_id, fold). strategies: any of all, var, shap, saf, random. perms: seeds of label permutations, -1
     for the labels as they are. global_ranks: sets are chosen on all samples, as a published ranking is; else on each
-    unit's training samples.
+    unit's training samples. Ranks by Shapley values are the softmax's.
     """
-    m = Matrix.of(values)
     spark = values.sparkSession
-    fold_of = {}
-    for r in folds.select("repeat", "sample_id", "fold").toArrow().to_pylist():  # as many as samples, times repeats
-        fold_of.setdefault(r["repeat"], {})[r["sample_id"]] = r["fold"]
-    fold_of = {r: np.array([f.get(i, -1) for i in m.ids.tolist()]) for r, f in sorted(fold_of.items())}
-    work = [(p, r, int(f)) for p in perms for r, f_of in fold_of.items() for f in np.unique(f_of[f_of >= 0])]
+    m, fold_of = shared_parts(values, folds)
+    unit, result = "learner string, perm int, repeat int, fold int, k_pct double, strategy string, draw int", "n_features int, balanced_accuracy double"
+    work = [(name, p, r, int(f)) for name in learners for p in perms for r, f_of in fold_of.items() for f in np.unique(f_of[f_of >= 0])]
     if not work:
-        return spark.createDataFrame([], "perm int, repeat int, fold int, k_pct double, strategy string, draw int, n_features int, balanced_accuracy double")
+        return spark.createDataFrame([], f"{unit}, {result}")
     shared = spark.sparkContext.broadcast((m, fold_of))
     ranks = spark.sparkContext.broadcast({p: rankings(m.x, m.y if p < 0 else permuted(m.y, m.ids, p), m.names, m.classes) for p in perms} if global_ranks else None)
-    units = [(p, r, f, float(k), s, d) for p, r, f in work for s in strategies for k in ([0.0] if s == "all" else k_pcts) for d in range(draws if s == "random" else 1)]
+    units = [(*w, float(k), s, d) for w in work for s in strategies for k in ([0.0] if s == "all" else k_pcts) for d in range(draws if s == "random" else 1)]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, of = shared.value
         held = {}
         for batch in batches:
             out = []
-            for p, r, f, k_pct, s, d in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for name, p, r, f, k_pct, s, d in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 y = data.y if p < 0 else permuted(data.y, data.ids, p)
                 train, test = (of[r] >= 0) & (of[r] != f), of[r] == f
                 if s == "all":
@@ -156,14 +205,12 @@ def scores(values: DataFrame, folds: DataFrame, k_pcts: list[float], strategies:
                             held.clear()
                             held[p, r, f] = rankings(data.x[train], y[train], data.names, data.classes)
                         at = (ranks.value[p] if ranks.value is not None else held[p, r, f])[s][:k]
-                model = Softmax(data.x[train][:, at], y[train], data.classes)
-                out.append((p, r, f, k_pct, s, d, len(at), balanced_accuracy(y[test], model.predict(data.x[test][:, at]))))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["perm", "repeat", "fold", "k_pct", "strategy", "draw", "n_features", "balanced_accuracy"])
-
-    schema = "perm int, repeat int, fold int, k_pct double, strategy string, draw int"
-    listed = spark.createDataFrame(units, schema).repartition(min(len(units), 4 * spark.sparkContext.defaultParallelism))
-    return listed.mapInArrow(fit, schema + ", n_features int, balanced_accuracy double")
+                model = LEARNERS[name](data.x[train][:, at], y[train], data.classes, seed + d)
+                out.append((name, p, r, f, k_pct, s, d, len(at), balanced_accuracy(y[test], model.predict(data.x[test][:, at]))))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["learner", "perm", "repeat", "fold", "k_pct", "strategy", "draw", "n_features", "balanced_accuracy"])
+
+    return spread(units, spark, unit).mapInArrow(fit, f"{unit}, {result}")
 
 
 def ablation(values: DataFrame, folds: DataFrame, k_pcts: list[float], draws: int = 20, seed: int = 0) -> DataFrame:

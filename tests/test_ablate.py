@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from featherlens.operators import ablate, folds, learn
+from featherlens.operators import ablate, trees, folds, learn
 from featherlens.sources import readers
 
 
@@ -29,7 +29,7 @@ def test_learner():
     m = ablate.Softmax(x, y, np.unique(y))
     assert ablate.balanced_accuracy(y, m.predict(x)) > 0.95
     z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(x))])
-    p = m._shares(z @ m.w)
+    p = trees.shares(z @ m.w)
     grad = z.T @ ((p - (y[:, None] == np.arange(3))) / len(y)) + ablate.RIDGE * np.append(np.ones(x.shape[1]), 0)[:, None] * m.w
     assert np.abs(grad).max() < 1e-3  # at the optimum
     w = m.w[:-1] - m.w[:-1].mean(1, keepdims=True)
