@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import sinks
-from . import trees
+from . import ablate, learn, trees
 
 REFRESH = 10
 #: Bin ends that the driver gathers: bins times features.
@@ -194,3 +194,17 @@ def predict(model: trees.Boosted, data: DataFrame) -> DataFrame:
 def arrays(data: DataFrame) -> DataFrame:
     """learn.vectors' rows as this module takes them."""
     return data.select("sample_id", F.col("label").cast("double").alias("label"), vector_to_array("features").alias("x"))
+
+
+def out_of_fold(values: DataFrame, folds: DataFrame, seed: int = 0) -> DataFrame:
+    """sample_id, repeat, y, p of the xgb settings: fits in tasks if the matrix fits into one, else one after another on the cluster."""
+    if values.count() <= ablate.MAX_CELLS:
+        return ablate.predictions(values, folds, ("xgb",), seed).drop("learner")
+    data, out = arrays(learn.vectors(values)[0]), None
+    for repeat, fold in sorted(tuple(r) for r in folds.select("repeat", "fold").distinct().collect()):
+        held = folds.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)).select("sample_id")
+        known = folds.filter((F.col("repeat") == repeat) & (F.col("fold") != fold)).select("sample_id")
+        p = predict(fit(data.join(known, "sample_id"), seed=seed + 1000 * repeat), data.join(held, "sample_id"))
+        p = p.select("sample_id", F.lit(repeat).alias("repeat"), "y", "p")
+        out = p if out is None else out.unionByName(p)
+    return out

@@ -1,4 +1,6 @@
-"""Learners, out-of-fold predictions, importances and projections on pyspark.ml; ablate has many small fits at once.
+"""Learners, out-of-fold predictions, importances and projections on pyspark.ml.
+
+ablate has many small fits at once, boost boosted trees and linear support vectors are in linear.
 
 The long matrix becomes one vector a sample only here. Fits run one after another on the cluster, each of them distributed.
 """
@@ -10,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -26,16 +28,12 @@ from . import moments, ranking, resample, stats
 #: The reference's sizes and iteration limits; depth 30 is the most that Spark's trees take, where the reference has no limit.
 SIZES = {
     "rf": {"numTrees": 600, "maxDepth": 30},
-    "gbt": {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
     "logistic": {"maxIter": 2000},
-    "linear_svc": {"maxIter": 5000},
 }
 #: name -> (seed, sizes other than SIZES) -> estimator over features, label, weight.
 LEARNERS: dict[str, Callable[..., Estimator]] = {
     "rf": lambda seed, **sizes: RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed, weightCol="weight", **(SIZES["rf"] | sizes)),
-    "gbt": lambda seed, **sizes: OneVsRest(classifier=GBTClassifier(seed=seed, **(SIZES["gbt"] | sizes))),
     "logistic": lambda seed, **sizes: LogisticRegression(regParam=0.01, weightCol="weight", **(SIZES["logistic"] | sizes)),
-    "linear_svc": lambda seed, **sizes: OneVsRest(classifier=LinearSVC(regParam=0.01, standardization=True, **(SIZES["linear_svc"] | sizes))),
 }
 
 

@@ -150,8 +150,11 @@ def newton_sums(joined: DataFrame, at: dict, moments: dict, n_side: dict, spark)
                     side = np.where(label[train] == key[2], 1.0, -1.0)
                     found = sums(z, side, np.where(side > 0, *weights[key]), points[key])
                     total[key] = [a + b for a, b in zip(total[key], found, strict=True)] if key in total else list(found)
-        rows = [(*map(float, key), i, v) for key, (loss, grad, hess) in total.items() for i, v in enumerate([loss, *grad, *hess[np.triu_indices(len(grad))]])]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()))], ["repeat", "fold", "label", "i", "v"])
+        flat = [np.concatenate([[loss], grad, hess[np.triu_indices(len(grad))]]) for loss, grad, hess in total.values()]
+        sizes = [len(x) for x in flat]
+        columns = [np.repeat([float(key[i]) for key in total], sizes) for i in range(3)]
+        place = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(place, pa.int64()), pa.array(np.concatenate(flat) if flat else np.zeros(0))], ["repeat", "fold", "label", "i", "v"])
 
     parts = joined.mapInArrow(run, "repeat double, fold double, label double, i long, v double").groupBy("repeat", "fold", "label", "i").agg(F.sum("v").alias("v")).toArrow()
     shared.unpersist()

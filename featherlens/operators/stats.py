@@ -69,13 +69,20 @@ def log_factorials(spark, n: int) -> DataFrame:
     return i.withColumn("r", running).join(before.select("b", "before"), "b").select("i", (F.col("before") + F.col("r")).alias("lf"))
 
 
-def hypergeometric_tail(rows: DataFrame, factorials: DataFrame, id_cols: list[str]) -> DataFrame:
-    """p = P[X >= hits] for hits of drawn from a population with marked; rows: id_cols, population, marked, drawn, hits."""
+def hypergeometric_tail(rows: DataFrame, id_cols: list[str]) -> DataFrame:
+    """p = P[X >= hits] for hits of drawn from a population with marked; rows: id_cols, population, marked, drawn, hits.
+
+    Log factorials go up to the largest population of rows. A count over its population gives NULL.
+    """
+    top = rows.agg(F.max("population").alias("n")).first().n or 0
+    factorials = log_factorials(rows.sparkSession, top)
     x = rows.withColumn("x", F.explode(F.sequence("hits", F.greatest("hits", F.least("marked", "drawn")))))
     x = x.withColumn("_z", F.explode(F.array(*[F.struct(e.alias("i"), F.lit(s).alias("s")) for e, s in _terms()]))).select(*id_cols, "hits", "marked", "drawn", "population", "x", "_z.i", "_z.s")
     f = x.join(factorials, "i", "left").groupBy(*id_cols, "hits", "marked", "drawn", "population", "x").agg(F.sum(F.col("s") * F.col("lf")).alias("lp"), F.min("i").alias("least"))
+    known = F.count_if((F.col("least") >= 0) & F.col("lp").isNull()) == 0
     p = F.sum(F.when(F.col("least") >= 0, F.exp("lp")).otherwise(0.0))
-    return f.groupBy(*id_cols, "hits", "marked", "drawn", "population").agg(F.least(F.lit(1.0), p).alias("p"))
+    inside = (F.col("marked") <= F.col("population")) & (F.col("drawn") <= F.col("population"))
+    return f.groupBy(*id_cols, "hits", "marked", "drawn", "population").agg(p.alias("_p"), known.alias("_known")).withColumn("p", F.when(F.col("_known") & inside, F.least(F.lit(1.0), "_p"))).drop("_p", "_known")
 
 
 def _terms():

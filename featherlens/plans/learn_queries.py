@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ablate, folds, learn, ranking, simulate, stats
+from ..operators import ablate, boost, folds, learn, linear, ranking, rules, simulate, stats
 from ..streaming import moments as running
 from . import fixtures as fx
 from .registry import query
@@ -18,16 +18,45 @@ def _folds(spark, sf, k=2):
     return folds.stratified(fx.samples(spark, sf), k, 1, 9)
 
 
-def _oof(name, learner):
+def _oof(name, predicted):
     @query(name)
     def _(spark, sf):
-        data, _ = _data(spark, sf)
-        rows = learn.dummy(data, _folds(spark, sf)) if learner == "dummy" else learn.out_of_fold(data, _folds(spark, sf), learner)
-        return folds.confusion_metrics(rows, ["repeat"])
+        return folds.confusion_metrics(predicted(spark, sf, _folds(spark, sf)), ["repeat"])
 
 
-for _name, _learner in (("ml_baselines", "logistic"), ("ml_dummy", "dummy"), ("ml_rf", "rf"), ("ml_linearsvc", "linear_svc"), ("ml_xgb", "gbt")):
-    _oof(_name, _learner)
+_oof("ml_baselines", lambda spark, sf, dealt: learn.out_of_fold(_data(spark, sf)[0], dealt, "logistic"))
+_oof("ml_rf", lambda spark, sf, dealt: learn.out_of_fold(_data(spark, sf)[0], dealt, "rf"))
+_oof("ml_linearsvc", lambda spark, sf, dealt: linear.out_of_fold(_data(spark, sf)[0], dealt))
+_oof("ml_xgb", lambda spark, sf, dealt: boost.out_of_fold(fx.emb(spark, sf), dealt))
+
+
+@query(
+    "ml_dummy",
+    """WITH f AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, (row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '9', '0', vec_id)), vec_id) - 1) % 2 AS fold FROM embeddings),
+    n AS (SELECT t.fold, y, count(*) FILTER (f.fold <> t.fold) AS n FROM f, (SELECT DISTINCT fold FROM f) t GROUP BY t.fold, y),
+    top AS (SELECT fold, y AS p FROM n QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, y) = 1),
+    o AS (SELECT y, p FROM f JOIN top USING (fold)),
+    c AS (SELECT v AS c, count(*) FILTER (y = v) AS act, count(*) FILTER (p = v) AS prd, count(*) FILTER (y = v AND p = v) AS hit FROM o, (SELECT y AS v FROM o UNION SELECT p FROM o) GROUP BY v)
+    SELECT 0 AS repeat, sum(hit) / sum(act) AS accuracy, avg(hit / act) FILTER (act > 0) AS balanced_accuracy, avg(2 * hit / (act + prd)) AS macro_f1 FROM c""",
+    "accuracy balanced_accuracy macro_f1",
+    "repeat",
+)
+def _(spark, sf):
+    rows = learn.dummy(_data(spark, sf)[0], _folds(spark, sf))
+    return folds.confusion_metrics(rows, ["repeat"])
+
+
+@query("ml_tree_panel")
+def _(spark, sf):
+    """Five tree learners over the same folds and features: the tenth of most variance against two random tenths, and the panel's call."""
+    rows = ablate.scores(fx.emb(spark, sf), _folds(spark, sf), [10], ("var", "random"), 2, rule="ceil", learners=ablate.PANEL)
+    mean = lambda s: F.avg(F.when(F.col("strategy") == s, F.col("balanced_accuracy")))
+    names = {"xgb4": "xgb"} | {m: m for m in ablate.PANEL[1:]}
+    each = rows.groupBy("learner").agg(F.first("n_features").alias("n_features"), mean("var").alias("topvar"), mean("random").alias("random"))
+    wide = each.groupBy(F.lit("emb").alias("view")).pivot("learner", list(names)).agg(F.max(100 * (F.col("topvar") - F.col("random"))))
+    call = rules.panel_call({short: F.col(m) for m, short in names.items()}, F.lit(rules.INCONCLUSIVE)).alias("call")
+    each = each.withColumn("learner", F.when(F.col("learner") == "xgb4", "xgb").otherwise(F.col("learner")))
+    return each.withColumn("delta_pp", 100 * (F.col("topvar") - F.col("random"))).crossJoin(F.broadcast(wide.select(call)))
 
 
 @query("ml_oof")

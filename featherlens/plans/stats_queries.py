@@ -108,7 +108,7 @@ def _(spark, sf):
 _SETS = """g AS (SELECT p_partkey AS gene, p_brand AS gene_set, p_retailprice AS score FROM part), nn AS (SELECT count(*) AS population, CAST(floor(count(*) / 10.0) AS BIGINT) AS drawn FROM g),
 qg AS (SELECT gene FROM g QUALIFY row_number() OVER (ORDER BY score DESC, gene) <= (SELECT drawn FROM nn)),
 ct AS (SELECT gene_set AS id, population, count(*) AS marked, drawn, count(*) FILTER (gene IN (SELECT gene FROM qg)) AS hits FROM g, nn GROUP BY ALL HAVING count(*) BETWEEN 10 AND 500)"""
-_TAIL = """lf AS (SELECT i, sum(CASE WHEN i > 0 THEN ln(i) ELSE 0 END) OVER (ORDER BY i) AS lf FROM range(0, 30001) t(i)), xs AS (SELECT id, population AS n, marked AS k, drawn AS d, hits, unnest(range(hits, least(marked, drawn) + 1)) AS x FROM ct),
+_TAIL = """lf AS (SELECT i, sum(CASE WHEN i > 0 THEN ln(i) ELSE 0 END) OVER (ORDER BY i) AS lf FROM range(0, (SELECT population + 1 FROM nn)) t(i)), xs AS (SELECT id, population AS n, marked AS k, drawn AS d, hits, unnest(range(hits, least(marked, drawn) + 1)) AS x FROM ct),
 pr AS (SELECT id, least(1.0, sum(exp(a.lf - b.lf - c.lf + e.lf - f.lf - g.lf - h.lf + i2.lf + j.lf))) AS p FROM xs JOIN lf a ON a.i = k JOIN lf b ON b.i = x JOIN lf c ON c.i = k - x JOIN lf e ON e.i = n - k JOIN lf f ON f.i = d - x JOIN lf g ON g.i = n - k - d + x JOIN lf h ON h.i = n JOIN lf i2 ON i2.i = d JOIN lf j ON j.i = n - d GROUP BY id)"""
 
 
@@ -122,12 +122,12 @@ def set_counts(spark, sf):
 
 @query("stat_hypergeom_sf", f"WITH {_SETS}, {_TAIL} SELECT ct.id, hits, marked, drawn, population, p FROM ct JOIN pr USING (id)", "p", "hits marked drawn population")
 def _(spark, sf):
-    return stats.hypergeometric_tail(set_counts(spark, sf), stats.log_factorials(spark, 30_000), ["id"])
+    return stats.hypergeometric_tail(set_counts(spark, sf), ["id"])
 
 
 @query("stat_enrichment", f"WITH {_SETS}, {_TAIL}, pv AS (SELECT pr.id, p FROM pr JOIN ct USING (id) WHERE hits > 0), {_BH} SELECT id, p, fdr FROM pv JOIN b USING (id)", "p fdr")
 def _(spark, sf):
-    p = stats.hypergeometric_tail(set_counts(spark, sf).filter("hits > 0"), stats.log_factorials(spark, 30_000), ["id"])
+    p = stats.hypergeometric_tail(set_counts(spark, sf).filter("hits > 0"), ["id"])
     return stats.bh_fdr(p, []).select("id", "p", "fdr")
 
 

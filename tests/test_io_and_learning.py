@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from featherlens.operators import folds, learn, simulate
+from featherlens.operators import folds, learn, simulate, trees
 from featherlens.sources import readers, sinks
 from featherlens.streaming import moments as running
 
@@ -124,9 +124,9 @@ def test_projection(spark, separable):
 def test_learners_have_the_reference_sizes():
     get = lambda name, **sizes: learn.LEARNERS[name](1, **sizes)
     assert (get("rf").getNumTrees(), get("rf").getMaxDepth()) == (600, 30)
-    g = get("gbt").getClassifier()
-    assert (g.getMaxIter(), g.getMaxDepth(), g.getStepSize(), g.getSubsamplingRate()) == (400, 6, 0.05, 0.8)
-    assert get("logistic").getMaxIter() == 2000 and get("linear_svc").getClassifier().getMaxIter() == 5000
+    g = trees.BOOSTING["xgb"]
+    assert (g.rounds, g.depth, g.rate, g.row_share, g.column_share, g.l2) == (400, 6, 0.05, 0.8, 0.8, 1.0)
+    assert get("logistic").getMaxIter() == 2000
     assert get("rf", numTrees=3).getNumTrees() == 3
 
 
@@ -145,6 +145,6 @@ def test_shap_explains_the_trained_forest(spark, separable, monkeypatch):
 def test_small_learners_predict(spark, separable):
     data, _ = learn.vectors(separable)
     f = folds.stratified(separable.select("sample_id", "label").distinct(), 2, 1, 1)
-    for learner, sizes in (("gbt", {"maxIter": 3}), ("rf", {"numTrees": 5}), ("linear_svc", {"maxIter": 20})):
+    for learner, sizes in (("logistic", {"maxIter": 20}), ("rf", {"numTrees": 5})):
         got = folds.confusion_metrics(learn.out_of_fold(data.cache(), f, learner, **sizes), ["repeat"]).first()
         assert got.balanced_accuracy > 0.8
