@@ -70,6 +70,8 @@ CHUNK, PIECE, BLOCK, TASK = 1 << 15, 1 << 18, 1 << 20, 1 << 22
 FLUSH = 400_000
 #: Stretches that a table is handed on in.
 PARTS = 64
+#: Bits of a count, as much as the counts' floats hold.
+COUNT_BITS = 24
 PRIOR = 0.25
 RATE, STEP_BITS = 0.006, 30
 #: Mixed logits lie between -LIMIT and LIMIT, in so many buckets.
@@ -643,10 +645,17 @@ def _summed(rows: DataFrame, tasks: int) -> DataFrame:
     return some.groupBy("part").applyInArrow(add, kind).select("part", "data")
 
 
+def fitted(counts: np.ndarray) -> np.ndarray:
+    """Both counts of a slot halved together until they are what floats hold exactly; a count above 0 stays above 0."""
+    bits = np.frexp(counts.max(1).astype(np.float64))[1]
+    halved = counts >> np.maximum(bits - COUNT_BITS, 0)[:, None]
+    return np.where(counts > 0, np.maximum(halved, 1), 0)
+
+
 def count_contexts(training: DataFrame, layout, tasks: int) -> np.ndarray:
     """Counts of all contexts in the training documents: (slots, 2)."""
     size = 2 * layout.value.slots
-    step = -(-size // PARTS)
+    step = 2 * -(-layout.value.slots // PARTS)  # both counts of a slot in one part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = layout.value, np.zeros(size, np.int32)
@@ -660,7 +669,7 @@ def count_contexts(training: DataFrame, layout, tasks: int) -> np.ndarray:
     out = np.zeros(size, np.int32)
     for r in _summed(rows, tasks).toArrow().to_pylist():  # PARTS rows of a table of bounded size
         x = np.frombuffer(zstandard.decompress(r["data"]), np.int64)
-        out[r["part"] * step : r["part"] * step + len(x)] = np.minimum(x, 1 << 24)  # as much as the counts' floats hold
+        out[r["part"] * step : r["part"] * step + len(x)] = fitted(x.reshape(-1, 2)).ravel()
     return out.reshape(-1, 2)
 
 

@@ -75,6 +75,9 @@ def terms(text: bytes) -> np.ndarray:
 def packed_terms(text: bytes) -> bytes:
     return zlib.compress(terms(text).tobytes(), 1)
 
+#: Decimal places from which on cosines count as equal.
+TIE_PLACES = 5
+
 
 class Neighbours:
     """Latent-semantic vectors of labelled texts."""
@@ -116,13 +119,23 @@ class Neighbours:
         k = min(NEIGHBOURS, len(self.vectors))
         for a in range(0, len(texts), BLOCK):
             cosines = self.unit(self.weighted(np.stack([terms(t) for t in texts[a : a + BLOCK]])) @ self.axes) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** POWER * self.votes[near]
-            total = vote.sum(1)
-            good = total > 1e-12
-            out[a : a + BLOCK][good] = (vote * self.labels[near]).sum(1)[good] / total[good]
+            out[a : a + BLOCK] = self.voted(np.round(cosines, TIE_PLACES), k)
         return np.clip(out, 0, 1)
 
+    def voted(self, cosines: np.ndarray, k: int) -> np.ndarray:
+        """Weighted share of label 1 among the k nearest; those tied at the k-th place share the places that are left."""
+        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        taken = np.take_along_axis(cosines, near, 1)
+        votes = np.maximum(taken, 0) ** POWER * self.votes[near]
+        total, ones = votes.sum(1), (votes * self.labels[near]).sum(1)
+        last = taken.min(1, keepdims=True)
+        for i in np.flatnonzero((cosines >= last).sum(1) > k):
+            above, tied = cosines[i] > last[i], cosines[i] == last[i]
+            share = above + tied * ((k - above.sum()) / tied.sum())
+            vote = share * np.maximum(cosines[i], 0) ** POWER * self.votes
+            total[i], ones[i] = vote.sum(), (vote * self.labels).sum()
+        return np.where(total > 1e-12, ones / np.maximum(total, 1e-12), self.prior)
+
 
 def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
     sample, counts = labelled_sample(docs, labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT), "quality", PER_CLASS)

@@ -16,9 +16,9 @@ threshold MARKED, number of windows. A logistic calibration fitted on labelled t
 threshold is 0.5. Each half of the sample is measured with dictionaries of the other half, so no text is measured with a
 dictionary that has seen it; texts are scored with dictionaries of the whole sample.
 
-The sample of labelled texts is bounded by PER_CLASS; a text of any length may be in it. Whole texts are measured and told
-from copies where they are. For training the dictionaries a text gives at most TEXT_WINDOWS windows, spread evenly
-over all of it, so that what the driver holds is bounded.
+The sample of labelled texts is bounded by PER_CLASS; a text of any length may be in it, and all its windows are trained on.
+Whole texts are measured, coded and told from copies where they are; the driver gets the sample's codes. Which of two copies
+stays, and which half a text is in, hangs on the texts' hashes, not on ids. Repeated rows of an id and text count once.
 
 Nothing but the text goes into a score. Null and empty texts have one empty window. With fewer than four labels of a kind
 the score is the share of label 1 among all labels (0.5 without any).
@@ -26,7 +26,6 @@ the score is the share of label 1 among all labels (0.5 without any).
 
 from __future__ import annotations
 
-import json
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -46,8 +45,6 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled documents of label 0 and 1 in the sample.
 PER_CLASS = (5000, 3000)
 WINDOW, CODE = 10, 16
-#: Windows of a text that dictionaries are trained on.
-TEXT_WINDOWS = 256
 #: Toxic texts that hold a word, and its share of ordinary texts over its share of toxic ones, for it to stay.
 LEAST, CLEAN = 2, 0.1
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
@@ -93,24 +90,27 @@ def bands(text: bytes) -> list[str]:
     return [f"{b}:" + ((h[:, None] * _FACTORS[b]) >> np.uint64(20)).min(0).tobytes().hex() for b in range(BANDS)]
 
 
-def training_windows(text: bytes) -> list[list[bytes]]:
-    windows = windows_of(text)
-    if len(windows) <= TEXT_WINDOWS:
-        return windows
-    return [windows[i * len(windows) // TEXT_WINDOWS] for i in range(TEXT_WINDOWS)]
-
-
-def _outline(text: bytes) -> bytes:
-    return json.dumps([bands(text), [b" ".join(w).decode("latin1") for w in training_windows(text)]]).encode()
+def outline(text: bytes) -> bytes:
+    """A text's bands and the codes of each of its windows, packed."""
+    codes = _Codes()
+    return "|".join(bands(text)).encode() + b"\n" + b"".join(bytes([len(w)]) + codes.of(w) for w in windows_of(text))
 
 
-def unalike(outlines: list[tuple[bytes, int]]) -> list[tuple[list[list[bytes]] | None, int]]:
-    """(windows, label) of each outline; None as windows if the text is a copy or near copy of one before."""
-    seen: set[str] = set()
+def unalike(outlines: list[tuple[bytes, int]]) -> list[tuple[list[bytes] | None, int]]:
+    """(coded windows, label) of each outline; None as windows if the text is a copy or near copy of one before."""
+    seen: set[bytes] = set()
     out = []
-    for outline, y in outlines:
-        keys, windows = json.loads(outline)
-        out.append((None if seen.intersection(keys) else [w.encode("latin1").split(b" ") if w else [] for w in windows], y))
+    for packed, y in outlines:
+        head, _, body = packed.partition(b"\n")
+        keys, windows, at = head.split(b"|"), [], 0
+        if seen.isdisjoint(keys):
+            while at < len(body):
+                end = at + 1 + CODE * body[at]
+                windows.append(body[at + 1 : end])
+                at = end
+            out.append((windows, y))
+        else:
+            out.append((None, y))
         seen.update(keys)
     return out
 
@@ -166,16 +166,19 @@ def trained(windows: list[bytes], size: int) -> bytes:
     return b""
 
 
-def dictionaries(texts: list[tuple[list[list[bytes]], int]]) -> Distance:
-    """Of the windows of ordinary texts and the cleaned windows of toxic texts."""
+def codes_of(window: bytes) -> list[bytes]:
+    return [window[i : i + CODE] for i in range(0, len(window), CODE)]
+
+
+def dictionaries(texts: list[tuple[list[bytes], int]]) -> Distance:
+    """Of the coded windows of ordinary texts and the cleaned windows of toxic texts."""
     held, n = (Counter(), Counter()), [0, 0]
     for windows, y in texts:
-        held[y].update({w for window in windows for w in window})
+        held[y].update({code for window in windows for code in codes_of(window)})
         n[y] += 1
     stays = {w for w, k in held[1].items() if k >= LEAST and held[0][w] * n[1] < CLEAN * k * n[0]}
-    codes = _Codes()
-    toxic = [codes.of([w for w in window if w in stays]) for windows, y in texts if y for window in windows]
-    ordinary = [codes.of(window) for windows, y in texts if not y for window in windows]
+    toxic = [b"".join(code for code in codes_of(window) if code in stays) for windows, y in texts if y for window in windows]
+    ordinary = [window for windows, y in texts if not y for window in windows]
     return Distance(trained(ordinary, ORDINARY_BYTES), trained(toxic, TOXIC_BYTES))
 
 
@@ -214,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = cut(sample, "labelled")  # read twice: outlines, then measures
     total = sum(counts.values())
     model = Model(counts.get(1, 0) / total if total else 0.5)
-    outlines = unalike(measured(sample, _outline))
+    outlines = unalike(measured(sample, outline))
     kept = [i for i, (windows, _) in enumerate(outlines) if windows is not None]
     y = np.array([outlines[i][1] for i in kept], np.float64)
     if min((y == 0).sum(), (y == 1).sum()) < 4:

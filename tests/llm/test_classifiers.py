@@ -127,16 +127,36 @@ def test_compression_equals_brute_force(spark):
 
 def test_dictionaries_are_trained_on_what_tells_texts_apart():
     fit = [(f"ordinary text number {i} about rivers and stones and more", 0) for i in range(200)] + [(f"text number {i} you dunce about rivers", 1) for i in range(60)]
-    d = toxicity.dictionaries([(toxicity.training_windows(t.encode()), y) for t, y in fit])
+    d = toxicity.dictionaries([(toxicity.unalike([(toxicity.outline(t.encode()), y)])[0][0], y) for t, y in fit])
     assert d.ordinary[:4] == d.toxic[:4] == b"\x37\xa4\x30\xec"  # full dictionaries with entropy tables
     toxic = lambda t: int(d.savings(toxicity.windows_of(t))[1].max())
     assert toxic(b"rivers and stones you DUNCE!") >= toxicity.MARKED > toxic(b"rivers and stones and more")
 
 
-def test_training_windows_span_the_text():
+def test_all_windows_of_a_text_are_trained_on():
     text = b" ".join(b"w%d" % i for i in range(100_000))
-    windows = toxicity.training_windows(text)
-    assert len(windows) == toxicity.TEXT_WINDOWS and windows[0][0] == b"w0" and int(windows[-1][0][1:]) > 99_000
+    (windows, y), (again, _) = toxicity.unalike([(toxicity.outline(text), 1)] * 2)
+    assert len(windows) == 10_000 and y == 1 and again is None
+    assert windows[-1] == b"".join(xxhash.xxh3_128_digest(b"w%d" % i) for i in range(99_990, 100_000))
+    assert toxicity.unalike([(toxicity.outline(b""), 0)]) == [([b""], 0)]
+
+
+def test_repeated_rows_and_many_texts_of_an_id_stay_bounded(spark):
+    rows = [(1, "same text")] * 500 + [(2, f"text {i}") for i in range(3000)] + [(i, f"other {i}") for i in range(3, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    got, _ = labelled_sample(d, lab, "quality", (50, 50))
+    rows = got.collect()
+    assert len(rows) == len(set(rows)) and 100 <= len(rows) <= 320
+
+
+def test_places_do_not_decide_between_tied_neighbours():
+    """Twenty copies with label 1 and twenty with label 0 give one half, in whatever order they come."""
+    copy = quality.packed_terms(b"the same words in every copy")
+    other = [(quality.packed_terms(f"another {w} text!".encode()), 0) for w in WORDS[:10]]
+    for labels in ([1] * 20 + [0] * 20, [0] * 20 + [1] * 20, [0, 1] * 20):
+        m = quality.Neighbours([(copy, y) for y in labels] + other, {0: 30, 1: 20})
+        assert m.scores([b"the same words in every copy"])[0] == pytest.approx(0.5, abs=1e-3)
 
 
 def test_callers_columns_stay(spark):

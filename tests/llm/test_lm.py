@@ -235,3 +235,10 @@ def test_no_training_rows_and_empty(spark):
     r = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and r.score < 0
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counts_of_a_slot_are_halved_together():
+    got = lm.fitted(np.array([[300_000_000, 20_000_000], [90_000_000, 600_000_000], [5, 1 << 40], [0, 1 << 30], [7, 3], [0, 0], [(1 << 24) - 1, 1 << 23]], np.int64))
+    assert got.max() < 1 << 24
+    assert got[0, 0] / got[0, 1] == pytest.approx(15, rel=1e-5) and got[1, 1] / got[1, 0] == pytest.approx(600 / 90, rel=1e-5)
+    assert got[2].tolist() == [1, 1 << 23] and got[3, 0] == 0 and got[4:6].tolist() == [[7, 3], [0, 0]] and got[6].tolist() == [(1 << 24) - 1, 1 << 23]
