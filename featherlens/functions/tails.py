@@ -67,3 +67,35 @@ def normal_two_sided(z: Column) -> Column:
         return pd.Series(np.where(ok, p, np.nan)).replace({np.nan: None}).astype("Float64")
 
     return tail(z.cast("double"))
+
+
+def mann_whitney_counts(few: int, many: int, top: int) -> np.ndarray:
+    """Of the orders of two samples without ties, how many have U = 0..top: the coefficients of the Gaussian binomial.
+
+    One factor (1 - q^(many + i)) / (1 - q^i) after another; entries up to top only hang on those before them, so the tail's
+    small counts are exact.
+    """
+    c = np.zeros(top + 1)
+    c[0] = 1
+    for i in range(1, few + 1):
+        if many + i <= top:
+            c[many + i :] -= c[: -(many + i)].copy()
+        for first in range(min(i, top + 1)):
+            c[first::i] = np.cumsum(c[first::i])
+    return c
+
+
+def mann_whitney_exact(u: Column, n1: Column, n0: Column) -> Column:
+    """Two-sided P of U under the exact law of samples without ties; NULL where an argument is. One side should be small."""
+
+    @F.pandas_udf("double")
+    def tail(u: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
+        out = np.full(len(u), np.nan)
+        known = (u.notna() & n1.notna() & n0.notna()).to_numpy()
+        rows = pd.DataFrame({"u": np.minimum(u, n1 * n0 - u), "a": np.minimum(n1, n0), "b": np.maximum(n1, n0)})[known]
+        for (a, b), group in rows.groupby(["a", "b"]):
+            counts = np.cumsum(mann_whitney_counts(int(a), int(b), int(group["u"].max())))
+            out[group.index] = np.minimum(1.0, 2 * counts[group["u"].astype(int)] / math.comb(int(a + b), int(a)))
+        return pd.Series(out).replace({np.nan: None}).astype("Float64")
+
+    return tail(u.cast("double"), n1.cast("double"), n0.cast("double"))

@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -273,11 +273,108 @@ def pcla_of_permutations(data: DataFrame, k: int, perms: int) -> DataFrame:
     return e.groupBy("perm").agg((F.sum(F.col("share") * F.col("eta_sq")) / F.sum("share")).alias("pcla"))
 
 
-def silhouette(pred: DataFrame) -> DataFrame:
-    """silhouette (squared Euclidean) of (features, prediction); NULL for fewer than two clusters, or one a sample."""
-    t = pred.agg(F.count_distinct("prediction").alias("k"), F.count("*").alias("n")).first()
-    s = ClusteringEvaluator(featuresCol="features").evaluate(pred) if 1 < t.k < t.n else None
-    return pred.sparkSession.createDataFrame([(s,)], "silhouette double")
+#: Samples whose silhouette is measured, as in the reference, and those of one side of a tile of distances.
+SILHOUETTE_SAMPLE, TILE = 5000, 250
+
+
+def silhouette(pred: DataFrame, features: str = "features", sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
+    """silhouette (Euclidean) of (sample_id, features, prediction); NULL for fewer than two clusters, or one a sample.
+
+    Beyond sample rows, those first in hash order are measured. Distances are summed in tiles of TILE by TILE samples, by sample
+    and cluster, so no task holds them all.
+    """
+    rows = pred.select("sample_id", F.col("prediction").cast("long").alias("c"), vector_to_array(features).alias("x"))
+    rows = rows.orderBy(resample.hash_order(0, F.col("sample_id")), "sample_id").limit(sample)
+    path = sinks.workspace(pred.sparkSession, "silhouette")
+    rows.withColumn("i", F.monotonically_increasing_id()).write.parquet(path)
+    rows = pred.sparkSession.read.parquet(path)
+    blocks = max(1, -(-rows.count() // TILE))
+    block, other = F.pmod(F.xxhash64("i"), F.lit(blocks)), F.explode(F.sequence(F.expr("0L"), F.lit(blocks - 1).cast("long"))).alias("other")
+    placed = rows.withColumn("block", block).select("*", other)
+    tiles = placed.select(F.col("block").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"), "i", "c", "x").unionAll(placed.select("other", "block", F.lit(1), "i", "c", "x"))
+
+    def distances(t: pa.Table) -> pa.Table:
+        side, i, c = (t[k].to_numpy() for k in ("side", "i", "c"))
+        x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
+        mine, theirs = side == 0, side == 1
+        names, at = np.unique(c[theirs], return_inverse=True)
+        if not mine.any() or not len(names):
+            return pa.table({"i": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "to": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        a, b = x[mine], x[theirs]
+        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
+        d[i[mine][:, None] == i[theirs][None, :]] = 0
+        hot = (at[:, None] == np.arange(len(names))).astype(float)
+        rows_ = np.repeat(np.arange(len(a)), len(names))
+        return pa.table({"i": i[mine][rows_], "c": c[mine][rows_], "to": np.tile(names, len(a)), "d": (d @ hot).ravel(), "n": np.tile(hot.sum(0).astype(np.int64), len(a))})
+
+    summed = tiles.groupBy("a", "b").applyInArrow(distances, "i long, c long, to long, d double, n long").groupBy("i", "c", "to").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    own = F.col("c") == F.col("to")
+    each = summed.groupBy("i").agg(F.max(F.when(own, F.try_divide("d", F.col("n") - 1))).alias("a"), F.max(F.when(own, F.col("n"))).alias("n"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
+    score = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    clusters_ = rows.agg(F.count_distinct("c").alias("k"), F.count("*").alias("rows"))
+    return each.agg(F.avg(score).alias("s")).crossJoin(clusters_).select(F.when((F.col("k") > 1) & (F.col("k") < F.col("rows")), F.col("s")).alias("silhouette"))
+
+
+#: Samples of a matrix whose Gram matrix the driver takes apart.
+MAX_SAMPLES = 4000
+
+
+def wide_pca(values: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(scores (sample_id, label, pc, score), loadings (feature, pc, loading), shares of variance) of few samples and any features.
+
+    values: (sample_id, feature, x, label), missing as 0. The samples' Gram matrix of centred features is summed over the
+    features, a matrix of features at a time; its eigenvectors give the scores, and one aggregate over the features the
+    loadings. Nothing has a column a feature. Of a component's two signs, that with its largest score positive.
+    """
+    spark = values.sparkSession
+    samples = values.select("sample_id", "label").distinct()
+    if (n := samples.count()) > MAX_SAMPLES:
+        raise ValueError(f"{n} samples are too many for their Gram matrix; use pca")
+    ids = sorted(r.sample_id for r in samples.collect())  # at most MAX_SAMPLES
+    at = spark.createDataFrame(list(zip(ids, range(n))), "sample_id long, i int")
+    cells = values.select("sample_id", "feature", F.coalesce(F.nanvl(F.col("x").cast("double"), F.lit(None)), F.lit(0.0)).alias("x")).join(F.broadcast(at), "sample_id").select("feature", "i", "x")
+    dealt = cells.repartition("feature").sortWithinPartitions("feature")
+    step = max(1, (1 << 22) // max(1, n))
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block, columns, last = np.zeros((n, n)), np.zeros((step, n)), 0, None
+        for batch in batches:
+            names, i, x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            edges = np.flatnonzero(names[1:] != names[:-1]) + 1
+            for a, b in zip([0, *edges], [*edges, len(names)], strict=True):
+                if a == b:
+                    continue
+                if names[a] != last:
+                    if columns == step:
+                        m = block - block.mean(1, keepdims=True)
+                        total += m.T @ m
+                        block[:], columns = 0, 0
+                    last, columns = names[a], columns + 1
+                np.add.at(block[columns - 1], i[a:b], x[a:b])
+        m = block[:columns] - block[:columns].mean(1, keepdims=True)
+        total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"i": t["i"][:1], "row": pa.array([np.sum([np.array(r) for r in t["row"].to_pylist()], axis=0)], pa.list_(pa.float64()))})
+
+    rows = dealt.mapInArrow(gram, "i long, row array<double>").groupBy("i").applyInArrow(add, "i long, row array<double>").toArrow()
+    g = np.zeros((n, n))
+    for i, row in zip(rows["i"].to_pylist(), rows["row"].to_pylist(), strict=True):
+        g[i] = row
+    value, vector = np.linalg.eigh(g)
+    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+    k = min(k, n)
+    u, size = vector[:, :k].copy(), np.sqrt(value[:k])
+    u *= np.where(u[np.abs(u).argmax(0), np.arange(k)] < 0, -1.0, 1.0) if n else 1.0
+    scores = spark.createDataFrame([(ids[i], c, float(u[i, c] * size[c])) for i in range(n) for c in range(k)], "sample_id long, pc int, score double").join(F.broadcast(samples), "sample_id")
+    known = spark.createDataFrame([(i, [float(v) for v in u[i]]) for i in range(n)], "i int, u array<double>")
+    sums = cells.join(F.broadcast(known), "i").groupBy("feature").agg(*[F.sum(F.col("x") * F.col("u")[c]).alias(f"s{c}") for c in range(k)])
+    # left vectors add up to 0, so the features' means drop out
+    parts = [F.struct(F.lit(c).alias("pc"), F.when(F.lit(bool(size[c] > 1e-9 * size[0])), F.col(f"s{c}") / float(max(size[c], 1e-300))).alias("loading")) for c in range(k)]
+    loadings = sums.select("feature", F.explode(F.array(*parts)).alias("p")).select("feature", "p.pc", "p.loading")
+    total = value.sum()
+    return scores.select("sample_id", "label", "pc", "score"), loadings, [float(v / total) if total > 0 else 0.0 for v in value[:k]]
 
 
 def latent_axis_scores(data: DataFrame, names: list[str], k: int) -> DataFrame:
@@ -295,13 +392,13 @@ def top_loadings(data: DataFrame, names: list[str], k: int, m: int) -> DataFrame
 
 
 def clusters(data: DataFrame, k: int, n_pcs: int, seed: int = 0) -> DataFrame:
-    """ari, nmi, silhouette (squared Euclidean) of k-means on scaled components; silhouette NULL for fewer than two clusters."""
+    """ari, nmi, silhouette of k-means on scaled components; silhouette NULL for fewer than two clusters."""
     model = PCA(k=n_pcs, inputCol="features", outputCol="pcs").fit(scaled(data))
     fit = KMeans(k=k, seed=seed, featuresCol="pcs", initSteps=5).fit(model.transform(scaled(data)))
-    pred = fit.transform(model.transform(scaled(data))).cache()
-    n = pred.select("prediction").distinct().count()
-    s = ClusteringEvaluator(featuresCol="pcs").evaluate(pred) if n > 1 else None
-    return fold_ops.ari_nmi(pred, F.col("label"), F.col("prediction")).withColumn("silhouette", F.lit(s).cast("double"))
+    path = sinks.workspace(data.sparkSession, "clusters")
+    fit.transform(model.transform(scaled(data))).select("sample_id", "label", "pcs", "prediction").write.parquet(path)
+    pred = data.sparkSession.read.parquet(path)
+    return fold_ops.ari_nmi(pred, F.col("label"), F.col("prediction")).crossJoin(F.broadcast(silhouette(pred, "pcs")))
 
 
 def huber_line(rows: DataFrame, x: str, y: str, epsilon: float = 1.35) -> tuple[float, float]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import normal_two_sided, student_two_sided
+from ..functions.tails import mann_whitney_exact, normal_two_sided, student_two_sided
+from . import transform
 from .ranking import k_count, rank_column
 
 
@@ -79,10 +80,9 @@ def hypergeometric_tail(rows: DataFrame, id_cols: list[str]) -> DataFrame:
     x = rows.withColumn("x", F.explode(F.sequence("hits", F.greatest("hits", F.least("marked", "drawn")))))
     x = x.withColumn("_z", F.explode(F.array(*[F.struct(e.alias("i"), F.lit(s).alias("s")) for e, s in _terms()]))).select(*id_cols, "hits", "marked", "drawn", "population", "x", "_z.i", "_z.s")
     f = x.join(factorials, "i", "left").groupBy(*id_cols, "hits", "marked", "drawn", "population", "x").agg(F.sum(F.col("s") * F.col("lf")).alias("lp"), F.min("i").alias("least"))
-    known = F.count_if((F.col("least") >= 0) & F.col("lp").isNull()) == 0
     p = F.sum(F.when(F.col("least") >= 0, F.exp("lp")).otherwise(0.0))
     inside = (F.col("marked") <= F.col("population")) & (F.col("drawn") <= F.col("population"))
-    return f.groupBy(*id_cols, "hits", "marked", "drawn", "population").agg(p.alias("_p"), known.alias("_known")).withColumn("p", F.when(F.col("_known") & inside, F.least(F.lit(1.0), "_p"))).drop("_p", "_known")
+    return f.groupBy(*id_cols, "hits", "marked", "drawn", "population").agg(p.alias("_p")).withColumn("p", F.when(inside, F.least(F.lit(1.0), "_p"))).drop("_p")
 
 
 def _terms():
@@ -147,8 +147,16 @@ def mann_whitney(rows: DataFrame, keys: list[str], x: str, flag: str) -> DataFra
     return r.groupBy(*keys).agg(u.alias("u"), F.try_divide(u, n1 * n0).alias("auroc"), z.alias("z"))
 
 
+#: The smaller side up to which the rank test's law is exact if there are no ties.
+EXACT_SIDE = 8
+
+
 def mann_whitney_p(rows: DataFrame, keys: list[str], x: str, flag: str) -> DataFrame:
-    """keys, u, auroc, p: two-sided normal approximation with corrections for ties and continuity; NULL for an empty side."""
+    """keys, u, auroc, p: two-sided; NULL for an empty side.
+
+    The exact law where a side has at most EXACT_SIDE rows and no value is repeated, else the normal approximation with
+    corrections for ties and continuity.
+    """
     u = mann_whitney(rows, keys, x, flag).select(*keys, "u", "auroc")
     # ties: sum of t**3 - t over the values, from counts of each value
     same = rows.groupBy(*keys, x).agg(F.count("*").cast("double").alias("t"), F.count_if(flag).alias("f"))
@@ -157,7 +165,10 @@ def mann_whitney_p(rows: DataFrame, keys: list[str], x: str, flag: str) -> DataF
     n0 = n - n1
     variance = n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1)))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - n1 * n0 / 2) - 0.5, F.lit(0.0)), F.sqrt(variance))
-    return u.join(ties, keys).select(*keys, "u", "auroc", normal_two_sided(F.when((n1 > 0) & (n0 > 0), z)).alias("p"))
+    both = (n1 > 0) & (n0 > 0)
+    small = both & (F.col("_ties") == 0) & (F.least(n1, n0) <= EXACT_SIDE)
+    exact = mann_whitney_exact(F.when(small, F.col("u")), n1, n0)
+    return u.join(ties, keys).select(*keys, "u", "auroc", F.when(small, exact).otherwise(normal_two_sided(F.when(both, z))).alias("p"))
 
 
 def class_robustness(values: DataFrame, keys: list[str], a, b) -> DataFrame:
@@ -167,9 +178,11 @@ def class_robustness(values: DataFrame, keys: list[str], a, b) -> DataFrame:
     by = [*keys, "feature"]
     far = F.abs(F.col("x") - F.avg("x").over(Window.partitionBy(*by, "label")))
     xa, xb = F.when(~F.col("_b"), F.col("x")), F.when(F.col("_b"), F.col("x"))
-    q = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
     sd = (F.stddev_samp(xa) + F.stddev_samp(xb)) / 2
-    s = two.withColumn("_far", far).groupBy(*by).agg(F.percentile(xa, q).alias("qa"), F.percentile(xb, q).alias("qb"), (F.max("_far") / F.nullif(sd, F.lit(0.0))).alias("outlier_score"))
+    s = two.withColumn("_far", far).groupBy(*by).agg((F.max("_far") / F.nullif(sd, F.lit(0.0))).alias("outlier_score"))
+    q = transform.quantiles(two, [*by, "_b"], F.col("x"), [0.1, 0.5, 0.9])
+    side = lambda b: F.max(F.when(F.col("_b") == b, F.col("q")))
+    s = s.join(q.groupBy(*by).agg(side(False).alias("qa"), side(True).alias("qb")), by)
     names = {"q10": 0, "median": 1, "q90": 2}
     cols = [F.col(f"q{side}")[i].alias(f"{n}_{side}") for side in "ab" for n, i in names.items()]
     return s.select(*by, *cols, "outlier_score").join(mann_whitney_p(two, by, "x", "_b"), by)

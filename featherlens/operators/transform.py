@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
 from .moments import clean
 
 
@@ -39,17 +40,42 @@ def mean_impute(values: DataFrame, keys: list[str], out: str = "x") -> DataFrame
     return values.withColumn(out, F.coalesce(x, F.avg(x).over(Window.partitionBy(*keys, "feature")), F.lit(0.0)))
 
 
+def quantiles(values: DataFrame, keys: list[str], x: Column, probs: list[float], tie: str = "sample_id") -> DataFrame:
+    """keys, q (an array): exact quantiles of x in each group, interpolated; groups without a value are left out.
+
+    One range shuffle by keys, value and tie numbers all rows of all groups, so a group may span tasks and none holds its
+    values; the rows at the places that quantiles need are fetched by a join on that number.
+    """
+    rows = values.select(*keys, x.alias("_x"), F.col(tie).alias("_tie")).filter("_x is not null")
+    placed = ranking.numbered(rows, [*map(F.col, keys), F.col("_x"), F.col("_tie")], "_place").select(*keys, "_x", "_place")
+    ends = placed.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    at = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    points = [F.struct(F.lit(i).alias("i"), (F.col("_first") + F.floor(at(q))).alias("low"), (F.col("_first") + F.ceil(at(q))).alias("high"), (at(q) - F.floor(at(q))).alias("part")) for i, q in enumerate(probs)]
+    wanted = ends.select(*keys, F.explode(F.array(*points)).alias("p")).select(*keys, "p.*")
+    found = placed.select("_x", "_place").join(wanted.select(F.explode(F.array("low", "high")).alias("_place")).distinct(), "_place")
+    low, high = (found.select(F.col("_place").alias(c), F.col("_x").alias(f"_{c}")) for c in ("low", "high"))
+    each = wanted.join(low, "low").join(high, "high").withColumn("q", (1 - F.col("part")) * F.col("_low") + F.col("part") * F.col("_high"))
+    return each.groupBy(*keys).agg(F.array(*[F.max(F.when(F.col("i") == i, F.col("q"))) for i in range(len(probs))]).alias("q"))
+
+
+def medians(values: DataFrame, keys: list[str], out: str = "_median") -> DataFrame:
+    """keys, feature and the exact median of the feature's clean values, NULL without one."""
+    by = [*keys, "feature"]
+    found = quantiles(values, by, clean(F.col("x")), [0.5]).select(*by, F.col("q")[0].alias(out))
+    return values.select(*by).distinct().join(found, by, "left")
+
+
 def median_impute(values: DataFrame, keys: list[str], out: str = "x") -> DataFrame:
     """Missing values become the feature's median, by an aggregate and a join on the feature."""
     x = clean(F.col("x"))
-    med = values.groupBy(*keys, "feature").agg(F.percentile(x, 0.5).alias("_m"))
+    med = medians(values, keys, "_m")
     return values.join(med, [*keys, "feature"]).withColumn(out, F.coalesce(x, F.col("_m"), F.lit(0.0))).drop("_m")
 
 
 def missingness(values: DataFrame, keys: list[str], limit: float = 0.3, method: str = "median", drop_constant: bool = True) -> tuple[DataFrame, DataFrame]:
     """(cleaned values, report): features with more than limit missing go, the rest is imputed, constants go."""
     x = clean(F.col("x"))
-    f = values.groupBy(*keys, "feature").agg(F.avg(x.isNull().cast("double")).alias("missing"), F.percentile(x, 0.5).alias("median"), F.avg(x).alias("mean"))
+    f = values.groupBy(*keys, "feature").agg(F.avg(x.isNull().cast("double")).alias("missing"), F.avg(x).alias("mean")).join(medians(values, keys, "median"), [*keys, "feature"])
     fill = F.coalesce({"median": F.col("median"), "mean": F.col("mean"), "zero": F.lit(0.0)}[method], F.lit(0.0))
     f = f.withColumns({"_fill": fill, "_few": F.col("missing") <= limit})
     filled = values.join(f.filter("_few").select(*keys, "feature", "_fill"), [*keys, "feature"]).withColumn("x", F.coalesce(x, "_fill")).drop("_fill")
@@ -108,7 +134,7 @@ def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def impute_by_policy(values: DataFrame, keys: list[str], policy: dict[str, str], default: str = "zero", limit: float = 0.3) -> DataFrame:
     """Features with more than limit missing go; the rest is filled as the view's policy says: 'median', 'mean' or 'zero'."""
     x = clean(F.col("x"))
-    f = values.groupBy(*keys, "feature").agg(F.avg(x.isNull().cast("double")).alias("_missing"), F.percentile(x, 0.5).alias("_median"), F.avg(x).alias("_mean"))
+    f = values.groupBy(*keys, "feature").agg(F.avg(x.isNull().cast("double")).alias("_missing"), F.avg(x).alias("_mean")).join(medians(values, keys), [*keys, "feature"])
     how = F.lit(default)
     for view, method in sorted(policy.items()):
         how = F.when(F.col("view") == view, method).otherwise(how)

@@ -142,6 +142,17 @@ def _(spark, sf):
     return learn.pca(_data(spark, sf)[0], 5)[0]
 
 
+@query("mat_pca_wide")
+def _(spark, sf):
+    """Brands as samples, suppliers as features: a matrix that grows wider with the data, never longer."""
+    brand = F.regexp_extract("feature", "([0-9]+)$", 1).cast("long")
+    wide = fx.brand(spark, sf).select(brand.alias("sample_id"), F.col("sample_id").cast("string").alias("feature"), "x", (brand % 4).cast("int").alias("label"))
+    scores, loadings, shares = learn.wide_pca(wide, 3)
+    top = ranking.ranked(loadings.withColumn("size", F.abs("loading")), ["pc"], "size").filter("rank <= 5").select("pc", F.lit("loading").alias("kind"), F.col("feature").alias("name"), F.abs("loading").alias("value"))
+    share = spark.createDataFrame([(i, "share", "", s) for i, s in enumerate(shares)], "pc int, kind string, name string, value double")
+    return top.unionAll(share).unionAll(scores.select("pc", F.lit("score"), F.col("sample_id").cast("string"), F.abs("score")))
+
+
 @query("mat_pca_alignment")
 def _(spark, sf):
     return learn.pca_alignment(_data(spark, sf)[0], 8)

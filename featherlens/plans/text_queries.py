@@ -57,7 +57,7 @@ def _(spark, sf):
 @query("join_align_to_order", f"WITH {fx.SAMPLES}, s AS (SELECT sample_id, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR))) AS ord FROM samples) SELECT count(*) AS n_rows, (SELECT count(*) FROM s WHERE sample_id NOT IN (SELECT vec_id FROM embeddings)) AS n_missing, sum(ord * label) AS checksum FROM s JOIN samples USING (sample_id)", "", "n_rows n_missing checksum")
 def _(spark, sf):
     s = fx.samples(spark, sf)
-    order = s.select("sample_id", F.row_number().over(Window.orderBy(F.md5(F.col("sample_id").cast("string")))).alias("ord"))
+    order = ranking.numbered(s.select("sample_id", F.md5(F.col("sample_id").cast("string")).alias("h")), [F.col("h")], "ord").select("sample_id", "ord")
     missing = order.join(s, "sample_id", "left_anti").agg(F.count("*").alias("n_missing"))
     return order.join(s, "sample_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("ord") * F.col("label")).alias("checksum")).join(missing)
 

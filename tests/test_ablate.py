@@ -97,7 +97,7 @@ def test_splits_components_and_silhouette(spark, tables):
     assert r.weighted_sum == pytest.approx((share[:3] * eta).sum(), rel=1e-6) and r.weighted_mean == pytest.approx((share[:3] * eta).sum() / share[:3].sum(), rel=1e-6)
     perms = {r.perm: r.pcla for r in learn.pcla_of_permutations(data, 3, 4).collect()}
     assert sorted(perms) == [-1, 0, 1, 2, 3] and perms[-1] == pytest.approx(r.weighted_mean)
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     a = [d[i, (y == y[i]) & (np.arange(len(y)) != i)].mean() for i in range(len(y))]
     b = [min(d[i, y == k].mean() for k in range(3) if k != y[i]) for i in range(len(y))]
     want = np.mean([(q - p) / max(p, q) for p, q in zip(a, b, strict=True)])

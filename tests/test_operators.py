@@ -73,7 +73,7 @@ def test_constant_correlation_is_null(spark):
 
 def test_hypergeometric(spark):
     df = spark.createDataFrame([("s", 20, 5, 6, 3), ("all", 10, 10, 4, 4)], "id string, population long, marked long, drawn long, hits long")
-    got = {r.id: r.p for r in stats.hypergeometric_tail(df, stats.log_factorials(spark, 30), ["id"]).collect()}
+    got = {r.id: r.p for r in stats.hypergeometric_tail(df, ["id"]).collect()}
     want = sum(math.comb(5, x) * math.comb(15, 6 - x) for x in range(3, 6)) / math.comb(20, 6)
     assert got["s"] == pytest.approx(want) and got["all"] == pytest.approx(1.0)
 
@@ -199,3 +199,14 @@ def test_index_of_all_features(spark):
     assert grid[100] == 1.0 and grid[34] > 1  # nothing left to gain is not below chance
     assert overlap.f_di(df, ["view"], "a", "b", 100).first().f_di == 0.0
     assert overlap.f_di(df.limit(2), ["view"], "a", "b", 10).first().f_di is None
+
+
+def test_hypergeometric_tail_of_large_populations(spark):
+    from math import exp, lgamma
+
+    n, k, d, hits = 200_000, 8_000, 20_000, 850
+    log_c = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    want = sum(exp(log_c(k, x) + log_c(n - k, d - x) - log_c(n, d)) for x in range(hits, k + 1))
+    rows = spark.createDataFrame([(1, n, k, d, hits), (2, 100, 200, 10, 5)], "id long, population long, marked long, drawn long, hits long")
+    got = {r.id: r.p for r in stats.hypergeometric_tail(rows, ["id"]).collect()}
+    assert abs(got[1] - want) < 1e-7 and 0.03 < want < 0.031 and got[2] is None

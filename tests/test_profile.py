@@ -1,13 +1,18 @@
 """Kinds, tail probabilities, rank-test p-values and imputation policies against plain versions."""
 
+import hashlib
 import itertools
 import math
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from featherlens.functions import tails
-from featherlens.operators import profile, stats, transform
+from featherlens.operators import enrich, learn, profile, resample, stats, transform
 
 
 def test_incomplete_beta_closed_forms():
@@ -41,6 +46,93 @@ def test_mann_whitney_p(spark):
     assert got["one"].p is None
 
 
+@pytest.mark.parametrize(("few", "many"), [(1, 1), (1, 6), (3, 5), (4, 9), (8, 8)])
+def test_exact_law_of_the_rank_test(few, many):
+    counts = tails.mann_whitney_counts(few, many, few * many)
+    want = [0] * (few * many + 1)
+    for places in itertools.combinations(range(few + many), few):
+        want[sum(places) - few * (few - 1) // 2] += 1
+    assert counts.tolist() == want
+
+
+def test_mann_whitney_p_of_small_sides(spark):
+    sides = {"a": ([1.0, 9.0, 4.0], [2.0, 3.0, 8.0, 10.0, 11.0]), "b": ([1.0], [2.0]), "c": (list(range(0, 16, 2)), list(range(1, 31, 2)))}
+    rows = [(k, float(x), flag) for k, (one, other) in sides.items() for side, flag in ((one, True), (other, False)) for x in side]
+    for r in stats.mann_whitney_p(spark.createDataFrame(rows, "k string, x double, f boolean"), ["k"], "x", "f").collect():
+        one, other = sides[r.k]
+        counts = tails.mann_whitney_counts(len(one), len(other), len(one) * len(other))
+        low = int(min(r.u, len(one) * len(other) - r.u))
+        assert r.p == pytest.approx(min(1.0, 2 * counts[: low + 1].sum() / counts.sum()), rel=1e-12)
+
+
+def test_enrichment_counts_each_list_in_each_set(spark):
+    rng = random.Random(2)
+    sets = [(f"g{i}", "s" if k % 2 else "t", f"set{k}") for i in range(120) for k in range(6) if rng.random() < 0.3]
+    lists = [(v, n, f"g{rng.randrange(130)}") for v in "xy" for n in ("one", "two") for _ in range(25)]
+    s = spark.createDataFrame(sets + sets[:5] + [(None, "s", "set1"), ("g1", "s", None)], "gene string, source string, gene_set string")
+    ls = spark.createDataFrame([*lists, ("x", "one", None)], "view string, list_name string, gene string")
+    found = enrich.enrichment(ls, s, ["view", "list_name"], least=5)
+    universe = {g for g, _, _ in sets}
+    members = {}
+    for g, source, name in sets:
+        members.setdefault((source, name), set()).add(g)
+    tested = {}
+    for v, n in {(v, n) for v, n, _ in lists}:
+        wanted = {g for a, b, g in lists if (a, b) == (v, n)} & universe
+        for key, own in members.items():
+            hits = len(own & wanted)
+            if hits:
+                total, c = len(universe), math.comb
+                p = sum(c(len(own), x) * c(total - len(own), len(wanted) - x) for x in range(hits, min(len(own), len(wanted)) + 1)) / c(total, len(wanted))
+                tested[(v, n, *key)] = (hits, len(own), len(wanted), total, p)
+    got = {(r.view, r.list_name, r.source, r.gene_set): r for r in found.collect()}
+    assert got.keys() == tested.keys()
+    for key, r in got.items():
+        assert (r.hits, r.marked, r.drawn, r.population) == tested[key][:4] and r.p == pytest.approx(tested[key][4], rel=1e-9)
+    over = {r.view: r for r in enrich.overlaps(found, ls, ["view"], "list_name", "one", "two", 1.0).collect()}
+    for v in "xy":
+        one, two = ({k[2:] for k, r in got.items() if k[:2] == (v, n) and r.fdr <= 1.0} for n in ("one", "two"))
+        assert (over[v].n_a, over[v].n_b) == (len(one), len(two)) and over[v].pathway_jaccard == pytest.approx(len(one & two) / len(one | two))
+        genes = [{g for a, b, g in lists if (a, b) == (v, n)} for n in ("one", "two")]
+        assert over[v].gene_jaccard == pytest.approx(len(genes[0] & genes[1]) / len(genes[0] | genes[1]))
+
+
+def test_silhouette_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(learn, "TILE", 7)
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(60, 3)), np.append(np.arange(59) % 3, 9)
+    df = spark.createDataFrame([(i, row.tolist(), int(k)) for i, (row, k) in enumerate(zip(x, c, strict=True))], "sample_id long, x array<double>, prediction int").withColumn("features", array_to_vector("x"))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    own = [d[i, (c == c[i]) & (np.arange(60) != i)].mean() if (c == c[i]).sum() > 1 else 0 for i in range(60)]
+    other = [min(d[i, c == k].mean() for k in set(c) if k != c[i]) for i in range(60)]
+    want = np.mean([(b - a) / max(a, b) if (c == c[i]).sum() > 1 else 0 for i, (a, b) in enumerate(zip(own, other, strict=True))])
+    assert learn.silhouette(df).first().silhouette == pytest.approx(want, rel=1e-9)
+    assert -1 < learn.silhouette(df, sample=40).first().silhouette < 1
+    assert learn.silhouette(df.withColumn("prediction", F.lit(1))).first().silhouette is None
+
+
+@pytest.mark.parametrize(("n", "p"), [(12, 40), (671, 3000)])
+def test_wide_pca_equals_the_decomposition(spark, n, p):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, p)) * (1 + np.arange(p) % 7)
+    if n < 100:
+        x[rng.random(x.shape) < 0.2] = 0
+    rows = spark.createDataFrame(pa.table({"sample_id": np.repeat(np.arange(n), p) * 3, "feature": np.tile([f"f{j}" for j in range(p)], n), "x": x.ravel(), "label": np.repeat(np.arange(n) % 2, p)}))
+    scores, loadings, shares = learn.wide_pca(rows.filter("x <> 0"), 3)
+    u, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert shares == pytest.approx((s**2 / (s**2).sum())[:3], rel=1e-6)
+    got = np.zeros((n, 3))
+    for r in scores.collect():
+        got[r.sample_id // 3, r.pc] = r.score
+    load = np.zeros((p, 3))
+    for r in loadings.collect():
+        load[int(r.feature[1:]), r.pc] = r.loading
+    for k in range(3):
+        sign = np.sign(got[:, k] @ u[:, k])
+        assert got[:, k] == pytest.approx(sign * u[:, k] * s[k], abs=1e-6 * s[0]) and load[:, k] == pytest.approx(sign * v[k], abs=1e-6)
+        assert got[np.abs(got[:, k]).argmax(), k] > 0
+
+
 def test_kinds(spark):
     rows = [(f"{i:05d}" * 7, f"id{i}", "2020-01-02 x", "ab"[i % 2], None, i, i / 2, i > 3) for i in range(60)]
     df = spark.createDataFrame(rows, "t string, h string, d string, c string, e string, i long, f double, b boolean")
@@ -63,3 +155,32 @@ def test_policies(spark):
     df = spark.createDataFrame(rows, "view string, sample_id long, feature string, x double")
     got = {(r.view, r.feature): r.x for r in transform.impute_by_policy(df, ["view"], {"m": "median"}).filter("sample_id = 1").collect()}
     assert got == {("m", "a"): 5.0, ("z", "a"): 0.0}  # half of b is missing
+
+
+def test_quantiles_of_many_groups(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.choice([0.0, round(rng.gauss(0, 1), 1), None]), i) for k in ("a", "b", None) for i in range(rng.randint(50, 90))] + [("one", 3.5, 1), ("none", None, 1)]
+    got = {r.k: r.q for r in transform.quantiles(spark.createDataFrame(rows, "k string, x double, sample_id int"), ["k"], F.col("x"), [0.1, 0.5, 1.0]).collect() if r.k is not None}
+    for k in ("a", "b", "one"):
+        assert got[k] == pytest.approx(np.quantile([x for g, x, _ in rows if g == k and x is not None], [0.1, 0.5, 1.0]).tolist())
+    assert "none" not in got
+
+
+def test_permutations_and_bootstraps_equal_their_windows(spark):
+    rows = [(i * 7 % 101, i % 3, f"l{i % 4}") for i in range(100)]
+    df = spark.createDataFrame(rows, "sample_id long, g int, label string")
+    md5 = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    want = set()
+    for perm in range(3):
+        for g in range(3):
+            mine = sorted(r for r in rows if r[1] == g)
+            order = sorted(mine, key=lambda r: (md5(5, perm, r[0]), r[0]))  # noqa: B023
+            want |= {(a[0], perm, g, b[2]) for a, b in zip(mine, order, strict=True)}
+    assert {(r.sample_id, r.perm, r.g, r.label) for r in resample.permuted(df, ["g"], "label", 3, 5).collect()} == want
+    unit = lambda *x: int(md5(*x)[:8], 16) / 4294967296
+    want = []
+    for g in range(3):
+        mine = sorted(r for r in rows if r[1] == g)
+        want += [(d, *mine[int(unit(4, d, i, g) * len(mine))]) for d in range(2) for i in range(1, len(mine) + 1)]
+    got = resample.bootstrap(df, ["g"], 2, 4).select("draw", "sample_id", "g", "label").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
