@@ -133,3 +133,45 @@ def importance_by_feature(rows: DataFrame, key: str, column: str, n_features: in
     inner_first = F.exists(column, lambda x: F.size(x) != n_features)
     outer = rows.select(key, inner_first.alias("turned"), F.posexplode(column).alias("a", "xs")).select(key, "turned", "a", F.posexplode("xs").alias("b", "v"))
     return outer.groupBy(key, F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("feature_ord")).agg(F.avg(F.abs("v")).alias("mean_abs"))
+
+
+def bundle_checks(values: DataFrame, samples: DataFrame, expected: dict[str, int], min_samples: int, min_classes: int, sensitivity: tuple[str, ...] = ()) -> DataFrame:
+    """view, check, value, level (OK, WARN or ERROR) of every check of a bundle of views.
+
+    values: (view, sample_id, feature, x); samples: (sample_id, label); expected: the views that should be there and the least
+    features of each; views that end in one of sensitivity are welcome beside them. Rows of view '' are about the bundle.
+    Missing values over a half are an error and over a hundredth a warning, infinite ones an error; samples of a view must be
+    as many as the bundle's; more than half constant features, too few features and features without a name are warnings.
+    """
+    spark = values.sparkSession
+    x = F.col("x").cast("double")
+    gone = x.isNull() | F.isnan(x)
+    each = values.groupBy("view", "feature").agg(
+        F.count("*").alias("cells"), F.count_if(gone).alias("gone"), F.count_if(~gone & (F.abs(x) == float("inf"))).alias("endless"),
+        F.count_if(F.col("feature").isNull() | (F.col("feature") == "")).alias("nameless"), (F.min(F.when(~gone, x)).eqNullSafe(F.max(F.when(~gone, x)))).cast("int").alias("constant"),
+    )
+    views = each.groupBy("view").agg(F.count("*").alias("features"), F.sum("cells").alias("cells"), F.sum("gone").alias("gone"), F.sum("endless").alias("endless"), F.count_if(F.col("nameless") > 0).alias("nameless"), F.sum("constant").alias("constant"))
+    held = values.select("view", "sample_id").distinct().groupBy("view").agg(F.count("*").alias("held"))
+    bundle = samples.agg(F.count_distinct("sample_id").alias("samples"), F.count_distinct("label").alias("classes"), (F.count("*") - F.count_distinct("sample_id")).alias("twice"))
+    wanted = spark.createDataFrame(sorted(expected.items()), "view string, least int")
+    found = wanted.join(views.join(held, "view"), "view", "full").crossJoin(F.broadcast(bundle.select("samples")))
+    welcome = F.lit(False)
+    for end in sensitivity:
+        welcome = welcome | F.col("view").endswith(end)
+    c, there = F.col, F.col("features").isNotNull()
+    level = lambda error, warn: F.when(F.coalesce(error, F.lit(False)), "ERROR").when(F.coalesce(warn, F.lit(False)), "WARN").otherwise("OK")
+    no, share, constant = F.lit(False), F.try_divide(c("gone"), c("cells")), F.try_divide(c("constant"), c("features"))
+    checks = [("present", there.cast("int"), level(no, ~there)), ("expected", c("least").isNotNull().cast("int"), level(no, c("least").isNull() & ~welcome))]
+    checks += [("samples", c("held"), level(there & (c("held") != c("samples")), no)), ("features", c("features"), level(no, c("features") < c("least")))]
+    checks += [("missing", share, level(share > 0.5, share > 0.01)), ("infinite", c("endless"), level(c("endless") > 0, no))]
+    checks += [("constant", constant, level(no, constant > 0.5)), ("nameless", c("nameless"), level(no, c("nameless") > 0))]
+    row = lambda name, value, lvl: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), lvl.alias("level"))
+    of_views = found.select("view", F.explode(F.array(*[row(*k) for k in checks])).alias("r")).select("view", "r.*").filter("value is not null")
+    whole = [("bundle_samples", c("samples"), level(no, c("samples") < min_samples)), ("bundle_classes", c("classes"), level(no, c("classes") < min_classes)), ("repeated_samples", c("twice"), level(c("twice") > 0, no))]
+    return of_views.unionByName(bundle.select(F.lit("").alias("view"), F.explode(F.array(*[row(*k) for k in whole])).alias("r")).select("view", "r.*"))
+
+
+def verdict(checks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_errors, n_warnings, status: FAIL with an error, WARN with a warning, else PASS."""
+    n = checks.groupBy(*keys).agg(F.count_if(F.col("level") == "ERROR").alias("n_errors"), F.count_if(F.col("level") == "WARN").alias("n_warnings"))
+    return n.withColumn("status", F.when(F.col("n_errors") > 0, "FAIL").when(F.col("n_warnings") > 0, "WARN").otherwise("PASS"))

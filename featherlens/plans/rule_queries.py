@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import overlap, ranking, resample, rules, stats, transform
+from ..operators import overlap, profile, ranking, resample, rules, stats, transform
 from . import fixtures as fx
 from .fixtures import FEATURES_SQL, RESULTS, SCATTER, UNIT, VIEW
 from .matrix_queries import GRID_SQL, grid
@@ -278,13 +278,40 @@ def _(spark, sf):
     return q.withColumn("status", F.when((F.col("n_dup") > 0) | (F.col("n_negative") > 0) | (F.col("near_zero") > 0.5), "FAIL").otherwise("PASS"))
 
 
-@query("rule_bundle_validate", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT sum(n) AS n_samples, count(*) AS n_classes, min(n) AS smallest, (SELECT count(*) FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS n_bad, CASE WHEN sum(n) < 30 OR count(*) < 2 THEN 'FAIL' WHEN min(n) < 5 THEN 'WARN' ELSE 'PASS' END AS status FROM c", "", "n_samples n_classes smallest n_bad")
+#: Views that a bundle of the test tables should have, with their least features; brand has other samples than the bundle.
+_EXPECTED = {"emb": 50, "brand": 20, "methylation": 100}
+_BUNDLE = f"""{fx.EMB}, {fx.BRAND}, {fx.SAMPLES},
+vals AS (SELECT view, sample_id, feature, CASE WHEN feature IN ('f007', 'f008') AND sample_id % 3 > 0 THEN NULL WHEN feature = 'f009' THEN 1.0 ELSE x END AS x FROM emb UNION ALL SELECT view, sample_id, feature, x FROM brand),
+ea AS (SELECT view, feature, count(*) AS cells, count(*) FILTER (x IS NULL) AS gone, count(*) FILTER (isinf(x)) AS endless, CAST(min(x) IS NOT DISTINCT FROM max(x) AS INT) AS constant FROM vals GROUP BY view, feature),
+vw AS (SELECT view, count(*) AS features, sum(cells) AS cells, sum(gone) AS gone, sum(endless) AS endless, count(*) FILTER (feature IS NULL OR feature = '') AS nameless, sum(constant) AS constant FROM ea GROUP BY view),
+hd AS (SELECT view, count(DISTINCT sample_id) AS held FROM vals GROUP BY view), bd AS (SELECT count(DISTINCT sample_id) AS samples, count(DISTINCT label) AS classes, count(*) - count(DISTINCT sample_id) AS twice FROM samples),
+wt AS (SELECT * FROM (VALUES ('emb', 50), ('brand', 20), ('methylation', 100)) t(view, least)),
+fo AS (SELECT coalesce(wt.view, vw.view) AS view, least, features, cells, gone, endless, nameless, constant, held, samples FROM wt FULL JOIN vw ON wt.view = vw.view LEFT JOIN hd ON hd.view = vw.view, bd),
+ck AS (SELECT view, 'present' AS check, CAST(features IS NOT NULL AS INT) AS value, CASE WHEN features IS NULL THEN 'WARN' ELSE 'OK' END AS level FROM fo
+  UNION ALL SELECT view, 'expected', CAST(least IS NOT NULL AS INT), CASE WHEN least IS NULL THEN 'WARN' ELSE 'OK' END FROM fo
+  UNION ALL SELECT view, 'samples', held, CASE WHEN held <> samples THEN 'ERROR' ELSE 'OK' END FROM fo UNION ALL SELECT view, 'features', features, CASE WHEN features < least THEN 'WARN' ELSE 'OK' END FROM fo
+  UNION ALL SELECT view, 'missing', gone / cells, CASE WHEN gone / cells > 0.5 THEN 'ERROR' WHEN gone / cells > 0.01 THEN 'WARN' ELSE 'OK' END FROM fo UNION ALL SELECT view, 'infinite', endless, CASE WHEN endless > 0 THEN 'ERROR' ELSE 'OK' END FROM fo
+  UNION ALL SELECT view, 'constant', constant / features, CASE WHEN constant / features > 0.5 THEN 'WARN' ELSE 'OK' END FROM fo UNION ALL SELECT view, 'nameless', nameless, CASE WHEN nameless > 0 THEN 'WARN' ELSE 'OK' END FROM fo
+  UNION ALL SELECT '', 'bundle_samples', samples, CASE WHEN samples < 30 THEN 'WARN' ELSE 'OK' END FROM bd UNION ALL SELECT '', 'bundle_classes', classes, CASE WHEN classes < 2 THEN 'WARN' ELSE 'OK' END FROM bd
+  UNION ALL SELECT '', 'repeated_samples', twice, CASE WHEN twice > 0 THEN 'ERROR' ELSE 'OK' END FROM bd)"""
+
+
+def bundle_checks(spark, sf):
+    gap = F.when(F.col("feature").isin("f007", "f008") & (F.col("sample_id") % 3 > 0), None).when(F.col("feature") == "f009", 1.0).otherwise(F.col("x"))
+    emb = fx.emb(spark, sf).select("view", "sample_id", "feature", gap.alias("x"))
+    brand = fx.brand(spark, sf).select("view", "sample_id", "feature", "x")
+    return profile.bundle_checks(emb.unionAll(brand), fx.samples(spark, sf), _EXPECTED, 30, 2)
+
+
+@query("rule_bundle_validate", f"WITH {_BUNDLE} SELECT view, \"check\", value, level FROM ck WHERE value IS NOT NULL", "value")
+def _(spark, sf):
+    """Every check of every view, with gaps and a constant put into the embeddings."""
+    return bundle_checks(spark, sf)
+
+
+@query("rule_bundle_status", f"WITH {_BUNDLE} SELECT view, count(*) FILTER (level = 'ERROR') AS n_errors, count(*) FILTER (level = 'WARN') AS n_warnings, CASE WHEN count(*) FILTER (level = 'ERROR') > 0 THEN 'FAIL' WHEN count(*) FILTER (level = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM ck WHERE value IS NOT NULL GROUP BY view", "", "n_errors n_warnings")
 def _(spark, sf):
-    e = fx.table(spark, sf, "embeddings")
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    c = e.groupBy("label").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
-    s = c.agg(F.sum("n").alias("n_samples"), F.count("*").alias("n_classes"), F.min("n").alias("smallest"), F.sum("bad").alias("n_bad"))
-    return s.withColumn("status", F.when((F.col("n_samples") < 30) | (F.col("n_classes") < 2), "FAIL").when(F.col("smallest") < 5, "WARN").otherwise("PASS"))
+    return profile.verdict(bundle_checks(spark, sf), ["view"])
 
 
 # ---- result tables

@@ -170,7 +170,16 @@ def _(spark, sf):
     return e.agg((1 - F.sum(miss**2) / F.sum((F.col("delta") - F.col("m")) ** 2)).alias("r2_loo"), F.avg(F.abs(miss)).alias("mae"))
 
 
-@query("stat_kde", f"WITH {FEATURES_SQL}, l AS (SELECT min(v_total) AS lo, max(v_total) AS hi, count(*) AS n FROM ft), g AS (SELECT i, lo + (hi - lo) * i / 20 AS x_at, 0.15 * (hi - lo) / CAST(n AS DOUBLE) ** 0.2 AS h FROM l, range(0, 21) t(i)) SELECT i, x_at, avg(exp(0 - ((x_at - v_total) / h) ** 2 / 2) / (h * 2.5066282746310002)) AS density FROM ft, g GROUP BY i, x_at", "x_at density", "i")
+@query(
+    "stat_kde",
+    f"""WITH {FEATURES_SQL}, l AS (SELECT min(v_total) AS lo, max(v_total) AS hi, count(*) AS n FROM ft),
+    g AS (SELECT i, lo, hi, n, lo + (hi - lo) * i / 20 AS x_at, 0.15 * (hi - lo) / CAST(n AS DOUBLE) ** 0.2 AS h FROM l, range(0, 21) t(i)),
+    a AS (SELECT (v_total - lo) / (hi - lo) * 4095 AS p FROM ft, l), c AS (SELECT p, least(CAST(floor(p) AS BIGINT), 4094) AS b FROM a),
+    w AS (SELECT b, sum(w) AS w FROM (SELECT b, 1 - (p - b) AS w FROM c UNION ALL SELECT b + 1, p - b FROM c) GROUP BY b)
+    SELECT i, x_at, sum(w * exp(0 - ((x_at - (lo + (hi - lo) * b / 4095)) / h) ** 2 / 2) / (n * h * 2.5066282746310002)) AS density FROM w, g GROUP BY i, x_at""",
+    "x_at density",
+    "i",
+)
 def _(spark, sf):
     return stats.kde(fx.features(spark, sf), VIEW, "v_total", 21).drop("view")
 

@@ -157,6 +157,18 @@ def test_policies(spark):
     assert got == {("m", "a"): 5.0, ("z", "a"): 0.0}  # half of b is missing
 
 
+def test_binned_density_is_near_the_direct_sum(spark):
+    rng = np.random.default_rng(9)
+    x = np.append(rng.normal(size=500), rng.normal(6, 0.3, 300))
+    df = spark.createDataFrame([("k", float(v)) for v in x] + [("k", None), ("one", 2.0)], "k string, x double")
+    got = {(r.k, r.i): (r.x_at, r.density) for r in stats.kde(df, ["k"], "x", 41).collect()}
+    h = 0.15 * (x.max() - x.min()) / len(x) ** 0.2
+    direct = {i: np.exp(-(((at - x) / h) ** 2) / 2).mean() / (h * math.sqrt(2 * math.pi)) for (k, i), (at, _) in got.items() if k == "k"}
+    error = ((x.max() - x.min()) / (stats.KDE_BINS - 1) / h) ** 2 / 8 * max(direct.values())
+    assert len(direct) == 41 and all(abs(got["k", i][1] - d) <= 2 * error for i, d in direct.items())
+    assert got["one", 0][1] is None
+
+
 def test_quantiles_of_many_groups(spark):
     rng = random.Random(7)
     rows = [(k, rng.choice([0.0, round(rng.gauss(0, 1), 1), None]), i) for k in ("a", "b", None) for i in range(rng.randint(50, 90))] + [("one", 3.5, 1), ("none", None, 1)]
@@ -184,3 +196,19 @@ def test_permutations_and_bootstraps_equal_their_windows(spark):
         want += [(d, *mine[int(unit(4, d, i, g) * len(mine))]) for d in range(2) for i in range(1, len(mine) + 1)]
     got = resample.bootstrap(df, ["g"], 2, 4).select("draw", "sample_id", "g", "label").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bundle_checks(spark):
+    inf, nan = math.inf, math.nan
+    rows = [("a", i, f, x) for i, xs in enumerate([(1.0, 2.0, None), (1.0, 3.0, nan), (1.0, inf, 4.0)]) for f, x in zip(("p", "q", ""), xs, strict=True)]
+    rows += [("b", i, "p", 5.0) for i in range(2)] + [("c_raw", i, "p", float(i)) for i in range(3)] + [("d", i, "p", float(i)) for i in range(3)]
+    v = spark.createDataFrame(rows, "view string, sample_id long, feature string, x double")
+    s = spark.createDataFrame([(0, "x"), (1, "y"), (2, "y"), (2, "y")], "sample_id long, label string")
+    found = profile.bundle_checks(v, s, {"a": 2, "b": 3, "z": 1}, 3, 3, ("_raw",))
+    got = {(r.view, r.check): (r.value, r.level) for r in found.collect()}
+    assert got["a", "missing"] == (pytest.approx(2 / 9), "WARN") and got["a", "infinite"] == (1, "ERROR") and got["a", "nameless"] == (1, "WARN") and got["a", "constant"] == (pytest.approx(2 / 3), "WARN")
+    assert got["a", "samples"] == (3, "OK") and got["b", "samples"] == (2, "ERROR") and got["b", "features"] == (1, "WARN") and got["b", "constant"] == (1, "WARN")
+    assert got["z", "present"] == (0, "WARN") and ("z", "samples") not in got
+    assert got["c_raw", "expected"] == (0, "OK") and got["d", "expected"] == (0, "WARN")
+    assert got["", "bundle_samples"] == (3, "OK") and got["", "bundle_classes"] == (2, "WARN") and got["", "repeated_samples"] == (1, "ERROR")
+    assert {r.view: r.status for r in profile.verdict(found, ["view"]).collect()} == {"a": "FAIL", "b": "FAIL", "c_raw": "PASS", "d": "WARN", "z": "WARN", "": "FAIL"}
