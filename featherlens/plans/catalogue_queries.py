@@ -204,23 +204,28 @@ def _(spark, sf):
 
 # ---- tables written and read back
 
-_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
-_DDL = "n_nationkey int, n_name string, n_regionkey int"
+_CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey FROM customer"
+_DDL = "c_custkey long, c_name string, c_nationkey int"
+
+
+def customers(spark, sf):
+    return fx.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+
 
 for _name, _suffix in (("scan_csv_gz", ".csv.gz"), ("sink_csv_gz", ".csv.gz"), ("scan_csv_with_fallback", ".csv"), ("scan_table_by_suffix", ".parquet"), ("sink_parquet_or_csvgz", ".parquet"), ("sink_json", ".json")):
 
-    @query(_name, _NATION, "", "n_nationkey n_regionkey")
+    @query(_name, _CUSTOMERS, "", "c_custkey c_nationkey")
     def _(spark, sf, name=_name, suffix=_suffix):
         path = sinks.workspace(spark, name) + suffix
-        sinks.write_table(fx.table(spark, sf, "nation"), path)
+        sinks.write_table(customers(spark, sf), path)
         back = readers.read_delimited(spark, path, _DDL) if ".csv" in suffix else readers.read_table(spark, path)
-        return back.select("n_nationkey", "n_name", "n_regionkey")
+        return back.select("c_custkey", "c_name", "c_nationkey")
 
 
-@query("scan_csv_tsv_sniff", _NATION, "", "n_nationkey n_regionkey")
+@query("scan_csv_tsv_sniff", _CUSTOMERS, "", "c_custkey c_nationkey")
 def _(spark, sf):
     path = sinks.workspace(spark, "sniff")
-    fx.table(spark, sf, "nation").write.option("header", True).option("sep", "\t").csv(path)
+    customers(spark, sf).write.option("header", True).option("sep", "\t").csv(path)
     return readers.read_delimited(spark, path, _DDL).drop("_corrupt")
 
 
@@ -238,12 +243,12 @@ def _(spark, sf):
     return readers.read_wide_matrix(spark, path, "c_custkey", features_in_rows=False)
 
 
-@query("sink_resume_skip_existing", "SELECT r_regionkey FROM region WHERE r_regionkey >= 2", "", "r_regionkey")
+@query("sink_resume_skip_existing", "SELECT c_custkey FROM customer WHERE c_nationkey >= 10", "", "c_custkey")
 def _(spark, sf):
     path = sinks.workspace(spark, "done") + ".parquet"
-    work = fx.table(spark, sf, "region").select("r_regionkey")
-    sinks.write_table(work.filter("r_regionkey < 2"), path)
-    return sinks.remaining(work, path, ["r_regionkey"])
+    work = fx.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    sinks.write_table(work.filter("c_nationkey < 10").select("c_custkey"), path)
+    return sinks.remaining(work.select("c_custkey"), path, ["c_custkey"])
 
 
 @query("fn_gzip_magic", "SELECT 'csv' AS kind, false AS is_gzip, false AS looks_like_html UNION ALL SELECT 'gz', true, false")
