@@ -238,7 +238,7 @@ def joined(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) of components from members (key, cls, comp, size) of keys, size being the number of the key's members."""
     # of a large key the component with most members is dealt over parts, and the others, if they are few, go to every part;
     # if they are many, every two parts meet
-    of_comp = members.filter(F.col("size") > PART).groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("most"), F.max_by("comp", "n").alias("major"))
+    of_comp = members.filter(F.col("size") > PART).groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.n").alias("most"), F.col("m.comp").alias("major"))
     known = members.join(of_comp, "key", "left").withColumn("few", F.coalesce(F.col("size") - F.col("most") <= PART, F.lit(False)))
     parts = F.ceil(F.when(F.col("few"), F.col("most")).otherwise(F.col("size")) / PART).cast("long")
     split = known.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "cls"), F.col("parts")))
@@ -250,14 +250,15 @@ def joined(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = split.join(sets, "cls").select("key", "a", "b", "part", "comp", "set")
 
     def links_of(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
-        if key[1] != key[2]:
+        # of (a, a) all rows meet, the few other components' too, whatever part they'd be in; of (a, b) those of a meet those of b
+        one = key[1] == key[2]
+        if not one:
             held.sort(key=lambda x: x[0] != key[1])
-        n = sum(x[0] == key[1] for x in held)
-        index, probes = [x[2] for x in held[:n]], [x[2] for x in held[n:]]
-        if len(held) < 2 or not n or key[1] != key[2] and not probes:
+        n = len(held) if one else sum(x[0] == key[1] for x in held)
+        if len(held) < 2 or not one and n in (0, len(held)):
             return []
-        comps = [x[1] for x in held]
-        return stars([(comps[i], comps[j]) for i, j in trie_links(index, probes if key[1] != key[2] else None, comps)])
+        comps, every = [x[1] for x in held], [x[2] for x in held]
+        return stars([(comps[i], comps[j]) for i, j in trie_links(every[:n], None if one else every[n:], comps)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by key; one key's rows are held at a time."""

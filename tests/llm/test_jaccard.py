@@ -75,6 +75,21 @@ def test_a_large_family_in_many_parts(spark, monkeypatch):
     assert ours(spark, docs) == plain(docs)
 
 
+def test_stragglers_meet_every_part_of_the_largest_component(spark, monkeypatch):
+    """One key, a component over several parts, and a few classes that each link with one member of it."""
+    monkeypatch.setattr(jaccard, "PART", 7)
+    family = [[*range(100), 1000 + i] for i in range(40)]
+    near = [[*range(92), *range(2000 + 10 * i, 2004 + 10 * i), 1000 + i, *range(92, 95)] for i in range(6)]
+    sets = [(i, x) for i, x in enumerate(family + near)]
+    comps = [0] * 40 + [*range(40, 46)]
+    members = spark.createDataFrame([(5, i, comps[i], len(sets)) for i, _ in sets], "key long, cls long, comp long, size long")
+    got = {(r.u, r.v) for r in jaccard.joined(members, spark.createDataFrame(sets, "cls long, set array<long>")).collect()}
+    alike = lambda a, b: 100 * len(set(a) & set(b)) >= 90 * len(set(a) | set(b))
+    pairs = [(comps[i], comps[j]) for i, a in sets for j, b in sets[:i] if alike(a, b)]
+    assert len(closure(46, pairs)) == 40
+    assert closure(46, got) == closure(46, pairs)
+
+
 def test_empty_table(spark):
     assert ours(spark, []) == []
     assert ours(spark, [(3, None)]) == [(3, 0, 3)]
