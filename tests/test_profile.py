@@ -169,6 +169,18 @@ def test_binned_density_is_near_the_direct_sum(spark):
     assert got["one", 0][1] is None
 
 
+def test_density_is_the_direct_sum(spark):
+    """A narrow peak beside a far value, where bins over the range would be as wide as the bandwidth."""
+    x = np.append(np.random.default_rng(3).normal(size=400), [9.0])
+    df = spark.createDataFrame([("k", float(v)) for v in x], "k string, x double")
+    h = 1e-4 * (x.max() - x.min()) / len(x) ** 0.2
+    for keys in (["k"], []):
+        got = {r.i: (r.x_at, r.density) for r in stats.kde(df, keys, "x", 5, 1e-4).collect()}
+        for at, density in got.values():
+            assert density == pytest.approx(np.exp(-(((at - x) / h) ** 2) / 2).mean() / (h * math.sqrt(2 * math.pi)), rel=1e-9, abs=1e-12)
+        assert sorted(got) == list(range(5))
+
+
 def test_quantiles_of_many_groups(spark):
     rng = random.Random(7)
     rows = [(k, rng.choice([0.0, round(rng.gauss(0, 1), 1), None]), i) for k in ("a", "b", None) for i in range(rng.randint(50, 90))] + [("one", 3.5, 1), ("none", None, 1)]
