@@ -60,13 +60,16 @@ _TISSUE = "'XX-00-000' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '-' || CAS
     "x",
 )
 def _(spark, sf):
-    """Features in rows, samples in columns of a TSV; the tissue is read from the id, for want of a subtype column."""
+    """Features in rows, samples in columns of TSV files; the tissue is read from the id, for want of a subtype column.
+
+    Ids of long keys are cut to the id's width and recur, as columns of their own.
+    """
     s = fx.table(spark, sf, "supplier")
     sample = F.concat(F.lit("XX-00-000"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0"), F.lit("-"), (F.col("s_suppkey") % 2).cast("string"), F.lit("1"))
-    wide = s.select(sample.alias("id"), F.col("s_nationkey").cast("double").alias("nation"), F.col("s_acctbal").cast("double").alias("balance")).unpivot(["id"], ["nation", "balance"], "feature", "x").groupBy("feature").pivot("id").agg(F.first("x"))
-    path = sinks.workspace(spark, "xena") + ".tsv"
-    wide.coalesce(1).write.option("header", True).option("sep", "\t").csv(path)
-    values = readers.read_wide_matrix(spark, path, "feature")
+    path = sinks.workspace(spark, "xena")
+    samples = s.select("s_suppkey", sample.alias("id"), F.col("s_nationkey").cast("double").alias("nation"), F.col("s_acctbal").cast("double").alias("balance"))
+    sinks.write_wide_rows(samples, path, "s_suppkey", "id", ["nation", "balance"])
+    values = readers.read_wide_rows(spark, path, "feature").filter("x is not null")
     return values.withColumn("label", readers.tissue_of(F.col("sample_id")))
 
 

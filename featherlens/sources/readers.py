@@ -64,6 +64,20 @@ def read_wide_matrix(spark: SparkSession, path: str, key: str, features_in_rows:
     return long.select("sample_id", "feature", F.col("raw").try_cast("double").alias("x"))
 
 
+def read_wide_rows(spark: SparkSession, path: str, key: str, sep: str = "\t") -> DataFrame:
+    """Wide files with a feature a line and samples in columns as (sample_id, feature, x); values that aren't numbers are NULL.
+
+    A file's header is its line that starts with key. Lines become arrays, never columns, so samples may be many and a name may
+    recur: each of its columns gives its own rows. Fields have no quotes.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", re.escape(sep), -1).alias("cells"))
+    rest = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
+    head = lines.filter(F.col("cells")[0] == key).select("file", rest.alias("names"))
+    rows = lines.filter(F.col("cells")[0] != key).select("file", F.col("cells")[0].alias("feature"), rest.alias("raw"))
+    cell = rows.join(head, "file").select("feature", F.explode(F.arrays_zip("names", "raw")).alias("z"))
+    return cell.select(F.col("z.names").alias("sample_id"), "feature", F.col("z.raw").try_cast("double").alias("x"))
+
+
 def read_npz_views(spark: SparkSession, path: str) -> DataFrame:
     """Named-array bundles (X_{view}, features_{view}, y, sample_ids) as (path, view, sample_id, feature, x, label); no pickles."""
 

@@ -8,10 +8,13 @@ import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+from featherlens import plans
 from featherlens.operators import folds, learn, simulate, trees
 from featherlens.sources import readers, sinks
 from featherlens.streaming import moments as running
 
+from .oracle import compare, connect
+
 
 def test_delimited(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("k\ts1\ts2\ng1\t1.5\tn/a\ng2\t2\t3\n")
@@ -148,3 +151,14 @@ def test_small_learners_predict(spark, separable):
     for learner, sizes in (("logistic", {"maxIter": 20}), ("rf", {"numTrees": 5})):
         got = folds.confusion_metrics(learn.out_of_fold(data.cache(), f, learner, **sizes), ["repeat"]).first()
         assert got.balanced_accuracy > 0.8
+
+
+def test_wide_files_with_recurring_names(spark, tmp_path):
+    """Keys beyond the id's width give ids that recur; files of two columns each."""
+    rows = [(k, k % 7, float(k) / 4 if k != 7 else None) for k in (1, 7, 999, 1234, 1235, 1236, 1238, 12361)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert compare(spark, connect(str(tmp_path)), plans.QUERIES["scan_raw_xena_matrix"], plans.SQL["scan_raw_xena_matrix"], str(tmp_path)) == ""
+    s = spark.createDataFrame([(i, "a" if i < 3 else None, i / 8) for i in range(5)], "k long, id string, x double")
+    sinks.write_wide_rows(s, str(tmp_path / "wide"), "k", "id", ["x"], columns=2)
+    got = readers.read_wide_rows(spark, str(tmp_path / "wide"), "feature").collect()
+    assert sorted(map(tuple, got)) == [("", "x", 0.375), ("", "x", 0.5), ("a", "x", 0.0), ("a", "x", 0.125), ("a", "x", 0.25)]
