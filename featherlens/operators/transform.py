@@ -144,9 +144,12 @@ def impute_by_policy(values: DataFrame, keys: list[str], policy: dict[str, str],
 
 
 def m_values_where_shares(values: DataFrame, keys: list[str]) -> DataFrame:
-    """M-values for the matrices whose values all lie in 0..1; others as they are."""
-    ends = values.groupBy(*keys).agg(((F.min("x") >= 0) & (F.max("x") <= 1)).alias("_share"))  # one row a matrix
-    return values.join(ends, keys).withColumn("x", F.when(F.col("_share"), m_value(F.col("x"))).otherwise(F.col("x"))).drop("_share")
+    """M-values for the matrices whose values all lie in 0..1; others as they are.
+
+    Their ends, a row a matrix, are broadcast: values are never shuffled, however large one matrix is.
+    """
+    ends = values.groupBy(*keys).agg(((F.min("x") >= 0) & (F.max("x") <= 1)).alias("_share"))
+    return values.join(F.broadcast(ends), keys).withColumn("x", F.when(F.col("_share"), m_value(F.col("x"))).otherwise(F.col("x"))).drop("_share")
 
 
 def projected(df: DataFrame, columns: list[str], least: int) -> DataFrame:
