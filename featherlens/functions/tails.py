@@ -99,3 +99,37 @@ def mann_whitney_exact(u: Column, n1: Column, n0: Column) -> Column:
         return pd.Series(out).replace({np.nan: None}).astype("Float64")
 
     return tail(u.cast("double"), n1.cast("double"), n0.cast("double"))
+
+
+#: Terms of a tail that are held at once.
+TERMS = 1 << 16
+
+
+def hypergeometric_sum(n: int, k: int, d: int, hits: int) -> float:
+    """P[X >= hits] for d drawn of n with k marked: a first term, and each next one by its ratio to the one before."""
+    log_c = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    first, last = max(hits, 0, k + d - n), min(k, d)
+    if first > last:
+        return 0.0
+    log_p, total = log_c(k, first) + log_c(n - k, d - first) - log_c(n, d), 0.0
+    for low in range(first, last + 1, TERMS):
+        x = np.arange(low, min(low + TERMS, last + 1), dtype=np.float64)
+        steps = np.log((k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1)), where=(x < k) & (x < d), out=np.zeros(len(x)))
+        logs = log_p + np.concatenate([[0.0], np.cumsum(steps)])
+        total += float(np.exp(logs[:-1]).sum())
+        log_p = logs[-1]
+    return min(1.0, total)
+
+
+def hypergeometric_upper(population: Column, marked: Column, drawn: Column, hits: Column) -> Column:
+    """P[X >= hits]; NULL without an argument or for a count over its population."""
+
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, k: pd.Series, d: pd.Series, hits: pd.Series) -> pd.Series:
+        ok = (n.notna() & k.notna() & d.notna() & hits.notna() & (k <= n) & (d <= n) & (k >= 0) & (d >= 0)).to_numpy()
+        args = zip(*(v[ok].astype("int64") for v in (n, k, d, hits)), strict=True)
+        out = np.full(len(n), np.nan)
+        out[ok] = [hypergeometric_sum(*a) for a in args]
+        return pd.Series(out).replace({np.nan: None}).astype("Float64")
+
+    return tail(*(c.cast("long") for c in (population, marked, drawn, hits)))

@@ -210,3 +210,53 @@ def test_hypergeometric_tail_of_large_populations(spark):
     rows = spark.createDataFrame([(1, n, k, d, hits), (2, 100, 200, 10, 5)], "id long, population long, marked long, drawn long, hits long")
     got = {r.id: r.p for r in stats.hypergeometric_tail(rows, ["id"]).collect()}
     assert abs(got[1] - want) < 1e-7 and 0.03 < want < 0.031 and got[2] is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_keys_of_rank_correlations_are_spread(spark):
+    """Ties, nulls, a null key, one key with most rows; no window over a key."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), float(rng.randint(0, 30)), rng.choice([None, *range(9)])) for _ in range(900)] + [("one", 1.0, 2)]
+    df = spark.createDataFrame(rows, "view string, a double, b long")
+    found = stats.spearman(df, ["view"], "a", "b")
+    assert "Window [rank(" not in plan_of(found) and "windowspecdefinition(view" not in plan_of(found)
+
+    def ranks(v):
+        return [sum(y < x for y in v) + (v.count(x) + 1) / 2 for x in v]
+
+    for r in found.collect():
+        pairs = [(x, y) for k, x, y in rows if k == r.view and y is not None]
+        a, b = (ranks([p[i] for p in pairs]) for i in (0, 1))
+        m = (len(pairs) + 1) / 2
+        cov = lambda u, v: sum((x - m) * (y - m) for x, y in zip(u, v, strict=True))
+        assert r.n == len(pairs) and (r.rho is None if r.n < 3 else r.rho == pytest.approx(cov(a, b) / math.sqrt(cov(a, a) * cov(b, b))))
+    whole = stats.spearman(df.filter("view = 'a'"), [], "a", "b").first()
+    assert whole.rho == pytest.approx({r.view: r.rho for r in found.collect()}["a"])
+
+
+def test_hypergeometric_terms_are_not_rows(spark):
+    cases = [(30, 12, 9, 0), (30, 12, 9, 4), (30, 12, 9, 9), (30, 12, 9, 10), (30, 25, 20, 3), (10, 10, 10, 10), (10, 0, 4, 0), (10, 0, 4, 1), (5, 6, 2, 1)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id long, population long, marked long, drawn long, hits long")
+    found = stats.hypergeometric_tail(df, ["id"])
+    assert "Generate" not in plan_of(found) and "Exchange" not in plan_of(found)
+    for r in found.collect():
+        n, k, d, hits = cases[r.id]
+        want = sum(math.comb(k, x) * math.comb(n - k, d - x) for x in range(hits, min(k, d) + 1)) / math.comb(n, d) if k <= n else None
+        assert r.p is want is None or r.p == pytest.approx(want)
+
+
+def test_shares_of_large_matrices_are_not_shuffled(spark):
+    df = spark.createDataFrame([("s", 0.0), ("s", 0.5), ("m", 2.0), ("m", 0.5)], "feature string, x double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = transform.m_values_where_shares(df, ["feature"])
+        assert "SortMergeJoin" not in plan_of(found)
+        got = sorted((r.feature, round(r.x, 6)) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("m", 0.5), ("m", 2.0), ("s", round(math.log2(1e-6 / (1 - 1e-6)), 6)), ("s", 0.0)]
