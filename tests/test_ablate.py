@@ -115,3 +115,21 @@ def test_reader_edges(spark, tmp_path):
         (tmp_path / name / "importance__ds__rna").mkdir(parents=True)
         (tmp_path / name / "importance__ds__rna" / "x.csv").write_text("1\n")
     assert [tuple(r) for r in readers.discover_predictions(spark, str(tmp_path)).collect()] == [("model_a", "ds", "rna"), ("model_b", "ds", "rna")]
+
+
+def test_the_driver_gets_an_array_a_sample(spark, monkeypatch):
+    """Missing cells, nulls and values that single precision can't hold, against the cells themselves."""
+    cells = [(i, f"f{j:02d}", None if i == 2 and j == 1 else i + j / 10, i % 3) for i in range(9) for j in range(12) if (i, j) not in {(4, 0), (4, 11), (7, 5)}]
+    df, sent = spark.createDataFrame(cells, "sample_id long, feature string, x double, label int").repartition(5), []
+    whole = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: sent.append(whole(self)) or sent[-1])
+    m = ablate.Matrix.of(df)
+    assert [t.num_rows for t in sent] == [9]
+    want = np.zeros((9, 12))
+    for i, f, x, _ in cells:
+        want[i, int(f[1:])] = x or 0.0
+    assert m.ids.tolist() == list(range(9)) and m.names == [f"f{j:02d}" for j in range(12)] and m.y.tolist() == [i % 3 for i in range(9)]
+    assert m.x.dtype == np.float64 and (m.x == want).all()
+    short = ablate.Matrix.of(df.withColumn("x", (df.x * 10).cast("int").cast("double") / 4))
+    assert short.x.dtype == np.float32 and short.part(np.ones(9, bool), [3]).dtype == np.float64
+    assert ablate.Matrix.of(df.limit(0)).x.shape == (0, 0)
