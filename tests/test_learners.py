@@ -110,6 +110,48 @@ def test_forests_learn(extra):
     assert (one.predict(x) == 0).all()
 
 
+def squares_over_weight(y, w):
+    return sum(w[y == c].sum() ** 2 for c in np.unique(y)) / w.sum()
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_forest_splits_against_every_cut(extra):
+    x, y, c = sample(120)
+    w = np.random.default_rng(5).integers(0, 3, (3, len(y))) * np.array([0.5, 1.0, 1.7])[y]
+    nodes = trees.grow_forest(x, (y[:, None] == c).astype(float), w, extra, 7, 25 << 20)
+    for t in range(3):
+        todo = [(t, np.flatnonzero(w[t]))]
+        while todo:
+            i, rows = todo.pop()
+            own = np.array([w[t, rows[y[rows] == k]].sum() for k in c])
+            assert nodes.value[i] == pytest.approx(own / own.sum())
+            drawn = np.argsort(trees.unit(7, 3, np.array([[(25 << 20) + i]]), np.arange(6)[None, :]))[0, :2]
+            cuts = {f: np.unique(x[rows, f])[:-1] for f in drawn}
+            if nodes.feature[i] < 0:
+                assert len(np.unique(y[rows])) == 1 or not any(len(v) for v in cuts.values())
+                continue
+            score = lambda left: squares_over_weight(y[left], w[t, left]) + squares_over_weight(y[rest := np.setdiff1d(rows, left)], w[t, rest])  # noqa: B023, E731
+            left = rows[x[rows, nodes.feature[i]] <= nodes.cut[i]]
+            assert nodes.feature[i] in drawn and 0 < len(left) < len(rows)
+            if not extra:
+                assert score(left) == pytest.approx(max(score(rows[x[rows, f] <= v]) for f in drawn for v in cuts[f]), rel=1e-8)
+            todo += [(nodes.left[i], left), (nodes.left[i] + 1, np.setdiff1d(rows, left))]
+
+
+def test_forest_in_parts_equals_the_forest_of_a_task(spark):
+    x, y, _ = sample(90)
+    values = long(spark, x, y)
+    dealt = folds.stratified(values.select("sample_id", "label").distinct(), 2, 2, 9)
+    ours = {(r["repeat"], r.sample_id): (r.y, r.p) for r in ablate.forest_predictions(values, dealt, 60, 3).collect()}
+    want = {}
+    for r in dealt.select("repeat", "fold").distinct().collect():
+        rows = {s["sample_id"]: s.fold for s in dealt.filter(F.col("repeat") == r["repeat"]).collect()}
+        test = np.array([rows[i] == r.fold for i in range(len(y))])
+        p = trees.forest(x[~test], y[~test], np.unique(y), False, 60, 3 + 1000 * r["repeat"]).predict(x[test])
+        want |= {(r["repeat"], int(i)): (y[i], v) for i, v in zip(np.flatnonzero(test), p, strict=True)}
+    assert ours == want and len(ours) == 2 * len(y)
+
+
 def objective_gradient(m, x, y, c, k, classes):
     z = np.column_stack([(x - m.mean) / m.scale, np.ones(len(x))])
     side, n = np.where(y == c, 1.0, -1.0), len(y)
