@@ -152,6 +152,24 @@ def test_forest_in_parts_equals_the_forest_of_a_task(spark):
     assert ours == want and len(ours) == 2 * len(y)
 
 
+def test_forest_shap_against_the_published_method(spark):
+    """Deep trees (over eight features on a path, repeats among them), samples of several groups."""
+    x, y, c = sample(150, 12)
+    want, leaves = np.zeros((len(y), 12, 3)), 0
+    for a, b in ((0, 25), (25, 30)):
+        nodes = trees.forest_part(x, y, c, False, a, b, 2)
+        for t in range(b - a):
+            tree = nodes.tree(t)
+            leaves += (tree[0] < 0).sum()
+            want += learn.tree_shaps(tree, x)
+            if t < 2:
+                some = x[:: 30]
+                assert learn.tree_shaps(tree, some) == pytest.approx(np.stack([learn.tree_shap(tree, row) for row in some]), abs=1e-9)
+    got = {r.feature: r.mean_abs_shap for r in ablate.forest_shap(long(spark, x, y), 30, 2).collect()}
+    assert leaves > 30 * 10
+    assert [got[f"f{j:02d}"] for j in range(12)] == pytest.approx(np.abs(want / 30).mean((0, 2)))
+
+
 def objective_gradient(m, x, y, c, k, classes):
     z = np.column_stack([(x - m.mean) / m.scale, np.ones(len(x))])
     side, n = np.where(y == c, 1.0, -1.0), len(y)
