@@ -83,6 +83,15 @@ def test_permutations_and_subsets(spark, tables):
         ablate.subset_scores(values, fold, [20], 4)
 
 
+def test_the_softmax_takes_larger_matrices(spark, tables, monkeypatch):
+    values, fold, _, _ = tables
+    want = sorted(ablate.label_permutations(values, fold, [20], 1).collect())
+    monkeypatch.setattr(ablate, "MAX_CELLS", 600)
+    assert sorted(ablate.label_permutations(values, fold, [20], 1).collect()) == want
+    with pytest.raises(ValueError):
+        ablate.scores(values, fold, [20], ("var",), 0, learners=("rf",))
+
+
 def test_splits_components_and_silhouette(spark, tables):
     values, fold, x, y = tables
     s = spark.createDataFrame([(i, "ab"[i % 2], i % 4) for i in range(40)], "sample_id long, label string, group_id long")
