@@ -42,18 +42,19 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property
 from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, drop_cut, raw_bytes
+from .common import crc_mod, cut, drop_cut
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
@@ -66,6 +67,12 @@ ORDERS = (1, 2, 3, 4, 6)
 MIN_SLOT_BITS, MAX_SLOT_BITS = 14, 20
 #: Words of documents that are worked on at once, longest stretch of one document, words of a block, of a counting task.
 CHUNK, PIECE, BLOCK, TASK = 1 << 15, 1 << 18, 1 << 20, 1 << 22
+#: Words whose like are added up before they are counted, or spelled, at once.
+GATHER = 1 << 20
+#: Bits that are worked on at once, few enough that a core keeps them near.
+SLICE = 1 << 14
+#: Bytes of texts that are split into words at once.
+TEXTS = 1 << 23
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 #: Stretches that a table is handed on in.
@@ -81,14 +88,28 @@ N_LEVELS = len(LEVELS) + 1
 #: Level of a count, counts from the last one on alike.
 LEVEL_OF = np.searchsorted(LEVELS, np.arange(258)).astype(np.int8)
 MATCHES = 4
-#: One occurrence of a zero and of a one.
-OWN = np.array([1, 1j], np.complex64)
 FIXED = 1 << 20
 _STIR = np.uint64(0x9FB21C651E98DF25)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words in a row, and where each text's begin and end; a null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.binary_length(words).to_numpy() > 0  # blanks at a text's ends leave empty words
+    if not real.all():
+        words, offsets = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[offsets]
+    return words, offsets
+
+
+def some_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of about TEXTS bytes."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(upto):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + TEXTS)))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -145,20 +166,27 @@ class Tree:
             at = np.where(real, up[at], at)
         self.length = sum(((node >= 0).astype(np.int64) for node, _ in paths), np.zeros(n, np.int64))
         deep = int(self.length.max(initial=0))
-        #: (depth, symbol): the node before the bit of that depth, -1 beyond the path; and the bit
-        self.node, self.bit = np.full((deep, n), -1, np.int32), np.zeros((deep, n), np.int8)
+        #: (depth, symbol): twice the node before the bit of that depth, plus the bit; -1 beyond the path
+        self.code = np.full((deep, n), -1, np.int32)
         for k, (node, bit) in enumerate(paths):  # k steps above the leaf
             real = np.flatnonzero(node >= 0)
-            self.node[self.length[real] - 1 - k, real] = node[real]
-            self.bit[self.length[real] - 1 - k, real] = bit[real]
+            self.code[self.length[real] - 1 - k, real] = 2 * node[real] + bit[real]
+
+    @property
+    def node(self) -> np.ndarray:
+        return self.code >> 1
+
+    @property
+    def bit(self) -> np.ndarray:
+        return np.where(self.code < 0, 0, self.code & 1)
 
     def counts(self, weights: np.ndarray) -> np.ndarray:
         """(node, 2): weight of the symbols below each node's two sides."""
-        out = np.zeros((self.size, 2))
-        for node, bit in zip(self.node, self.bit, strict=True):
-            real = node >= 0
-            np.add.at(out, (node[real], bit[real]), weights[real])
-        return out
+        out = np.zeros(2 * self.size)
+        for code in self.code:
+            real = code >= 0
+            np.add.at(out, code[real], weights[real])
+        return out.reshape(-1, 2)
 
 
 class Mixer:
@@ -168,43 +196,72 @@ class Mixer:
         self.weights = np.full((inputs + 1, gates), start)
         self.weights[-1] = 0
         self.seen = np.zeros(gates, np.int64)
+        self.mass, self.pull = np.zeros_like(self.seen), np.zeros_like(self.weights)
         self.counts = np.zeros((cells, BUCKETS, 2), np.int64)
         p = sigmoid((np.arange(BUCKETS) - BUCKETS // 2) * LIMIT * 2 / (BUCKETS - 1))
         self.begun = np.stack([1 - p, p], -1) * 4  # what the logit says
         self.share = None
 
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray, few: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """few: places and values of the last input, where it is not zero."""
         w = self.weights.astype(np.float32)
-        out = w[-1][gate] * np.float32(0.3)
+        out = (w[-1] * np.float32(0.3)).take(gate, mode="clip")
         for row, value in zip(w, x, strict=False):
-            out += row[gate] * value
+            part = row.take(gate, mode="clip")
+            part *= value
+            out += part
+        if few is not None:
+            at, value = few
+            out[at] += w[len(x)].take(gate[at]) * value
         return np.clip(out, -LIMIT, LIMIT, out=out)
 
     @staticmethod
     def bucket(logit: np.ndarray) -> np.ndarray:
         return np.rint(logit * ((BUCKETS - 1) / 2 / LIMIT)).astype(np.int32) + BUCKETS // 2
 
+    def cells(self, cell: np.ndarray | int, logit: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        at = self.bucket(logit)
+        at += cell * BUCKETS
+        at *= 2
+        at += bit
+        return at
+
     def probability(self, cell: np.ndarray | int, logit: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Of the bits that came."""
         if self.share is None:
             c = self.counts + self.begun
             self.share = (0.5 * c / c.sum(-1, keepdims=True)).ravel()
-        p = self.share[(cell * BUCKETS + self.bucket(logit)) * 2 + bit]
-        return p + 0.5 * sigmoid(np.where(bit, logit, -logit))
-
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, cell: np.ndarray | int, bit: np.ndarray) -> None:
-        logit = self.mixed(x, gate)
-        err = bit - sigmoid(logit)
+        p = logit * (1 - 2 * bit).astype(np.float32)
+        np.exp(p, out=p)
+        p += 1
+        np.divide(np.float32(0.5), p, out=p)
+        return self.share.take(self.cells(cell, logit, bit), mode="clip") + p
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, cell: np.ndarray | int, bit: np.ndarray, few: tuple[np.ndarray, np.ndarray] | None = None, times: np.ndarray | None = None) -> None:
+        """Takes bits into the next step; times: how often each came, once if it is not given."""
+        logit = self.mixed(x, gate, few)
+        err = np.exp(-logit)
+        err += 1
+        np.divide(1, err, out=err)
+        np.subtract(bit, err, out=err, dtype=np.float32)
+        if times is not None:
+            err *= times
         gates = len(self.seen)
-        mass = np.bincount(gate, minlength=gates)
-        # as long a step as that many single ones, up to STEP_BITS
-        rate = RATE * np.minimum(mass, STEP_BITS) / np.maximum(mass, 1)
+        self.mass += np.bincount(gate, times, gates).astype(np.int64)
         for i, value in enumerate(x):
-            self.weights[i] += rate * np.bincount(gate, err * value, gates)
-        self.weights[-1] += rate * np.bincount(gate, err * np.float32(0.3), gates)
-        self.seen += mass
-        at = (cell * BUCKETS + self.bucket(logit)) * 2 + bit
-        self.counts += np.bincount(at, minlength=self.counts.size).reshape(self.counts.shape)
+            self.pull[i] += np.bincount(gate, err * value, gates)
+        if few is not None:
+            at, value = few
+            self.pull[len(x)] += np.bincount(gate[at], err[at] * value, gates)
+        self.pull[-1] += np.bincount(gate, err * np.float32(0.3), gates)
+        counts = np.bincount(self.cells(cell, logit, bit), times)
+        self.counts.reshape(-1)[: len(counts)] += counts.astype(np.int64)
+
+    def step(self) -> None:
+        """Moves the weights, as far as that many single steps, up to STEP_BITS."""
+        self.weights += RATE * np.minimum(self.mass, STEP_BITS) / np.maximum(self.mass, 1) * self.pull
+        self.seen += self.mass
+        self.mass[:], self.pull[:] = 0, 0
 
     def packed(self) -> np.ndarray:
         """Whole numbers whose sums over blocks merged() takes."""
@@ -225,32 +282,47 @@ class Counts:
     def __init__(self, pairs: np.ndarray) -> None:
         """pairs: (slots, 2)."""
         self.pairs = np.ascontiguousarray(pairs, np.float32)
-        self.logits = None
+        self.logits = self.rest = None
 
     def __getstate__(self):
         # most are small whole numbers, so the packed form that is broadcast is a tenth of the table
         return _squeezed(self.pairs)
 
     def __setstate__(self, state) -> None:
-        self.pairs, self.logits = _restored(*state), None
-
-    def inputs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(logit, level)."""
-        if self.logits is None:
-            self.logits = np.log((self.pairs[:, 1] + np.float32(PRIOR)) / (self.pairs[:, 0] + np.float32(PRIOR)))
-            self.levels = LEVEL_OF[np.minimum(self.pairs.sum(1), 257).astype(np.int64)]
-        return self.logits[at], self.levels[at]
-
-    def others(self, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same less one of each bit; own: (1 - bit, bit) as one complex number."""
-        rest = self.pairs.view(np.complex64).ravel()[at]  # both counts at once
-        rest -= own
-        zeros, ones = np.maximum(rest.real, 0), np.maximum(rest.imag, 0)
+        self.pairs, self.logits, self.rest = _restored(*state), None, None
+
+    @staticmethod
+    def _said(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         level = LEVEL_OF[np.minimum(zeros + ones, 257).astype(np.int16)]
-        ones += np.float32(PRIOR)
-        zeros += np.float32(PRIOR)
-        ones /= zeros
-        return np.log(ones, out=ones), level
+        return np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))), level
+
+    def _built(self, leave_out: bool) -> None:
+        n, wide = len(self.pairs), 1 + leave_out
+        logits, levels = np.empty((n, wide), np.float32), np.empty((n, wide), np.int8)
+        for a in range(0, n, 1 << 18):
+            zeros, ones = np.ascontiguousarray(self.pairs[a : a + (1 << 18)].T)
+            to = slice(a, a + len(zeros))
+            if leave_out:
+                logits[to, 0], levels[to, 0] = self._said(np.maximum(zeros - 1, 0), ones)
+                logits[to, 1], levels[to, 1] = self._said(zeros, np.maximum(ones - 1, 0))
+            else:
+                logits[to, 0], levels[to, 0] = self._said(zeros, ones)
+        if leave_out:
+            self.rest, self.rest_levels = logits.ravel(), levels.ravel()
+        else:
+            self.logits, self.levels = logits.ravel(), levels.ravel()
+
+    def settle(self, leave_out: bool) -> None:
+        """Keeps only what is looked up with or without a bit's own occurrence."""
+        if self.pairs is not None:
+            self._built(leave_out)
+            self.pairs = None
+
+    def tables(self, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, level) by slot; with leave_out by twice the slot plus the bit, less one of that bit."""
+        if (self.rest if leave_out else self.logits) is None:
+            self._built(leave_out)
+        return (self.rest, self.rest_levels) if leave_out else (self.logits, self.levels)
 
 
 class Layout:
@@ -287,17 +359,18 @@ class Layout:
 
     def kinds_before(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Kind of the text before each token, CLASSES if no frequent word is near; start: place of its text's first token."""
-        kind, n = self.kinds[ids], len(ids)
-        at = np.arange(n)
-        since = np.maximum(start, at - RECENT)
+        kind, n = self.kinds[ids].astype(np.int8), len(ids)
+        since = np.maximum(start, np.arange(n) - RECENT)
         best, out = np.zeros(n, np.int32), np.full(n, CLASSES, np.int64)
-        for k in range(CLASSES):
-            upto = np.zeros(n + 1, np.int32)
-            np.cumsum(kind == k, out=upto[1:])
-            held = upto[at] - upto[since]
-            more = held > best
-            out[more] = k
-            best = np.maximum(best, held)
+        upto = np.zeros(n + 1, np.int32)
+        for k in range(int(self.kinds.min(initial=CLASSES)), CLASSES):
+            of = kind == k
+            if not of.any():
+                continue
+            np.cumsum(of, out=upto[1:])
+            held = upto[:-1] - upto.take(since, mode="clip")
+            np.copyto(out, k, where=held > best)
+            np.maximum(best, held, out=best)
         return out
 
 
@@ -309,10 +382,17 @@ def matches(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     n = len(ids)
     at = np.arange(n)
     real = np.flatnonzero(at - start >= 2)
-    text = start[real].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        key = (ids[real - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[real - 2].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + text
-    order = np.argsort(stirred(key), kind="stable")
+    first, second = ids[real - 1].astype(np.uint64), ids[real - 2].astype(np.uint64)
+    text = np.cumsum(at == start).astype(np.uint64)[real]
+    symbol, place, texts = (int(x.max(initial=0)).bit_length() for x in (ids, at, text))
+    if 2 * symbol + place + texts <= 64:  # all in one number, which is sorted at a time
+        key = (((text << np.uint64(symbol)) | first) << np.uint64(symbol) | second) << np.uint64(place) | np.arange(len(real), dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+    else:
+        with np.errstate(over="ignore"):
+            key = (first * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xC2B2AE3D27D4EB4F) + text
+        order = np.argsort(stirred(key), kind="stable")
     now, before = real[order[1:]], real[order[:-1]]
     same = (ids[now - 1] == ids[before - 1]) & (ids[now - 2] == ids[before - 2]) & (start[now] == start[before])
     guess = np.full(n, -1, np.int64)
@@ -327,79 +407,218 @@ class Stretch:
 
     def __init__(self, layout: Layout, ids: np.ndarray, sizes: np.ndarray) -> None:
         """sizes: tokens of each piece."""
-        self.layout, self.n = layout, len(ids)
+        self.layout, self.n, self.tokens = layout, len(ids), ids
         first = np.cumsum(sizes) - sizes
-        start = np.repeat(first, sizes)
-        self.kind = layout.kinds_before(ids, start)
-        guess, state = matches(ids, start)
-        before = np.concatenate([[0], ids[:-1].astype(np.int64) + 1])
-        before[first] = 0
-        self.order = np.argsort(-layout.tree.length[ids], kind="stable")
-        pick = lambda x: np.ascontiguousarray(x[self.order])
-        self.ids, self.kinds, self.guess, self.state = pick(ids), pick(self.kind), pick(guess), pick(state)
-        self.before = stirred(pick(before).astype(np.uint64))
-        lengths = layout.tree.length[self.ids]
-        self.active = np.searchsorted(-lengths, -np.arange(len(layout.tree.node)) - 1, "right")
-
-    def steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(depth, tokens that have a bit there, their nodes, bits and places by kind and by word before)."""
-        tree = self.layout.tree
-        for depth, n in enumerate(self.active.tolist()):
+        self.start = np.repeat(first, sizes)
+        self.kind = layout.kinds_before(ids, self.start)
+        self.previous = np.concatenate([[0], ids[:-1].astype(np.int64) + 1])
+        self.previous[first] = 0
+
+    @classmethod
+    def of_all(cls, stretches: list[Stretch]) -> tuple[Stretch, np.ndarray]:
+        """Tokens that differ in what they are or in any context, once each, and the number among them of each token."""
+        layout = stretches[0].layout
+        symbol, both = len(layout.tree.length).bit_length(), lambda f: np.concatenate([f(s) for s in stretches])
+        fields = [(both(lambda s: s.previous), symbol), (both(lambda s: s.tokens), symbol), (both(lambda s: s.kind), CLASSES.bit_length()), (both(lambda s: s.match[0]) + 1, symbol), (both(lambda s: s.match[1]), MATCHES.bit_length() - 1)]
+        key, used = np.zeros(len(fields[0][0]), np.uint64), 0
+        for values, bits in fields:
+            key, used = key << np.uint64(bits) | values.astype(np.uint64), used + bits
+        if used > 64:
+            raise ValueError(f"a token's contexts take {used} bits")
+        _, at, which = np.unique(key, return_index=True, return_inverse=True)
+        out = cls.__new__(cls)
+        out.layout, out.n = layout, len(at)
+        out.previous, out.tokens, out.kind, guess, state = (values[at] for values, _ in fields)
+        out.match = guess - 1, state
+        return out, which
+
+    @cached_property
+    def match(self) -> tuple[np.ndarray, np.ndarray]:
+        return matches(self.tokens, self.start)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        length = self.layout.tree.length
+        return np.argsort((length.max(initial=0) - length[self.tokens]).astype(np.int16), kind="stable")
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return self.tokens[self.order].astype(np.int64)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        return stirred(self.previous[self.order].astype(np.uint64))
+
+    @cached_property
+    def guesses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the order that have a match, what follows there, and its state."""
+        guess, state = self.match
+        guess, state = guess[self.order], state[self.order].astype(np.uint8)
+        at = np.flatnonzero(guess >= 0)
+        return at, guess[at], state[at]
+
+    def steps(self) -> Iterator[tuple[int, Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]]:
+        """(depth, slices of the tokens that have a bit there: their places, codes, bits and places by kind and by word before)."""
+        tree, ids, before = self.layout.tree, self.ids, self.before
+        active = np.searchsorted(-tree.length[ids], -np.arange(len(tree.code)) - 1, "right")
+        kinds = self.kind[self.order] * tree.size
+
+        def slices(codes: np.ndarray, n: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            for a in range(0, n, SLICE):
+                to = slice(a, min(n, a + SLICE))
+                code = codes.take(ids[to], mode="clip")
+                node = code >> 1
+                yield to, code, code & 1, kinds[to] + node, word_slots(self.layout, before[to], node)
+
+        for depth, n in enumerate(active.tolist()):
             if not n:
                 return
-            node, bit = tree.node[depth][self.ids[:n]].astype(np.int64), tree.bit[depth][self.ids[:n]]
-            with np.errstate(over="ignore"):
-                slot = ((self.before[:n] ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * _STIR) >> np.uint64(64 - self.layout.word_bits)
-            yield depth, n, node, bit, self.kinds[:n] * tree.size + node, slot.astype(np.int64)
+            yield depth, slices(tree.code[depth], n)
 
-    def matched(self, depth: int, n: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the match says of the bit (2, -2, or 0), and its state (0 if it says nothing)."""
-        tree, guess = self.layout.tree, self.guess[:n]
-        alive = (guess >= 0) & (tree.node[depth][guess] == node)
-        return np.where(alive, tree.bit[depth][guess] * np.float32(4) - 2, np.float32(0)), np.where(alive, self.state[:n], 0)
+    def matched(self, depth: int, to: slice, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in the slice the match says something of the bit, what (2 or -2), and its state."""
+        at, guess, state = self.guesses
+        few = slice(*np.searchsorted(at, (to.start, to.stop)).tolist())
+        at, said = at[few] - to.start, self.layout.tree.code[depth].take(guess[few])
+        alive = np.flatnonzero((said >> 1) == (code[at] >> 1))
+        return at[alive], (said[alive] & 1) * np.float32(4) - 2, state[few][alive]
 
 
-def byte_contexts(layout: Layout, words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with closing blanks, number of the word of each, hashes of its contexts)."""
+def word_slots(layout: Layout, before: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """before: stirred numbers of the words before."""
+    x = node.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= before
+        x *= _STIR
+        x >>= np.uint64(64 - layout.word_bits)
+    return x.view(np.int64)
+
+
+def like(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys where each distinct one begins, and how many there are of it."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return begin, np.diff(np.append(begin, len(keys)))
+
+
+def byte_keys(words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kind, byte and the six bytes before in the word (blanks, which no word holds, where there are none), of each byte and closing blank; and the number of its word."""
     parts = [w + b" " for w in words]
     b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     word = np.repeat(np.arange(len(parts)), sizes)
     pos = np.arange(len(b)) - (np.cumsum(sizes) - sizes)[word]
-    hashes = np.zeros((len(ORDERS), len(b)), np.uint64)
+    keys = kinds.astype(np.uint64)[word] << np.uint64(8) | b
+    for back in range(1, max(ORDERS) + 1):
+        prev = np.full(len(b), 32, np.uint64)
+        prev[back:] = b[:-back]
+        prev[pos < back] = 32
+        keys = keys << np.uint64(8) | prev
+    return keys, word
+
+
+def key_hashes(keys: np.ndarray, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, hashes of their contexts)."""
+    deep = max(ORDERS)
+    hashes = np.zeros((len(orders), len(keys)), np.uint64)
     with np.errstate(over="ignore"):
-        h = kinds[word].astype(np.uint64) + np.uint64(1)
-        for back in range(1, max(ORDERS) + 1):
-            prev = np.zeros(len(b), np.uint64)
-            prev[back:] = b[:-back] + np.uint64(1)
-            prev[pos < back] = 0
+        h = (keys >> np.uint64(8 * deep + 8)) + np.uint64(1)
+        for back in range(1, max(orders) + 1):
+            prev = ((keys >> np.uint64(8 * (deep - back))) & np.uint64(255)) + np.uint64(1)
+            prev[prev == 33] = 0
             h = h * np.uint64(0x2545F4914F6CDD1D) + prev
-            if back in ORDERS:
-                hashes[ORDERS.index(back)] = h
-    return b.astype(np.int64), word, stirred(hashes)
+            if back in orders:
+                hashes[orders.index(back)] = h
+    return ((keys >> np.uint64(8 * deep)) & np.uint64(255)).astype(np.int64), stirred(hashes)
+
+
+def byte_contexts(layout: Layout, words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with closing blanks, number of the word of each, hashes of its contexts)."""
+    keys, word = byte_keys(words, kinds)
+    b, hashes = key_hashes(keys)
+    return b, word, hashes
 
 
 def byte_steps(layout: Layout, b: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(bit number, partial bytes with a leading one, bits, slots by context) for the eight bits of each byte."""
-    offsets = (np.arange(len(ORDERS), dtype=np.int64) << layout.byte_bits)[:, None]
+    offsets = (np.arange(len(hashes), dtype=np.int64) << layout.byte_bits)[:, None]
     for k in range(8):
         node, bit = (b >> (8 - k)) | (1 << k), (b >> (7 - k)) & 1
         with np.errstate(over="ignore"):
-            x = ((hashes ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * _STIR) >> np.uint64(64 - layout.byte_bits)
-        yield k, node, bit, x.astype(np.int64) + offsets
+            x = hashes ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            x *= _STIR
+            x >>= np.uint64(64 - layout.byte_bits)
+        x = x.view(np.int64)
+        x += offsets
+        yield k, node, bit, x
+
+
+def count_bytes(layout: Layout, keys: np.ndarray, flat: np.ndarray) -> None:
+    """Adds the bits of bytes by their keys, like ones together."""
+    keys = np.sort(keys)
+    for i, order in enumerate(ORDERS):
+        begin, times = like(keys >> np.uint64(8 * (max(ORDERS) - order)))
+        b, hashes = key_hashes(keys[begin], (order,))
+        times, base = times.astype(flat.dtype), int(layout.starts[2]) + (i << layout.byte_bits)
+        for _, _, bit, at in byte_steps(layout, b, hashes):
+            np.add.at(flat, 2 * (base + at[0]) + bit, times)
+
+
+class Tally:
+    """Counts of texts: like words are added up before their bits are."""
+
+    def __init__(self, layout: Layout, flat: np.ndarray) -> None:
+        """flat: (slots, 2) in a row."""
+        self.layout, self.flat, self.n = layout, flat, 0
+        length = layout.tree.length
+        self.by_length = np.argsort(length.max(initial=0) - length, kind="stable")
+        self.place = np.empty(len(length), np.int64)
+        self.place[self.by_length] = np.arange(len(length))
+        self.kinds = np.zeros((CLASSES + 1) * len(length), np.int64)
+        self.pairs, self.keys = [], []
+
+    def add(self, stretch: Stretch, tails: list[bytes], tail_kinds: np.ndarray) -> None:
+        np.add.at(self.kinds, stretch.kind * len(self.place) + stretch.tokens, np.int64(1) + np.zeros(stretch.n, np.int64))
+        self.pairs.append(self.place[stretch.tokens] << 32 | stretch.previous)
+        if tails:
+            self.keys.append(byte_keys(tails, tail_kinds)[0])
+        self.n += stretch.n
+        if self.n >= GATHER:
+            self.flush()
+
+    def flush(self) -> None:
+        layout, tree = self.layout, self.layout.tree
+        if self.pairs:
+            pairs = np.sort(np.concatenate(self.pairs))
+            begin, times = like(pairs)
+            pairs, times = pairs[begin], times.astype(self.flat.dtype)
+            ids, before = self.by_length[pairs >> 32], stirred((pairs & 0xFFFFFFFF).astype(np.uint64))
+            active = np.searchsorted(-tree.length[ids], -np.arange(len(tree.code)) - 1, "right")
+            for code, n in zip(tree.code, active.tolist(), strict=True):
+                for a in range(0, n, CHUNK):
+                    to = slice(a, min(n, a + CHUNK))
+                    c = code.take(ids[to])
+                    np.add.at(self.flat, 2 * (int(layout.starts[1]) + word_slots(layout, before[to], c >> 1)) + (c & 1), times[to])
+        if self.keys:
+            count_bytes(layout, np.concatenate(self.keys), self.flat)
+        self.pairs, self.keys, self.n = [], [], 0
+
+    def done(self) -> None:
+        self.flush()
+        held = np.flatnonzero(self.kinds)
+        kind, symbol = np.divmod(held, len(self.place))
+        times, base = self.kinds[held].astype(self.flat.dtype), kind * (2 * self.layout.tree.size)
+        for code in self.layout.tree.code:
+            c = code[symbol]
+            real = c >= 0
+            np.add.at(self.flat, base[real] + c[real], times[real])
 
 
 def count_stretch(layout: Layout, stretch: Stretch, tails: list[bytes], tail_kinds: np.ndarray, flat: np.ndarray) -> None:
     """Adds all bits to the flat table of (slots, 2)."""
-    a, b, c = (int(x) for x in layout.starts[:3])
-    for _, _, _, bit, by_kind, by_word in stretch.steps():
-        once = np.ones(len(bit), flat.dtype)
-        np.add.at(flat, 2 * (a + by_kind) + bit, once)
-        np.add.at(flat, 2 * (b + by_word) + bit, once)
-    if tails:
-        text, _, hashes = byte_contexts(layout, tails, tail_kinds)
-        for _, _, bit, at in byte_steps(layout, text, hashes):
-            np.add.at(flat, (2 * (c + at) + bit).ravel(), np.ones(at.size, flat.dtype))
+    tally = Tally(layout, flat)
+    tally.add(stretch, tails, tail_kinds)
+    tally.done()
 
 
 def count_head(layout: Layout, flat: np.ndarray) -> None:
@@ -408,14 +627,11 @@ def count_head(layout: Layout, flat: np.ndarray) -> None:
     last = tree.length[: layout.escape] - 1
     if not len(symbol) or last.min() < 0:
         return
-    node, bit = tree.node[last, symbol], tree.bit[last, symbol]
-    held = np.stack([flat[k * tree.size + node, bit] for k in range(CLASSES)])
+    code = tree.code[last, symbol]
+    held = np.stack([flat[k * tree.size + (code >> 1), code & 1] for k in range(CLASSES)])
     kinds = np.where(held.max(0) > 0, held.argmax(0), CLASSES)
     for a in range(0, len(symbol), CHUNK):
-        text, _, hashes = byte_contexts(layout, layout.words[a : a + CHUNK], kinds[a : a + CHUNK])
-        for _, _, bit, at in byte_steps(layout, text, hashes):
-            at = (2 * (int(layout.starts[2]) + at) + bit).ravel()
-            np.add.at(flat.reshape(-1), at, np.ones(len(at), flat.dtype))
+        count_bytes(layout, byte_keys(layout.words[a : a + CHUNK], kinds[a : a + CHUNK])[0], flat.reshape(-1))
 
 
 class Model:
@@ -429,7 +645,7 @@ class Model:
         return out
 
     def start(self) -> None:
-        self.words = Mixer(N_LEVELS * N_LEVELS * MATCHES, 4, max(1, len(self.layout.tree.node)), 0.33)
+        self.words = Mixer(N_LEVELS * N_LEVELS * MATCHES, 4, max(1, len(self.layout.tree.code)), 0.33)
         self.bytes = Mixer(N_LEVELS * N_LEVELS * 8, len(ORDERS), 256, 0.3)
 
     def __init__(self, layout: Layout, flat: np.ndarray) -> None:
@@ -439,41 +655,56 @@ class Model:
         self.plain, self.by_kind, self.by_word, self.by_bytes = Counts(layout.node_counts), *map(Counts, parts)
         self.start()
 
-    def word_inputs(self, stretch: Stretch, depth: int, n: int, node, bit, by_kind, by_word, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        look = partial(Counts.others, own=OWN[bit]) if leave_out else Counts.inputs
-        x0, _ = look(self.plain, node)
-        x1, level1 = look(self.by_kind, by_kind)
-        x2, level2 = look(self.by_word, by_word)
-        match, state = stretch.matched(depth, n, node)
-        gate = level1.astype(np.int32)
+    def settle(self, leave_out: bool) -> None:
+        for counts in (self.plain, self.by_kind, self.by_word, self.by_bytes):
+            counts.settle(leave_out)
+
+    def word_inputs(self, stretch: Stretch, depth: int, to: slice, code, bit, by_kind, by_word, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Inputs, gate, and the match's input where it has any."""
+        if leave_out:
+            by_kind, by_word = 2 * by_kind + bit, 2 * by_word + bit
+        (plain, _), (kinds, kind_levels), (words, word_levels) = (t.tables(leave_out) for t in (self.plain, self.by_kind, self.by_word))
+        x = [plain.take(code if leave_out else code >> 1, mode="clip"), kinds.take(by_kind, mode="clip"), words.take(by_word, mode="clip")]
+        gate = kind_levels.take(by_kind, mode="clip").astype(np.uint8)
         gate *= N_LEVELS
-        gate += level2
+        gate += word_levels.take(by_word, mode="clip").view(np.uint8)
         gate *= MATCHES
-        gate += state
-        return [x0, x1, x2, match], gate
+        at, match, state = stretch.matched(depth, to, code)
+        gate[at] += state
+        return x, gate.astype(np.int64), (at, match)
 
     def byte_inputs(self, k: int, bit, at, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        look = partial(Counts.others, own=OWN[bit]) if leave_out else Counts.inputs
-        x, levels = zip(*(look(self.by_bytes, a) for a in at), strict=True)
-        return list(x), (levels[-1].astype(np.int32) * N_LEVELS + levels[1]) * 8 + k
+        logits, levels = self.by_bytes.tables(leave_out)
+        if leave_out:
+            at = 2 * at + bit
+        x = [logits.take(a, mode="clip") for a in at]
+        return x, (levels.take(at[-1]).astype(np.int64) * N_LEVELS + levels.take(at[1])) * 8 + k
 
     def learn(self, stretch: Stretch, tails: list[bytes], tail_kinds: np.ndarray) -> None:
         """One pass: a step of the weights for each depth or bit number."""
-        for depth, n, node, bit, by_kind, by_word in stretch.steps():
-            x, gate = self.word_inputs(stretch, depth, n, node, bit, by_kind, by_word, True)
-            self.words.learn(x, gate, depth, bit)
+        for depth, slices in stretch.steps():
+            for to, code, bit, by_kind, by_word in slices:
+                x, gate, few = self.word_inputs(stretch, depth, to, code, bit, by_kind, by_word, True)
+                self.words.learn(x, gate, depth, bit, few)
+            self.words.step()
         if tails:
-            text, _, hashes = byte_contexts(self.layout, tails, tail_kinds)
+            keys = np.sort(byte_keys(tails, tail_kinds)[0])
+            begin, times = like(keys)
+            text, hashes = key_hashes(keys[begin])
             for k, node, bit, at in byte_steps(self.layout, text, hashes):
-                x, gate = self.byte_inputs(k, bit, at, True)
-                self.bytes.learn(x, gate, node, bit)
+                for a in range(0, len(bit), SLICE):
+                    to = slice(a, a + SLICE)
+                    x, gate = self.byte_inputs(k, bit[to], at[:, to], True)
+                    self.bytes.learn(x, gate, node[to], bit[to], times=times[to])
+                self.bytes.step()
 
     def word_logs(self, stretch: Stretch) -> np.ndarray:
         """log10 probability of each token's code, in the order of the texts."""
         total, part = np.zeros(stretch.n), np.ones(stretch.n)
-        for depth, n, node, bit, by_kind, by_word in stretch.steps():
-            x, gate = self.word_inputs(stretch, depth, n, node, bit, by_kind, by_word, False)
-            part[:n] *= self.words.probability(depth, self.words.mixed(x, gate), bit)
+        for depth, slices in stretch.steps():
+            for to, code, bit, by_kind, by_word in slices:
+                x, gate, few = self.word_inputs(stretch, depth, to, code, bit, by_kind, by_word, False)
+                part[to] *= self.words.probability(depth, self.words.mixed(x, gate, few), bit)
             if depth % 16 == 15:  # long before it is too small for a double
                 total += np.log10(part)
                 part[:] = 1
@@ -481,14 +712,23 @@ class Model:
         out[stretch.order] = total + np.log10(part)
         return out
 
+    def stretch_logs(self, stretches: list[Stretch]) -> np.ndarray:
+        alike, which = Stretch.of_all(stretches)
+        return self.word_logs(alike)[which]
+
     def byte_logs(self, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
         """log10 probability of each word's bytes and closing blank."""
-        text, word, hashes = byte_contexts(self.layout, words, kinds)
-        total = np.ones(len(text))
-        for k, node, bit, at in byte_steps(self.layout, text, hashes):
-            x, gate = self.byte_inputs(k, bit, at, False)
-            total *= self.bytes.probability(node, self.bytes.mixed(x, gate), bit)
-        return np.bincount(word, np.log10(total), len(words))
+        keys, word = byte_keys(words, kinds)
+        keys, which = np.unique(keys, return_inverse=True)
+        logs = np.empty(len(keys))
+        for a in range(0, len(keys), SLICE):
+            text, hashes = key_hashes(keys[a : a + SLICE])
+            total = np.ones(len(text))
+            for k, node, bit, at in byte_steps(self.layout, text, hashes):
+                x, gate = self.byte_inputs(k, bit, at, False)
+                total *= self.bytes.probability(node, self.bytes.mixed(x, gate), bit)
+            logs[a : a + SLICE] = np.log10(total)
+        return np.bincount(word, logs[which], len(words))
 
     def packed(self) -> np.ndarray:
         return np.concatenate([self.words.packed(), self.bytes.packed()])
@@ -564,27 +804,33 @@ def _encoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     yield from zip(_lists(batch.column("ids")), batch.column("tails").to_pylist(), strict=True)
 
 
+def _added(parts: list[pa.Table]) -> pa.Table:
+    got = pa.concat_tables(parts).group_by("w").aggregate([("t", "sum"), ("n", "sum")])
+    return got.rename_columns([c.removesuffix("_sum") for c in got.column_names]).select(["w", "t", "n"])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(w, t, n): word, its occurrences in training documents and in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for held in (0, 1):
-                c = counts[held]
-                if c:
-                    n = np.fromiter(c.values(), np.int64, len(c))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(n * (1 - held)), pa.array(n)], ["w", "t", "n"])
-                    c.clear()
-
-        for batch in batches:
-            for held, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
-                counts[held].update(words_of(text))
-                counts[held][END] += 1
-                if len(counts[0]) + len(counts[1]) > FLUSH:
-                    yield from flush()
-        yield from flush()
+        parts, n = [], 0
+        for batch in (some for batch in batches for some in some_texts(batch)):
+            for held in (False, True):
+                texts = batch.filter(pc.equal(batch.column("held_out"), held)).column("text")
+                if len(texts):
+                    found = words_of(texts)[0].value_counts()
+                    w = pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())])
+                    times = pa.concat_arrays([found.field("counts"), pa.array([len(texts)], pa.int64())])
+                    parts.append(pa.table({"w": w, "t": pa.array(np.zeros(len(w), np.int64)) if held else times, "n": times}))
+                    n += len(w)
+            if n > FLUSH:
+                parts = [_added(parts)]
+                n = len(parts[0])
+                if 2 * n > FLUSH:
+                    yield from parts[0].to_batches()
+                    parts, n = [], 0
+        if parts:
+            yield from _added(parts).to_batches()
 
     rows = docs.select("held_out", "text").mapInArrow(count, "w binary, t long, n long")
     return cut(rows.groupBy("w").agg(F.sum("t").alias("c"), F.sum("n").alias("n")), "words")
@@ -609,22 +855,22 @@ def encode(docs: DataFrame, layout, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = layout.value
-        for batch in batches:
-            texts = raw_bytes(batch.column("text"))
-            for a in range(0, len(texts), 500):
-                ids, tails, base, size = [], [], [], []
-                for text in texts[a : a + 500]:
-                    words = words_of(text)
-                    words.append(END)
-                    i = known.ids(words)
-                    ids.append(i)
-                    tails.append([words[j] for j in np.flatnonzero(i == known.escape).tolist()])
-                    base.append(float(logs[i].sum()))
-                    size.append(len(text))
-                some = batch.slice(a, 500)
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("row", "h", "doc_id", "held_out")), pa.array(size, pa.int64()), pa.array(base), lists, pa.array(tails, pa.list_(pa.binary()))], ["row", "h", "doc_id", "held_out", "size", "base", "ids", "tails"])
+        heads, end = pa.array(known.words, pa.binary()), known.number.get(END, known.escape)
+        for some in (some for batch in batches for some in some_texts(batch)):
+            text = some.column("text")
+            words, offsets = words_of(text)
+            i = pc.fill_null(pc.index_in(words, value_set=heads.cast(pa.large_binary()).view(words.type) if pa.types.is_large_string(words.type) else heads.view(words.type)), known.escape).to_numpy(zero_copy_only=False)
+            outside = np.concatenate([[0], np.cumsum(i == known.escape)])
+            tails = words.filter(pa.array(i == known.escape)).cast(pa.binary())
+            ids, ends = np.insert(i.astype(np.int32), offsets[1:], end), offsets + np.arange(len(offsets))
+            lists = pa.ListArray.from_arrays(pa.array(outside[offsets].astype(np.int32)), tails)
+            if end == known.escape:  # without training texts
+                lists = pa.array([[*t, END] for t in lists.to_pylist()], pa.list_(pa.binary()))
+            base, size = np.add.reduceat(logs[ids], ends[:-1]), pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c) for c in ("row", "h", "doc_id", "held_out")), size, pa.array(base), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), lists],
+                ["row", "h", "doc_id", "held_out", "size", "base", "ids", "tails"],
+            )
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
     return cut(keyed.mapInArrow(run, ENCODED), "encoded", "zstd")
@@ -652,15 +898,17 @@ def fitted(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.maximum(halved, 1), 0)
 
 
-def count_contexts(training: DataFrame, layout, tasks: int) -> np.ndarray:
+def count_contexts(training: DataFrame, layout, slots: int, tasks: int) -> np.ndarray:
     """Counts of all contexts in the training documents: (slots, 2)."""
-    size = 2 * layout.value.slots
-    step = 2 * -(-layout.value.slots // PARTS)  # both counts of a slot in one part
+    size = 2 * slots
+    step = 2 * -(-slots // PARTS)  # both counts of a slot in one part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = layout.value, np.zeros(size, np.int32)
+        tally = Tally(known, flat)
         for texts in texts_of(known, (r for b in batches for r in _encoded(b))):
-            count_stretch(known, texts.stretch, texts.tails, texts.tail_kinds, flat)
+            tally.add(texts.stretch, texts.tails, texts.tail_kinds)
+        tally.done()
         task = TaskContext.get().partitionId()
         parts = [zstandard.compress(flat[a : a + step].astype(np.int64).tobytes(), 1) for a in range(0, size, step)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["part", "task", "data"])
@@ -692,12 +940,13 @@ def count_follows(training: DataFrame, n: int, end: int, tasks: int) -> np.ndarr
     return out.reshape(n, n)
 
 
-def learn_weights(training: DataFrame, model, blocks: int) -> np.ndarray:
+def learn_weights(training: DataFrame, model, weights: int, blocks: int) -> np.ndarray:
     """Sums over blocks of what their learners arrive at; each begins anew and reads its documents by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((b, row) for batch in batches for b, row in zip(batch.column("block").to_pylist(), _encoded(batch), strict=True))
         total = 0
+        model.value.settle(True)
         for _, block in groupby(rows, key=itemgetter(0)):
             learner = model.value.beginner()
             for texts in texts_of(learner.layout, (row for _, row in block)):
@@ -708,7 +957,7 @@ def learn_weights(training: DataFrame, model, blocks: int) -> np.ndarray:
 
     dealt = training.select(F.pmod("h", F.lit(blocks)).alias("block"), "h", "ids", "tails").repartition("block").sortWithinPartitions("block", "h")
     got = dealt.mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # a row a weight or cell
-    out = np.zeros(len(model.value.packed()), np.int64)
+    out = np.zeros(weights, np.int64)
     out[got["i"].to_numpy()] = got["x"].to_numpy()
     return out
 
@@ -728,12 +977,13 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, dict[str, int]]:
         layout.kinds[:top] = find_kinds(count_follows(training, top, layout.number.get(END, -1), tasks))
         layout.kinds[layout.number[END]] = CLASSES
     shared = share(layout)
-    table = count_contexts(training, shared, tasks)
+    table = count_contexts(training, shared, layout.slots, tasks)
     shared.destroy()
     count_head(layout, table)
     model = Model(layout, table)
+    del table  # the driver holds one copy
     shared = share(model)
-    model.merged(learn_weights(training, shared, 1 + totals["n"] // BLOCK))
+    model.merged(learn_weights(training, shared, len(model.packed()), 1 + totals["n"] // BLOCK))
     shared.destroy()
     return encoded, words, model, totals
 
@@ -742,18 +992,19 @@ _TAIL = pa.list_(pa.struct([("w", pa.binary()), ("s", pa.float64()), ("m", pa.in
 SCORED = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("size", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("tail", _TAIL)]
 
 
-def tree_scores(texts: Texts, model: Model) -> tuple[np.ndarray, list[list[dict]]]:
+def tree_scores(texts: list[Texts], model: Model) -> tuple[np.ndarray, list[list[dict]]]:
     """Of each text the log10 probability of its codes, and its other words with their kind's spelling and their number."""
-    ends = np.cumsum(texts.sizes)
-    logs = np.concatenate([[0.0], np.cumsum(model.word_logs(texts.stretch))])
-    tails = [[] for _ in texts.sizes]
-    found = Counter(zip(texts.text_of_tail.tolist(), texts.tail_kinds.tolist(), texts.tails, strict=True))
+    logs = np.concatenate([[0.0], np.cumsum(model.stretch_logs([t.stretch for t in texts]))])
+    sizes = np.concatenate([t.sizes for t in texts])
+    ends, first = np.cumsum(sizes), np.cumsum([0, *(len(t.sizes) for t in texts)]).tolist()
+    tails = [[] for _ in sizes]
+    found = Counter(x for t, a in zip(texts, first, strict=False) for x in zip((t.text_of_tail + a).tolist(), t.tail_kinds.tolist(), t.tails, strict=True))
     number = {x: i for i, x in enumerate(dict.fromkeys((k, w) for _, k, w in found))}
     if number:
-        spelled = model.byte_logs([w for _, w in number], np.array([k for k, _ in number], np.int64))
+        spelled = model.byte_logs([w for _, w in number], np.array([k for k, _ in number], np.int64)).tolist()
         for (i, k, w), m in found.items():
-            tails[i].append({"w": w, "s": float(spelled[number[k, w]]), "m": m})
-    return logs[ends] - logs[ends - texts.sizes], tails
+            tails[i].append({"w": w, "s": spelled[number[k, w]], "m": m})
+    return logs[ends] - logs[ends - sizes], tails
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -766,14 +1017,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
+        known.settle(False)
         for batch in batches:
             a, sizes = 0, np.diff(batch.column("ids").offsets.to_numpy())
             upto = np.cumsum(sizes)
             while a < len(sizes):
-                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK)))
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + GATHER)))
                 some = batch.slice(a, b - a)
                 rows = list(_encoded(some))
-                lp, tails = tree_scores(Texts(known.layout, [r[0] for r in rows], [r[1] for r in rows]), known)
+                lp, tails = tree_scores(list(texts_of(known.layout, iter(rows))), known)
                 outside = np.fromiter((len(r[1]) for r in rows), np.int64, len(rows))
                 yield pa.RecordBatch.from_arrays(
                     [*(some.column(c) for c in ("row", "doc_id", "held_out")), pa.array(sizes[a:b].astype(np.int64)), some.column("size"), pa.array(sizes[a:b] - outside), some.column("base"), pa.array(lp), pa.array(tails, _TAIL)],

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,32 @@ def test_counts_of_a_slot_are_halved_together():
     assert got.max() < 1 << 24
     assert got[0, 0] / got[0, 1] == pytest.approx(15, rel=1e-5) and got[1, 1] / got[1, 0] == pytest.approx(600 / 90, rel=1e-5)
     assert got[2].tolist() == [1, 1 << 23] and got[3, 0] == 0 and got[4:6].tolist() == [[7, 3], [0, 0]] and got[6].tolist() == [(1 << 24) - 1, 1 << 23]
+
+
+def test_like_words_are_worked_on_once(monkeypatch):
+    """Copies of a text cost no further bits in scoring, and copies of a spelling none in learning and counting."""
+    layout = lm.Layout([b"\n", b"a", b"b"], np.array([2.0, 9, 5]), 4, 0, 0, 16)
+    ids, tails = layout.ids([b"a", b"zeta", b"b", b"\n"]), [b"zeta"]
+    seen = {}
+    for copies in (1, 50):
+        flat, bits = np.zeros((layout.slots, 2), np.int32), []
+        texts = lm.Texts(layout, [ids] * copies, [tails] * copies)
+        lm.count_stretch(layout, texts.stretch, texts.tails, texts.tail_kinds, flat.reshape(-1))
+        assert flat.sum() == copies * (2 * int(layout.tree.length[ids].sum()) + 5 * 8 * len(lm.ORDERS))
+        model = lm.Model(layout, flat)
+        model.learn(texts.stretch, texts.tails, texts.tail_kinds)
+        assert model.bytes.seen.sum() == copies * 8 * 5 and model.words.seen.sum() == copies * layout.tree.length[ids].sum()
+        plain = lm.Mixer.probability
+        monkeypatch.setattr(lm.Mixer, "probability", lambda *a, plain=plain, bits=bits: bits.append(len(a[-1])) or plain(*a))
+        logs, _ = lm.tree_scores([texts, texts], model)
+        monkeypatch.undo()
+        seen[copies] = sum(bits)
+        assert np.ptp(logs) < 1e-9
+    assert seen[1] == seen[50] == int(layout.tree.length[ids].sum()) + 5 * 8
+
+
+def test_words_are_those_of_bytes():
+    texts = ["A b", "", None, " \n", "\ta  Ä É\x00x\x0b", "x\x1cy   Z", *(f"a{chr(i)}B" for i in range(256))]
+    words, at = lm.words_of(pa.array(texts))
+    got = [words[a:b].cast(pa.binary()).to_pylist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    assert got == [(t or "").encode().lower().split() for t in texts]
