@@ -171,6 +171,13 @@ class Tree:
         for k, (node, bit) in enumerate(paths):  # k steps above the leaf
             real = np.flatnonzero(node >= 0)
             self.code[self.length[real] - 1 - k, real] = 2 * node[real] + bit[real]
+        path = np.zeros(n, np.uint64)
+        for code in self.code[:64]:
+            path = path << np.uint64(1) | (code & 1 & ~(code >> 31)).astype(np.uint64)
+        #: symbols by length of their codes, longest first, and then by code, so that neighbours share nodes; and where each is
+        self.sorted = np.lexsort((path, -self.length))
+        self.place = np.empty(n, np.int64)
+        self.place[self.sorted] = np.arange(n)
 
     @property
     def node(self) -> np.ndarray:
@@ -403,7 +410,7 @@ def matches(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Stretch:
-    """Tokens of whole texts (or pieces of long ones), in the order of their code lengths, longest first."""
+    """Tokens of whole texts (or pieces of long ones), in the order of their codes, longest first."""
 
     def __init__(self, layout: Layout, ids: np.ndarray, sizes: np.ndarray) -> None:
         """sizes: tokens of each piece."""
@@ -438,8 +445,10 @@ class Stretch:
 
     @cached_property
     def order(self) -> np.ndarray:
-        length = self.layout.tree.length
-        return np.argsort((length.max(initial=0) - length[self.tokens]).astype(np.int16), kind="stable")
+        bits = np.uint64(self.n.bit_length())
+        key = self.layout.tree.place[self.tokens].astype(np.uint64) << bits | np.arange(self.n, dtype=np.uint64)
+        key.sort()
+        return (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
     @cached_property
     def ids(self) -> np.ndarray:
@@ -570,16 +579,13 @@ class Tally:
     def __init__(self, layout: Layout, flat: np.ndarray) -> None:
         """flat: (slots, 2) in a row."""
         self.layout, self.flat, self.n = layout, flat, 0
-        length = layout.tree.length
-        self.by_length = np.argsort(length.max(initial=0) - length, kind="stable")
-        self.place = np.empty(len(length), np.int64)
-        self.place[self.by_length] = np.arange(len(length))
-        self.kinds = np.zeros((CLASSES + 1) * len(length), np.int64)
+        self.symbols = len(layout.tree.place)
+        self.kinds = np.zeros((CLASSES + 1) * self.symbols, np.int32)
         self.pairs, self.keys = [], []
 
     def add(self, stretch: Stretch, tails: list[bytes], tail_kinds: np.ndarray) -> None:
-        np.add.at(self.kinds, stretch.kind * len(self.place) + stretch.tokens, np.int64(1) + np.zeros(stretch.n, np.int64))
-        self.pairs.append(self.place[stretch.tokens] << 32 | stretch.previous)
+        np.add.at(self.kinds, stretch.kind * self.symbols + stretch.tokens, np.ones(stretch.n, np.int32))
+        self.pairs.append(self.layout.tree.place[stretch.tokens] << 32 | stretch.previous)
         if tails:
             self.keys.append(byte_keys(tails, tail_kinds)[0])
         self.n += stretch.n
@@ -592,7 +598,7 @@ class Tally:
             pairs = np.sort(np.concatenate(self.pairs))
             begin, times = like(pairs)
             pairs, times = pairs[begin], times.astype(self.flat.dtype)
-            ids, before = self.by_length[pairs >> 32], stirred((pairs & 0xFFFFFFFF).astype(np.uint64))
+            ids, before = tree.sorted[pairs >> 32], stirred((pairs & 0xFFFFFFFF).astype(np.uint64))
             active = np.searchsorted(-tree.length[ids], -np.arange(len(tree.code)) - 1, "right")
             for code, n in zip(tree.code, active.tolist(), strict=True):
                 for a in range(0, n, CHUNK):
@@ -606,7 +612,7 @@ class Tally:
     def done(self) -> None:
         self.flush()
         held = np.flatnonzero(self.kinds)
-        kind, symbol = np.divmod(held, len(self.place))
+        kind, symbol = np.divmod(held, self.symbols)
         times, base = self.kinds[held].astype(self.flat.dtype), kind * (2 * self.layout.tree.size)
         for code in self.layout.tree.code:
             c = code[symbol]
@@ -794,14 +800,8 @@ def texts_of(layout: Layout, rows: Iterator[tuple[np.ndarray, list[bytes]]]) ->
         yield Texts(layout, ids, tails)
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy()
-    return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-
-
 def _encoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    yield from zip(_lists(batch.column("ids")), batch.column("tails").to_pylist(), strict=True)
+    yield from zip((np.frombuffer(x, np.int32) for x in batch.column("ids").to_pylist()), batch.column("tails").to_pylist(), strict=True)
 
 
 def _added(parts: list[pa.Table]) -> pa.Table:
@@ -846,7 +846,7 @@ def make_layout(words: DataFrame) -> tuple[Layout, np.ndarray, dict[str, int]]:
     return Layout(names, counts, int(t.n - counts.sum()), t.n1, t.n2, t.n), counts, {"n": t.n, "v": t.v}
 
 
-ENCODED = "row long, h long, doc_id long, held_out boolean, size long, base double, ids array<int>, tails array<binary>"
+ENCODED = "row long, h long, doc_id long, held_out boolean, size long, base double, ids binary, tails array<binary>"
 
 
 def encode(docs: DataFrame, layout, counts: np.ndarray) -> DataFrame:
@@ -866,9 +866,10 @@ def encode(docs: DataFrame, layout, counts: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(outside[offsets].astype(np.int32)), tails)
             if end == known.escape:  # without training texts
                 lists = pa.array([[*t, END] for t in lists.to_pylist()], pa.list_(pa.binary()))
+            packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
             base, size = np.add.reduceat(logs[ids], ends[:-1]), pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(some.column(c) for c in ("row", "h", "doc_id", "held_out")), size, pa.array(base), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), lists],
+                [*(some.column(c) for c in ("row", "h", "doc_id", "held_out")), size, pa.array(base), packed, lists],
                 ["row", "h", "doc_id", "held_out", "size", "base", "ids", "tails"],
             )
 
@@ -927,7 +928,7 @@ def count_follows(training: DataFrame, n: int, end: int, tasks: int) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(n * n, np.int64)
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy().astype(np.int64)
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32).astype(np.int64)
             flat = flat[(flat < n) | (flat == end)]
             pairs = (flat[:-1] != end) & (flat[1:] != end)
             sums += np.bincount((flat[:-1] * n + flat[1:])[pairs], minlength=n * n)
@@ -992,19 +993,20 @@ _TAIL = pa.list_(pa.struct([("w", pa.binary()), ("s", pa.float64()), ("m", pa.in
 SCORED = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("size", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("tail", _TAIL)]
 
 
-def tree_scores(texts: list[Texts], model: Model) -> tuple[np.ndarray, list[list[dict]]]:
+def tree_scores(texts: list[Texts], model: Model) -> tuple[np.ndarray, pa.Array]:
     """Of each text the log10 probability of its codes, and its other words with their kind's spelling and their number."""
     logs = np.concatenate([[0.0], np.cumsum(model.stretch_logs([t.stretch for t in texts]))])
     sizes = np.concatenate([t.sizes for t in texts])
     ends, first = np.cumsum(sizes), np.cumsum([0, *(len(t.sizes) for t in texts)]).tolist()
-    tails = [[] for _ in sizes]
-    found = Counter(x for t, a in zip(texts, first, strict=False) for x in zip((t.text_of_tail + a).tolist(), t.tail_kinds.tolist(), t.tails, strict=True))
-    number = {x: i for i, x in enumerate(dict.fromkeys((k, w) for _, k, w in found))}
-    if number:
-        spelled = model.byte_logs([w for _, w in number], np.array([k for k, _ in number], np.int64)).tolist()
-        for (i, k, w), m in found.items():
-            tails[i].append({"w": w, "s": spelled[number[k, w]], "m": m})
-    return logs[ends] - logs[ends - sizes], tails
+    words = pa.array([w for t in texts for w in t.tails], pa.binary()).dictionary_encode()
+    n = max(1, len(words.dictionary))
+    spelled, of = np.unique(np.concatenate([t.tail_kinds for t in texts]) * n + words.indices.to_numpy(), return_inverse=True)
+    found, times = np.unique(np.concatenate([t.text_of_tail + a for t, a in zip(texts, first, strict=False)]) * max(1, len(spelled)) + of, return_counts=True)
+    text, of = np.divmod(found, max(1, len(spelled)))
+    names = words.dictionary.take(pa.array(spelled % n))
+    scores = model.byte_logs(names.to_pylist(), spelled // n) if len(spelled) else np.zeros(0)
+    tails = pa.StructArray.from_arrays([names.take(pa.array(of)), pa.array(scores[of]), pa.array(times)], fields=list(_TAIL.value_type))
+    return logs[ends] - logs[ends - sizes], pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32)), tails).cast(_TAIL)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -1019,7 +1021,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         known = model.value
         known.settle(False)
         for batch in batches:
-            a, sizes = 0, np.diff(batch.column("ids").offsets.to_numpy())
+            a, sizes = 0, pc.binary_length(batch.column("ids")).to_numpy() // 4
             upto = np.cumsum(sizes)
             while a < len(sizes):
                 b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + GATHER)))
@@ -1028,7 +1030,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 lp, tails = tree_scores(list(texts_of(known.layout, iter(rows))), known)
                 outside = np.fromiter((len(r[1]) for r in rows), np.int64, len(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c) for c in ("row", "doc_id", "held_out")), pa.array(sizes[a:b].astype(np.int64)), some.column("size"), pa.array(sizes[a:b] - outside), some.column("base"), pa.array(lp), pa.array(tails, _TAIL)],
+                    [*(some.column(c) for c in ("row", "doc_id", "held_out")), pa.array(sizes[a:b].astype(np.int64)), some.column("size"), pa.array(sizes[a:b] - outside), some.column("base"), pa.array(lp), tails],
                     [name for name, _ in SCORED],
                 )
                 a = b
