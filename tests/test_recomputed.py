@@ -20,7 +20,7 @@ def shaken(x):
     return noise(x)
 
 
-@pytest.mark.parametrize("name", ["agg_vad_summary", "agg_vad_bundle", "agg_vad_fold_metrics", "stat_alpha_prime", "stat_spearman"])
+@pytest.mark.parametrize("name", ["agg_vad_summary", "agg_vad_bundle", "agg_vad_fold_metrics", "stat_alpha_prime", "stat_spearman", "pred_finite_mask"])
 def test_ranks_of_doubles_that_change(spark, monkeypatch, name):
     emb = fx.emb
     monkeypatch.setattr(fx, "emb", lambda spark, sf: emb(spark, sf).withColumn("x", shaken(F.col("x"))))
