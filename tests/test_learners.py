@@ -1,3 +1,4 @@
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -110,6 +111,22 @@ def test_forests_learn(extra):
     assert (one.predict(x) == 0).all()
 
 
+@pytest.mark.parametrize("extra", [False, True])
+def test_forests_hold_a_batch_of_trees(extra):
+    """Memory doesn't grow with the trees."""
+    x, y, c = sample(1500)
+    x = x + np.random.default_rng(2).normal(size=x.shape)
+
+    def peak(size):
+        tracemalloc.start()
+        trees.forest(x, y, c, extra, size).predict(x)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(8 * trees.BATCH) < 1.1 * peak(2 * trees.BATCH)
+
+
 def squares_over_weight(y, w):
     return sum(w[y == c].sum() ** 2 for c in np.unique(y)) / w.sum()
 
