@@ -169,6 +169,39 @@ def test_forest_in_parts_equals_the_forest_of_a_task(spark):
     assert ours == want and len(ours) == 2 * len(y)
 
 
+def test_shap_of_deep_trees_with_features_that_recur():
+    """Paths of up to 19 features in three bytes, each taken up to three times, with leaves of one class and of several."""
+    rng = np.random.default_rng(3)
+    p, c, depth = 19, 3, 26
+    feature, cut, left, right, value, weight = [], [], [], [], [], []
+
+    def grown(level, w, order):
+        i = len(feature)
+        for column, v in zip((feature, cut, left, right, value, weight), (-1, 0.0, -1, -1, None, w), strict=True):
+            column.append(v)
+        shares = rng.random(c) if rng.random() < 0.3 else np.eye(c)[rng.integers(c)]
+        value[i] = shares / shares.sum()
+        if level < depth and w > 0.05 and (level < 3 or order):
+            feature[i], cut[i] = int(order[0]), float(rng.normal(0, 0.7))
+            part = rng.uniform(0.85, 0.97)
+            left[i] = grown(level + 1, w * part, order[1:])
+            right[i] = grown(level + 20, w * (1 - part), order[1:3])
+        return i
+
+    grown(0, 1.0, np.concatenate([rng.permutation(p), rng.permutation(p)]).tolist())
+    tree = tuple(map(np.array, (feature, cut, left, right, value, weight)))
+    x = rng.normal(size=(40, p))
+    assert len(feature) > 50
+    assert learn.tree_shaps(tree, x) == pytest.approx(np.stack([learn.tree_shap(tree, row) for row in x]), abs=1e-9)
+
+
+def test_a_task_explains_many_samples_at_once():
+    """A walk's own cost is that of thousands of samples, so 0.1 GB (10 256 samples, 64 features, 10 classes) is one piece."""
+    assert ablate.explained_rows(10, 64) > 10_256
+    for c, p in ((1, 1), (10, 64), (3, 20_000), (1000, 1000)):
+        assert ablate.explained_rows(c, p) % ablate.CHUNK == 0 and ablate.explained_rows(c, p) * c * p <= max(ablate.SHAPS, c * p * ablate.CHUNK)
+
+
 def test_forest_shap_against_the_published_method(spark):
     """Deep trees (over eight features on a path, repeats among them), samples of several groups."""
     x, y, c = sample(150, 12)
