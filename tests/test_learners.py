@@ -169,6 +169,29 @@ def test_forest_in_parts_equals_the_forest_of_a_task(spark):
     assert ours == want and len(ours) == 2 * len(y)
 
 
+def test_large_matrices_have_exact_forests_too(spark, monkeypatch):
+    """Beyond MAX_CELLS the forest still parts every mixed node that its features can part, in smaller batches of trees."""
+    x, y, c = sample(90)
+    values = long(spark, x, y)
+    dealt = folds.stratified(values.select("sample_id", "label").distinct(), 2, 1, 9)
+    monkeypatch.setattr(ablate, "MAX_CELLS", x.size // 2)
+    monkeypatch.setitem(learn.SIZES, "rf", learn.SIZES["rf"] | {"numTrees": 7})
+    ours = {r.sample_id: (r.y, r.p) for r in ablate.forest_out_of_fold(values, dealt, 3).collect()}
+    fold, want = {r.sample_id: r.fold for r in dealt.collect()}, {}
+    for f in range(2):
+        test = np.array([fold[i] == f for i in range(len(y))])
+        votes = 0
+        for a in range(0, 7, 2):
+            b = min(7, a + 2)
+            nodes = trees.forest_part(x[~test], y[~test], c, False, a, b, 3)
+            votes = votes + np.rint(nodes.value[nodes.leaf(x[test], b - a)] * ablate.SHARE).astype(np.int64).sum(0)
+        want |= {int(i): (y[i], v) for i, v in zip(np.flatnonzero(test), c[votes.argmax(1)], strict=True)}
+    assert ours == want and len(ours) == len(y)
+    monkeypatch.setattr(ablate, "MAX_CELLS", x.size // 3)
+    with pytest.raises(ValueError):
+        ablate.forest_predictions(values, dealt, 7, 3)
+
+
 def test_shap_of_deep_trees_with_features_that_recur():
     """Paths of up to 19 features in three bytes, each taken up to three times, with leaves of one class and of several."""
     rng = np.random.default_rng(3)
